@@ -73,3 +73,10 @@ def gapless(df: DataFrame, group: list[str], order: list[str], weight: str, out:
     placed = dealt.withColumn("_inner", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
     on = [placed[k].eqNullSafe(starts[k]) for k in keys]
     return placed.join(starts, on).select(*(placed[c] for c in df.columns), (F.col("_start") + F.col("_inner")).alias(out))
+
+
+def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """At most ``rows`` rows in an Arrow batch of this session, so that very long texts fit a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, topk
+from . import bestfit, mixing, packing, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.read_pieces(bestfit.write_matrices(table(spark, sf_dir, "documents")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bestfit": op1_bestfit,
+    "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
