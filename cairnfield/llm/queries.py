@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, mixing, packing, sharding, topk
+from . import bestfit, media, mixing, packing, sharding, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.read_pieces(bestfit.write_matrices(table(spark, sf_dir, "documents")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, run = warc.write_archives(table(spark, sf_dir, "pages"))
+    index = warc.capture_histories(warc.read_archives(spark, path, run))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "history_pos")
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -35,6 +45,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bestfit": op1_bestfit,
+    "op3_warc": op3_warc,
+    "op4_media": op4_media,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
@@ -42,6 +54,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op10_topk": topk.SQL,
 }
