@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, media, mixing, packing, sharding, topk, warc
+from . import bestfit, langid, media, mixing, packing, sharding, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.read_pieces(bestfit.write_matrices(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, run = warc.write_archives(table(spark, sf_dir, "pages"))
     index = warc.capture_histories(warc.read_archives(spark, path, run))
@@ -26,6 +31,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -45,8 +55,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bestfit": op1_bestfit,
+    "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_media": op4_media,
+    "op5_langid": op5_langid,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
