@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, langid, media, mixing, packing, sharding, topk, toxicity, warc
+from . import bestfit, langid, media, mixing, ngram_join, packing, sharding, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_media": op4_media,
     "op5_langid": op5_langid,
     "op6_packing": op6_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
