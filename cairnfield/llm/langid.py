@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -282,10 +283,9 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def language(texts):
-        import pandas as pd
-
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.bool_()), pa.array([t if isinstance(t, str) else None for t in texts], pa.string())], names=["a", "b", "c"])
-        return pd.concat([x.to_pandas()["lang_pred"] for x in _predict(model)(iter([batch]))])
+    def language(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        batches = (pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.bool_()), pa.array(t, pa.string())], names=["a", "b", "c"]) for t in parts)
+        for labelled in _predict(model)(batches):
+            yield labelled.column("lang_pred").to_pandas()
 
     return docs.filter(language(F.col(text_col)) != UND)

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,9 +234,7 @@ def sniff(df: DataFrame, media_col: str, declared_col: str | None = None) -> Dat
     bound_batches(df.sparkSession)
 
     @F.pandas_udf("sniffed_type string, embedded array<struct<type: string, offset: long, length: long>>")
-    def run(media):
-        import pandas as pd
-
+    def run(media: pd.Series) -> pd.DataFrame:
         found = [split(bytes(m)) if m is not None else (None, []) for m in media]
         return pd.DataFrame({"sniffed_type": [k for k, _ in found], "embedded": [[{"type": t, "offset": o, "length": n} for t, o, n in e] for _, e in found]})
 

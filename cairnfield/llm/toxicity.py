@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -290,9 +291,7 @@ def matched_clauses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<start: int, end: int, score: double>>")
-    def run(parts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model.stems)
         for texts in parts:
             yield pd.Series([[{"start": a, "end": b, "score": s} for a, b, s in scorer.clauses(t)] for t in texts])
@@ -306,10 +305,9 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model.stems)
-        return pd.Series([score_text(model, scorer, t if isinstance(t, str) else None) for t in texts])
+        for texts in parts:
+            yield pd.Series([score_text(model, scorer, t) for t in texts], dtype=float)
 
     return docs.filter(score(F.col(text_col)) < 0.5)
