@@ -15,10 +15,13 @@ import pyarrow as pa
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words kept in a worker's cache; beyond, it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 END = 0
 
 _RUN = re.compile(r"\s \s|\s \Z")
+#: Stands between words encoded as one text; its id can't come from a word that neither holds it nor ends in white space.
+_BETWEEN = "\r"
+_MARKS = ".,;:!?"
 _loaded: dict[str, Encoder] = {}
 
 
@@ -38,14 +41,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids[0]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> None:
+        """Adds the ids of each word, with a space before it, to the cache: of letters and the marks after them apart,
+        as the vocabulary splits them too."""
+        cores = [w.rstrip(_MARKS) for w in words]
+        split = [(w, c) for w, c in zip(words, cores) if c != w and c.isalpha()]
+        apart = {w for w, _ in split}
+        self._unsplit(sorted(({w for w in words if w not in apart} | {c for _, c in split}) - self.spaced.keys()))
+        for w, c in split:
+            mark = w[len(c) :]
+            if mark not in self.marks:
+                self.marks[mark] = self._bytes([mark])[0]
+            self.spaced[w] = self.spaced[c] + self.marks[mark]
+
+    def _unsplit(self, words: list[str]) -> None:
+        plain, other = [], []
+        for w in words:
+            (other if not w or _BETWEEN in w or w[-1].isspace() else plain).append(w)
+        self.spaced.update(zip(other, self._bytes([f" {w}" for w in other])))
+        if plain:
+            ids = self._bytes([_BETWEEN.join([f" {w}" for w in plain])])[0]
+            ends = [*(4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.between)).tolist(), len(ids)]
+            at = 0
+            for w, end in zip(plain, ends, strict=True):
+                self.spaced[w] = ids[at:end]
+                at = end + 4
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text; a null text is empty."""
         if len(self.spaced) > CACHE_WORDS:
             self.spaced.clear()
+            self.marks.clear()
         words, whole = [], []
         for i, t in enumerate(texts):
             if t is None:
@@ -57,7 +89,7 @@ class Encoder:
                 words.append(t.split(" "))
         known = self.spaced
         missing = sorted({w for ws in words if ws is not None for w in ws[1:]} - known.keys())
-        known.update(zip(missing, self._bytes([f" {w}" for w in missing])))
+        self._words(missing)
         firsts = self._bytes([ws[0] for ws in words if ws is not None])
         others = dict(zip(whole, self._bytes([texts[i] for i in whole])))
         first = iter(firsts)
