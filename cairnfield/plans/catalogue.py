@@ -1,6 +1,491 @@
-"""The registered queries of the engine itself, and their SQL."""
+"""The registered queries of the engine itself, over the driver's tables; their SQL is in ``oracles``.
+
+The tables stand in for clinical ones: customers are patients, orders exams, line items attachments, events
+observations and alerts, documents pages of a source, parts a catalog.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import clinical, text
+from ..operators import catalogs, chunking, incremental, records, rules, vectors, windows
+from ..sources import web
+from ..storage import cut
+from . import reference_data
+from .oracles import SQL  # noqa: F401
+
 QUERIES = {}
-SQL = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def digest(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+# Retrieval.
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=6)
+
+
+@query
+def knn_topk(spark, sf_dir):
+    return _neighbours(spark, sf_dir).withColumn("distance", F.round("distance", 6))
+
+
+@query
+def citations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    found = _neighbours(spark, sf_dir).join(docs, "vec_id", "left")
+    return found.select("query_id", "rank", F.format_string("[%d] %s", "rank", clinical.citation(F.col("source"), F.col("vec_id"), F.lit(None))).alias("label"))
+
+
+@query
+def knn_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    found = _neighbours(spark, sf_dir).join(docs, "vec_id", "left")
+    return found.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("source")), ", ").alias("sources"))
+
+
+# Filters and lookups.
+
+
+@query
+def latest_per_key(spark, sf_dir):
+    last = windows.latest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    return last.select("user_id", "event_id", micros(F.col("ts")).alias("ts_us"), "event_type", "value")
+
+
+@query
+def patients_filter(spark, sf_dir):
+    rows = records.where_truthy(table(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING")
+    return records.where_truthy(rows, "c_name", "").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query
+def patients_search(spark, sf_dir):
+    return records.matching(table(spark, sf_dir, "customer"), "1_5%", "c_name", "c_custkey").select("c_custkey", "c_name")
+
+
+def _alerts(spark, sf_dir):
+    team = F.element_at(F.array(*map(F.lit, ("all", "doctors", "nurses", "pharmacy"))), (F.col("user_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").withColumn("team", team)
+
+
+@query
+def alerts_filter(spark, sf_dir):
+    rows = records.where_given(_alerts(spark, sf_dir), "event_type", "error")
+    return records.for_team(rows, "doctors").select("event_id", "user_id", "team")
+
+
+@query
+def alerts_none(spark, sf_dir):
+    return records.where_given(_alerts(spark, sf_dir), "event_type", "").select("event_id", "team")
+
+
+@query
+def patient_by_id(spark, sf_dir):
+    return records.by_key(table(spark, sf_dir, "customer"), c_custkey=42).select("c_custkey", "c_name")
+
+
+@query
+def exam_by_key(spark, sf_dir):
+    return records.by_key(table(spark, sf_dir, "orders"), o_custkey=899, o_orderkey=0).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+# Documents: duplicates, spans, chunks, text functions.
+
+
+@query
+def exact_dedup(spark, sf_dir):
+    return incremental.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
+
+
+@query
+def page_spans(spark, sf_dir):
+    return chunking.page_spans(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+
+
+@query
+def clean_pages(spark, sf_dir):
+    clean = text.clean_markdown(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", digest(clean).alias("clean_sha256"), F.length(clean).alias("n_chars"))
+
+
+@query
+def chunk_text(spark, sf_dir):
+    return chunking.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("chunk", digest(F.col("chunk"))).withColumnsRenamed({"start": "char_start", "end": "char_end"})
+
+
+@query
+def chunk_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.n_chunks(F.length("text")).alias("n"))
+
+
+@query
+def chunk_page_range(spark, sf_dir):
+    return chunking.chunk_page_ranges(page_spans(spark, sf_dir))
+
+
+@query
+def chunk_ids(spark, sf_dir):
+    rows = chunking.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "chunk_index", chunking.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"))
+
+
+@query
+def word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n"))
+
+
+@query
+def norm_space(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", digest(text.norm_space(F.col("text"))).alias("normal"))
+
+
+@query
+def ascii_fold(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", digest(text.ascii_fold(F.col("text"))).alias("folded"))
+
+
+@query
+def norm_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", digest(text.norm_key(F.col("text"))).alias("key"))
+
+
+@query
+def sanitize_name(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", digest(text.sanitize_name(F.col("text"))).alias("name"))
+
+
+@query
+def parse_lines(spark, sf_dir):
+    lines = text.parse_lines(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n"), digest(F.array_join(lines, "|")).alias("lines"))
+
+
+# Pages.
+
+
+@query
+def page_links(spark, sf_dir):
+    return web.page_links(table(spark, sf_dir, "pages"))
+
+
+@query
+def url_id(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.url_id(F.col("url")).alias("id"))
+
+
+@query
+def local_filename(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("application/pdf"), F.lit("text/html"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.local_filename(F.col("url"), kind).alias("name"), F.substring(F.sha2("url", 256), 1, 8).alias("sha8"))
+    first = rows.groupBy("name").agg(F.min("page_id").alias("first"))
+    again = F.regexp_replace("name", r"(\.[^.]*)$", F.concat(F.lit("_"), "sha8", F.lit("$1")))
+    return rows.join(first, "name").select("page_id", F.when(F.col("page_id") == F.col("first"), F.col("name")).otherwise(again).alias("filename"))
+
+
+# Records.
+
+
+@query
+def patient_detail(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").filter("c_acctbal is not null").select("c_custkey", "c_name")
+    orders = table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select("o_custkey", "o_orderkey", "o_orderstatus")
+    children = records.nested(orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "exams", F.col("o_orderkey"))
+    last = windows.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id")
+    vitals = last.select(F.col("user_id").alias("c_custkey"), F.col("value").alias("vital"))
+    rows = records.with_children(customers, "c_custkey", children).join(vitals, "c_custkey", "left")
+    shown = F.array_join(F.transform("exams", lambda e: F.concat_ws(":", e["o_orderkey"].cast("string"), e["o_orderstatus"])), ",")
+    return rows.select("c_custkey", "c_name", F.coalesce("vital", F.lit(36.5)).alias("vital"), F.size("exams").alias("n_exams"), shown.alias("exams"))
+
+
+@query
+def exam_attachments(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_quantity")
+    children = records.nested(items, "o_orderkey", "files", F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity"))
+    rows = records.with_children(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", children)
+    shown = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["l_linenumber"].cast("string"), f["l_partkey"].cast("string"))), ",")
+    return rows.select("o_orderkey", F.size("files").alias("n"), shown.alias("files"))
+
+
+@query
+def alert_names(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name")
+    rows = table(spark, sf_dir, "events").join(people, F.col("user_id") == F.col("c_custkey"), "left")
+    return rows.select("event_id", F.when(F.col("user_id") == 0, "Sistema").otherwise(F.coalesce("c_name", F.col("user_id").cast("string"))).alias("name"))
+
+
+@query
+def pending_counts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "P").alias("pending"))
+
+
+@query
+def unresolved_count(spark, sf_dir):
+    return table(spark, sf_dir, "orders").filter("o_orderstatus != 'F'").agg(F.count("*").alias("unresolved"))
+
+
+@query
+def group_fixed_domain(spark, sf_dir):
+    items = table(spark, sf_dir, "events").withColumnRenamed("event_type", "type")
+    return records.fixed_groups(items, "type", ["view", "click", "prescription", "purchase"])
+
+
+@query
+def last_user_turn(spark, sf_dir):
+    return records.last_user_turn(table(spark, sf_dir, "conversations"))
+
+
+@query
+def vitals_locf(spark, sf_dir):
+    patches = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "view", F.col("value")).alias("temperature"), F.when(F.col("event_type") == "click", F.round("value").cast("int")).alias("heart_rate"))
+    told = records.carry_forward(patches, "user_id", ["ts", "event_id"], {k: records.DEFAULT_VITALS[k] for k in ("temperature", "heart_rate")})
+    return told.select("event_id", "temperature", "heart_rate")
+
+
+@query
+def patch_fold(spark, sf_dir):
+    patches = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "view", F.col("value")).alias("a"), F.when(F.col("event_type") == "error", F.col("value")).alias("b"))
+    return records.fold_patches(patches, "user_id", "event_id", ["a", "b"])
+
+
+# Rules.
+
+
+def _patches(spark, sf_dir):
+    kind, value = F.col("event_type"), F.col("value")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("user_id").cast("string").alias("patient_id"),
+        F.col("event_id").alias("recorded_at"),
+        F.when(kind == "view", F.greatest(F.lit(0), 100 - F.floor(value / 5))).cast("int").alias("oxygen_saturation"),
+        F.when(kind == "click", F.round(34 + value / 60, 1)).alias("temperature"),
+        F.when(kind == "error", F.floor(40 + value / 2)).cast("int").alias("heart_rate"),
+        F.when(kind == "purchase", F.concat(F.floor(10 + value / 3).cast("string"), F.lit("/80"))).alias("blood_pressure"),
+    )
+
+
+@query
+def vital_alerts(spark, sf_dir):
+    return rules.vital_alerts(_patches(spark, sf_dir))
+
+
+@query
+def vital_tiers(spark, sf_dir):
+    p = _patches(spark, sf_dir)
+    kind = F.when(F.col("oxygen_saturation").isNotNull(), "oxygen_saturation").when(F.col("temperature").isNotNull(), "temperature").when(F.col("heart_rate").isNotNull(), "heart_rate").when(F.col("blood_pressure").isNotNull(), "systolic")
+    value = F.coalesce(F.col("oxygen_saturation").cast("double"), "temperature", F.col("heart_rate").cast("double"), clinical.systolic(F.col("blood_pressure")).cast("double"))
+    return p.withColumns({"kind": kind, "v": value}).filter("kind is not null").select("event_id", "kind", clinical.vital_tier(F.col("kind"), F.col("v")).alias("tier"))
+
+
+@query
+def systolic(spark, sf_dir):
+    shown = F.concat(F.floor(F.col("o_totalprice") / 2500).cast("string"), F.when(F.col("o_orderkey") % 7 == 0, ".5/80").when(F.col("o_orderkey") % 5 == 0, "").otherwise(" /80"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", clinical.systolic(shown).alias("systolic"))
+
+
+@query
+def clamp_default(spark, sf_dir):
+    age = F.when(F.col("p_size") % 5 != 0, F.col("p_size") * 4 - 30)
+    name = text.non_blank(F.when(F.col("p_size") % 3 == 0, F.lit(" ")).otherwise(F.col("p_name")), "Paciente sem nome")
+    return table(spark, sf_dir, "part").select("p_partkey", clinical.clamp_age(age).alias("age"), name.alias("name"))
+
+
+@query
+def status_transition(spark, sf_dir):
+    found = rules.transitions(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "error")
+    return found.select("event_id", "user_id", "previous_status")
+
+
+@query
+def pending_alerts(spark, sf_dir):
+    name = F.concat(F.when(F.col("o_orderkey") % 11 == 0, "Lactato ").otherwise("Exame "), F.col("o_orderkey").cast("string"))
+    status = F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done")
+    return rules.pending_alerts(table(spark, sf_dir, "orders"), "o_custkey", name, status, "o_orderkey")
+
+
+CODES = ("L40.5", "A41.9", "T81.4", "M05.3", "Z00")
+
+
+def _coded_patients(spark, sf_dir):
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("c_custkey") % len(CODES) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", code.alias("code"))
+
+
+@query
+def protocol_apply(spark, sf_dir):
+    told = catalogs.apply_protocols(_coded_patients(spark, sf_dir), "code", reference_data.protocols(spark), reference_data.DEFAULT_PROTOCOL)
+    exams = told.select("c_custkey", F.lit("exam").alias("kind"), F.posexplode("exams").alias("pos", "item"))
+    actions = told.select("c_custkey", F.lit("action").alias("kind"), F.posexplode("actions.description").alias("pos", "item"))
+    return exams.unionByName(actions)
+
+
+@query
+def lookup_fallback(spark, sf_dir):
+    code = F.element_at(F.array(*map(F.lit, ("L40.5", "L40.9", "A41.0", "Z00"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", code.alias("code"))
+    return catalogs.prioritised(rows, "code", reference_data.quick_questions(spark), reference_data.QUICK_PREFIXES, "default")
+
+
+@query
+def decision_flow(spark, sf_dir):
+    told = catalogs.apply_protocols(_coded_patients(spark, sf_dir), "code", reference_data.protocols(spark), reference_data.DEFAULT_PROTOCOL)
+    rows = told.select(F.col("c_custkey").alias("id"), "code", F.col("c_name").alias("name"), (F.col("c_custkey") % 90).cast("int").alias("age"), F.col("protocol_ref").alias("protocol"), "interaction", F.col("exams").alias("exam_names"), F.size("actions").alias("n_items"))
+    return rules.flow_lines(rows, "2024-01-01 08:00:00")
+
+
+# Catalogs.
+
+
+def _catalog(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    known = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("label"), F.col("p_brand").alias("active_ingredient"), F.array(F.lit("base")).alias("source_tags"))
+    names = part.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("•"), "p_name", F.lit("  "), F.col("p_size").cast("string"), F.lit("*")).alias("name"))
+    return known, names
+
+
+@query
+def catalog_merge(spark, sf_dir):
+    rows = catalogs.merge(*_catalog(spark, sf_dir))
+    return rows.select("code", "label", F.array_join(F.array_sort("source_tags"), ",").alias("tags"), "is_new")
+
+
+@query
+def catalog_codes(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("label"))
+    used = table(spark, sf_dir, "region").select(F.upper("r_name").alias("code"))
+    return catalogs.unique_codes(part, used)
+
+
+@query
+def catalog_list(spark, sf_dir):
+    return catalogs.sorted_list(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+
+
+@query
+def catalog_search(spark, sf_dir):
+    return records.holding(table(spark, sf_dir, "part"), " Red ", "p_name", "p_brand").select("p_partkey", "p_name")
+
+
+@query
+def catalog_unselected(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    chosen = part.filter("p_size < 10").select(F.upper("p_name").alias("p_name"))
+    return catalogs.unselected(part, chosen, "p_name").select("p_partkey", "p_name")
+
+
+@query
+def code_selectable(spark, sf_dir):
+    code = F.concat(F.upper(F.substring("p_name", 1, 1)), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.when(F.col("p_partkey") % 3 == 0, "-X").otherwise(".1"))
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), clinical.selectable_code(code).alias("selectable"))
+
+
+# Manifests.
+
+
+def _manifest(spark, sf_dir):
+    rows = exact_dedup(spark, sf_dir)
+    return rows.withColumn("status", F.when(F.col("doc_id") % 97 == 0, "error").otherwise(F.col("status")))
+
+
+@query
+def manifest_stats(spark, sf_dir):
+    return incremental.status_counts(_manifest(spark, sf_dir), "status", ("ok", "skipped", "error", "pending"))
+
+
+@query
+def run_counters(spark, sf_dir):
+    rows = cut(_manifest(spark, sf_dir).select("doc_id", "status"))
+    return incremental.run_counters(rows, "doc_id", "status", ("ok", "skipped", "error"))
+
+
+def _chunk_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "error").when(F.col("doc_id") % 5 == 0, "skipped").otherwise("ok").alias("status"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".jsonl"))).otherwise("").alias("chunks_jsonl_relative_path"), (F.col("n_chars") * 1.0).alias("mtime"))
+
+
+@query
+def embed_candidates(spark, sf_dir):
+    files = table(spark, sf_dir, "labels").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".jsonl")).alias("path")).distinct()
+    return incremental.embed_candidates(_chunk_manifest(spark, sf_dir), files).select("doc_id", "status")
+
+
+@query
+def incremental_embed(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.when(F.col("quality") == 1, "embedded").otherwise("error").alias("status"), (F.col("n_chars") + F.when(F.col("doc_id") % 2 == 0, 0.0).otherwise(1.0)).cast("string").alias("chunks_mtime_unix"))
+    return incremental.to_embed(_chunk_manifest(spark, sf_dir), done, "doc_id", "mtime").select("doc_id")
+
+
+@query
+def incremental_chunk(spark, sf_dir):
+    inputs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 1.0).alias("mtime"))
+    outputs = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") + F.col("quality") - 0.5).alias("mtime"))
+    return incremental.stale(inputs, outputs, "doc_id").select("doc_id")
+
+
+@query
+def manifest_scan(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select(F.when(F.col("page_id") % 5 == 0, "error").otherwise("ok").alias("status"), F.lit("application/pdf").alias("content_type"), F.concat((F.col("page_id") % 100).cast("string"), F.when(F.col("page_id") % 3 == 0, ".PDF").otherwise(".html")).alias("relative_path"))
+    files = pages.filter("page_id % 2 = 0").select(F.concat((F.col("page_id") % 100).cast("string"), F.lit(".PDF")).alias("path"))
+    return incremental.scan_ready(rows, files)
+
+
+@query
+def manifest_upsert(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    existing = docs.select(F.col("doc_id").alias("key"), F.lit(0).alias("ord"), F.col("lang").alias("error"), F.col("n_chars").alias("n"))
+    updates = labels.select((F.col("doc_id") * 2).alias("key"), F.lit(1).alias("ord"), F.lit(None).cast("string").alias("error"), F.col("quality").cast("long").alias("n"))
+    return incremental.upsert(existing, updates, "key", "ord")
+
+
+@query
+def replace_by_key(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    target = docs.select("doc_id", F.col("n_chars").alias("n"))
+    return incremental.replace_by_key(target, labels.select("doc_id", F.col("toxic").cast("long").alias("n")).distinct(), "doc_id")
+
+
+# Streams and navigation.
+
+
+@query
+def sse_fold(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("event", F.when(F.col("role") == "assistant", "token").otherwise("sources"))
+    told = web.fold_events(rows, "conv_id", "turn", "event", "text")
+    return told.select("conv_id", digest(F.col("answer")).alias("answer"), "n_tokens", "failed")
+
+
+@query
+def chunk_nav(spark, sf_dir):
+    rows = chunking.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk_index")
+    w = Window.partitionBy("doc_id").orderBy("chunk_index")
+    return rows.select("doc_id", "chunk_index", F.lag("chunk_index").over(w).alias("prev_index"), F.lead("chunk_index").over(w).alias("next_index"))
+
+
+@query
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query
+def weekly_volume(spark, sf_dir):
+    week = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
+    return table(spark, sf_dir, "events").groupBy("event_type", week.alias("week")).agg(F.count("*").alias("n"))
