@@ -64,7 +64,7 @@ class _Table(HTMLParser):
         it = self.items[-1]
         it["tables"] += tag == "table"
         it["cell"] = 0 if tag == "tr" else it["cell"] + (tag == "td")
-        if it["tables"] == 1 and tag == "td" and it["cell"] == 2:
+        if tag in ("tr", "td"):
             it["open"] = None
         if it["tables"] == 1 and tag == "a" and a.get("href") and it["cell"] == 2 and it["open"] is None and self._inside(lambda t, *_: t == "td"):
             it["open"] = {"href": a["href"], "text": "", "after": "", "closed": False}
