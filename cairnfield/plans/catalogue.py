@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import clinical, text
 from ..operators import catalogs, chunking, incremental, records, rules, vectors, windows
 from ..sources import web
-from ..storage import cut
+from ..storage import cut, scratch
+from ..streaming import alerts as streams
 from . import reference_data
 from .oracles import SQL  # noqa: F401
 
@@ -270,8 +271,12 @@ def patch_fold(spark, sf_dir):
 
 
 def _patches(spark, sf_dir):
+    return _as_patches(table(spark, sf_dir, "events"))
+
+
+def _as_patches(events):
     kind, value = F.col("event_type"), F.col("value")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.col("user_id").cast("string").alias("patient_id"),
         F.col("event_id").alias("recorded_at"),
@@ -287,6 +292,16 @@ def vital_alerts(spark, sf_dir):
     return rules.vital_alerts(_patches(spark, sf_dir))
 
 
+@query
+def stream_vital_alerts(spark, sf_dir):
+    """The same alerts from a stream of the table's files."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    out = scratch(spark, "alerts")
+    streams.alert_stream(_as_patches(events), out, scratch(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query
 def vital_tiers(spark, sf_dir):
     p = _patches(spark, sf_dir)

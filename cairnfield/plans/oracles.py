@@ -149,3 +149,4 @@ SQL = {
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "weekly_volume": "SELECT event_type, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS BIGINT) AS week, count(*) AS n FROM events GROUP BY 1, 2",
 }
+SQL["stream_vital_alerts"] = SQL["vital_alerts"]
