@@ -80,17 +80,32 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def _group_rows(group: list[tuple], first: int, length: int) -> pa.RecordBatch:
     pieces = [(d, s, ids[s : s + length], len(ids)) for d, ids in group for s in range(0, len(ids), length)]
+    sizes = [len(p[2]) for p in pieces]
+    bins = best_fit_decreasing(sizes, length)
+    order = np.array([i for members in bins for i in members], np.int64)
+    counts = np.array([len(members) for members in bins], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    used = np.array(sizes, np.int64)[order]
+    upto = np.concatenate([[0], np.cumsum(used)])
+    within = upto[:-1] - np.repeat(upto[bounds[:-1]], counts)  # where each segment begins in its sequence
+    pad = bytes(4 * length)
     rows = []
-    for k, members in enumerate(best_fit_decreasing([len(p[2]) for p in pieces], length)):
-        row = np.zeros(length, "<u4")
-        ends = np.cumsum([0, *(len(pieces[i][2]) for i in members)]).tolist()
-        for i, a, b in zip(members, ends, ends[1:]):
-            row[a:b] = pieces[i][2]
-        segments = [{"doc_id": pieces[i][0], "start": pieces[i][1], "length": len(pieces[i][2]), "doc_tokens": pieces[i][3]} for i in members]
-        rows.append((first + k, row.tobytes(), ends, ends[:-1], segments))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
+    for members in bins:
+        row = b"".join([pieces[i][2].tobytes() for i in members])
+        rows.append(row + pad[len(row) :])
+    ends = np.empty(len(order) + len(bins), np.int64)  # of each sequence 0, then where each segment ends
+    last = bounds[1:] + np.arange(len(bins))
+    ends[bounds[:-1] + np.arange(len(bins))] = 0
+    ends[np.arange(len(order)) + np.repeat(np.arange(len(bins)), counts) + 1] = within + used
+    segments = pa.StructArray.from_arrays([pa.array([pieces[i][0] for i in order], pa.int64()), pa.array([pieces[i][1] for i in order], pa.int64()), pa.array(used, pa.int32()), pa.array([pieces[i][3] for i in order], pa.int64())], names=["doc_id", "start", "length", "doc_tokens"])
+    columns = [pa.array(np.arange(first, first + len(bins))), pa.array(rows, pa.binary()), _lists(np.concatenate([[0], last + 1]), pa.array(ends, pa.int32())), _lists(bounds, pa.array(within, pa.int32())), _lists(bounds, segments)]
+    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
 def _pack(path: str, length: int):
@@ -123,11 +138,17 @@ _PIECES = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-            for seg, a, b, reset in zip(r["segments"], r["cu_seqlens"], r["cu_seqlens"][1:], r["position_resets"]):
-                out.append((seg["doc_id"], seg["start"], seg["length"], zlib.crc32(r["ids"][4 * a : 4 * b]), seg["doc_tokens"], r["sequence_id"], a, b - 1 - reset))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * len(_PIECES))], schema=pa.schema(_PIECES))
+        segments = batch.column(4).flatten()
+        counts = batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
+        resets = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+        lengths = segments.field("length").to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.delete(batch.column(2).flatten().to_numpy(zero_copy_only=False), np.cumsum(counts + 1) - counts - 1)
+        row = np.repeat(np.arange(batch.num_rows), counts).tolist()
+        ids = [memoryview(x.as_buffer()) for x in batch.column(1)]
+        crcs = [zlib.crc32(ids[r][4 * a : 4 * b]) for r, a, b in zip(row, resets.tolist(), ends.tolist())]
+        sequence = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
+        columns = [segments.field("doc_id"), segments.field("start"), lengths, crcs, segments.field("doc_tokens"), sequence, resets, ends - 1 - resets]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], schema=pa.schema(_PIECES))
 
 
 def read_pieces(matrices: DataFrame) -> DataFrame:
