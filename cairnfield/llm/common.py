@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most so many bytes.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,12 @@ def drop_stage(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: its cleaner follows the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint when its counted size is within the bound, else as it is (shuffle join)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -4,12 +4,13 @@ Documents are sets of word shingles; two link when their Jaccard similarity is a
 one global order, rare before frequent, from a fixed-size count of all documents' shingles. Sets that link share
 shingles early in that order: of the ``n - ceil(0.75 n) + 1`` first ones at least one, of one more at least two.
 
+* A large set's prefix is a little longer, and its pairs must share as many signatures more, which leaves out sets
+  that have no more than a passage in common.
 * A small set enumerates the 2-subsets of its prefix as signatures; a large set has each prefix shingle in an inverted
   list. Sets near the boundary do both. The boundary is the size at which a cost model, over the sizes of all
   documents, is least.
-* Lists are verified in steps that lose no link: each set against one member of its lists (the one it shares most
-  with), then, in long lists, sets left over against several members of the list's largest component, then every
-  pair of different components that still shares a list. Pairs within a component need no verification, so a family
+* Pairs are verified in steps that lose no link: each set against the one it shares most with, then, in long lists,
+  sets left over against several members of the list's largest component, then every pair of different components. Pairs within a component need no verification, so a family
   of thousands of near copies costs a few pairs a member.
 
 Equal sets are one node throughout. Sets are verified exactly from their sorted shingle hashes.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_side, stage_table
+from .common import bound_batches, release, small_side, stage_table
 from .components import extend
 from .shingles import batch_sets
 
@@ -39,8 +40,12 @@ CHUNK = 1 << 14
 MOST_SMALL = 48
 #: Cost of a verified candidate, in signatures, and share of candidates that two common shingles leave of one's.
 VERIFY_COST, SUBSET_SHARE = 8.0, 0.25
+#: A large set's prefix is longer by one in so many shingles; as many shared ones more are asked of its pairs.
+MORE = 32
 #: Sets in a list from which it counts as long, and members of its largest component tried by those outside.
-LONG, TRIES = 64, 6
+LONG, TRIES = 32, 6
+#: Bits of the filter of shared signatures, and of them those that number a row of it.
+FILTER_BITS, FILTER_ROWS = 27, 10
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
@@ -86,6 +91,11 @@ def least_overlap(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
+def least_shared(n: int, most: int) -> int:
+    """Signatures that a set shares with any other it links to, at least (of two sets, the less of both)."""
+    return 1 if n <= most else 1 + n // MORE
+
+
 def boundary(sizes: dict[int, int], per_list: float) -> int:
     """The size up to which sets enumerate subsets, of least cost. ``sizes``: documents by set size; ``per_list``:
     other sets in a shingle's list, on average."""
@@ -107,48 +117,68 @@ def signatures(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Of a sorted set, with its shingles' bucket counts ``order``: subset hashes if small, prefix shingles if large."""
     n = len(s)
     key = (np.minimum(order, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
-    first = s[np.argsort(key, kind="stable")[: n - least_overlap(n) + 2]]
+    long = n - least_overlap(n) + least_shared(n, most)
+    first = s[np.argsort(key, kind="stable")[: max(long, n - least_overlap(n) + 2)]]
     out = []
     if n <= most and len(first) > 1:
-        pairs = np.array(list(itertools.combinations(first.tolist(), 2)), np.uint64)
+        pairs = np.array(list(itertools.combinations(first[: n - least_overlap(n) + 2].tolist(), 2)), np.uint64)
         low, high = pairs.min(axis=1), pairs.max(axis=1)
         out.append((low * np.uint64(0x9E3779B97F4A7C15) ^ high) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
     if NUM * most < DEN * n:
-        out.append(first[: n - least_overlap(n) + 1])
+        out.append(first[:long])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _signed(counts, most: int, whole: bool):
-    """Rows (sig, hi[, lo, n]) of all signatures of all documents."""
-    schema = pa.schema([("sig", pa.int64()), ("hi", pa.int64())] + ([("lo", pa.int64()), ("n", pa.int64())] if whole else []))
+def _bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of the filter: one bit for each shared signature."""
+    on = np.zeros(1 << (FILTER_BITS - FILTER_ROWS), np.uint8)
+    for batch in batches:
+        on[filter_bit(batch.column("sig").to_numpy().view(np.uint64)) & (len(on) - 1)] = 1
+    yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+
+def filter_bit(sig: np.ndarray) -> np.ndarray:
+    return (sig >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _signed(counts, most: int, shared=None):
+    """Rows (sig, hi) of all signatures of all documents; with ``shared``, a filter that all shared ones pass, rows
+    (sig, hi, lo, n) of those that pass."""
+    schema = pa.schema([("sig", pa.int64()), ("hi", pa.int64())] + ([("lo", pa.int64()), ("n", pa.int64())] if shared else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(counts.value, np.int64)
+        passing = np.frombuffer(shared.value, np.uint8) if shared else None
         for batch in batches:
             sigs, marks = [], []
             for s in batch_sets(batch.column(0)):
                 if len(s):
-                    sigs.append(signatures(s, order[bucket(s)], most).view(np.int64))
-                    marks.append((*fingerprint(s), len(s)))
+                    found = signatures(s, order[bucket(s)], most)
+                    if shared:
+                        bit = filter_bit(found)
+                        found = found[passing[bit >> 3] >> (7 - (bit & 7)) & 1 == 1]
+                    if len(found):
+                        sigs.append(found.view(np.int64))
+                        marks.append((*fingerprint(s), len(s)))
             if not sigs:
                 continue
             repeat = [len(x) for x in sigs]
             columns = [np.concatenate(sigs), *(np.repeat(np.array(c, np.int64), repeat) for c in zip(*marks))]
-            yield _batch(columns if whole else columns[:2], schema)
+            yield _batch(columns[: len(schema)], schema)
 
     return run
 
 
-_SETS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s for s in batch_sets(batch.column(0)) if len(s)]
+        sets = [(d, s) for d, s in zip(batch.column(0).to_pylist(), batch_sets(batch.column(1))) if len(s)]
         for lo in range(0, len(sets), 256):
             part = sets[lo : lo + 256]
-            marks = [fingerprint(s) for s in part]
-            yield _batch([[h for h, _ in marks], [x for _, x in marks], [s.tobytes() for s in part]], _SETS)
+            marks = [fingerprint(s) for _, s in part]
+            yield _batch([[d for d, _ in part], [h for h, _ in marks], [x for _, x in marks], [s.tobytes() for _, s in part]], _SETS)
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -174,10 +204,13 @@ def _near(x: str, y: str):
 
 
 class _Join:
-    """The steps over nodes (distinct sets) and their lists."""
+    """The steps over nodes (distinct sets) and their lists.
+
+    ``postings``: sig, node, n, long (its list is); ``pairs``: a, b, k, the pairs of the other lists that share enough
+    signatures to link, with their number."""
 
-    def __init__(self, postings: DataFrame, sets: DataFrame) -> None:
-        self.postings, self.sets = postings, sets
+    def __init__(self, postings: DataFrame, pairs: DataFrame, sets: DataFrame) -> None:
+        self.long, self.pairs, self.sets = postings.filter("long").drop("long"), pairs, sets
         self.labels: DataFrame | None = None
 
     def link(self, pairs: DataFrame) -> None:
@@ -190,30 +223,32 @@ class _Join:
         right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         # the set of a travels with its pair; of b's side only sets in some pair are shuffled
         wanted = stage_table(pairs.select("b").distinct(), "wanted")
-        right = right.join(small_side(wanted, wanted.count(), 32), "b", "left_semi")
-        both = left.join(small_side(pairs, n, 48), "a").join(right, "b").select("a", "b", "x", "y")
+        right = right.join(small_side(wanted, wanted.count(), 64), "b", "left_semi")
+        both = left.join(small_side(pairs, n, 96), "a").join(right, "b").select("a", "b", "x", "y")
         found = stage_table(both.mapInArrow(_verify, "a long, b long"), "links")
+        del both, left, right
+        release(self.sets.sparkSession)
         if found.limit(1).count():
             self.labels = extend(self.labels, found)
 
-    def labelled(self) -> DataFrame:
-        """Postings with their nodes' components."""
+    def label(self, rows: DataFrame, node: str, comp: str) -> DataFrame:
+        """Adds the component of a node, itself where it has no link yet."""
         if self.labels is None:
-            return self.postings.withColumn("comp", F.col("node"))
-        return self.postings.join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            return rows.withColumn(comp, F.col(node))
+        return rows.join(self.labels.select(F.col("node").alias(node), F.col("comp").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
 
     def first_members(self) -> None:
-        """Each set against the least set of a list, of its lists' the one it shares most lists with."""
-        heads = self.postings.groupBy("sig").agg(F.min("node").alias("head"), F.count("*").alias("k"))
-        shared = self.postings.join(heads, "sig").filter("head != node").groupBy("node", "head").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-        best = shared.groupBy("node").agg(F.max_by("head", F.struct("k", "head")).alias("b"))
+        """Each set against the one it shares most signatures with; in long lists, of the lists' least members."""
+        heads = self.long.groupBy("sig").agg(F.min("node").alias("b"))
+        met = self.long.join(heads, "sig").filter("b != node").groupBy("node", "b").agg(F.count("*").alias("k"))
+        either = self.pairs.select(F.col("a").alias("node"), "b", "k").unionByName(self.pairs.select(F.col("b").alias("node"), F.col("a").alias("b"), "k")).unionByName(met)
+        best = either.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
         self.link(best.select(F.col("node").alias("a"), "b"))
 
-    def mixed(self, long: bool) -> DataFrame:
-        """Labelled postings of the long (or the other) lists that have several components."""
-        rows = self.labelled()
-        lists = rows.groupBy("sig").agg(F.count("*").alias("k"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        lists = lists.filter((F.col("c1") != F.col("c2")) & ((F.col("k") > LONG) if long else (F.col("k") <= LONG))).select("sig")
+    def mixed(self) -> DataFrame:
+        """Labelled postings of the long lists that have several components."""
+        rows = self.label(self.long, "node", "comp")
+        lists = rows.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("sig")
         return stage_table(rows.join(lists, "sig"), "mixed")
 
     def largest(self, rows: DataFrame) -> DataFrame:
@@ -223,7 +258,7 @@ class _Join:
     def outsiders(self) -> None:
         """In long lists, sets outside a list's largest component against TRIES of its members, each chosen anew by a
         hash for each list; only the tries most lists agree on are verified."""
-        rows = self.mixed(True)
+        rows = self.mixed()
         if not rows.limit(1).count():
             return
         told = rows.join(self.largest(rows), "sig")
@@ -233,24 +268,17 @@ class _Join:
         best = out.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False), 1, TRIES).alias("bs"))
         self.link(best.select(F.col("node").alias("a"), F.explode("bs.b").alias("b")))
 
-    def rest_of_long(self) -> None:
-        """In long lists, each set outside the largest component against all sets, in long lists, of every other
-        component it meets there."""
-        rows = self.mixed(True)
-        if not rows.limit(1).count():
-            return
+    def rest(self) -> None:
+        """All pairs of different components: those of the other lists, and in long lists each set outside the largest
+        component with all sets, in long lists, of every other component it meets there."""
+        short = self.label(self.label(self.pairs, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b")
+        rows = self.mixed()
         told = rows.join(self.largest(rows), "sig")
         met = rows.select("sig", F.col("comp").alias("other")).distinct()
         pairs = told.filter("comp != main").join(met, "sig").filter("comp != other").select("node", "n", "other").distinct()
         members = rows.select(F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("m")).distinct()
-        self.link(pairs.join(members, "other").filter(_near("n", "m")).select(F.col("node").alias("a"), "b"))
-
-    def rest_of_short(self) -> None:
-        """In the other lists, every pair of different components."""
-        rows = self.mixed(False)
-        other = rows.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        near = rows.join(other, "sig").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("other")) & _near("n", "m"))
-        self.link(near.select(F.col("node").alias("a"), "b"))
+        long = pairs.join(members, "other").filter(_near("n", "m")).select(F.col("node").alias("a"), "b")
+        self.link(short.unionByName(long))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,8 +289,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gives no rows; other columns are not read."""
     spark = docs.sparkSession
     bound_batches(spark)
-    texts = docs.select(F.col(text_col).alias("text"))
-    scanned = stage_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_documents, "doc_id long, n long, hi long, lo long, chunk int, counts binary"), "documents")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = named.select("text")
+    scanned = stage_table(named.mapInArrow(_documents, "doc_id long, n long, hi long, lo long, chunk int, counts binary"), "documents")
     members = scanned.filter("n is not null").select("doc_id", "n", "hi", "lo")
     # A fixed number of counts, whatever the input, and the documents by set size up to MOST_SMALL.
     summed = scanned.filter("chunk is not null").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
@@ -278,24 +307,48 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = members.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nodes = stage_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n_nodes = nodes.count()
-    signed = texts.mapInArrow(_signed(held, most, False), "sig long, hi long")
+    signed = texts.mapInArrow(_signed(held, most), "sig long, hi long")
     lists = signed.groupBy("sig").agg(F.min("hi").alias("h1"), F.max("hi").alias("h2")).filter("h1 != h2").select("sig")
     lists = stage_table(lists, "lists")
-    postings = texts.mapInArrow(_signed(held, most, True), "sig long, hi long, lo long, n long").join(small_side(lists, lists.count(), 32), "sig").distinct()
+    del signed
+    release(spark)
+    rows = lists.withColumn("row", F.shiftrightunsigned("sig", 64 - FILTER_ROWS)).groupBy("row").applyInArrow(_bits, "row long, bits binary").collect()
+    width = 1 << (FILTER_BITS - FILTER_ROWS - 3)
+    bits = bytearray(width << FILTER_ROWS)
+    for r in rows:
+        bits[r["row"] * width : (r["row"] + 1) * width] = r["bits"]
+    passing = spark.sparkContext.broadcast(bytes(bits))  # 16 MB, whatever the input
     ids = nodes.select("hi", "lo", "node")
-    postings = stage_table(postings.join(small_side(ids, n_nodes, 48), ["hi", "lo"]).select("sig", "node", "n"), "postings")
-
-    wanted = stage_table(postings.select("node").distinct().join(ids, "node"), "wanted")
+    passed = texts.mapInArrow(_signed(held, most, passing), "sig long, hi long, lo long, n long").distinct()
+    postings = stage_table(passed.join(small_side(ids, n_nodes, 96), ["hi", "lo"]).select("sig", "node", "n"), "postings")
+    del passed
+    release(spark)
+    sized = postings.groupBy("sig").agg(F.count("*").alias("k"))
+    in_lists = stage_table(postings.join(sized.filter("k > 1"), "sig").select("sig", "node", "n", (F.col("k") > LONG).alias("long")), "in_lists")
+    others = in_lists.filter("not long").drop("long")
+    far = in_lists.filter("long").select("node").distinct().withColumn("far", F.lit(True))
+    again = others.select("sig", F.col("node").alias("b"), F.col("n").alias("m"))
+    asked = F.least(*(F.when(F.col(c) <= most, 1).otherwise(1 + F.floor(F.col(c) / MORE)) for c in ("n", "m")))
+    met = others.withColumnRenamed("node", "a").join(again, "sig").filter((F.col("a") < F.col("b")) & _near("n", "m")).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # a pair whose sets are both in long lists may share more there
+    both = met.join(far.select(F.col("node").alias("a"), F.col("far").alias("fa")), "a", "left").join(far.select(F.col("node").alias("b"), F.col("far").alias("fb")), "b", "left")
+    pairs = stage_table(both.filter((F.col("k") >= asked) | (F.col("fa") & F.col("fb"))).select("a", "b", "k"), "near")
+
+    # The sets of nodes that may link, each from the document with its least id: no set is shuffled for it.
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(in_lists.filter("long").select("node")).distinct()
+    wanted = stage_table(wanted.join(nodes.select("hi", "lo", "node", F.col("doc_id").alias("holder")), "node"), "wanted")
     n_wanted = wanted.count()
     labels = None
     if n_wanted:
-        sets = texts.mapInArrow(_sets, "hi long, lo long, shingles binary").join(small_side(wanted, n_wanted, 64), ["hi", "lo"]).select("node", "shingles")
-        sets = stage_table(sets.dropDuplicates(["node"]), "sets")
-        join = _Join(postings, sets)
+        held_by = F.col("doc_id").eqNullSafe(F.col("holder"))
+        sets = named.mapInArrow(_sets, "doc_id long, hi long, lo long, shingles binary").join(small_side(wanted, n_wanted, 128), ["hi", "lo"]).filter(held_by).select("node", "shingles")
+        sets = stage_table(sets, "sets")
+        if sets.select("node").count() > n_wanted:  # rows repeated whole
+            sets = stage_table(sets.dropDuplicates(["node"]), "sets")
+        join = _Join(in_lists, pairs, sets)
         join.first_members()
         join.outsiders()
-        join.rest_of_long()
-        join.rest_of_short()
+        join.rest()
         labels = join.labels
     placed = nodes.withColumn("comp", F.col("node"))
     if labels is not None:
@@ -303,7 +356,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = stage_table(placed.select("hi", "lo", "doc_id", "comp"), "placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     known = stage_table(placed.join(least, "comp").select("hi", "lo", "component_id"), "known")
-    out = members.join(small_side(known, n_nodes, 48), ["hi", "lo"], "left")
+    out = members.join(small_side(known, n_nodes, 96), ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
