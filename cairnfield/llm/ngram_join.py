@@ -10,8 +10,9 @@ shingles early in that order: of the ``n - ceil(0.75 n) + 1`` first ones at leas
   list. Sets near the boundary do both. The boundary is the size at which a cost model, over the sizes of all
   documents, is least.
 * Pairs are verified in steps that lose no link: each set against the one it shares most with, then, in long lists,
-  sets left over against several members of the list's largest component, then every pair of different components. Pairs within a component need no verification, so a family
-  of thousands of near copies costs a few pairs a member.
+  sets left over against several members of their family's largest component, then every pair of different components;
+  families (sets joined by long lists) are scanned block by block. Pairs within a component need no verification, so a
+  family of thousands of near copies costs a few pairs a member.
 
 Equal sets are one node throughout. Sets are verified exactly from their sorted shingle hashes.
 """
@@ -24,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, release, small_side, stage_table
-from .components import extend
+from .components import components, extend
 from .shingles import batch_sets
 
 NUM, DEN = 3, 4
@@ -42,8 +43,9 @@ MOST_SMALL = 48
 VERIFY_COST, SUBSET_SHARE = 8.0, 0.25
 #: A large set's prefix is longer by one in so many shingles; as many shared ones more are asked of its pairs.
 MORE = 32
-#: Sets in a list from which it counts as long, and members of its largest component tried by those outside.
-LONG, TRIES = 32, 6
+#: Sets in a list from which it counts as long; sets of a family's largest component tried by those outside; sets of
+#: a block that is scanned whole.
+LONG, TRIES, BLOCK = 32, 6, 256
 #: Bits of the filter of shared signatures, and of them those that number a row of it.
 FILTER_BITS, FILTER_ROWS = 27, 10
 
@@ -199,6 +201,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([[a[i] for i in keep], [b[i] for i in keep]], schema)
 
 
+def _scan(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between two blocks (node, comp, shingles), one for each left set and component of the right block."""
+    read = lambda t: (t.column("node").to_pylist(), t.column("comp").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")])
+    (a, a_comp, xs), (b, b_comp, ys) = read(left), read(right)
+    out = []
+    if a and b:
+        size = np.array([len(y) for y in ys])
+        every = np.concatenate(ys)
+        order = np.argsort(every, kind="stable")
+        owner, every = np.repeat(np.arange(len(ys)), size)[order], every[order]
+        for node, comp, x in zip(a, a_comp, xs):
+            lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            common = np.bincount(owner[at], minlength=len(ys))
+            near = {b_comp[i]: b[i] for i in np.flatnonzero(DEN * common >= NUM * (len(x) + size - common)).tolist() if b_comp[i] != comp}
+            out += [(node, other) for other in near.values()]
+    return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+
+
 def _near(x: str, y: str):
     return F.lit(NUM) * F.greatest(x, y) <= F.lit(DEN) * F.least(x, y)
 
@@ -212,6 +234,7 @@ class _Join:
     def __init__(self, postings: DataFrame, pairs: DataFrame, sets: DataFrame) -> None:
         self.long, self.pairs, self.sets = postings.filter("long").drop("long"), pairs, sets
         self.labels: DataFrame | None = None
+        self.families: DataFrame | None = None
 
     def link(self, pairs: DataFrame) -> None:
         """Verifies ``pairs`` (a, b) and joins their components."""
@@ -238,47 +261,70 @@ class _Join:
         return rows.join(self.labels.select(F.col("node").alias(node), F.col("comp").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
 
     def first_members(self) -> None:
-        """Each set against the one it shares most signatures with; in long lists, of the lists' least members."""
-        heads = self.long.groupBy("sig").agg(F.min("node").alias("b"))
-        met = self.long.join(heads, "sig").filter("b != node").groupBy("node", "b").agg(F.count("*").alias("k"))
+        """Each set against the one it shares most signatures with; in long lists, of the lists' heads: their sets in
+        most long lists, which the others are edited from. Sets that share long lists make up a family."""
+        degree = self.long.groupBy("node").agg(F.count("*").alias("d"))
+        told = self.long.join(degree, "node")
+        heads = told.groupBy("sig").agg(F.max_by("node", F.struct("d", "node")).alias("b"))
+        met = stage_table(self.long.join(heads, "sig").groupBy("node", "b").agg(F.count("*").alias("k")), "met")
+        if met.limit(1).count():
+            family = components(met.select(F.col("node").alias("a"), "b"))
+            self.families = stage_table(degree.join(family.withColumnRenamed("comp", "family"), "node"), "families")
+        met = met.filter("b != node")
         either = self.pairs.select(F.col("a").alias("node"), "b", "k").unionByName(self.pairs.select(F.col("b").alias("node"), F.col("a").alias("b"), "k")).unionByName(met)
         best = either.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
         self.link(best.select(F.col("node").alias("a"), "b"))
 
-    def mixed(self) -> DataFrame:
-        """Labelled postings of the long lists that have several components."""
-        rows = self.label(self.long, "node", "comp")
-        lists = rows.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("sig")
-        return stage_table(rows.join(lists, "sig"), "mixed")
-
-    def largest(self, rows: DataFrame) -> DataFrame:
-        sized = rows.groupBy("sig", "comp").agg(F.count("*").alias("k"))
-        return sized.groupBy("sig").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    def divided(self) -> DataFrame | None:
+        """``node, d, family, comp, main`` of the families that have several components; main: in the largest."""
+        if self.families is None:
+            return None
+        rows = self.label(self.families, "node", "comp")
+        sized = rows.groupBy("family", "comp").agg(F.count("*").alias("k"))
+        most = sized.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("c"), F.count("*").alias("comps")).filter("comps > 1")
+        out = stage_table(rows.join(most, "family").select("node", "d", "family", "comp", (F.col("comp") == F.col("c")).alias("main")), "divided")
+        return out if out.limit(1).count() else None
 
     def outsiders(self) -> None:
-        """In long lists, sets outside a list's largest component against TRIES of its members, each chosen anew by a
-        hash for each list; only the tries most lists agree on are verified."""
-        rows = self.mixed()
-        if not rows.limit(1).count():
+        """Sets outside their family's largest component against TRIES of its sets in most long lists."""
+        rows = self.divided()
+        if rows is None:
             return
-        told = rows.join(self.largest(rows), "sig")
-        tries = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in range(TRIES)]
-        members = told.filter("comp = main").groupBy("sig").agg(*tries).select("sig", F.array_distinct(F.array(*(f"m{i}" for i in range(TRIES)))).alias("ms"))
-        out = told.filter("comp != main").join(members, "sig").select("node", F.explode("ms").alias("b")).groupBy("node", "b").agg(F.count("*").alias("k"))
-        best = out.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False), 1, TRIES).alias("bs"))
-        self.link(best.select(F.col("node").alias("a"), F.explode("bs.b").alias("b")))
+        ranked = Window.partitionBy("family").orderBy(F.desc("d"), "node")
+        central = rows.filter("main").withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= TRIES)
+        self.link(rows.filter("not main").select(F.col("node").alias("a"), "family").join(central.select("family", F.col("node").alias("b")), "family").select("a", "b"))
 
     def rest(self) -> None:
-        """All pairs of different components: those of the other lists, and in long lists each set outside the largest
-        component with all sets, in long lists, of every other component it meets there."""
-        short = self.label(self.label(self.pairs, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b")
-        rows = self.mixed()
-        told = rows.join(self.largest(rows), "sig")
-        met = rows.select("sig", F.col("comp").alias("other")).distinct()
-        pairs = told.filter("comp != main").join(met, "sig").filter("comp != other").select("node", "n", "other").distinct()
-        members = rows.select(F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("m")).distinct()
-        long = pairs.join(members, "other").filter(_near("n", "m")).select(F.col("node").alias("a"), "b")
-        self.link(short.unionByName(long))
+        """All pairs of different components: those listed, then those within families."""
+        self.link(self.label(self.label(self.pairs, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b"))
+        self.scan_families()
+
+    def scan_families(self) -> None:
+        """In families, blocks of sets outside the largest component (x) against blocks of all others, scanned whole:
+        a set's shingles are looked up in an inverted list of the block, the counts give exact similarities, and a link
+        to each component is returned once. Blocks travel, pairs don't."""
+        rows = self.divided()
+        if rows is None:
+            return
+        blocks = lambda test: F.ceil(F.count_if(test) / F.lit(BLOCK)).cast("int")
+        sized = rows.groupBy("family").agg(blocks(~F.col("main")).alias("nx"), blocks(F.col("main")).alias("nm"))
+        dealt = rows.join(sized, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nx"))).cast("int"))
+        x, m = dealt.filter("not main"), dealt.filter("main")
+        key = lambda left, right: F.concat_ws(":", F.col("family").cast("string"), left, right)
+        text = lambda tag, c: F.concat(F.lit(tag), c.cast("string"))
+        upto = lambda n: F.sequence(F.lit(0), n)
+        own = F.col("i")
+        with_m = x.withColumn("j", F.explode(upto(F.col("nm") - 1))).select("node", "comp", key(text("x", own), text("m", F.col("j"))).alias("key"))
+        with_x = x.withColumn("j", F.explode(F.sequence(own, F.col("nx") - 1))).select("node", "comp", key(text("x", own), text("x", F.col("j"))).alias("key"))
+        of_m = m.withColumn("j", F.explode(upto(F.col("nx") - 1))).select("node", "comp", key(text("x", F.col("j")), text("m", own)).alias("key"))
+        of_x = x.withColumn("j", F.explode(upto(own))).select("node", "comp", key(text("x", F.col("j")), text("x", own)).alias("key"))
+        left, right = (stage_table(a.unionByName(b), "blocks") for a, b in ((with_m, with_x), (of_m, of_x)))
+        # columns named anew on either side: the cogroup must tell them apart
+        fresh = lambda d: d.select(*(F.col(c).alias(c) for c in d.columns))
+        left, right = (fresh(fresh(self.sets).join(small_side(d, d.count(), 128), "node").select("key", "node", "comp", "shingles")) for d in (left, right))
+        found = stage_table(left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(_scan, "a long, b long"), "links")
+        if found.limit(1).count():
+            self.labels = extend(self.labels, found)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
