@@ -2,7 +2,8 @@
 
 Each partition keeps at most ``OPEN`` windows open. A document's whole windows are emitted at once; its rest goes into
 the open window it fits best. Where none fits, the fullest window is emitted and a new one opened. Windows still open
-when a partition ends are merged with those of neighbouring partitions by best fit, a bounded number at a time.
+when a partition ends are merged with those of neighbouring partitions: their pieces by best fit in falling order of
+length, or whole windows where that takes fewer, a bounded number at a time.
 
 Defined results: a null text is empty and is the end token alone; an empty table gives no rows; repeated rows are
 packed each; a null doc_id stays null. Other columns are not read.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,10 +113,24 @@ def best_fit_merge(fills: list[tuple[int, int]], length: int = LENGTH) -> list[t
     return out
 
 
+def merge_pieces(pieces: list[tuple[int, int, int]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+    """(window, offset, window it goes to, offset there) for pieces (window, offset, length), in no more windows."""
+    fills = Counter()
+    for w, _, n in pieces:
+        fills[w] += n
+    numbers, whole = sorted(fills), best_fit_merge(list(fills.items()), length)
+    alone = best_fit_merge([(i, n) for i, (_, _, n) in enumerate(pieces)], length)
+    to_of = {to: k for k, to in enumerate(dict.fromkeys(to for _, to, _ in alone))}
+    if len(to_of) <= len({to for _, to, _ in whole}):
+        return [(*pieces[i][:2], numbers[to_of[to]], base) for i, to, base in alone]
+    moves = {w: (to, base) for w, to, base in whole}
+    return [(w, at, moves[w][0], moves[w][1] + at) for w, at, _ in pieces]
+
+
 def _merge(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = best_fit_merge(list(zip(pdf["sequence_id"].tolist(), pdf["fill"].tolist())), length)
-        return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 3), columns=["_from", "_to", "_base"])
+        rows = merge_pieces(sorted(zip(pdf["sequence_id"].tolist(), pdf["offset"].tolist(), pdf["length"].tolist())), length)
+        return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 4), columns=["_from", "_at", "_to", "_base"])
 
     return run
 
@@ -127,10 +143,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = stage_table(rows.mapInArrow(_pack(path, length, most, keep_ids), _PIECE + ", ids binary" * keep_ids), "pieces")
     left = pieces.filter("left_open")
-    fills = left.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
     group = F.floor(F.shiftright(F.col("sequence_id"), 33) / F.lit(MERGED))
-    moves = stage_table(fills.withColumn("_g", group).groupBy("_g").applyInPandas(_merge(length), "_from long, _to long, _base long"), "moves")
-    moves = small_side(moves, moves.count(), 32)
+    moves = stage_table(left.select("sequence_id", "offset", "length", group.alias("_g")).groupBy("_g").applyInPandas(_merge(length), "_from long, _at long, _to long, _base long"), "moves")
+    moves = small_side(moves, moves.count(), 48)
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "left_open")]
-    moved = left.join(moves, left["sequence_id"] == moves["_from"]).select(*columns, F.col("_to").alias("sequence_id"), (F.col("offset") + F.col("_base")).alias("offset"))
+    moved = left.join(moves, (left["sequence_id"] == moves["_from"]) & (left["offset"] == moves["_at"])).select(*columns, F.col("_to").alias("sequence_id"), F.col("_base").alias("offset"))
     return pieces.filter("not left_open").select(*columns, "sequence_id", "offset").unionByName(moved)

@@ -79,6 +79,20 @@ def test_merge_keeps_every_window(sizes):
         assert s[0][0] == 0 and s[-1][1] <= 1024 and all(a[1] == b[0] for a, b in zip(s, s[1:]))
 
 
+@given(st.lists(st.lists(st.integers(1, 200), min_size=1, max_size=5), max_size=40))
+def test_merged_pieces_lie_apart_in_no_more_windows(windows):
+    pieces = [(w, sum(sizes[:k]), n) for w, sizes in enumerate(windows) for k, n in enumerate(sizes)]
+    size, spans = {(w, at): n for w, at, n in pieces}, {}
+    moves = packing.merge_pieces(pieces)
+    assert sorted(m[:2] for m in moves) == sorted(size)
+    for w, at, to, base in moves:
+        spans.setdefault(to, []).append((base, base + size[w, at]))
+    assert len(spans) <= len(windows)
+    for s in spans.values():
+        s.sort()
+        assert s[0][0] == 0 and s[-1][1] <= 1024 and all(a[1] == b[0] for a, b in zip(s, s[1:]))
+
+
 def test_matrices_round_trip(spark):
     rows = list(enumerate(ODD)) + [(100 + i, "word " * (i * 17 % 900)) for i in range(300)]
     matrices = bestfit.write_matrices(frame(spark, rows))
