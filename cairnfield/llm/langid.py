@@ -155,8 +155,10 @@ def cut(data: np.ndarray, lengths: np.ndarray, size: int = STRETCH) -> tuple[np.
     """(stretches (N, size), padded with 0; number of stretches of each text) of texts laid end to end in ``data``."""
     counts = -(-lengths // size)
     out = np.zeros(int(counts.sum()) * size, np.uint8)
-    shift = (np.cumsum(counts) - counts) * size - (np.cumsum(lengths) - lengths)
-    out[np.arange(len(data)) + np.repeat(shift, lengths)] = data
+    at = to = 0
+    for n, k in zip(lengths.tolist(), counts.tolist()):
+        out[to : to + n] = data[at : at + n]
+        at, to = at + n, to + k * size
     return out.reshape(-1, size), counts
 
 

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-PART = 1 << 21
+PART = 1 << 19
 #: Texts are hashed together up to so many bytes.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
