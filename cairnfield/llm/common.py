@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def gives_back(run: Callable) -> Callable:
+    """A function over batches that, at a partition's end, returns its worker's freed memory to the system: the worker
+    serves later stages beside other workers and the JVM."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint when its counted size is within the bound, else as it is (shuffle join)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

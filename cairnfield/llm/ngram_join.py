@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release, small_side, stage_table
+from .common import bound_batches, gives_back, release, small_side, stage_table
 from .components import components, extend
 from .shingles import batch_sets
 
@@ -65,6 +65,7 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+@gives_back
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's id, set size and fingerprint; at the end the partition's shingle counts, in chunks."""
     total = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -148,6 +149,7 @@ def _signed(counts, most: int, shared=None):
     (sig, hi, lo, n) of those that pass."""
     schema = pa.schema([("sig", pa.int64()), ("hi", pa.int64())] + ([("lo", pa.int64()), ("n", pa.int64())] if shared else []))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(counts.value, np.int64)
         passing = np.frombuffer(shared.value, np.uint8) if shared else None
@@ -174,6 +176,7 @@ def _signed(counts, most: int, shared=None):
 _SETS = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
 
 
+@gives_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [(d, s) for d, s in zip(batch.column(0).to_pylist(), batch_sets(batch.column(1))) if len(s)]
@@ -193,6 +196,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(both) - common)
 
 
+@gives_back
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
