@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-import ctypes
-import functools
-import gc
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: A side is broadcast only when it was counted and has at most so many bytes.
 BROADCAST_BYTES = 128 << 20
+#: Bounds of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it; a local one where unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cairnfield-"))
-    return sc.getCheckpointDir().rstrip("/")
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cairnfield/{uuid.uuid4().hex}/{name}"
+    return f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage_table(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    An operator drops the tables its result does not read. The result is lazy and reads the others: they belong to the
+    caller, who drops them by ``drop_stages`` once the result is written."""
     path = stage_path(df.sparkSession, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -41,35 +35,21 @@ def stage_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     return back
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Remove what ``stage_table`` wrote, once nothing lazy reads it any more."""
-    path = getattr(df, "staged_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now: its cleaner follows the driver's garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def gives_back(run: Callable) -> Callable:
-    """A function over batches that, at a partition's end, returns its worker's freed memory to the system: the worker
-    serves later stages beside other workers and the JVM."""
+def drop_stage(*tables: DataFrame | None) -> None:
+    """Remove what ``stage_table`` wrote, once nothing lazy reads it any more."""
+    for df in tables:
+        if path := getattr(df, "staged_path", None):
+            _delete(df.sparkSession, path)
 
-    @functools.wraps(run)
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
 
-    return wrapped
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all stage tables of this application; results that still read them can't be computed afterwards."""
+    _delete(spark, _stages(spark))
 
 
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -102,8 +82,9 @@ def gapless(df: DataFrame, group: list[str], order: list[str], weight: str, out:
     return placed.join(starts, on).select(*(placed[c] for c in df.columns), (F.col("_start") + F.col("_inner")).alias(out))
 
 
-def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """At most ``rows`` rows in an Arrow batch of this session, so that very long texts fit a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by rows and bytes, so that very long texts fit a worker's memory."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).removesuffix("B").removesuffix("b") or 0) <= most:
+            spark.conf.set(name, str(most))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, gives_back, small_side, stage_table
+from .common import bound_batches, drop_stage, small_side, stage_table
 from .tokens import documents_ids, vocabulary_path
 
 LENGTH = 1024
@@ -73,7 +73,6 @@ def pieces_of(n: int, length: int, windows: Windows) -> Iterator[tuple[int, int,
 def _pack(path: str, length: int, most: int, keep_ids: bool):
     schema = pa.schema(_FIELDS + [("ids", pa.binary())] * keep_ids)
 
-    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(TaskContext.get().partitionId() << 33, length, most)
         held: dict[int, list[tuple]] = {}
