@@ -14,19 +14,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, gives_back
+from .common import bound_batches, drop_stage, small_side, stage_table
 
 UND = "und"
 STRETCH = 64
 HIDDEN = 8
-#: The training sample: documents of each language, stretches of each document, at most.
-DOCS_PER_LANGUAGE = 300
-STRETCHES_PER_DOC = 8
+#: The training sample: documents of each language, and bytes of their whole texts, at most.
+DOCS_PER_LANGUAGE, LANGUAGE_BYTES = 300, 4 << 20
 STEPS = 160
 BATCH = 256
 RATE = 0.02
@@ -39,7 +37,8 @@ LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(25
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows no model may learn from: crc32 of the id's text is divisible by 5."""
+    """Rows no model may learn from: crc32 of the id's text is divisible by 5. False for a null id, whose remainder is
+    not known: such rows are not learned from either."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
@@ -222,53 +221,61 @@ class Labeller:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(lang, text) of at most DOCS_PER_LANGUAGE labelled documents of each language that may be learned from, those
-    with the least hashes; thinned by hash before they are ranked, so no large group is sorted."""
-    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2.0 * DOCS_PER_LANGUAGE / n)))), F.col("lang"))
-    thin = rows.filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share)
-    best = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).filter(F.col("k") <= DOCS_PER_LANGUAGE)
-    return sorted((r["lang"], r["text"]) for r in best.select("lang", "text").collect())
+    """(lang, whole text) of at most DOCS_PER_LANGUAGE labelled documents and LANGUAGE_BYTES of each language that may be
+    learned from, those with the least hashes; thinned by hash before they are ranked, so no large group is sorted."""
+    known = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    rows = docs.filter(known & ~held_out(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"))
+    counts = stage_table(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    shares = small_side(counts.select("lang", (F.lit(2.0 * DOCS_PER_LANGUAGE) / F.col("n")).alias("share")), counts.count(), 64)
+    thin = rows.join(shares, "lang").filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < F.col("share"))
+    ranked = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    few = thin.withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= DOCS_PER_LANGUAGE)
+    best = few.withColumn("upto", F.sum(F.octet_length("text").cast("long")).over(ranked.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= LANGUAGE_BYTES)
+    found = sorted((r["lang"], r["text"]) for r in best.select("lang", "text").collect())
+    drop_stage(counts)
+    return found
 
 
 def fit(docs: DataFrame, **columns: str) -> Model | None:
-    """Trains on the sample; None if there is none. At most STRETCHES_PER_DOC stretches of a document, evenly spread."""
+    """Trains on all stretches with a letter of the sample; None if there is none."""
     rows = [(k, t.encode()) for k, t in sample(docs, **columns)]
-    languages = sorted({k for k, _ in rows})
-    parts, labels = [], []
-    for k, t in rows:
-        s, _ = cut(np.frombuffer(t, np.uint8), np.array([len(t)]))
-        s = s[np.unique(np.linspace(0, len(s) - 1, STRETCHES_PER_DOC).astype(int))] if len(s) else s
-        s = s[LETTER[s].any(axis=1)]
-        parts.append(s)
-        labels += [languages.index(k)] * len(s)
-    known = sorted(set(labels))
+    known = sorted({k for k, t in rows if LETTER[np.frombuffer(t, np.uint8)].any()})
     if not known:
         return None
-    renumber = {k: i for i, k in enumerate(known)}
-    return train(np.concatenate(parts), np.array([renumber[k] for k in labels]), [languages[k] for k in known])
+    parts, labels = [], []
+    for number, language in enumerate(known):
+        texts = [t for k, t in rows if k == language]
+        s, _ = cut(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+        parts.append(s[LETTER[s].any(axis=1)])
+        labels.append(np.full(len(parts[-1]), number))
+    return train(np.concatenate(parts), np.concatenate(labels), known)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def _labels(model: Model | None):
+    """A function from a column of texts to (languages, scores)."""
+    labeller = Labeller(model) if model else None
+
+    def label(column: pa.Array) -> tuple[list[str], np.ndarray]:
+        texts = column.to_pylist()
+        lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
+        if not labeller or not lettered.any():
+            return [UND] * len(texts), np.zeros(len(texts))
+        encoded = [t.encode() if t else b"" for t in texts]
+        p = labeller.pooled(np.frombuffer(b"".join(encoded), np.uint8), np.array([len(t) for t in encoded]))
+        langs = [model.languages[k] if ok else UND for k, ok in zip(p.argmax(axis=1), lettered)]
+        return langs, np.where(lettered, np.minimum(p.max(axis=1), 1.0), 0.0)
+
+    return label
+
+
 def _predict(model: Model | None):
-    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model) if model else None
+        label = _labels(model)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
-            encoded = [t.encode() if t else b"" for t in texts]
-            langs, scores = [UND] * len(texts), np.zeros(len(texts))
-            if labeller and len(texts):
-                p = labeller.pooled(np.frombuffer(b"".join(encoded), np.uint8), np.array([len(t) for t in encoded]))
-                best = p.argmax(axis=1)
-                langs = [model.languages[k] if ok else UND for k, ok in zip(best, lettered)]
-                scores = np.where(lettered, np.minimum(p.max(axis=1), 1.0), 0.0)
+            langs, scores = label(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores)], schema=_OUT)
 
     return run
@@ -284,11 +291,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is known, all columns kept: those labelled ``und`` go."""
     bound_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def language(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        batches = (pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.bool_()), pa.array(t, pa.string())], names=["a", "b", "c"]) for t in parts)
-        for labelled in _predict(model)(batches):
-            yield labelled.column("lang_pred").to_pandas()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = _labels(model)
+        for batch in batches:
+            yield batch.filter(pa.array([k != UND for k in label(batch.column(at))[0]], pa.bool_()))
 
-    return docs.filter(language(F.col(text_col)) != UND)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,176 +1,255 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon maps words to classes (insult, threat, target, negation, reported speech, other); insult stems and their
-weights are learned from labels. Transducers over classes are composed into one grammar: negation turns an insult or
-threat within three words after a negator into a negated one, reported speech marks what follows a verb of saying in
-the clause, target marks what shares its clause with a person addressed. The grammar's best path scores each clause;
-a logistic model over a document's clause scores, fitted on a bounded sample, gives its probability.
-
-Defined results: null and empty texts have no clause and get the score of a document without matches; without labels
-of both kinds the score is the share of label 1, or 0. Repeated rows are scored each; whole texts are read; columns
-other than text are no inputs.
+A lexicon maps the words of a clause to classes: abuse (words and stems learned from labels), violence, intention,
+copula, target, negation, report, other. Transducers over these sequences are composed, arc by arc as they are met, into
+one grammar:
+
+* insult: abuse becomes a loose insult, or a direct one where a target and a copula stand just before it;
+* threat: a violent verb becomes a threat only with an intention before it (or at the clause's beginning, as an order)
+  and a target just before or, a guess to be met, after it; first-person forms need the target alone;
+* negation: marks insults and threats within three words after a negator;
+* reported speech: marks what follows a verb of saying in the clause;
+* target: aims the loose insults of a clause that addresses somebody.
+
+The best path scores each clause; a logistic model over a document's clause scores, fitted on a bounded sample, gives its
+probability. Violent words outside these patterns count nothing.
+
+Defined results: null and empty texts have no clause and get the score of a document without matches; without labels of
+both kinds the score is the share of label 1, or 0. Repeated rows are scored each; whole texts are read; columns other
+than text are no inputs. Rows without an id are scored but never learned from.
 """
 
 from __future__ import annotations
 
 import bisect
-import itertools
+import functools
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches
 from .langid import held_out
 
-#: Labelled documents of either kind that the model is fitted on, at most.
-TOXIC_DOCS, CLEAN_DOCS = 1000, 3000
-#: A stem must be in so many toxic documents (and in such a share), after as many different words, with such log odds.
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.01, 2.0
+#: The sample the model is fitted on: labelled documents of either kind, and bytes of their whole texts, at most.
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_BYTES = 1000, 3000, 32 << 20
+#: An abusive word must be in so many different toxic texts, with such log odds, and so unlikely by chance (twice the log
+#: likelihood ratio: one in a million); a stem after so many different endings besides, none of them in most of its texts.
+LEAST_DOCS, LEAST_ODDS, LEAST_RATIO, LEAST_ENDINGS = 4, 1.5, 24.0, 5
+#: A longer stem is taken for a shorter one from such a share of its log likelihood ratio.
+NEARLY = 0.85
 STEM_LENGTHS = (4, 5, 6, 7)
 MOST_WEIGHT = 6.0
-THREAT_WEIGHT = 3.0
+THREAT_WEIGHT = 6.0
 SEED = 11
 
 # Word classes of the four languages.
-THREATS = {"kill", "murder", "stab", "strangle", "destroy", "töten", "umbringen", "erschießen", "tuer", "frapper", "assassiner", "matar", "golpear", "asesinar"}
-TARGETS = {"you", "your", "yours", "yourself", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "vous", "votre", "ton", "usted", "ustedes", "tú", "ti", "vosotros"}
-NEGATIONS = {"not", "no", "never", "nobody", "isn", "aren", "don", "nicht", "kein", "keine", "nie", "niemals", "ne", "pas", "jamais", "nunca", "jamás", "ningún"}
+VIOLENCE = {
+    "kill", "murder", "hurt", "harm", "beat", "stab", "shoot", "strangle", "choke", "destroy", "attack", "punch", "smash", "crush",
+    "töten", "umbringen", "verletzen", "schlagen", "verprügeln", "erschießen", "erwürgen", "vernichten", "zerstören", "erstechen",
+    "tuer", "frapper", "blesser", "assassiner", "égorger", "étrangler", "détruire", "cogner",
+    "matar", "golpear", "asesinar", "herir", "destruir", "estrangular", "apuñalar", "lastimar",
+    "matarte", "golpearte", "asesinarte", "herirte", "destruirte",
+}
+FIRST_PERSON = {
+    "töte", "schlage", "erschieße", "verletze", "vernichte", "tuerai", "frapperai", "blesserai", "détruirai", "tue", "frappe",
+    "mataré", "golpearé", "asesinaré", "heriré", "destruiré", "mato",
+}
+INTENTIONS = {
+    "will", "ll", "gonna", "going", "should", "shall", "must", "want", "deserve", "let", "ought", "somebody", "someone",
+    "werde", "werden", "soll", "sollte", "muss", "möchte", "vais", "allons", "veux", "devrait", "faut", "voy", "vamos", "quiero", "debería",
+}
+COPULAS = {"are", "re", "r", "were", "bist", "seid", "es", "êtes", "eres", "sois", "son", "remain", "bleibst", "restes"}
+TARGETS = {
+    "you", "your", "yours", "yourself", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "vous", "votre", "ton",
+    "usted", "ustedes", "tú", "ti", "vosotros", "matarte", "golpearte", "asesinarte", "herirte", "destruirte",
+}
+NEGATIONS = {"not", "no", "never", "nobody", "isn", "aren", "don", "won", "nicht", "kein", "keine", "nie", "niemals", "ne", "pas", "jamais", "nunca", "jamás", "ningún"}
 REPORTS = {"said", "says", "wrote", "claimed", "quoted", "reported", "sagte", "schrieb", "behauptete", "dit", "écrit", "affirme", "dijo", "escribió", "afirma"}
 
-#: What a unit of lexicon weight counts, by the grammar's output class.
-FACTORS = {"i": 1.0, "I": 1.25, "i-": 0.25, "I-": 0.3, "i~": 0.5, "I~": 0.6, "i-~": 0.1, "I-~": 0.15, "h": 0.4, "H": 1.0, "h-": 0.1, "H-": 0.2, "h~": 0.2, "H~": 0.4, "h-~": 0.0, "H-~": 0.1}
-NEGATION_REACH = 3
+#: What a unit of lexicon weight counts as a loose, aimed and direct insult and as a threat, and what
+#: negation and reported speech leave of it.
+KINDS = {"i": 1.0, "I": 1.25, "d": 1.5, "h": 1.0}
+MARKS = {"": 1.0, "-": 0.2, "~": 0.5, "-~": 0.1}
+FACTORS = {k + m: x * y for k, x in KINDS.items() for m, y in MARKS.items()}
+
+#: How many words apart: target and copula, these and the abuse; intention and verb, verb and target; negator and match.
+NEAR, DIRECT_REACH, INTENT_REACH, TARGET_REACH, NEGATION_REACH = 2, 4, 5, 3, 3
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 
+Arc = tuple[str, float, object]
+
 
-@dataclass
 class Transducer:
-    """Arcs: (state, input) -> [(output, weight, state)]. An input without arcs passes unchanged, in place, if
-    ``passes``."""
-
-    start: tuple
-    arcs: dict[tuple, list[tuple[str, float, tuple]]]
-    finals: set
-    passes: bool = True
-
-    def step(self, state: tuple, symbol: str) -> list[tuple[str, float, tuple]]:
-        found = self.arcs.get((state, symbol))
-        return found if found is not None else [(symbol, 0.0, state)] if self.passes else []
-
-
-def compose(a: Transducer, b: Transducer, symbols: set[str]) -> Transducer:
-    """What b makes of a's output, weights added; only reachable states, all arcs written out."""
-    start, arcs, finals, todo = (a.start, b.start), {}, set(), [(a.start, b.start)]
-    seen = {start}
-    while todo:
-        s = todo.pop()
-        if s[0] in a.finals and s[1] in b.finals:
-            finals.add(s)
-        for x in symbols:
-            out = [(z, u + v, (p, q)) for y, u, p in a.step(s[0], x) for z, v, q in b.step(s[1], y)]
-            arcs[s, x] = out
-            for _, _, n in out:
-                if n not in seen:
-                    seen.add(n)
-                    todo.append(n)
-    return Transducer(start, arcs, finals, passes=False)
+    """A weighted transducer: ``step(state, symbol)`` gives (output, weight, next state) of each arc, ``final(state)``
+    whether a path may end. Arcs are made when first asked for, and kept: the states are finite."""
+
+    def __init__(self, start: object, move: Callable[[object, str], list[Arc]], final: Callable[[object], bool] = lambda s: True) -> None:
+        self.start, self.final = start, functools.cache(final)
+        self.step = functools.cache(move)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """What b makes of a's output, weights added."""
+
+    def move(s: tuple, x: str) -> list[Arc]:
+        return [(z, u + v, (p, q)) for y, u, p in a.step(s[0], x) for z, v, q in b.step(s[1], y)]
+
+    return Transducer((a.start, b.start), move, lambda s: a.final(s[0]) and b.final(s[1]))
+
+
+def insult() -> Transducer:
+    """State: words for which a target, a copula, and both together still count. Abuse (a) becomes i or d."""
+
+    def move(s: tuple, x: str) -> list[Arc]:
+        target, copula, both = (max(0, k - 1) for k in s)
+        if x == "t":
+            target, both = NEAR, DIRECT_REACH if s[1] else both
+        elif x == "k":
+            copula, both = NEAR, DIRECT_REACH if s[0] else both
+        elif x == "a":
+            return [("d" if s[2] else "i", 0.0, (target, copula, DIRECT_REACH if s[2] else 0))]
+        return [("o" if x == "k" else x, 0.0, (target, copula, both))]
+
+    return Transducer((0, 0, 0), move)
+
+
+def threat() -> Transducer:
+    """State: words for which an intention and a target still count, words within which a guessed target is due. A
+    violent verb (v; f in the first person) becomes h or o; a verb that holds its target (w) needs the intention only."""
+
+    def move(s: tuple, x: str) -> list[Arc]:
+        intent, target = max(0, s[0] - 1), max(0, s[1] - 1)
+        due = 0 if x in "tw" else s[2] - 1
+        if s[2] and x not in "tw" and not due:
+            return []  # the guess was wrong
+        due = max(0, due)
+        if x == "m":
+            return [("o", 0.0, (INTENT_REACH, target, due))]
+        if x == "t":
+            return [("t", 0.0, (intent, TARGET_REACH, due))]
+        if x not in "vfw":
+            return [(x, 0.0, (intent, target, due))]
+        told, none = ("h", 0.0, (intent, target, due)), ("o", 0.0, (intent, target, due))
+        if x == "w":
+            return [told if s[0] else none]
+        if x == "v" and not s[0]:
+            return [none]
+        return [told] if s[1] else [none, ("h", 0.0, (intent, target, TARGET_REACH))]
+
+    return Transducer((1, 0, 0), move, lambda s: not s[2])
 
 
 def negation() -> Transducer:
-    arcs = {}
-    for k in range(NEGATION_REACH + 1):
-        s, after = ("n", k), ("n", (k + 1) % (NEGATION_REACH + 1) if k else 0)
-        arcs[s, "n"] = [("n", 0.0, ("n", 1))]
-        for x in "otr":
-            arcs[s, x] = [(x, 0.0, after)]
-        for x in "ih":
-            arcs[s, x] = [(x + "-" if k else x, 0.0, after)]
-    return Transducer(("n", 0), arcs, {("n", k) for k in range(NEGATION_REACH + 1)})
+    def move(s: int, x: str) -> list[Arc]:
+        if x == "n":
+            return [("o", 0.0, NEGATION_REACH)]
+        return [(x + "-" if s and x in KINDS else x, 0.0, max(0, s - 1))]
+
+    return Transducer(0, move)
 
 
 def reported() -> Transducer:
-    off, on = ("r", 0), ("r", 1)
-    arcs = {(off, "r"): [("r", 0.0, on)]} | {(on, x): [(x + "~", 0.0, on)] for x in ("i", "h", "i-", "h-")}
-    return Transducer(off, arcs, {off, on})
+    return Transducer(False, lambda s, x: [("o", 0.0, True)] if x == "r" else [(x + "~" if s and x[0] in KINDS else x, 0.0, s)])
 
 
 def target() -> Transducer:
-    """An insult is aimed if its clause has a target, before it or (a guess, to be met) after it."""
-    none, seen, due = ("t", 0), ("t", 1), ("t", 2)
-    arcs = {(s, "t"): [("t", 0.0, seen)] for s in (none, seen, due)}
-    for x in ("i", "h", "i-", "h-", "i~", "h~", "i-~", "h-~"):
-        aimed = x[0].upper() + x[1:]
-        arcs[none, x] = [(x, 0.0, none), (aimed, 0.0, due)]
-        arcs[seen, x] = [(aimed, 0.0, seen)]
-        arcs[due, x] = [(aimed, 0.0, due)]
-    return Transducer(none, arcs, {none, seen})
+    """A loose insult is aimed if its clause has a target, before it or (a guess, to be met) after it."""
+
+    def move(s: str, x: str) -> list[Arc]:
+        if x == "t":
+            return [("o", 0.0, "seen")]
+        if x[0] != "i":
+            return [(x, 0.0, s)]
+        aimed = "I" + x[1:]
+        return [(x, 0.0, s), (aimed, 0.0, "due")] if s == "none" else [(aimed, 0.0, s)]
+
+    return Transducer("none", move, lambda s: s != "due")
 
 
 def scored() -> Transducer:
-    return Transducer("s", {("s", x): [(x, w, "s")] for x, w in FACTORS.items()}, {"s"})
+    return Transducer(0, lambda s, x: [(x, FACTORS.get(x, 0.0), 0)])
 
 
+CASCADE = (insult, threat, negation, reported, target, scored)
+
+
+@functools.cache
 def grammar() -> Transducer:
-    symbols, g = set("oihtnr"), negation()
-    for part in (reported(), target(), scored()):
-        g = compose(g, part, symbols)
-    return g
+    return functools.reduce(compose, (part() for part in CASCADE))
 
 
 def clause_score(g: Transducer, tokens: list[tuple[str, float]]) -> float:
     """The best path's sum of arc weight times token weight over a clause of (class, weight)."""
     best = {g.start: 0.0}
     for x, w in tokens:
-        now: dict[tuple, float] = {}
+        now: dict[object, float] = {}
         for s, v in best.items():
             for _, u, n in g.step(s, x):
                 if v + u * w > now.get(n, -math.inf):
                     now[n] = v + u * w
         best = now
-    return max((v for s, v in best.items() if s in g.finals), default=0.0)
+    return max((v for s, v in best.items() if g.final(s)), default=0.0)
 
 
 @dataclass
 class Model:
-    stems: dict[str, float] = field(default_factory=dict)
+    words: dict[str, float] = field(default_factory=dict)  # abusive words, matched whole
+    stems: dict[str, float] = field(default_factory=dict)  # beginnings of abusive words
     coef: np.ndarray = field(default_factory=lambda: np.zeros(4))
     prior: float = 0.0  # the score if nothing could be fitted
 
 
+def word_class(word: str) -> str:
+    if word in VIOLENCE:
+        return "w" if word in TARGETS else "v"
+    for kind, words in (("f", FIRST_PERSON), ("t", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("m", INTENTIONS), ("k", COPULAS)):
+        if word in words:
+            return kind
+    return "o"
+
+
 class Scorer:
     """Matches a text against the lexicon, then scores the clauses that have a match."""
 
-    def __init__(self, stems: dict[str, float]) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
         self.grammar, self.auto = grammar(), ahocorasick.Automaton()
-        for w in THREATS:
-            self.auto.add_word(w, (w, "h", THREAT_WEIGHT))
-        for w, x in stems.items():
-            self.auto.add_word(w, (w, "i", x))
+        entries: dict[str, list[tuple[str, float, bool]]] = defaultdict(list)
+        for w in VIOLENCE | FIRST_PERSON:
+            entries[w].append((word_class(w), THREAT_WEIGHT, True))
+        for found, whole in ((words, True), (stems, False)):
+            for w, x in found.items():
+                entries[w].append(("a", x, whole))
+        for w, told in entries.items():
+            self.auto.add_word(w, (len(w), told))
         self.auto.make_automaton()
 
     def hits(self, low: str) -> dict[int, tuple[str, float]]:
         """Word start -> (class, weight) of the heaviest match at it."""
         found: dict[int, tuple[str, float]] = {}
-        for end, (w, kind, x) in self.auto.iter(low):
-            at = end + 1 - len(w)
-            if at and low[at - 1].isalpha() or kind == "h" and low[end + 1 : end + 2].isalpha():
+        for end, (n, told) in self.auto.iter(low):
+            at = end + 1 - n
+            if at and low[at - 1].isalpha():
                 continue
-            found[at] = max(found.get(at, (kind, -1.0)), (kind, x), key=lambda y: y[1])
+            inside = low[end + 1 : end + 2].isalpha()
+            for kind, x, whole in told:
+                if not (whole and inside):
+                    found[at] = max(found.get(at, (kind, -1.0)), (kind, x), key=lambda y: y[1])
         return found
 
     def clauses(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, score) of each clause, in the lower-cased text, that has a match."""
+        """(start, end, score) of each clause, in the lower-cased text, that a pattern matches."""
         low = (text or "").lower()
         hits = self.hits(low)
         if not hits:
@@ -179,45 +258,68 @@ class Scorer:
         for m in CLAUSE.finditer(low):
             k = bisect.bisect_left(at, m.start())
             if k < len(at) and at[k] < m.end():
-                out.append((m.start(), m.end(), clause_score(self.grammar, [self._token(w, hits) for w in WORD.finditer(low, m.start(), m.end())])))
+                score = clause_score(self.grammar, [hits.get(w.start()) or (word_class(w.group()), 0.0) for w in WORD.finditer(low, m.start(), m.end())])
+                if score > 0:
+                    out.append((m.start(), m.end(), score))
         return out
 
-    @staticmethod
-    def _token(w: re.Match, hits: dict[int, tuple[str, float]]) -> tuple[str, float]:
-        if w.start() in hits:
-            return hits[w.start()]
-        word = w.group()
-        return ("t" if word in TARGETS else "n" if word in NEGATIONS else "r" if word in REPORTS else "o"), 0.0
-
     def features(self, text: str | None) -> list[float]:
         scores = [s for _, _, s in self.clauses(text)]
         return [1.0, math.log1p(sum(scores)), max(scores, default=0.0) / MOST_WEIGHT, math.log1p(len(scores))]
 
 
-def learn_stems(toxic: list[str], clean: list[str]) -> dict[str, float]:
-    """Words and word beginnings (stems) that mark toxic documents, with their log odds as weights.
-
-    A stem must follow several different words, so that copies of one document don't make its words insults; one that
-    begins with a chosen stem of nearly its odds is left out."""
-    forms = lambda w: [w[:k] for k in STEM_LENGTHS if k < len(w)] + [w]
-    words = [[m.group() for m in WORD.finditer(t.lower())] for t in toxic]
-    df = Counter(f for ws in words for f in {f for w in set(ws) for f in forms(w)} if len(f) >= 3)
-    least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * len(toxic)))
-    likely = {f for f, n in df.items() if n >= least}
-    base = Counter(f for t in clean for f in {f for w in {m.group() for m in WORD.finditer(t.lower())} for f in forms(w)} & likely)
-    odds = {f: math.log((df[f] + 0.5) / (len(toxic) + 1)) - math.log((base[f] + 0.5) / (len(clean) + 1)) for f in likely}
-    strong = {f for f, x in odds.items() if x >= LEAST_ODDS}
-    contexts = defaultdict(set)
-    for ws in words:
-        for left, w in itertools.pairwise(["", *ws]):
-            for f in forms(w):
-                if f in strong:
-                    contexts[f].add(left)
-    stems: dict[str, float] = {}
-    for f in sorted((f for f in strong if len(contexts[f]) >= least), key=lambda f: (len(f), f)):
-        if not any(f[:k] in stems and odds[f[:k]] >= odds[f] - 0.7 for k in range(3, len(f))):
-            stems[f] = min(odds[f], MOST_WEIGHT)
-    return stems
+def different(texts: list[str]) -> list[list[str]]:
+    """The words of each text, of near copies only the first: texts that agree in one of three least shingle hashes."""
+    seen, out = set(), []
+    for t in texts:
+        words = [m.group() for m in WORD.finditer(t.lower())]
+        shingles = {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))}
+        marks = {(k, min((h * a + k) & 0xFFFFFFFF for h in shingles)) for k, a in enumerate((1, 0x9E3779B1, 0x85EBCA6B))}
+        if words and not marks & seen:
+            out.append(words)
+        seen |= marks
+    return out
+
+
+def ratio(k: int, n: int, base: int, m: int) -> float:
+    """Twice the log likelihood ratio of k in n texts against base in m."""
+    both = (k + base) / (n + m)
+    part = lambda x, of, p: x * math.log(x / of / p) if x else 0.0
+    return 2 * (part(k, n, both) + part(n - k, n, 1 - both) + part(base, m, both) + part(m - base, m, 1 - both))
+
+
+def learn_lexicon(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """Words, and word beginnings with many different endings, that mark toxic documents, with log odds as weights.
+
+    A beginning that only one word's texts support is no stem: its word is taken whole. Of stems that begin with each
+    other the one least likely by chance stays, or the longest that is nearly as unlikely; words that begin with a stem
+    of nearly their odds go."""
+    bad, good = different(toxic), different(clean)
+    forms = lambda w: [(w[:k], w[k:]) for k in STEM_LENGTHS if k <= len(w)]
+    words = Counter(w for ws in bad for w in set(ws) if len(w) >= 3)
+    endings: dict[str, Counter] = defaultdict(Counter)
+    for ws in bad:
+        for w in set(ws):
+            for f, e in forms(w):
+                endings[f][e] += 1
+    stems = Counter(f for ws in bad for f in {f for w in set(ws) for f, _ in forms(w)})
+    stems = {f: n for f, n in stems.items() if n >= LEAST_DOCS and len(endings[f]) >= LEAST_ENDINGS and 2 * max(endings[f].values()) <= sum(endings[f].values())}
+    words = {w: n for w, n in words.items() if n >= LEAST_DOCS}
+    word_base = Counter(w for ws in good for w in set(ws) & words.keys())
+    stem_base = Counter(f for ws in good for f in {f for w in set(ws) for f, _ in forms(w)} & stems.keys())
+
+    def strong(found: dict[str, int], base: Counter) -> dict[str, tuple[float, float]]:
+        told = {f: (ratio(n, len(bad), base[f], len(good)), math.log((n + 0.5) / (len(bad) + 1)) - math.log((base[f] + 0.5) / (len(good) + 1))) for f, n in found.items()}
+        return {f: x for f, x in told.items() if x[0] >= LEAST_RATIO and x[1] >= LEAST_ODDS}
+
+    kept: dict[str, float] = {}
+    found = strong(stems, stem_base)
+    for f, (best, _) in sorted(found.items(), key=lambda y: (-y[1][0], y[0])):
+        if not any(f.startswith(k) or k.startswith(f) for k in kept):
+            f = max((g for g, (x, _) in found.items() if g.startswith(f) and x >= NEARLY * best), key=len)
+            kept[f] = min(found[f][1], MOST_WEIGHT)
+    whole = {w: min(odds, MOST_WEIGHT) for w, (_, odds) in strong(words, word_base).items() if not any(w.startswith(k) and x >= odds - 1 for k, x in kept.items())}
+    return whole, kept
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -233,27 +335,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> dict[int, list[str]]:
-    """Texts by label, at most TOXIC_DOCS and CLEAN_DOCS, of rows that may be learned from; those with the least hash
-    of the id, thinned by it before they are sorted."""
-    marks = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).distinct()
+    """Whole texts by label, at most TOXIC_DOCS, CLEAN_DOCS and SAMPLE_BYTES of each, of rows that may be learned from;
+    those with the least hash of the id, thinned by it before they are sorted."""
+    marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).distinct()
     marks = marks.filter(~held_out("_id")).withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "_id"), 11) / F.lit(float(1 << 53)))
     counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     out = {}
     for y, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS)):
         few = marks.filter((F.col("_y") == y) & (F.col("_h") < min(1.0, 2.0 * most / max(1, counts.get(y, 0))))).orderBy("_h", "_id").limit(most)
-        rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(few), docs[id_col] == few["_id"]).select("_h", F.col(text_col).alias("text"))
-        out[y] = [t for _, t in sorted((r["_h"], r["text"]) for r in rows.orderBy("_h", F.xxhash64("text")).limit(most).collect())]
+        rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(few), docs[id_col] == few["_id"]).select("_h", F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_t"))
+        upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("_h", "_t").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.orderBy("_h", "_t").limit(most).withColumn("_upto", upto).filter(F.col("_upto") <= SAMPLE_BYTES)  # of so many rows
+        out[y] = [t for _, t in sorted((r["_h"], r["text"]) for r in rows.select("_h", "text").collect())]
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Stems, then the logistic model over them, from the sample."""
+    """The lexicon, then the logistic model over clause scores, from the sample."""
     texts = sample(docs, labels, id_col, text_col)
     n = len(texts[0]) + len(texts[1])
     if not texts[0] or not texts[1]:
         return Model(prior=len(texts[1]) / n if n else 0.0)
-    model = Model(stems=learn_stems(texts[1], texts[0]))
-    scorer = Scorer(model.stems)
+    model = Model(*learn_lexicon(texts[1], texts[0]))
+    scorer = Scorer(model.words, model.stems)
     x = np.array([scorer.features(t) for y in (0, 1) for t in texts[y]])
     y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
     model.coef = logistic(x, y)
@@ -271,9 +375,9 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.stems)
+        scorer = Scorer(model.words, model.stems)
         for batch in batches:
-            scores = [score_text(model, scorer, t) for t in batch.column(2).to_pylist()]
+            scores = [score_text(model, scorer, t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=_OUT)
 
     return run
@@ -292,7 +396,7 @@ def matched_clauses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     @F.pandas_udf("array<struct<start: int, end: int, score: double>>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model.stems)
+        scorer = Scorer(model.words, model.stems)
         for texts in parts:
             yield pd.Series([[{"start": a, "end": b, "score": s} for a, b, s in scorer.clauses(t)] for t in texts])
 
@@ -303,11 +407,11 @@ def matched_clauses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is under 0.5, all columns kept."""
     bound_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model.stems)
-        for texts in parts:
-            yield pd.Series([score_text(model, scorer, t) for t in texts], dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.words, model.stems)
+        for batch in batches:
+            yield batch.filter(pa.array([score_text(model, scorer, t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.filter(score(F.col(text_col)) < 0.5)
+    return docs.mapInArrow(run, docs.schema)
