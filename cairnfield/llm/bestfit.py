@@ -1,8 +1,8 @@
 """Token-id output: best-fit-decreasing packing with a segment tree over capacities.
 
 Documents are tokenized and packed a group at a time (``GROUP_DOCS`` documents or ``GROUP_TOKENS`` tokens of a
-partition). An overlong document is split into whole sequences and a rest, losslessly. Pieces go, longest first, into
-the fullest sequence with room; the segment tree finds the least sufficient capacity. A packed sequence is written as
+partition). An overlong document is split into whole sequences, written as they are, and a rest, losslessly. Rests go,
+longest first, into the fullest sequence with room; the segment tree finds the least sufficient capacity. A sequence is
 a row of a Parquet table in the shared folder: padded ids, cumulative segment lengths, position resets, segments.
 
 Defined results: a null text is the end token alone; repeated rows are packed each; a null doc_id stays null; an empty
@@ -25,7 +25,9 @@ from .tokens import documents_ids, vocabulary_path
 
 LENGTH = 1024
 GROUP_DOCS = 4096
-GROUP_TOKENS = 4 << 20
+GROUP_TOKENS = 2 << 20
+#: Sequences in a batch that leaves a worker.
+OUT_ROWS = 512
 
 _SEGMENT = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64())]))
 _SCHEMA = pa.schema([("sequence_id", pa.int64()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("segments", _SEGMENT)])
@@ -84,43 +86,61 @@ def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def _rows_of(matrix: np.ndarray) -> pa.Array:
+    """The matrix's rows as binary values, without a copy."""
+    n, width = matrix.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * 4 * width, 4 * width, dtype=np.int32)), pa.py_buffer(matrix)])
+
+
 def _group_rows(group: list[tuple], first: int, length: int) -> pa.RecordBatch:
-    pieces = [(d, s, ids[s : s + length], len(ids)) for d, ids in group for s in range(0, len(ids), length)]
-    sizes = [len(p[2]) for p in pieces]
-    bins = best_fit_decreasing(sizes, length)
-    order = np.array([i for members in bins for i in members], np.int64)
-    counts = np.array([len(members) for members in bins], np.int64)
+    """The sequences of a group of (doc_id, ids): whole ones first, as they come, then the packed rests."""
+    docs, tokens = pa.array([d for d, _ in group], pa.int64()), np.array([len(x) for _, x in group], np.int64)
+    ids, at = np.concatenate([x for _, x in group]), np.cumsum(tokens) - tokens
+    whole, rest = tokens // length, tokens % length
+    n_whole, short = int(whole.sum()), np.flatnonzero(rest)
+    bins = best_fit_decreasing(rest[short].tolist(), length)
+    matrix = np.zeros((n_whole + len(bins), length), "<u4")
+    row = 0
+    for d in np.flatnonzero(whole).tolist():
+        k = int(whole[d])
+        matrix[row : row + k] = ids[at[d] : at[d] + k * length].reshape(k, length)
+        row += k
+    order = short[np.array([i for members in bins for i in members], np.int64)] if bins else short
+    counts = np.concatenate([np.ones(n_whole, np.int64), np.array([len(members) for members in bins], np.int64)])
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    used = np.array(sizes, np.int64)[order]
+    owner = np.concatenate([np.repeat(np.arange(len(group)), whole), order])
+    start = np.concatenate([(np.arange(n_whole) - np.repeat(np.cumsum(whole) - whole, whole)) * length, whole[order] * length])
+    used = np.concatenate([np.full(n_whole, length), rest[order]])
     upto = np.concatenate([[0], np.cumsum(used)])
     within = upto[:-1] - np.repeat(upto[bounds[:-1]], counts)  # where each segment begins in its sequence
-    pad = bytes(4 * length)
-    rows = []
-    for members in bins:
-        row = b"".join([pieces[i][2].tobytes() for i in members])
-        rows.append(row + pad[len(row) :])
-    ends = np.empty(len(order) + len(bins), np.int64)  # of each sequence 0, then where each segment ends
-    last = bounds[1:] + np.arange(len(bins))
-    ends[bounds[:-1] + np.arange(len(bins))] = 0
-    ends[np.arange(len(order)) + np.repeat(np.arange(len(bins)), counts) + 1] = within + used
-    segments = pa.StructArray.from_arrays([pa.array([pieces[i][0] for i in order], pa.int64()), pa.array([pieces[i][1] for i in order], pa.int64()), pa.array(used, pa.int32()), pa.array([pieces[i][3] for i in order], pa.int64())], names=["doc_id", "start", "length", "doc_tokens"])
-    columns = [pa.array(np.arange(first, first + len(bins))), pa.array(rows, pa.binary()), _lists(np.concatenate([[0], last + 1]), pa.array(ends, pa.int32())), _lists(bounds, pa.array(within, pa.int32())), _lists(bounds, segments)]
+    sequence = np.repeat(np.arange(len(counts)), counts)
+    for r, o, a, n in zip(*(x[n_whole:].tolist() for x in (sequence, within, at[owner] + start, used))):
+        matrix[r, o : o + n] = ids[a : a + n]
+    ends = np.zeros(len(owner) + len(counts), np.int64)  # of each sequence 0, then where each segment ends
+    ends[np.arange(len(owner)) + sequence + 1] = within + used
+    segments = pa.StructArray.from_arrays([docs.take(pa.array(owner)), pa.array(start), pa.array(used, pa.int32()), pa.array(tokens[owner])], names=["doc_id", "start", "length", "doc_tokens"])
+    columns = [pa.array(np.arange(first, first + len(counts))), _rows_of(matrix), _lists(bounds + np.arange(len(bounds)), pa.array(ends, pa.int32())), _lists(bounds, pa.array(within, pa.int32())), _lists(bounds, segments)]
     return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
 def _pack(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, group, held = TaskContext.get().partitionId() << 33, [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal number, group, held
+            out = _group_rows(group, number, length)
+            number, group, held = number + out.num_rows, [], 0
+            yield from (out.slice(lo, OUT_ROWS) for lo in range(0, out.num_rows, OUT_ROWS))
+
         for batch in batches:
             for doc in documents_ids(batch, path):
                 group.append(doc)
                 held += len(doc[1])
                 if len(group) >= GROUP_DOCS or held >= GROUP_TOKENS:
-                    out = _group_rows(group, number, length)
-                    number, group, held = number + out.num_rows, [], 0
-                    yield out
+                    yield from packed()
         if group:
-            yield _group_rows(group, number, length)
+            yield from packed()
 
     return run
 

@@ -1,28 +1,27 @@
-"""Token ids of whole texts, with a bounded cache of words.
+"""Token ids of whole texts by the vocabulary file's byte-level BPE.
 
-The byte-level vocabulary splits a text before each single space that follows no other white space, so ids of
-space-separated words, each with its space, are the text's ids; words recur, so most come from the cache. Texts with
-runs of white space around a space are encoded whole.
+The file is read as the tokenizers library reads it. tiktoken's encoder, made from the same file's ranks, gives the same
+ids in a third of the time without any cache that grows; it is used where the file allows it (byte-level pieces, merges
+numbered in order). Very long runs of white space overflow its pattern matcher; such texts, and other files, go through
+tokenizers. Tests compare the two on every code point and on whole tables.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words kept in a worker's cache; beyond, it starts anew.
-CACHE_WORDS = 800_000
 END = 0
-
-_RUN = re.compile(r"\s \s|\s \Z")
-#: Stands between words encoded as one text; its id can't come from a word that neither holds it nor ends in white space.
-_BETWEEN = "\r"
-_MARKS = ".,;:!?"
-_loaded: dict[str, Encoder] = {}
+#: Texts of at most so many characters, or whose runs of white space are as short, can't overflow the pattern matcher.
+SHORT = 1 << 14
+_RUN = re.compile(r"\s{64,}")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,81 +30,68 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte each letter of a byte-level vocabulary stands for: printable Latin-1 bytes are themselves, the others
+    follow in order from code point 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def ranks(path: str) -> dict[bytes, int] | None:
+    """Ids of all pieces as ranks of their merges; None if the file's rules are not those of plain byte-level BPE."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not model.get("ignore_merges") and not told.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    letters = byte_letters()
+    if not plain or not all(c in letters for piece in model["vocab"] for c in piece):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(p)) for p in pairs]
+    if made != list(range(256, 256 + len(made))) or len(model["vocab"]) != 256 + len(made):
+        return None
+    return {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items()}
+
+
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes, by the vocabulary file at ``path``."""
+    """ids of texts by the vocabulary file at ``path``."""
 
     def __init__(self, path: str) -> None:
+        self.path, known = path, ranks(path)
+        self.fast = None
+        if known:
+            import public_tokenizers
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+
+    @functools.cached_property
+    def exact(self):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids[0]
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> None:
-        """Adds the ids of each word, with a space before it, to the cache: of letters and the marks after them apart,
-        as the vocabulary splits them too."""
-        cores = [w.rstrip(_MARKS) for w in words]
-        split = [(w, c) for w, c in zip(words, cores) if c != w and c.isalpha()]
-        apart = {w for w, _ in split}
-        self._unsplit(sorted(({w for w in words if w not in apart} | {c for _, c in split}) - self.spaced.keys()))
-        for w, c in split:
-            mark = w[len(c) :]
-            if mark not in self.marks:
-                self.marks[mark] = self._bytes([mark])[0]
-            self.spaced[w] = self.spaced[c] + self.marks[mark]
-
-    def _unsplit(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            (other if not w or _BETWEEN in w or w[-1].isspace() else plain).append(w)
-        self.spaced.update(zip(other, self._bytes([f" {w}" for w in other])))
-        if plain:
-            ids = self._bytes([_BETWEEN.join([f" {w}" for w in plain])])[0]
-            ends = [*(4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.between)).tolist(), len(ids)]
-            at = 0
-            for w, end in zip(plain, ends, strict=True):
-                self.spaced[w] = ids[at:end]
-                at = end + 4
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """ids of each text; a null text is empty."""
-        if len(self.spaced) > CACHE_WORDS:
-            self.spaced.clear()
-            self.marks.clear()
-        words, whole = [], []
-        for i, t in enumerate(texts):
-            if t is None:
-                words.append([""])
-            elif _RUN.search(t):
-                words.append(None)
-                whole.append(i)
-            else:
-                words.append(t.split(" "))
-        known = self.spaced
-        missing = sorted({w for ws in words if ws is not None for w in ws[1:]} - known.keys())
-        self._words(missing)
-        firsts = self._bytes([ws[0] for ws in words if ws is not None])
-        others = dict(zip(whole, self._bytes([texts[i] for i in whole])))
-        first = iter(firsts)
-        return [others[i] if ws is None else next(first) + b"".join(map(known.__getitem__, ws[1:])) for i, ws in enumerate(words)]
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        return tokenizer
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Unsigned 32-bit ids of a text; a null text is empty."""
+        if not text:
+            return np.empty(0, np.uint32)
+        if self.fast and (len(text) <= SHORT or all(m.end() - m.start() <= SHORT for m in _RUN.finditer(text))):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@functools.cache
 def encoder(path: str) -> Encoder:
     """The worker's encoder for the file, loaded once."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return Encoder(path)
 
 
-def documents_ids(batch: pa.RecordBatch, path: str, step: int = 512):
+def documents_ids(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids with END appended) of each row of a (doc_id, text) batch."""
-    for lo in range(0, batch.num_rows, step):
-        part = batch.slice(lo, step)
-        for d, b in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist())):
-            yield d, np.frombuffer(b + b"\0\0\0\0", "<u4")
+    encode = encoder(path).encode
+    for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        yield d, np.append(encode(t.as_py()), np.uint32(END))

@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     a, b = at["packing"]
     encoder = tokens.encoder(tokens.vocabulary_path())
-    want = {r.doc_id: np.frombuffer(encoder.encode([r.text])[0] + b"\0\0\0\0", "<u4") for r in a.collect()}
+    want = {r.doc_id: np.append(encoder.encode(r.text), np.uint32(0)) for r in a.collect()}
     pieces = b.collect()
     assert sum(p.length for p in pieces) == sum(len(want[r.doc_id]) for r in a.collect())
     for p in pieces:
