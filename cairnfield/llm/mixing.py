@@ -1,7 +1,10 @@
 """Mixing sources to target weights: tokens per source, repetition rates, then copies.
 
-Each document is taken ``floor(rate)`` times plus one more with a probability equal to the rate's fraction, by a
-draw seeded with the document's id, so reruns agree. No document is taken more than ``max_epochs`` times.
+Each document is taken ``floor(rate)`` times plus one more with a probability equal to the rate's fraction: a draw
+from a hash of the seed, the source, the id, the size and the ordinal among rows alike in these, so reruns agree and
+repeated rows draw apart. The seed is chosen for each source, out of ``SEEDS`` fixed ones, as the one whose sum comes
+nearest the target; every draw stays a Bernoulli one and the share of extra copies still follows the fraction. No
+document is taken more than ``max_epochs`` times.
 """
 
 from __future__ import annotations
@@ -9,14 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, stage_table, unit_draw
+from .common import drop_stage, gapless, small_side, stage_table, unit_draw
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-SEED = "mix-1"
+#: Fixed seeds, ``mix-0`` and on, of which each source takes the best.
+SEEDS = 64
 #: Sources a task ranks.
 RANK_ROWS = 100_000
+#: Repeated rows a bucket of their numbering should hold.
+BUCKET_ROWS = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -61,35 +67,80 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     return weighed.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
-    """``floor(rate)`` plus a hash-seeded Bernoulli draw of the rate's fraction."""
-    return (F.floor(rate) + F.when(unit_draw(key, seed=seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-
-
-def _with_rates(docs: DataFrame, source: str, sizes: DataFrame) -> DataFrame:
-    goal = stage_table(targets(sizes), "targets").select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate"))
-    side = small_side(goal, goal.count(), 256)
-    return docs.join(side, docs[source].eqNullSafe(side["_mix_source"]))
+def draw(seed: Column, source: Column, key: Column, size: Column, ordinal: Column) -> Column:
+    return unit_draw(seed, source, key, size, ordinal, seed="mix")
+
+
+def copies(rate: Column, drawn: Column) -> Column:
+    """``floor(rate)`` plus a Bernoulli draw of the rate's fraction."""
+    return (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def numbered(docs: DataFrame, group: list[str], out: str) -> DataFrame:
+    """``docs`` with ``out``: 0, or the place among rows alike in ``group``. Rows alike in all columns are counted
+    before any shuffle; the others of a group are numbered in buckets, so no group is ever one task."""
+    repeats = stage_table(docs.groupBy(*group).agg(F.count("*").alias("_n")).filter("_n > 1").select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(group)), "_n"), "repeats")
+    k, rows = repeats.agg(F.count("*"), F.sum("_n")).first()
+    if not k:
+        drop_stage(repeats)
+        return docs.withColumn(out, F.lit(0).cast("long"))
+    side = small_side(repeats.drop("_n"), k, 128)
+    same = [docs[c].eqNullSafe(side[f"_r{i}"]) for i, c in enumerate(group)]
+    whole = stage_table(docs.join(side, same, "left_semi").groupBy(*docs.columns).agg(F.count("*").alias("_n")), "alike")
+    placed = gapless(whole.withColumn("_h", F.xxhash64(*docs.columns)), group, ["_h"], "_n", "_first", max(1, rows // BUCKET_ROWS))
+    each = placed.withColumn(out, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1))).select(*docs.columns, out)
+    return docs.join(side, same, "left_anti").withColumn(out, F.lit(0).cast("long")).unionByName(each)
+
+
+def seeds(rows: DataFrame, goal: DataFrame, n_goal: int, n_seeds: int = SEEDS) -> DataFrame:
+    """``source, source_size, target, rate, seed`` of each source: the seed whose words come nearest the target, in one
+    aggregation. ``rows``: ``doc_id, source, size, ordinal``."""
+    side = small_side(goal.select(F.col("source").alias("_s"), (F.col("rate") - F.floor("rate")).alias("_f")).filter("_f > 0"), n_goal, 256)
+    told = rows.filter("size > 0").join(side, rows["source"].eqNullSafe(side["_s"])).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))))
+    hit = draw(F.col("seed"), F.col("source"), F.col("doc_id"), F.col("size"), F.col("ordinal")) < F.col("_f")
+    sums = told.groupBy("source", "seed").agg(F.sum(F.when(hit, F.col("size")).otherwise(0)).alias("extra"))
+    sums = sums.select(F.col("source").alias("_s"), "seed", "extra")
+    off = F.abs(F.floor("rate") * F.col("source_size") + F.coalesce("extra", F.lit(0)) - F.col("target"))
+    tried = goal.join(sums, goal["source"].eqNullSafe(sums["_s"]), "left").withColumn("off", off)
+    best = tried.groupBy("source", "source_size", "target", "rate").agg(F.min_by("seed", F.struct("off", "seed")).alias("seed"))
+    return best.withColumn("seed", F.coalesce("seed", F.lit(0)))
+
+
+def _drawn(docs: DataFrame, rows: DataFrame, names: tuple[str, str, str, str]) -> DataFrame:
+    """``docs`` with ``_mix_size, _mix_target`` of its source and ``_mix_copies``. ``rows``: ``doc_id, source, size,
+    ordinal`` of all; ``names``: what these are called in ``docs``."""
+    goal = stage_table(targets(source_sizes(rows, F.col("size"))), "targets")
+    n = goal.count()
+    chosen = stage_table(seeds(rows, goal, n), "seeds")
+    drop_stage(goal)
+    side = small_side(chosen.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed")), n, 256)
+    doc_id, source, size, ordinal = (F.col(c) for c in names)
+    joined = docs.join(side, docs[names[1]].eqNullSafe(side["_mix_source"]))
+    return joined.withColumn("_mix_copies", copies(F.col("_mix_rate"), draw(F.col("_mix_seed"), source, doc_id, size, ordinal)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row.
 
-    Null text: size 0. Null source: a source of its own. A null id draws as the text ``null``; repeated rows draw alike.
+    Null text: size 0. Null source: a source of its own. A null id draws as the text ``null``; repeated rows draw apart.
     Other columns are not read. An empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    rows = stage_table(rows, "sizes")
-    out = _with_rates(rows, "source", source_sizes(rows, F.col("size")))
-    taken = F.col("size") * copies(F.col("_mix_rate"), F.col("doc_id"))
+    sized = stage_table(rows, "sizes")
+    rows = numbered(sized, ["source", "doc_id", "size"], "ordinal")
+    out = _drawn(rows, rows, ("doc_id", "source", "size", "ordinal"))
+    taken = F.col("size") * F.col("_mix_copies")
     return out.select("doc_id", "size", F.col("_mix_size").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"))
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, all its columns kept and none added."""
-    sizes = source_sizes(docs.select(source_col, n_words(F.col(text_col)).alias("_mix_n")), F.col("_mix_n"), source_col)
-    out = _with_rates(docs, source_col, sizes).withColumn("_mix_copies", copies(F.col("_mix_rate"), F.col(id_col)))
-    each = out.filter("_mix_copies > 0").withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
-    return each.select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, all its columns kept and none added.
+
+    Of rows alike in source, id and size but not in all columns, which ones get the copies follows a hash of the row."""
+    sized = docs.withColumn("_mix_n", n_words(F.col(text_col)))
+    each = numbered(sized, [source_col, id_col, "_mix_n"], "_mix_i")
+    rows = stage_table(sized.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("_mix_n").alias("size")), "sizes")
+    out = _drawn(each, numbered(rows, ["source", "doc_id", "size"], "ordinal"), (id_col, source_col, "_mix_n", "_mix_i"))
+    return out.filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
 
 
 SQL = r"""
@@ -109,9 +160,18 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN share * w > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE share * w END AS target
   FROM o, l
 ), g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t
+), n AS (
+  SELECT d.*, g.source_size, g.target, floor(rate) AS fl, rate - floor(rate) AS f,
+         'mix:' || seed || ':' || coalesce(d.source, 'null') || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size || ':' AS key,
+         row_number() OVER (PARTITION BY d.source, doc_id, size, seed) - 1 AS ordinal, seed
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, range(0, 64) AS x(seed)
+), u AS (
+  SELECT *, CAST(fl + CASE WHEN CAST(('0x' || substr(md5(key || ordinal), 1, 13)) AS BIGINT) / 4503599627370496.0 < f THEN 1 ELSE 0 END AS BIGINT) AS copies FROM n
+), b AS (
+  SELECT source, arg_min(seed, (off, seed)) AS seed FROM (
+    SELECT source, seed, abs(sum(size * copies) - any_value(target)) AS off FROM u GROUP BY source, seed
+  ) GROUP BY source
 )
-SELECT d.doc_id, d.size, g.source_size, g.target,
-       d.size * CAST(floor(rate) + CASE WHEN CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 < rate - floor(rate)
-                                        THEN 1 ELSE 0 END AS BIGINT) AS taken
-FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+SELECT u.doc_id, u.size, u.source_size, u.target, u.size * u.copies AS taken
+FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source AND u.seed = b.seed
 """

@@ -36,3 +36,35 @@ def test_copies_match_taken_and_reruns_agree(spark):
 def test_empty_and_wordless(spark):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.emit(frame(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(frame(spark, [(1, "", None)])).collect()] == [0]
+
+
+def test_one_repeated_id_and_targets_met(spark):
+    """One id a source, thousands of rows: draws differ by row and both sources come near their targets."""
+    rows = [(1, "w " * 10, "a")] * 2500 + [(1, "v " * 10, "b")] * 1500 + [(1, "v u " * 5, "b")] * 1000
+    df = frame(spark, rows)
+    got = mixing.mix(df).toPandas()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    assert sorted(got["taken"]) == sorted(con.sql(mixing.SQL).df()["taken"])
+    for _, g in got.groupby("target"):
+        assert abs(g["taken"].sum() / g["target"].iloc[0] - 1) < 0.01
+        rate = g["target"].iloc[0] / g["source_size"].iloc[0]
+        assert set(g["taken"] // g["size"]) <= {int(rate), int(rate) + 1}
+    assert mixing.emit(df).count() == (got["taken"] // got["size"]).sum()
+
+
+def test_extra_copies_follow_the_fraction_at_any_size(spark):
+    """The chosen seed favours no size: the share of extra copies is near the fraction among short and long rows."""
+    rows = [(i, "w " * (1 + i % 40), "ab"[i % 2]) for i in range(6000)]
+    got = mixing.mix(frame(spark, rows)).toPandas()
+    for _, g in got.groupby("target"):
+        fraction = g["target"].iloc[0] / g["source_size"].iloc[0] % 1
+        for part in (g[g["size"] <= 20], g[g["size"] > 20]):
+            extra = (part["taken"] // part["size"]) - int(g["target"].iloc[0] / g["source_size"].iloc[0])
+            assert abs(extra.mean() - fraction) < 4 * (fraction * (1 - fraction) / len(part)) ** 0.5 + 0.01
+
+
+def test_targets_on_the_table(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).toPandas()
+    for (t, _), g in got.groupby(["target", "source_size"]):
+        assert abs(g["taken"].sum() / t - 1) < 0.01
