@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..storage import shared_dir
 
 #: A side is broadcast only when it was counted and has at most so many bytes.
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 32 << 20
 #: Bounds of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
