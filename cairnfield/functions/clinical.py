@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 def systolic(c: Column) -> Column:
     """The number before ``/``; shorthand up to 30 counts tenfold ("19/11" is 190); null if there is none."""
@@ -61,3 +63,19 @@ def breadcrumb(h1: Column, h2: Column) -> Column:
 def citation(stem: Column, first: Column, last: Column) -> Column:
     say = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     return F.concat(F.lit("PCDT "), say(stem), F.lit(" (pp. "), say(first), F.lit("-"), say(last), F.lit(")"))
+
+
+# The wording around retrieved passages.
+CONTEXT_GAP = "\n\n---\n\n"
+NO_CONTEXT = "(Nenhum trecho recuperado.)"
+QUESTION, CONTEXT, REQUEST = "Pergunta do médico:\n", "\n\nContexto (trechos PCDT):\n", "\n\nResponda com base no contexto quando aplicável."
+
+
+def context_part(rank: Column, stem: Column, first: Column, last: Column, text: Column) -> Column:
+    """A retrieved passage under its numbered header."""
+    say = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    return F.concat(F.lit("["), rank.cast("string"), F.lit("] PCDT stem="), say(stem), F.lit(" págs. "), say(first), F.lit("-"), say(last), F.lit("\n"), strip(F.coalesce(text, F.lit(""))))
+
+
+def prompt(question: Column, context: Column) -> Column:
+    return F.concat(F.lit(QUESTION), F.coalesce(question, F.lit("")), F.lit(CONTEXT), F.coalesce(context, F.lit(NO_CONTEXT)), F.lit(REQUEST))

@@ -10,11 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Line ends as Python's splitlines has them, and white space as its strip has it.
+#: Characters that strip and a pattern's white space agree on.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def norm_space(c: Column) -> Column:
@@ -38,7 +40,7 @@ def ascii_fold(c: Column) -> Column:
 
 def norm_key(c: Column) -> Column:
     """Folded, lower case, everything but a-z, 0-9 and + as one space."""
-    return norm_space(F.regexp_replace(F.lower(ascii_fold(c)), "[^a-z0-9+]+", " "))
+    return F.trim(F.regexp_replace(F.lower(ascii_fold(c)), "[^a-z0-9+]+", " "))
 
 
 def norm_header(c: Column) -> Column:
@@ -63,8 +65,7 @@ def code_base(c: Column) -> Column:
 
 def clean_markdown(c: Column) -> Column:
     """Lines of one to four digits alone dropped, the rest stripped, with a line end unless empty."""
-    lines = F.filter(F.split(c, LINE_END), lambda x: ~strip(x).rlike(r"(?U)^\d{1,4}$"))
-    body = strip(F.array_join(lines, "\n"))
+    body = strip(F.regexp_replace(F.regexp_replace(c, LINE_END, "\n"), r"(?Um)^[^\S\n]*\d{1,4}[^\S\n]*$\n?", ""))
     return F.when(body == "", "").otherwise(F.concat(body, F.lit("\n")))
 
 
@@ -107,4 +108,21 @@ def html_escape(c: Column) -> Column:
 
 
 def preview(c: Column, n: int) -> Column:
-    return F.substring(F.regexp_replace(c, "\n", " "), 1, n)
+    """Line ends as spaces, the first n characters."""
+    return F.substring(F.translate(c, "\n", " "), 1, n)
+
+
+def title(c: Column, n: int = 42) -> Column:
+    """The text, or its first n - 2 characters and an ellipsis where it is longer than n."""
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 2), F.lit("…"))).otherwise(c)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``, with forward slashes; a path elsewhere stays."""
+    p, r = F.translate(path, "\\", "/"), root.rstrip("/") + "/"
+    return F.when(p.startswith(r), F.substring(p, len(r) + 1, 2**31 - 1)).otherwise(p)
+
+
+def hashed_id(prefix: str, *parts: Column) -> Column:
+    """``prefix-`` and the md5 of the parts: the same for the same row in every run. Null parts count as ``null``."""
+    return F.concat(F.lit(f"{prefix}-"), F.md5(F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_base, norm_key, norm_space, sanitize_name
+from ..functions.text import code_base, norm_header, norm_key, norm_space, sanitize_name
 from .windows import first_of, running_sum
 
 #: What the four columns of a medication table's header hold, and the form of a code.
@@ -18,9 +18,8 @@ TAG = "RENAME-2024"
 def extract(tables: DataFrame) -> DataFrame:
     """``ordinal, name`` from table rows (``table_id, row_no, cells array<string>``, row 0 the header): tables with all
     four columns, rows with a well-formed code; the first of each normalised name."""
-    heads = tables.filter("row_no = 0").select("table_id", F.transform("cells", norm_header_plain).alias("h"))
-    find = lambda word: F.coalesce(F.array_position(F.transform("h", lambda c: c.contains(word)), True), F.lit(0))
-    full = heads.select("table_id", *(find(w).alias(f"p{i}") for i, w in enumerate(HEADERS))).filter("p0 > 0 and p1 > 0 and p2 > 0 and p3 > 0")
+    heads = tables.filter("row_no = 0").select("table_id", F.posexplode("cells").alias("p", "h")).withColumn("h", norm_header(F.col("h")))
+    full = heads.groupBy("table_id").agg(*(F.min(F.when(F.col("h").contains(w), F.col("p") + 1)).alias(f"p{i}") for i, w in enumerate(HEADERS))).dropna()
     rows = tables.filter("row_no > 0").join(full, "table_id")
     cell = lambda p: F.try_element_at("cells", F.col(p).cast("int"))
     coded = rows.filter(F.upper(norm_space(F.coalesce(cell("p3"), F.lit("")))).rlike(ATC)).withColumn("name", sanitize_name(cell("p0"))).filter("name != ''")
@@ -28,12 +27,6 @@ def extract(tables: DataFrame) -> DataFrame:
     return first_of(keyed, ["key"], "ordinal").select("ordinal", "name")
 
 
-def norm_header_plain(c: Column) -> Column:
-    """Header words folded with Spark functions alone (they run inside a transform), for Latin accents."""
-    marks, plain = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
-    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), marks, plain), r"(?U)\s+", " "))
-
-
 def merge(catalog: DataFrame, names: DataFrame) -> DataFrame:
     """``code, label, active_ingredient, source_tags, is_new``.
 
@@ -56,12 +49,13 @@ def merge(catalog: DataFrame, names: DataFrame) -> DataFrame:
 
 def _first_free(pdf: pd.DataFrame) -> pd.DataFrame:
     """Codes of one root in order: the base, or the least suffix from 2 that is free."""
-    taken, rows = set(pdf.loc[pdf["ordinal"].isna(), "base"]), []
+    taken, free, rows = set(pdf.loc[pdf["ordinal"].isna(), "base"]), {}, []
     for r in pdf[pdf["ordinal"].notna()].sort_values("ordinal").itertuples():
-        code, k = r.base, 2
+        code, k = r.base, free.get(r.base, 2)  # suffixes below were found taken before
         while code in taken:
             code, k = f"{r.base}_{k}", k + 1
         taken.add(code)
+        free[r.base] = k
         rows.append((r.ordinal, r.label, code))
     return pd.DataFrame(rows, columns=["ordinal", "label", "code"])
 
@@ -93,7 +87,7 @@ def unselected(options: DataFrame, selected: DataFrame, label: str) -> DataFrame
 
 def apply_protocols(patients: DataFrame, code: str, protocols: DataFrame, default: dict) -> DataFrame:
     """Patients with their code's protocol (``code, protocol_ref, exams, actions, interaction``), or the default."""
-    side = F.broadcast(protocols.withColumnRenamed("code", "_code"))
+    side = protocols.withColumnRenamed("code", "_code")
     other = {"protocol_ref": F.lit(default["protocol_ref"]), "exams": F.array(*map(F.lit, default["exams"])), "actions": F.array(*(F.struct(F.lit(t).alias("type"), F.lit(d).alias("description")) for t, d in default["actions"])), "interaction": F.lit(False)}
     joined = patients.join(side, F.col(code) == F.col("_code"), "left")
     return joined.select(*patients.columns, *(F.when(F.col("_code").isNull(), v).otherwise(F.col(k)).alias(k) for k, v in other.items()))
@@ -104,7 +98,25 @@ def prioritised(rows: DataFrame, code: str, table: DataFrame, prefixes: dict[str
     choose = F.lit(None).cast("string")
     for prefix, target in reversed(prefixes.items()):
         choose = F.when(F.col(code).startswith(prefix), target).otherwise(choose)
-    exact, near = (F.broadcast(table.select(F.col("code").alias(f"_{k}"), F.col("answer").alias(f"_{k}a"))) for k in "en")
-    other = F.broadcast(table.filter(F.col("code") == default).select(F.col("answer").alias("_da")).withColumn("_one", F.lit(1)))
+    exact, near = (table.select(F.col("code").alias(f"_{k}"), F.col("answer").alias(f"_{k}a")) for k in "en")
+    other = table.filter(F.col("code") == default).select(F.col("answer").alias("_da")).withColumn("_one", F.lit(1))
     told = rows.withColumn("_p", choose).withColumn("_one", F.lit(1)).join(exact, F.col(code) == F.col("_e"), "left").join(near, F.col("_p") == F.col("_n"), "left").join(other, "_one", "left")
     return told.select(*rows.columns, F.coalesce("_ea", "_na", "_da").alias("answer"))
+
+
+def with_labels(rows: DataFrame, code: str, table: DataFrame) -> DataFrame:
+    """Adds ``label`` of the code, by ``table`` (``code, label``), or the code itself where it is not there."""
+    side = table.select(F.col("code").alias("_c"), F.col("label").alias("_l"))
+    return rows.join(side, rows[code] == F.col("_c"), "left").select(*rows.columns, F.coalesce("_l", code).alias("label"))
+
+
+def usable_codes(library: DataFrame | None, fallback: DataFrame, selectable) -> DataFrame:
+    """``code, label`` of the library's codes that pass ``selectable``; the fallback where there is no library or none
+    of its codes passes."""
+    found = library.filter(selectable(F.col("code"))).select("code", "label") if library is not None else None
+    return fallback.select("code", "label") if found is None or found.limit(1).isEmpty() else found
+
+
+def toggle(selected, item):
+    """An array with the item taken out if it is there, else added at the end."""
+    return F.when(F.array_contains(selected, item), F.array_remove(selected, item)).otherwise(F.array_append(selected, item))

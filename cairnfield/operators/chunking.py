@@ -16,7 +16,9 @@ from .windows import running_sum
 
 SIZE, OVERLAP = 1600, 200
 GAP = 2
+#: Separators from coarse to fine, and the levels of the header lines.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+HEADERS = (2, 3)
 
 
 def page_spans(pages: DataFrame, stem: str, page: str, text: str) -> DataFrame:
@@ -63,48 +65,73 @@ def chunk_page_ranges(spans: DataFrame, size: int = SIZE, overlap: int = OVERLAP
     return every.join(touched, ["stem", "chunk_index"], "left").select("stem", "chunk_index", *(F.coalesce(c, F.lit(1)).cast("long").alias(c) for c in ("page_start", "page_end")))
 
 
-def header_sections(markdown: str) -> list[tuple[str | None, str | None, int, str]]:
-    """(header 1, header 2, start, body) of the sections under ``##`` and ``###`` lines; a new ``##`` clears the
-    second. Header lines are no part of a body; ``#`` is none."""
+def header_sections(markdown: str, levels: tuple[int, int] = HEADERS) -> list[tuple[str | None, str | None, int, str]]:
+    """(header 1, header 2, start, body) of the sections under header lines of the two levels; a new header of the first
+    clears the second. Header lines are no part of a body; lines of other levels are text."""
     out, h1, h2, begin, at = [], None, None, 0, 0
+    marks = {"#" * n: k for k, n in enumerate(levels)}
     for line in [*markdown.splitlines(keepends=True), None]:
-        m = re.match(r"(##|###)\s+(.*)", line.strip()) if line is not None else None
+        m = re.match(r"(#+)\s+(.*)", line.strip()) if line is not None else None
+        m = m if m and m[1] in marks else None
         if m or line is None:
             if markdown[begin:at].strip():
                 out.append((h1, h2, begin, markdown[begin:at]))
             if m:
-                h1, h2 = (m[2].strip(), None) if m[1] == "##" else (h1, m[2].strip())
+                h1, h2 = (m[2].strip(), None) if marks[m[1]] == 0 else (h1, m[2].strip())
                 begin = at + len(line)
         at += len(line or "")
     return out
 
 
-def recursive_pieces(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(start, end) of pieces of at most ``size`` characters, cut after the coarsest separator that lies in the second
-    half of a piece; successive pieces overlap by up to ``overlap`` characters, from a word's start. Empty for a
-    blank text."""
-    out, start, n = [], 0, len(text)
-    while start < n and text[start:].strip():
-        end = min(n, start + size)
-        if end < n:
-            for sep in SEPARATORS[:-1]:
-                cut = text.rfind(sep, start + size // 2, end)
-                if cut >= 0:
-                    end = cut + len(sep)
-                    break
-        out.append((start, end))
-        if end >= n:
-            break
-        back = max(start + 1, end - overlap)
-        space = text.find(" ", back, end)
-        start = space + 1 if 0 <= space < end - 1 else end if space == end - 1 else back
-    return out
+def _cuts(text: str, start: int, end: int, separator: str) -> list[tuple[int, int]]:
+    """Spans between separators, each separator at the beginning of the span after it; characters if it is empty."""
+    if not separator:
+        return [(i, i + 1) for i in range(start, end)]
+    at = [start, *(m.start() for m in re.finditer(re.escape(separator), text[start:end]))]
+    at = [start, *(start + i for i in at[1:] if i), end]
+    return [(a, b) for a, b in zip(at, at[1:]) if b > a]
+
+
+def _stripped(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    part = text[a:b]
+    a, b = a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
+    return [(a, b)] if b > a else []
+
+
+def _windows(text: str, spans: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Successive spans joined while they fit ``size``; the next piece begins with the last ones that fit ``overlap``."""
+    out, low = [], 0
+    for k, (a, b) in enumerate(spans):
+        if low < k and b - spans[low][0] > size:
+            out += _stripped(text, spans[low][0], a)
+            while low < k and (a - spans[low][0] > overlap or b - spans[low][0] > size):
+                low += 1
+    return out + (_stripped(text, spans[low][0], spans[-1][1]) if spans else [])
+
+
+def recursive_pieces(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+    """(start, end) of pieces of at most ``size`` characters: the text is cut at the first separator it holds, spans
+    that are still too long at the next ones, and successive short spans are joined, with an overlap. Pieces are
+    stripped; a blank text has none. Every piece is a span of the text, so its offsets are exact."""
+
+    def split(start: int, end: int, left: tuple[str, ...]) -> list[tuple[int, int]]:
+        k = next((i for i, s in enumerate(left) if not s or s in text[start:end]), len(left) - 1)
+        out, short = [], []
+        for a, b in _cuts(text, start, end, left[k]):
+            if b - a < size or k + 1 == len(left):
+                short.append((a, b))
+                continue
+            out += _windows(text, short, size, overlap) + split(a, b, left[k + 1 :])
+            short = []
+        return out + _windows(text, short, size, overlap)
+
+    return split(0, len(text), separators)
 
 
 _CHUNKS = "source_stem string, section string, header_1 string, header_2 string, chunk_index int, start int, end int, text string"
 
 
-def section_chunks(docs: DataFrame, stem: str, text: str) -> DataFrame:
+def section_chunks(docs: DataFrame, stem: str, text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS, headers: tuple[int, int] = HEADERS) -> DataFrame:
     """Sections split recursively: a row for each piece, with exact offsets in the document's text; blank sections
     have none. Per-document Python, since separators are tried in turn."""
 
@@ -113,9 +140,9 @@ def section_chunks(docs: DataFrame, stem: str, text: str) -> DataFrame:
             rows = []
             for key, body in zip(pdf["stem"], pdf["text"]):
                 index = 0
-                for h1, h2, at, section in header_sections(body or ""):
+                for h1, h2, at, section in header_sections(body or "", headers):
                     name = " > ".join(h for h in (h1, h2) if h and h.strip()) or "(sem cabeçalho)"
-                    for a, b in recursive_pieces(section):
+                    for a, b in recursive_pieces(section, size, overlap, separators):
                         rows.append((key, name, h1, h2, index, at + a, at + b, section[a:b]))
                         index += 1
             yield pd.DataFrame(rows, columns=["source_stem", "section", "header_1", "header_2", "chunk_index", "start", "end", "text"])
@@ -129,6 +156,19 @@ def chunk_id(stem: Column, index: Column) -> Column:
     return F.concat(checked, F.lit(":"), index.cast("string"))
 
 
-def flat_metadata(m: Column) -> Column:
-    """Metadata as a map of strings: nulls dropped, lists as JSON."""
-    return F.map_filter(m, lambda _, v: v.isNotNull())
+def flat_metadata(df: DataFrame, column: str) -> Column:
+    """A struct column as a map of strings: nulls dropped, lists as JSON with ``, `` between items."""
+    entries = []
+    for f in df.schema[column].dataType.fields:
+        c = F.col(column)[f.name]
+        if f.dataType.typeName() == "array":
+            items = F.transform(c, lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""))
+            c = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+        entries.append(F.when(c.isNotNull(), F.struct(F.lit(f.name).alias("key"), c.cast("string").alias("value"))))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+
+
+def neighbours(chunks: DataFrame, n: Column, index: str = "chunk_index") -> DataFrame:
+    """Adds ``prev_index`` and ``next_index`` of a document's ``n`` chunks, numbered from 0: no window is needed."""
+    i = F.col(index)
+    return chunks.withColumns({"prev_index": F.when(i > 0, i - 1), "next_index": F.when(i + 1 < n, i + 1)})

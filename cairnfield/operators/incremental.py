@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import running_sum
+from .windows import running_sums
 
 
 def exact_duplicates(rows: DataFrame, key: str, content: Column) -> DataFrame:
     """``key, sha256, status, detail, kept``: the first of each content by key is ok, later ones are skipped.
 
-    Only keys and digests are shuffled; a digest's first key is combined before the shuffle."""
+    Only keys and digests are shuffled; a digest's first key is combined before the shuffle, and adaptive execution
+    splits the join's partitions that a common text makes large."""
     marked = rows.select(F.col(key), F.sha2(content, 256).alias("sha256"))
     first = marked.groupBy("sha256").agg(F.min(key).alias("kept"))
     later = F.col(key) != F.col("kept")
@@ -69,8 +70,25 @@ def status_counts(rows: DataFrame, status: str, domain: tuple[str, ...]) -> Data
 
 def run_counters(rows: DataFrame, order: str, status: str, domain: tuple[str, ...]) -> DataFrame:
     """Adds ``n_<status>``: rows of each status up to and with this one, in order, over the whole run."""
-    out = rows
-    for s in domain:
-        one = F.when(F.col(status) == s, 1).otherwise(0)
-        out = running_sum(out, [], order, one, f"n_{s}").withColumn(f"n_{s}", F.col(f"n_{s}") + one)
-    return out
+    one = {f"n_{s}": F.when(F.col(status) == s, 1).otherwise(0) for s in domain}
+    return running_sums(rows, [], order, one).withColumns({n: F.col(n) + c for n, c in one.items()})
+
+
+def viewer_stats(rows: DataFrame, stem: str = "source_stem") -> DataFrame:
+    """One row: documents, ok, skipped and error rows, and the chunks of ok rows whose count is a number."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    chunks = F.sum(F.when(F.col("status") == "ok", F.col("chunk_count").try_cast("long")))
+    return rows.agg(F.count_distinct(stem).alias("n_docs"), n("ok"), n("skipped"), n("error"), F.coalesce(chunks, F.lit(0)).alias("n_chunks"))
+
+
+def first_rows(rows: DataFrame, n: int | None, *order: str, from_end: bool = False) -> DataFrame:
+    """The first n rows in order; None keeps all, a negative n none, or with ``from_end`` all but the last -n, counted."""
+    ordered = rows.orderBy(*order)
+    if n is None:
+        return ordered
+    return ordered.limit(max(0, rows.count() + n if n < 0 and from_end else n))
+
+
+def seed_if_empty(existing: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The table, or the seed rows where it has none."""
+    return seeds if existing.limit(1).isEmpty() else existing

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import last_given
+
 #: Observations of a patient without any.
 DEFAULT_VITALS = {"blood_pressure": "120/80", "temperature": 36.5, "oxygen_saturation": 97, "heart_rate": 72}
 
@@ -70,8 +72,8 @@ def with_children(parents: DataFrame, key: str, *children: DataFrame) -> DataFra
 
 def carry_forward(patches: DataFrame, key: str, order: list[str], fields: dict[str, object]) -> DataFrame:
     """Each patch completed: a missing field is the last one given for the key, or the default."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return patches.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(d)) for c, d in fields.items()})
+    told = last_given(patches, key, order, {c: F.col(c) for c in fields}, with_row=True)
+    return told.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in fields.items()})
 
 
 def fold_patches(patches: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
@@ -95,3 +97,35 @@ def last_user_turn(turns: DataFrame) -> DataFrame:
     """``conv_id, turn, text`` of each conversation's last user turn."""
     users = turns.filter(F.col("role") == "user")
     return users.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+
+
+def grouped_items(items: DataFrame, parent: str, column: str, domain: list[str], *shown: str) -> DataFrame:
+    """``parent, ordinal, column, items``: each parent's items by type, in the domain's order, empty groups too; items
+    of other types are dropped. ``items`` is an array of the shown columns, sorted by them."""
+    table = F.posexplode(F.array(*map(F.lit, domain)))
+    every = items.select(parent).distinct().select(parent, table.alias("ordinal", column))
+    found = items.filter(F.col(column).isin(domain)).groupBy(parent, column).agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("items"))
+    kind = found.schema["items"].dataType
+    return every.join(found, [parent, column], "left").select(parent, "ordinal", column, F.coalesce("items", F.array().cast(kind)).alias("items"))
+
+
+def newest_first(rows: DataFrame, time: str, key: str, key_descends: bool = False) -> DataFrame:
+    """Sorted by time, latest first; ties by key."""
+    return rows.orderBy(F.desc(time), F.desc(key) if key_descends else F.asc(key))
+
+
+def by_status(exams: DataFrame, tab: str, status: str = "status") -> DataFrame:
+    """The exams of a tab: pending, completed, critical, or all."""
+    return exams if tab == "all" else exams.filter(F.col(status) == tab)
+
+
+def default_fields(name: Column, observations: Column, sex: Column) -> dict[str, Column]:
+    """Name, observations and sex as a new patient has them where they are blank."""
+    from ..functions.text import non_blank
+
+    return {"name": non_blank(name, "Paciente sem nome"), "observations": non_blank(observations, "Não informado"), "sex": F.when(F.length(sex) > 0, sex).otherwise("M")}
+
+
+def display_value(c: Column, is_list: bool = False) -> Column:
+    """A metadata value as shown: null as a dash, a list joined by commas."""
+    return F.coalesce(F.array_join(c, ", ") if is_list else c.cast("string"), F.lit("—"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clinical import systolic, vital_critical
+from .windows import last_given
 
 #: Kind, field of a patch, message (with the field's text in it).
 VITAL_RULES = (
@@ -35,8 +36,20 @@ def vital_alerts(patches: DataFrame) -> DataFrame:
 
 def transitions(rows: DataFrame, key: str, order: list[str], status: str, to: str) -> DataFrame:
     """Rows whose status became ``to``: the key's row before had another, or there was none."""
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("previous_status", before).filter((F.col(status) == to) & ~F.col("previous_status").eqNullSafe(F.lit(to)))
+    told = last_given(rows, key, order, {"_before": F.struct(F.col(status).alias("s"))}, with_row=False)
+    told = told.withColumn("previous_status", F.col("_before.s")).drop("_before")
+    return told.filter((F.col(status) == to) & ~F.col("previous_status").eqNullSafe(F.lit(to)))
+
+
+def critical_result(name: Column, result: Column) -> dict[str, Column]:
+    """The alert of an exam that has become critical; an exam without a result says so."""
+    shown = F.when(F.length(result) > 0, result).otherwise("sem valor informado")
+    return {"severity": F.lit("critical"), "category": F.lit("exam"), "message": F.concat(F.lit("Resultado crítico registrado para "), name, F.lit(": "), shown, F.lit(".")), "team": F.lit("doctors")}
+
+
+def critical_result_alerts(updates: DataFrame, key: str, order: list[str], status: str, name: Column, result: Column) -> DataFrame:
+    """The updates that made an exam critical, with the alert's ``severity, category, message, team``."""
+    return transitions(updates, key, order, status, "critical").withColumns(critical_result(name, result))
 
 
 def pending_alerts(exams: DataFrame, patient: str, name: Column, status: Column, order: str) -> DataFrame:
@@ -63,6 +76,7 @@ def flow_lines(rows: DataFrame, base: str) -> DataFrame:
     Needs ``id, code, name, age, protocol, interaction, exam_names`` (array) ``, n_items``."""
     at = lambda s: F.date_format(F.lit(base).cast("timestamp_ntz") + F.expr(f"interval {s} seconds"), "HH:mm:ss")
     stamp = lambda s, text: F.concat(F.lit("["), at(s), F.lit("] "), text)
+    # The wording of the lines.
     exams = F.array_join(F.transform("exam_names", lambda n: F.split_part(n, F.lit(" "), F.lit(1))), ", ")
     sepsis, pharmacy = F.col("code") == "A41.9", (F.col("code") == "T81.4") & F.col("interaction")
     lines = F.array(

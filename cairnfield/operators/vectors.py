@@ -39,7 +39,7 @@ def _nearest(k: int):
                 rows = []
                 for a, x in zip(q_ids.tolist(), q):
                     d = np.square(v - x).sum(axis=1)
-                    d[ids == a] = np.inf
+                    d[ids == a] = np.inf  # all vectors are finite, so no other distance is
                     near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
                     near = near[np.lexsort((ids[near], d[near]))][:k]
                     rows += [(a, b, s) for b, s in zip(ids[near].tolist(), d[near].tolist()) if s != np.inf]
@@ -50,9 +50,9 @@ def _nearest(k: int):
 
 def nearest(vectors: DataFrame, is_query, k: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, distance``: the k nearest other rows of each row that ``is_query`` picks, ties to the
-    smaller id. Vectors null, of another length than most, or holding nulls take no part."""
+    smaller id. Vectors null, of another length than most, or holding null or non-finite components take no part."""
     size = vectors.groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").filter("d > 0").first()
-    whole = F.col(id_col).isNotNull() & (F.size(vector_col) == (size["d"] if size else 0)) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x))
+    whole = F.col(id_col).isNotNull() & (F.size(vector_col) == (size["d"] if size else 0)) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(whole)
     chosen = rows.filter(is_query).select(F.col(id_col).cast("long").alias("i"), vector_col)
     n = chosen.count()

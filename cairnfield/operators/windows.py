@@ -9,23 +9,47 @@ from pyspark.sql import functions as F
 WIDTH = 4096
 
 
-def running_sum(df: DataFrame, group: list[str], order: str, value: Column, out: str, width: int = WIDTH) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the group's rows before this one, by a whole-number ``order`` column.
+def running_sums(df: DataFrame, group: list[str], order: str, values: dict[str, Column], width: int = WIDTH) -> DataFrame:
+    """Adds each column of ``values``: its sum over the group's rows before this one, by a whole-number ``order`` column.
 
     Ranges of ``order`` are summed first (a row each), their totals run up, and a window within a range adds the rest,
     so a hot group is as many tasks as it has ranges."""
-    keys = [*group, "_range"]
     if not group:
-        df, group = df.withColumn("_all", F.lit(0)), ["_all"]
-        return running_sum(df, group, order, value, out, width).drop("_all")
-    dealt = df.withColumn("_range", F.floor(F.col(order) / F.lit(width))).withColumn("_value", value)
+        return running_sums(df.withColumn("_all", F.lit(0)), ["_all"], order, values, width).drop("_all")
+    keys, names = [*group, "_range"], list(values)
+    dealt = df.withColumn("_range", F.floor(F.col(order) / F.lit(width))).withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
-    starts = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    sums = dealt.groupBy(*keys).agg(*(F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))))
+    starts = sums.select(*keys, *(F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(names))))
     inner = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("_inner", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
+    placed = dealt.withColumns({f"_i{i}": F.coalesce(F.sum(f"_v{i}").over(inner), F.lit(0)) for i in range(len(names))})
     on = [placed[k].eqNullSafe(starts[k]) for k in keys]
-    return placed.join(starts, on).select(*(placed[c] for c in df.columns), (F.col("_start") + F.col("_inner")).alias(out))
+    return placed.join(starts, on).select(*(placed[c] for c in df.columns), *((F.col(f"_b{i}") + F.col(f"_i{i}")).alias(n) for i, n in enumerate(names)))
+
+
+def running_sum(df: DataFrame, group: list[str], order: str, value: Column, out: str, width: int = WIDTH) -> DataFrame:
+    return running_sums(df, group, order, {out: value}, width)
+
+
+def last_given(df: DataFrame, key: str, order: list[str], values: dict[str, Column], with_row: bool, width: int = WIDTH) -> DataFrame:
+    """Adds each column of ``values``: its last value that is not null over the key's rows up to this one (``with_row``)
+    or before it, by ``order``; null where there is none.
+
+    Days of a time (ranges of a number) in the first order column give a row each, whose last values are carried from
+    range to range; a window within a range does the rest, so a hot key is as many tasks as it has ranges."""
+    first, names = F.col(order[0]), list(values)
+    timed = df.schema[order[0]].dataType.typeName().startswith("timestamp")
+    dealt = df.withColumn("_range", first.cast("date") if timed else F.floor(first / F.lit(width))).withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
+    at = F.struct(*order)
+    ends = dealt.groupBy(key, "_range").agg(*(F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), at)).alias(f"_e{i}") for i in range(len(names))))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), *(F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_b{i}") for i in range(len(names))))
+    inner = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if with_row else -1)
+    placed = dealt.withColumns({f"_i{i}": F.last(f"_v{i}", ignorenulls=True).over(inner) for i in range(len(names))})
+    joined = placed.join(starts, placed[key].eqNullSafe(F.col("_k")) & placed["_range"].eqNullSafe(F.col("_r")))
+    given = {n: F.coalesce(f"_i{i}", f"_b{i}") for i, n in enumerate(names)}
+    kept = [placed[c] for c in df.columns if c not in given]
+    return joined.select(*kept, *(c.alias(n) for n, c in given.items())).select(*df.columns, *(n for n in names if n not in df.columns))
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:

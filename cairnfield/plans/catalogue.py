@@ -6,11 +6,11 @@ observations and alerts, documents pages of a source, parts a catalog.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clinical, text
-from ..operators import catalogs, chunking, incremental, records, rules, vectors, windows
+from ..operators import admissions, catalogs, chunking, incremental, records, rules, vectors, windows
 from ..sources import web
 from ..storage import cut, scratch
 from ..streaming import alerts as streams
@@ -207,7 +207,7 @@ def local_filename(spark, sf_dir):
 
 @query
 def patient_detail(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").filter("c_acctbal is not null").select("c_custkey", "c_name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     orders = table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select("o_custkey", "o_orderkey", "o_orderstatus")
     children = records.nested(orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "exams", F.col("o_orderkey"))
     last = windows.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id")
@@ -401,8 +401,8 @@ def catalog_search(spark, sf_dir):
 
 @query
 def catalog_unselected(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    chosen = part.filter("p_size < 10").select(F.upper("p_name").alias("p_name"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_size", "p_brand").alias("p_name"))
+    chosen = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.upper(F.concat_ws(" ", "p_name", "p_size", "p_brand")).alias("p_name"))
     return catalogs.unselected(part, chosen, "p_name").select("p_partkey", "p_name")
 
 
@@ -483,16 +483,16 @@ def replace_by_key(spark, sf_dir):
 
 @query
 def sse_fold(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("event", F.when(F.col("role") == "assistant", "token").otherwise("sources"))
+    rows = table(spark, sf_dir, "conversations").withColumn("event", F.when(F.col("turn") % 7 == 3, "error").when(F.col("role") == "assistant", "token").otherwise("sources"))
     told = web.fold_events(rows, "conv_id", "turn", "event", "text")
     return told.select("conv_id", digest(F.col("answer")).alias("answer"), "n_tokens", "failed")
 
 
 @query
 def chunk_nav(spark, sf_dir):
-    rows = chunking.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk_index")
-    w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    return rows.select("doc_id", "chunk_index", F.lag("chunk_index").over(w).alias("prev_index"), F.lead("chunk_index").over(w).alias("next_index"))
+    counted = table(spark, sf_dir, "documents").select("doc_id", chunking.n_chunks(F.length("text")).alias("n")).filter("n > 0")
+    rows = counted.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return chunking.neighbours(rows, F.col("n")).drop("n")
 
 
 @query
@@ -504,3 +504,301 @@ def json_props(spark, sf_dir):
 def weekly_volume(spark, sf_dir):
     week = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
     return table(spark, sf_dir, "events").groupBy("event_type", week.alias("week")).agg(F.count("*").alias("n"))
+
+
+# Context for generation.
+
+
+def _context(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
+    found = _neighbours(spark, sf_dir).join(docs, "vec_id", "left")
+    part = clinical.context_part(F.col("rank"), F.col("source"), F.col("vec_id"), F.lit(None), text.preview(F.col("text"), 320))
+    return found.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", part.alias("part"))))["part"], clinical.CONTEXT_GAP).alias("context"))
+
+
+@query
+def context_block(spark, sf_dir):
+    return _context(spark, sf_dir).withColumn("context", digest(F.col("context")))
+
+
+@query
+def prompt_text(spark, sf_dir):
+    turns = records.last_user_turn(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("query_id"), "text")
+    told = turns.join(_context(spark, sf_dir), "query_id", "left")
+    return told.select("query_id", digest(clinical.prompt(F.col("text"), F.col("context"))).alias("prompt"))
+
+
+@query
+def text_previews(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", digest(text.preview(F.col("text"), 200)).alias("preview"), digest(text.title(F.col("text"))).alias("title"))
+
+
+@query
+def flat_metadata(spark, sf_dir):
+    m = F.struct(F.col("source").alias("source_stem"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("section"), F.col("n_chars").alias("chunk_index"), F.when(F.col("doc_id") % 2 == 0, F.array("doc_id", F.col("doc_id") + 1)).alias("page_range"), F.array("lang", F.lit('a"b')).alias("tags"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", m.alias("metadata"))
+    flat = rows.select("doc_id", chunking.flat_metadata(rows, "metadata").alias("m"))
+    return flat.select("doc_id", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("source_stem", "section", "chunk_index", "page_range", "tags")), F.cardinality("m").alias("n"))
+
+
+@query
+def display_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.array("doc_id", "n_chars")).alias("pages"))
+    return rows.select("doc_id", records.display_value(F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).alias("lang"), records.display_value(F.col("pages"), is_list=True).alias("pages"))
+
+
+@query
+def section_split(spark, sf_dir):
+    """Sections and pieces of a table of literal documents, whose boundaries are plain to see."""
+    docs = spark.createDataFrame([("a", "intro\n## One\nx y\n### Two\nz\n## Three\nlast"), ("b", "# Title\nbody"), ("c", None)], "stem string, text string")
+    return chunking.section_chunks(docs, "stem", "text").select("source_stem", "section", "chunk_index", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text")
+
+
+# Patients as a whole.
+
+
+def _patients(spark, sf_dir):
+    status = F.when(F.col("c_custkey") % 3 == 0, "admitted").otherwise("discharged")
+    return _coded_patients(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), status.alias("status"), F.col("code").alias("cid_code"), F.concat(F.lit("label "), "code").alias("cid_label"))
+
+
+def _exams(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("patient_id"), F.concat(F.lit("Exame "), F.col("o_orderkey").cast("string")).alias("name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("requested_at"), F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "completed").otherwise("critical").alias("status"), F.lit(None).cast("string").alias("protocol_ref"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("at_us"))
+
+
+def _attachments(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("string")).alias("id"), F.col("l_orderkey").alias("exam_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), F.lit(".pdf")).alias("name"), F.lit("application/pdf").alias("mime"), F.col("l_partkey").alias("size"), F.concat(F.lit("up/"), F.col("l_partkey").cast("string")).alias("path"))
+
+
+def _items(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'click')")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("patient_id"), F.when(F.col("event_type") == "click", "exam").otherwise("review").alias("type"), F.when(F.col("event_id") % 4 == 0, "accepted").otherwise("suggested").alias("status"))
+
+
+def _log(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("patient_id"), F.lit("admission").alias("step"), micros(F.col("ts")).alias("timestamp"), micros(F.col("ts")).alias("at_us"))
+
+
+def _vitals(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type = 'view'")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("patient_id"), F.floor("value").cast("int").alias("heart_rate"), F.col("event_id").cast("string").alias("recorded_at"), micros(F.col("ts")).alias("at_us"))
+
+
+@query
+def patient_full(spark, sf_dir):
+    return admissions.full_record(_patients(spark, sf_dir), _exams(spark, sf_dir), _attachments(spark, sf_dir), _items(spark, sf_dir), _log(spark, sf_dir), _vitals(spark, sf_dir))
+
+
+@query
+def alert_json(spark, sf_dir):
+    rows = rules.vital_alerts(_patches(spark, sf_dir)).select("patient_id", "severity", "message", F.col("recorded_at").alias("created_at"), F.lit(False).alias("resolved"))
+    return admissions.camel(rows).select(F.to_json(F.struct("patientId", "severity", "message", "createdAt", "resolved")).alias("body"))
+
+
+@query
+def patients_sorted(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.round("c_acctbal").alias("admitted_at"))
+    return records.newest_first(rows, "admitted_at", "c_custkey")
+
+
+@query
+def alerts_sorted(spark, sf_dir):
+    return records.newest_first(_alerts(spark, sf_dir).select("event_id", "team", micros(F.col("ts")).alias("ts_us")), "ts_us", "event_id")
+
+
+@query
+def exams_sorted(spark, sf_dir):
+    return records.newest_first(_exams(spark, sf_dir).select("id", "patient_id", "at_us"), "at_us", "id")
+
+
+@query
+def items_sorted(spark, sf_dir):
+    return _items(spark, sf_dir).orderBy("id")
+
+
+@query
+def log_sorted(spark, sf_dir):
+    return records.newest_first(_log(spark, sf_dir).select("id", "step", "at_us"), "at_us", "id", key_descends=True)
+
+
+@query
+def first_manifest_rows(spark, sf_dir):
+    return incremental.first_rows(table(spark, sf_dir, "pages").select("page_id", "url"), 25, "url", "page_id")
+
+
+@query
+def download_slice(spark, sf_dir):
+    """A negative limit of the download drops rows from the end."""
+    return incremental.first_rows(table(spark, sf_dir, "region"), -2, "r_regionkey", from_end=True)
+
+
+@query
+def exam_tab(spark, sf_dir):
+    return records.by_status(_exams(spark, sf_dir), "critical").select("id", "patient_id")
+
+
+@query
+def grouped_actions(spark, sf_dir):
+    told = records.grouped_items(_items(spark, sf_dir), "patient_id", "type", ["exam", "prescription", "observation"], "id")
+    return told.select("patient_id", "ordinal", "type", F.array_join(F.transform("items", lambda i: i["id"].cast("string")), ",").alias("items"))
+
+
+@query
+def new_patient_fields(spark, sf_dir):
+    k = F.col("c_custkey")
+    blank = lambda m: F.when(k % m == 0, F.lit(None).cast("string")).when(k % m == 1, F.lit("  "))
+    fields = records.default_fields(blank(3).otherwise(F.col("c_name")), blank(4).otherwise(F.lit(" visto ")), F.when(k % 2 == 0, F.lit("F")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "customer").select("c_custkey", *(c.alias(n) for n, c in fields.items()))
+
+
+@query
+def comorbidity_labels(spark, sf_dir):
+    codes = [c for c, _, _ in reference_data.COMORBIDITIES][:5] + ["??"]
+    code = F.element_at(F.array(*map(F.lit, codes)), (F.col("p_partkey") % len(codes) + 1).cast("int"))
+    return catalogs.with_labels(table(spark, sf_dir, "part").select("p_partkey", code.alias("code")), "code", reference_data.comorbidities(spark))
+
+
+@query
+def code_library(spark, sf_dir):
+    """A library's selectable codes; the fixed fallback rows where none is."""
+    code = F.concat(F.upper(F.substring("p_name", 1, 1)), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.when(F.col("p_partkey") % 3 == 0, "-X").otherwise(".1"))
+    library = table(spark, sf_dir, "part").select(code.alias("code"), F.col("p_name").alias("label"))
+    full = catalogs.usable_codes(library, reference_data.diagnoses(spark), clinical.selectable_code).withColumn("origin", F.lit("library"))
+    none = catalogs.usable_codes(library.filter("code like '%-X'"), reference_data.diagnoses(spark), clinical.selectable_code).withColumn("origin", F.lit("fallback"))
+    return full.unionByName(none)
+
+
+@query
+def toggled(spark, sf_dir):
+    chosen, item = F.array(F.lit("a"), (F.col("p_partkey") % 3).cast("string")), (F.col("p_size") % 3).cast("string")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(catalogs.toggle(chosen, item), ",").alias("chosen"))
+
+
+@query
+def relative_paths(spark, sf_dir):
+    path = F.concat(F.when(F.col("page_id") % 2 == 0, "/data/raw/").otherwise("/other/"), F.col("page_id").cast("string"), F.lit(".pdf"))
+    return table(spark, sf_dir, "pages").select("page_id", text.relative_path(path, "/data/raw").alias("path"))
+
+
+@query
+def exam_units(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Lactato "), "p_name")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", clinical.unit_of(name).alias("unit"))
+
+
+@query
+def breadcrumbs(spark, sf_dir):
+    h1, h2 = F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(" ")
+    return table(spark, sf_dir, "part").select("p_partkey", clinical.breadcrumb(h1, h2).alias("section"))
+
+
+@query
+def viewer_stats(spark, sf_dir):
+    rows = _chunk_manifest(spark, sf_dir).select(F.col("doc_id").alias("source_stem"), "status", F.when(F.col("doc_id") % 6 == 0, "n/a").otherwise(F.col("doc_id").cast("string")).alias("chunk_count"))
+    return incremental.viewer_stats(rows)
+
+
+@query
+def event_windows(spark, sf_dir):
+    told = streams.windowed_counts(table(spark, sf_dir, "events"))
+    return told.select(micros(F.col("window.start")).alias("start_us"), "event_type", "n")
+
+
+@query
+def catalog_extract(spark, sf_dir):
+    """Names of a table of literal rows: a full table, one that lacks a column, a code that is not well formed."""
+    head = ["Denominação Comum Brasileira", "Concentração/Composição", "Forma farmacêutica", "Código ATC"]
+    cells = [(1, 0, head), (1, 1, ["•ácido  fólico*", "5 mg", "comp.", "B03BB01"]), (1, 2, ["Ácido fólico", "1 mg", "comp.", "B03BB01"]), (1, 3, ["sem código", "", "", "x"]), (2, 0, head[:3]), (2, 1, ["fora", "", ""])]
+    names = catalogs.extract(spark.createDataFrame(cells, "table_id int, row_no int, cells array<string>"))
+    return names.select(F.col("ordinal.table_id").alias("table_id"), F.col("ordinal.row_no").alias("row_no"), "name")
+
+
+# Changes of state.
+
+WHEN = "2024-02-01T00:00:00"
+
+
+def _readmit(spark, sf_dir):
+    patients = _patients(spark, sf_dir)
+    return patients, admissions.readmissible(patients, patients.filter("id % 10 = 0"))
+
+
+@query
+def readmit_patients(spark, sf_dir):
+    return _readmit(spark, sf_dir)[1].select("id", "status", "refused")
+
+
+@query
+def readmit_exams(spark, sf_dir):
+    """All exams after the readmissions: those of the readmitted are deleted and their protocol's are new."""
+    fine = _readmit(spark, sf_dir)[1].filter("not refused")
+    new, _, _ = admissions.protocol_children(fine, reference_data.protocols(spark), reference_data.DEFAULT_PROTOCOL, "readmission", WHEN)
+    old = _exams(spark, sf_dir).select(F.concat(F.lit("ex-"), F.col("id").cast("string")).alias("id"), "patient_id", "name", "status")
+    after = records.replace_children(old, fine.select(F.col("id").alias("patient_id")), "patient_id", new.select("id", "patient_id", "name", "status"))
+    return after
+
+
+@query
+def readmit_vitals(spark, sf_dir):
+    fine = _readmit(spark, sf_dir)[1].filter("not refused")
+    return admissions.readmitted_vitals(fine, _vitals(spark, sf_dir), ["at_us", "id"], F.lit(WHEN))
+
+
+@query
+def code_change(spark, sf_dir):
+    """Suggested items and log of the patients whose code changed."""
+    patients = _patients(spark, sf_dir)
+    asked = patients.filter("id % 7 = 0").select("id", F.lit("A41.9").alias("cid_code"), F.lit("Sepse").alias("cid_label"))
+    moved = admissions.code_changes(patients, asked)
+    _, items, log = admissions.protocol_children(moved, reference_data.protocols(spark), reference_data.DEFAULT_PROTOCOL, "cid-update", WHEN)
+    return items.select("id", "patient_id", "description").unionByName(log.select(F.lit("log").alias("id"), "patient_id", F.col("detail").alias("description")))
+
+
+@query
+def coded_after(spark, sf_dir):
+    patients = _patients(spark, sf_dir)
+    asked = patients.filter("id % 7 = 0").select("id", F.lit("A41.9").alias("cid_code"), F.lit("Sepse").alias("cid_label"))
+    return admissions.changed(patients, admissions.code_changes(patients, asked)).select("id", "cid_code", "cid_label")
+
+
+@query
+def cascade_delete(spark, sf_dir):
+    gone = _patients(spark, sf_dir).filter("id % 5 = 0")
+    left = admissions.cascade(gone, exams=_exams(spark, sf_dir), items=_items(spark, sf_dir), attachments=_attachments(spark, sf_dir))
+    one = lambda n: left[n].agg(F.count("*").alias("n")).withColumn("table", F.lit(n))
+    return one("exams").unionByName(one("items")).unionByName(one("attachments"))
+
+
+@query
+def bulk_accept(spark, sf_dir):
+    return admissions.accept_all(_items(spark, sf_dir), _patients(spark, sf_dir).filter("id % 2 = 0")).select("id", "status")
+
+
+@query
+def upload_guard(spark, sf_dir):
+    exams = _exams(spark, sf_dir).withColumn("source", F.when(F.col("id") % 2 == 0, "manual").otherwise("protocol"))
+    return admissions.upload_target(exams, _attachments(spark, sf_dir).select("exam_id", "path"))
+
+
+def _exam_updates(events):
+    status = F.when(F.col("event_type") == "error", "critical").otherwise(F.col("event_type"))
+    result = F.when(F.col("event_id") % 3 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 3 == 1, F.lit("")).otherwise(F.col("value").cast("int").cast("string"))
+    return events.select(F.col("user_id").alias("id"), F.col("user_id").alias("patient_id"), F.col("event_id").alias("at"), F.concat(F.lit("Exame "), F.col("user_id").cast("string")).alias("name"), status.alias("status"), result.alias("result"))
+
+
+@query
+def critical_results(spark, sf_dir):
+    told = rules.critical_result_alerts(_exam_updates(table(spark, sf_dir, "events")), "id", ["at"], "status", F.col("name"), F.col("result"))
+    return told.select("id", "patient_id", "at", "severity", "category", "message", "team")
+
+
+@query
+def stream_critical_results(spark, sf_dir):
+    """The same alerts from a stream, with an exam's last status as state."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    out = scratch(spark, "critical")
+    streams.critical_stream(_exam_updates(events), out, scratch(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .reference_data import DEFAULT_PROTOCOL, PROTOCOLS, QUICK_QUESTIONS
+from ..functions.clinical import CONTEXT, CONTEXT_GAP, NO_CONTEXT, QUESTION, REQUEST
+from .reference_data import COMORBIDITIES, DEFAULT_PROTOCOL, DIAGNOSES, PROTOCOLS, QUICK_QUESTIONS
 
 
 def _text(s: str) -> str:
@@ -134,7 +135,7 @@ SQL = {
         SELECT ordinal, label, base || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '_' || row_number() OVER w END AS code FROM b WINDOW w AS (PARTITION BY base ORDER BY ordinal)""",
     "catalog_list": "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_name",
     "catalog_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red')",
-    "catalog_unselected": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size < 10)",
+    "catalog_unselected": "WITH p AS (SELECT p_partkey, p_name || ' ' || p_size || ' ' || p_brand AS p_name FROM part) SELECT p_partkey, p_name FROM p WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM p WHERE p_partkey % 3 = 0)",
     "code_selectable": "WITH c AS (SELECT p_partkey, upper(p_name[1]) || lpad(CAST(p_size AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 3 = 0 THEN '-X' ELSE '.1' END AS code FROM part) SELECT p_partkey, code, regexp_matches(code, '^[A-Z][0-9][0-9]') AND NOT contains(code, '-') AS selectable FROM c",
     "manifest_stats": _MANIFEST + " SELECT status, (SELECT count(*) FROM f WHERE f.status = t.status) AS n FROM (VALUES ('ok'), ('skipped'), ('error'), ('pending')) t(status)",
     "run_counters": _MANIFEST + " SELECT doc_id, status, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') OVER (ORDER BY doc_id) AS n_{s}" for s in ("ok", "skipped", "error")) + " FROM f",
@@ -144,9 +145,90 @@ SQL = {
     "manifest_scan": "SELECT DISTINCT (page_id % 100) || '.PDF' AS relative_path FROM pages WHERE page_id % 5 <> 0 AND page_id % 3 = 0 AND page_id % 100 IN (SELECT page_id % 100 FROM pages WHERE page_id % 2 = 0)",
     "manifest_upsert": "WITH u AS (SELECT DISTINCT doc_id * 2 AS key, quality FROM labels) SELECT coalesce(u.key, d.doc_id) AS key, CASE WHEN u.key IS NULL THEN d.lang END AS error, CASE WHEN u.key IS NULL THEN d.n_chars ELSE CAST(u.quality AS BIGINT) END AS n FROM documents d FULL JOIN u ON u.key = d.doc_id",
     "replace_by_key": "SELECT doc_id, n_chars AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, CAST(toxic AS BIGINT) FROM labels",
-    "sse_fold": "SELECT conv_id, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS answer, count(*) FILTER (WHERE role = 'assistant') AS n_tokens, false AS failed FROM conversations GROUP BY conv_id",
+    "sse_fold": "WITH e AS (SELECT *, CASE WHEN turn % 7 = 3 THEN 'error' WHEN role = 'assistant' THEN 'token' ELSE 'sources' END AS event FROM conversations) SELECT conv_id, sha256(coalesce(string_agg(CASE WHEN event = 'token' THEN text END, '' ORDER BY turn), '')) AS answer, count(*) FILTER (WHERE event = 'token') AS n_tokens, bool_or(event = 'error') AS failed FROM e GROUP BY conv_id",
     "chunk_nav": _CHUNKS + " SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(lag(i) OVER w AS INTEGER) AS prev_index, CAST(lead(i) OVER w AS INTEGER) AS next_index FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)",
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "weekly_volume": "SELECT event_type, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS BIGINT) AS week, count(*) AS n FROM events GROUP BY 1, 2",
 }
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CONTEXT = (
+    _NEAR
+    + f""", b AS (SELECT query_id, string_agg('[' || rank || '] PCDT stem=' || coalesce(d.source, '?') || ' págs. ' || vec_id || '-?' || chr(10) || {_STRIP.format("coalesce(replace(text, chr(10), ' ')[1:320], '')")}, {_text(CONTEXT_GAP)} ORDER BY rank) AS context
+      FROM r LEFT JOIN documents d ON d.doc_id = r.vec_id GROUP BY query_id)"""
+)
+_PATIENTS = f"SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'admitted' ELSE 'discharged' END AS status, code AS cid_code, 'label ' || code AS cid_label FROM ({_CODED})"
+_EXAMS = "SELECT o_orderkey AS id, o_custkey AS patient_id, 'Exame ' || o_orderkey AS name, strftime(o_orderdate, '%Y-%m-%d') AS requested_at, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'critical' END AS status, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS at_us FROM orders"
+_ITEMS = "SELECT event_id AS id, user_id AS patient_id, CASE WHEN event_type = 'click' THEN 'exam' ELSE 'review' END AS type, CASE WHEN event_id % 4 = 0 THEN 'accepted' ELSE 'suggested' END AS status FROM events WHERE event_type IN ('purchase', 'click')"
+_FILES = "SELECT l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice AS id, l_orderkey AS exam_id, 'f' || l_linenumber || '.pdf' AS name, 'application/pdf' AS mime, l_partkey AS size, 'up/' || l_partkey AS path FROM lineitem"
+_READMIT = f"WITH p AS ({_PATIENTS}), r AS (SELECT * FROM p WHERE id % 10 = 0), fine AS (SELECT * FROM r WHERE status <> 'admitted')"
+_MOVED = f"WITH p AS ({_PATIENTS}), m AS (SELECT id FROM p WHERE id % 7 = 0 AND cid_code <> 'A41.9')"
+
+SQL |= {
+    "context_block": _CONTEXT + " SELECT query_id, sha256(context) AS context FROM b",
+    "prompt_text": _CONTEXT
+    + f""", u AS (SELECT conv_id AS query_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)
+        SELECT u.query_id, sha256({_text(QUESTION)} || coalesce(u.text, '') || {_text(CONTEXT)} || coalesce(b.context, {_text(NO_CONTEXT)}) || {_text(REQUEST)}) AS prompt FROM u LEFT JOIN b USING (query_id)""",
+    "text_previews": "SELECT doc_id, sha256(replace(text, chr(10), ' ')[1:200]) AS preview, sha256(CASE WHEN length(text) > 42 THEN text[1:40] || '…' ELSE text END) AS title FROM documents",
+    "flat_metadata": """SELECT doc_id, source AS source_stem, CASE WHEN doc_id % 3 = 0 THEN lang END AS section, CAST(n_chars AS VARCHAR) AS chunk_index,
+        CASE WHEN doc_id % 2 = 0 THEN '[' || doc_id || ', ' || (doc_id + 1) || ']' END AS page_range, '["' || lang || '", "a\\"b"]' AS tags,
+        CAST((source IS NOT NULL)::INT + (doc_id % 3 = 0 AND lang IS NOT NULL)::INT + (n_chars IS NOT NULL)::INT + (doc_id % 2 = 0)::INT + 1 AS INTEGER) AS n FROM documents""",
+    "display_values": "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, '—') AS lang, CASE WHEN doc_id % 2 = 0 THEN doc_id || ', ' || n_chars ELSE '—' END AS pages FROM documents",
+    "section_split": """SELECT * FROM (VALUES ('a', '(sem cabeçalho)', 0, 0, 5, 'intro'), ('a', 'One', 1, 13, 16, 'x y'), ('a', 'One > Two', 2, 25, 26, 'z'), ('a', 'Three', 3, 36, 40, 'last'),
+        ('b', '(sem cabeçalho)', 0, 0, 12, '# Title' || chr(10) || 'body')) t(source_stem, section, chunk_index, char_start, char_end, text)""",
+    "patient_full": f"""WITH p AS ({_PATIENTS}), f AS (SELECT exam_id, list({{'name': name, 'mime': mime, 'size': size, 'path': path}} ORDER BY id) AS fs FROM ({_FILES}) GROUP BY exam_id),
+        e AS (SELECT patient_id, list({{'id': id, 'name': name, 'requestedAt': requested_at, 'status': status, 'protocolRef': CAST(NULL AS VARCHAR), 'attachments': coalesce(fs, [])}} ORDER BY at_us DESC, id) AS es FROM ({_EXAMS}) LEFT JOIN f ON exam_id = id GROUP BY patient_id),
+        i AS (SELECT patient_id, list({{'id': id, 'type': type, 'status': status}} ORDER BY id) AS xs FROM ({_ITEMS}) GROUP BY patient_id),
+        l AS (SELECT user_id AS patient_id, list({{'id': event_id, 'step': 'admission', 'timestamp': epoch_us(ts)}} ORDER BY ts DESC, event_id DESC) AS ls FROM events WHERE event_type = 'error' GROUP BY 1),
+        v AS (SELECT user_id AS patient_id, arg_max(CAST(floor(value) AS INTEGER), (ts, event_id)) AS hr, arg_max(CAST(event_id AS VARCHAR), (ts, event_id)) AS shown FROM events WHERE event_type = 'view' GROUP BY 1)
+        SELECT p.id, CAST(to_json({{'id': p.id, 'name': p.name, 'status': p.status, 'cid': {{'code': cid_code, 'label': cid_label}}, 'vitalSigns': {{'heartRate': coalesce(hr, 72), 'updatedAt': shown}},
+          'exams': coalesce(es, []), 'suggestedItems': coalesce(xs, []), 'agentLog': coalesce(ls, [])}}) AS VARCHAR) AS body
+        FROM p LEFT JOIN e ON e.patient_id = p.id LEFT JOIN i ON i.patient_id = p.id LEFT JOIN l ON l.patient_id = p.id LEFT JOIN v ON v.patient_id = p.id""",
+    "patients_sorted": "SELECT c_custkey, c_name, round(c_acctbal) AS admitted_at FROM customer ORDER BY admitted_at DESC, c_custkey",
+    "alerts_sorted": _TEAMS + " SELECT event_id, team, epoch_us(ts) AS ts_us FROM a ORDER BY ts DESC, event_id",
+    "exams_sorted": f"SELECT id, patient_id, at_us FROM ({_EXAMS}) ORDER BY at_us DESC, id",
+    "items_sorted": f"{_ITEMS} ORDER BY id",
+    "log_sorted": "SELECT event_id AS id, 'admission' AS step, epoch_us(ts) AS at_us FROM events WHERE event_type = 'error' ORDER BY at_us DESC, id DESC",
+    "first_manifest_rows": "SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 25",
+    "download_slice": "SELECT * FROM region ORDER BY r_regionkey LIMIT (SELECT count(*) - 2 FROM region)",
+    "exam_tab": f"SELECT id, patient_id FROM ({_EXAMS}) WHERE status = 'critical'",
+    "grouped_actions": f"""WITH i AS ({_ITEMS}), d AS (SELECT DISTINCT patient_id FROM i)
+        SELECT d.patient_id, t.ordinal, t.type, coalesce(string_agg(CAST(i.id AS VARCHAR), ',' ORDER BY i.id), '') AS items
+        FROM d, (VALUES (0, 'exam'), (1, 'prescription'), (2, 'observation')) t(ordinal, type) LEFT JOIN i ON i.patient_id = d.patient_id AND i.type = t.type GROUP BY ALL""",
+    "new_patient_fields": "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'Paciente sem nome' ELSE c_name END AS name, CASE WHEN c_custkey % 4 < 2 THEN 'Não informado' ELSE 'visto' END AS observations, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex FROM customer",
+    "comorbidity_labels": f"WITH c AS (SELECT p_partkey, {[c for c, _, _ in COMORBIDITIES][:5] + ['??']}[p_partkey % 6 + 1] AS code FROM part) SELECT p_partkey, c.code, coalesce(t.label, c.code) AS label FROM c LEFT JOIN {_values([(c, x) for c, x, _ in COMORBIDITIES])} t(code, label) ON t.code = c.code",
+    "code_library": f"""WITH c AS (SELECT upper(p_name[1]) || lpad(CAST(p_size AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 3 = 0 THEN '-X' ELSE '.1' END AS code, p_name AS label FROM part)
+        SELECT code, label, 'library' AS origin FROM c WHERE regexp_matches(code, '^[A-Z][0-9][0-9]') AND NOT contains(code, '-') UNION ALL SELECT code, label, 'fallback' FROM {_values(DIAGNOSES)} t(code, label)""",
+    "toggled": "SELECT p_partkey, CASE WHEN p_size % 3 = p_partkey % 3 THEN 'a' ELSE 'a,' || (p_partkey % 3) || ',' || (p_size % 3) END AS chosen FROM part",
+    "relative_paths": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id || '.pdf' ELSE '/other/' || page_id || '.pdf' END AS path FROM pages",
+    "exam_units": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'mmol/L' ELSE 'mg/dL' END AS unit FROM part",
+    "breadcrumbs": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 2 = 0 THEN p_name || ' > ' || p_brand WHEN p_partkey % 3 > 0 THEN p_name WHEN p_partkey % 2 = 0 THEN p_brand ELSE '(sem cabeçalho)' END AS section FROM part",
+    "viewer_stats": _CHUNK_MANIFEST + " SELECT count(DISTINCT doc_id) AS n_docs, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'skipped') AS n_skipped, count(*) FILTER (WHERE status = 'error') AS n_error, CAST(sum(CASE WHEN status = 'ok' AND doc_id % 6 <> 0 THEN doc_id END) AS BIGINT) AS n_chunks FROM k",
+    "event_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "catalog_extract": "SELECT 1 AS table_id, 1 AS row_no, 'Acido folico' AS name",
+    "readmit_patients": _READMIT + " SELECT id, status, status = 'admitted' AS refused FROM r",
+    "readmit_exams": _READMIT
+    + f""" SELECT 'ex-' || id AS id, patient_id, name, status FROM ({_EXAMS}) WHERE patient_id NOT IN (SELECT id FROM fine)
+        UNION ALL SELECT 'ex-' || md5('readmission:' || id || ':' || pos), id, item, 'pending' FROM fine JOIN {_PROTOCOL_ITEMS} t(pcode, kind, pos, item) ON pcode = cid_code AND kind = 'exam'""",
+    "readmit_vitals": _READMIT + " SELECT id AS patient_id, coalesce(arg_max(CAST(floor(value) AS INTEGER), (ts, event_id)), 72) AS heart_rate, '2024-02-01T00:00:00' AS recorded_at FROM fine LEFT JOIN events ON user_id = id AND event_type = 'view' GROUP BY id",
+    "code_change": _MOVED
+    + f""" SELECT 'sa-' || md5('cid-update:' || id || ':' || pos) AS id, id AS patient_id, item AS description FROM m JOIN {_PROTOCOL_ITEMS} t(pcode, kind, pos, item) ON pcode = 'A41.9' AND kind = 'action'
+        UNION ALL SELECT 'log', id, 'Protocolo aplicado para CID A41.9' FROM m""",
+    "coded_after": _MOVED + " SELECT id, CASE WHEN id IN (SELECT id FROM m) THEN 'A41.9' ELSE cid_code END AS cid_code, CASE WHEN id IN (SELECT id FROM m) THEN 'Sepse' ELSE cid_label END AS cid_label FROM p",
+    "cascade_delete": """WITH g AS (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)
+        SELECT 'exams' AS "table", count(*) AS n FROM orders WHERE o_custkey NOT IN (FROM g) UNION ALL
+        SELECT 'items', count(*) FROM events WHERE event_type IN ('purchase', 'click') AND user_id NOT IN (FROM g) UNION ALL
+        SELECT 'attachments', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM g))""",
+    "bulk_accept": f"SELECT id, CASE WHEN patient_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AND status = 'suggested' THEN 'accepted' ELSE status END AS status FROM ({_ITEMS})",
+    "upload_guard": "SELECT l_orderkey AS exam_id, 'up/' || l_partkey AS path, l_orderkey % 2 <> 0 AS refused FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "critical_results": """WITH u AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+        SELECT user_id AS id, user_id AS patient_id, event_id AS at, 'critical' AS severity, 'exam' AS category, 'doctors' AS team,
+          'Resultado crítico registrado para Exame ' || user_id || ': ' || CASE WHEN event_id % 3 = 2 THEN CAST(CAST(trunc(value) AS INTEGER) AS VARCHAR) ELSE 'sem valor informado' END || '.' AS message
+        FROM u WHERE event_type = 'error' AND before IS DISTINCT FROM 'error'""",
+    "alert_json": _PATCHES + """, a AS (SELECT patient_id, recorded_at, 'SpO2 crítico registrado (' || spo2 || '%).' AS message FROM s WHERE spo2 < 92
+        UNION ALL SELECT patient_id, recorded_at, 'Temperatura crítica registrada (' || format('{:.1f}', temp) || ' °C).' FROM s WHERE temp >= 39 OR temp < 35
+        UNION ALL SELECT patient_id, recorded_at, 'Frequência cardíaca crítica registrada (' || hr || ' bpm).' FROM s WHERE hr > 120 OR hr < 45
+        UNION ALL SELECT patient_id, recorded_at, 'Pressão arterial crítica registrada (' || bp || ').' FROM s WHERE sys >= 180)
+        SELECT CAST(to_json({'patientId': patient_id, 'severity': 'critical', 'message': message, 'createdAt': recorded_at, 'resolved': false}) AS VARCHAR) AS body FROM a""",
+}
 SQL["stream_vital_alerts"] = SQL["vital_alerts"]
+SQL["stream_critical_results"] = SQL["critical_results"]

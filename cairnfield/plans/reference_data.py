@@ -11,6 +11,7 @@ PROTOCOLS = {
     "T81.4": ("Protocolo Pós-Cirúrgico - Controle de Infecção", ["Hemograma completo", "PCR", "Cultura de sítio cirúrgico", "Glicemia"], [("prescription", "Verificar interação: antibiótico + anticoagulante em uso"), ("exam", "Solicitar cultura de sítio cirúrgico"), ("observation", "Inspecionar ferida operatória")], True),
     "M05.3": ("Diretriz Artrite Reumatoide - CFM/MS (referência mock)", ["Hemograma completo", "PCR (ves)", "Fator reumatoide e anti-CCP", "Função hepática (TGO/TGP)", "Creatinina"], [("exam", "Solicitar PCR e autoanticorpos"), ("exam", "Avaliar marcadores de atividade de doença"), ("prescription", "Avaliar dmard de acordo com protocolo institucional"), ("review", "Reavaliação ambulatorial em 4-8 semanas")], False),
 }
+# What other codes get.
 DEFAULT_PROTOCOL = {"protocol_ref": "Protocolo institucional genérico (mock)", "exams": ["Hemograma completo", "Creatinina sérica"], "actions": [("exam", "Solicitar exames basais conforme protocolo"), ("review", "Reavaliação clínica em 24-48h")]}
 
 # First quick question by code, prefixes that stand for a code.

@@ -24,9 +24,22 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``stem, page, markdown`` from ``*.pages.jsonl``; a missing markdown is empty."""
+    """``stem, page, markdown`` from ``*.pages.jsonl``, or from what ``write_pages`` wrote; by page within a stem. A
+    missing markdown is empty."""
     rows = spark.read.schema(schemas.PAGES).option("mode", "FAILFAST").json(path)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.pages\.jsonl$", 1).alias("stem"), "page", F.coalesce("markdown", F.lit("")).alias("markdown"))
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.pages\.jsonl$", 1)
+    stem = F.when(named != "", named).otherwise(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/stem=([^/]*)/", 1)))
+    return rows.select(stem.alias("stem"), "page", F.coalesce("markdown", F.lit("")).alias("markdown")).sortWithinPartitions("stem", "page")
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """``stem, page, markdown`` as JSON lines in a folder for each stem; a run replaces the folder."""
+    pages.select("stem", "page", "markdown").write.mode("overwrite").partitionBy("stem").json(path)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """``text, metadata`` as JSON lines, which ``read_chunks`` reads; nulls are left out, a run replaces the folder."""
+    chunks.select("text", "metadata").write.mode("overwrite").json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +88,11 @@ def write_manifest(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def run_summary(rows: DataFrame, script_version: str, listing_url: str, started_at: str, updated_at: str) -> DataFrame:
-    """The one-row summary of a download run: counts by status and the first errors."""
+    """The one-row summary of a download run: counts by status and the first 20 errors by id, then ``...`` if there are
+    more. Only so many errors are gathered."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    errors = F.slice(F.sort_array(F.collect_list(F.when(F.col("status") == "error", F.struct("id", "detail")))), 1, 20)
-    counted = rows.agg(count("ok"), count("skipped"), count("error"), F.count("*").alias("links_discovered"), errors["detail"].alias("errors"))
+    first = rows.filter("status = 'error'").select("id", F.coalesce("detail", F.lit("")).alias("detail")).orderBy("id", "detail").limit(21)
+    told = first.agg(F.sort_array(F.collect_list(F.struct("id", "detail")))["detail"].alias("_e"))
+    shown = F.when(F.size("_e") > 20, F.array_append(F.slice("_e", 1, 20), F.lit("..."))).otherwise(F.col("_e"))
+    counted = rows.agg(count("ok"), count("skipped"), count("error"), F.count("*").alias("links_discovered")).join(told).withColumn("errors", shown)  # one row each
     return counted.select(F.lit(started_at).alias("run_started_at"), F.lit(updated_at).alias("last_updated_at"), F.lit(script_version).alias("script_version"), F.lit(listing_url).alias("listing_url"), "links_discovered", F.struct("ok", "skipped", "error").alias("counts"), "errors")

@@ -100,4 +100,4 @@ def test_upsert_stream(spark, tmp_path):
     for v in (1, 2):
         spark.createDataFrame([("a", v), (f"k{v}", v)], "k string, v int").coalesce(1).write.mode("append").parquet(src)
         alerts.upsert_stream(spark.readStream.schema("k string, v int").parquet(src), "k", out, cp).awaitTermination(60)
-    assert sorted(map(tuple, spark.read.parquet(f"{out}/v=1").collect())) == [("a", 2), ("k1", 1), ("k2", 2)]
+    assert sorted(map(tuple, alerts.read_upserted(spark, out, spark.read.parquet(src).schema).collect())) == [("a", 2), ("k1", 1), ("k2", 2)]
