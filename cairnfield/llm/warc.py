@@ -26,16 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_side, stage_path, stage_table
+from ..operators.windows import running_sum
+from .common import bound_batches, drop_stage, small_side, stage_path, stage_table
 
 #: Captures in a locally sorted run, in a written segment of it, and in a merged range (about).
 RUN_ROWS = 50_000
 SEGMENT_ROWS = 1024
 RANGE_ROWS = 32_768
-#: Segment keys the driver looks at to choose range limits, at most (about).
-LIMIT_KEYS = 20_000
+#: Captures to a key that range limits are chosen from, and keys a task sorts for that.
+KEY_ROWS, KEYS_SORTED = 128, 50_000
 
 CRLF = "\r\n"
+#: Fixed value of the format: what a revisit by equal payloads says.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Time of page 0; page n is n seconds later. The pages have no time of their own.
 FIRST = 1_700_000_000
 
@@ -82,12 +85,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _header("WARC-Payload-Length", F.col("n_bytes")),
         _header("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("keep").cast("string"), F.lit(">")))),
+        _header("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         _header("Content-Type", F.lit("text/html; charset=utf-8")),
         _header("Content-Length", F.octet_length(body)),
         F.lit(CRLF),
         body,
     )
     told.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+    drop_stage(groups)
     return path, run
 
 
@@ -202,10 +207,11 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield segments()
 
 
-def _cut(limits: list[tuple]):
+def _cut(broadcast):
     schema = pa.schema([("range", pa.int64()), ("run", pa.int64()), ("segment", pa.int64()), ("n", pa.int64()), ("captures", pa.list_(_CAPTURE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits = broadcast.value
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -234,16 +240,17 @@ def capture_histories(records: DataFrame) -> DataFrame:
     bound_batches(records.sparkSession)
     runs = stage_table(records.select(*NAMES).mapInArrow(_sorted_runs, f"run long, segment long, first struct<url_key: string, capture_time: string, page_id: long>, captures array<{CAPTURE}>"), "runs")
     sized = runs.agg(F.count("*").alias("k"), F.sum(F.size("captures")).alias("n")).first()
-    # A sample of sorted runs at even steps, thinned by a hash so that the driver holds a bounded number.
-    thin = max(1, -(-sized["k"] * 8 // LIMIT_KEYS))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.element_at("captures", (i * F.size("captures") / 8).cast("int") + 1))
-    keys = runs.filter(F.pmod(F.xxhash64("run", "segment"), F.lit(thin)) == 0).select(F.explode(steps).alias("c")).select(*(F.col("c")[n].alias(n) for n in _KEY.names))
-    sample = sorted(capture_key(r.asDict()) for r in keys.collect())
-    ranges = max(1, (sized["n"] or 0) // RANGE_ROWS)
-    limits = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    # Every KEY_ROWS-th capture of the sorted runs, sorted in ranges; of these the driver holds one in so many, so a limit
+    # stands for RANGE_ROWS captures at any size.
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size("captures") - 1) / F.lit(KEY_ROWS)).cast("int")), lambda i: F.element_at("captures", i * KEY_ROWS + 1))
+    keys = runs.select(F.explode(steps).alias("c")).select(*(F.col("c")[n].alias(n) for n in _KEY.names))
+    dealt = stage_table(keys.repartitionByRange(max(1, (sized["n"] or 0) // (KEY_ROWS * KEYS_SORTED)), *_KEY.names).withColumn("_part", F.spark_partition_id()), "keys")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*_KEY.names))
+    chosen = dealt.withColumn("_i", place).filter(F.col("_i") % max(1, RANGE_ROWS // KEY_ROWS) == 0).select(*_KEY.names)
+    limits = records.sparkSession.sparkContext.broadcast(sorted({capture_key(r.asDict()) for r in chosen.collect()}))
     pieces = stage_table(runs.mapInArrow(_cut(limits), f"range long, run long, segment long, n long, captures array<{CAPTURE}>"), "cuts")
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.groupBy("range").agg(F.sum("n").alias("_n")).select("range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    drop_stage(runs, dealt)
+    starts = running_sum(pieces.groupBy("range").agg(F.sum("n").alias("_n")), [], "range", F.col("_n"), "_start").drop("_n")
     merged = pieces.groupBy("range").applyInPandas(_merge, "url_key string, capture_time string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, range long, at long")
     return merged.join(starts, "range").select(*NAMES, (F.col("_start") + F.col("at")).alias("history_pos"))
 

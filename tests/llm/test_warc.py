@@ -56,6 +56,7 @@ def test_small_splits_read_the_same(spark):
 
 def test_histories_against_sql(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    monkeypatch.setattr(warc, "KEY_ROWS", 4)
     monkeypatch.setattr(warc, "SEGMENT_ROWS", 16)
     rows = [(i, f"http://h{i % 3}.example.com/{i % 5}", f"body {i % 40}") for i in range(500)]
     got = warc.capture_histories(index(spark, rows)[0]).toPandas()
@@ -78,3 +79,18 @@ def test_loser_tree_is_a_sort(runs):
     runs = [as_rows(r) for r in runs]
     got = list(warc.LoserTree(map(iter, runs)))
     assert [warc.capture_key(c) for c in got] == sorted(warc.capture_key(c) for r in runs for c in r)
+
+
+def test_a_hot_url_over_several_ranges(spark, monkeypatch):
+    """One URL holds most captures: its ranges are cut at whole keys and the order stays global."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    monkeypatch.setattr(warc, "KEY_ROWS", 4)
+    rows = [(i, "http://hot.example.com/" if i % 8 else f"http://x{i % 5}.example.com/", f"b{i}") for i in range(600)]
+    got = warc.capture_histories(index(spark, rows)[0]).collect()
+    assert [r.history_pos for r in sorted(got, key=lambda r: (r.url_key, r.capture_time, r.page_id))] == list(range(600))
+
+
+def test_revisits_name_their_profile(spark):
+    path, _ = warc.write_archives(spark.createDataFrame([(1, "u", "a"), (2, "v", "a")], "page_id long, url string, html string"))
+    text = "".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+    assert text.count(f"WARC-Profile: {warc.PROFILE}\r\n") == 1 == text.count("WARC-Type: revisit")
