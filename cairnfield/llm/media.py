@@ -10,9 +10,11 @@ payload's crc); ``samples`` reads the payload back from the confirmed structure.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -110,7 +112,29 @@ def _gif(b: bytes, o: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, o: int) -> int | None:
+class Marks:
+    """Where some bytes occur in a value, found once for all validators."""
+
+    def __init__(self, b: bytes) -> None:
+        self.b, self.found = b, {}
+
+    def places(self, what: bytes) -> list[int]:
+        if what not in self.found:
+            self.found[what] = [m.start() for m in re.finditer(re.escape(what), self.b)]
+        return self.found[what]
+
+    def next(self, what: bytes, at: int) -> int:
+        """The first place from ``at`` on, or -1."""
+        i = bisect.bisect_left(self.places(what), at)
+        return self.places(what)[i] if i < len(self.places(what)) else -1
+
+    def last(self, what: bytes, end: int) -> int:
+        """The last place that ends by ``end``, or -1."""
+        i = bisect.bisect_right(self.places(what), end - len(what))
+        return self.places(what)[i - 1] if i else -1
+
+
+def _jpeg(b: bytes, o: int, marks: Marks) -> int | None:
     at = o + 2
     while at + 4 <= len(b) and b[at] == 0xFF and 0xC0 <= b[at + 1] <= 0xFE and b[at + 1] not in (0xD8, 0xD9):
         n = struct.unpack_from(">H", b, at + 2)[0]
@@ -118,7 +142,7 @@ def _jpeg(b: bytes, o: int) -> int | None:
             return None
         scan, at = b[at + 1] == 0xDA, at + 2 + n
         if scan:
-            end = b.find(b"\xff\xd9", at)
+            end = marks.next(b"\xff\xd9", at)
             return end + 2 - o if end >= 0 else None
     return None
 
@@ -135,15 +159,17 @@ def _gzip(b: bytes, o: int) -> int | None:
     return at - len(stream.unused_data) - o if stream.eof else None
 
 
-def _pdf(b: bytes, o: int) -> int | None:
-    if not b[o + 5 : o + 6].isdigit() or b[o + 6 : o + 7] != b"." or b.find(b"startxref", o) < 0:
+def _pdf(b: bytes, o: int, marks: Marks) -> int | None:
+    if not b[o + 5 : o + 6].isdigit() or b[o + 6 : o + 7] != b"." or marks.next(b"startxref", o) < 0:
         return None
-    nxt = b.find(b"%PDF-", o + 5)
-    end = b.rfind(b"%%EOF", o, nxt if nxt >= 0 else len(b))
-    return end + 5 - o if end >= 0 else None
+    nxt = marks.next(b"%PDF-", o + 5)
+    end = marks.last(b"%%EOF", nxt if nxt >= 0 else len(b))
+    return end + 5 - o if end >= o else None
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {
+#: Types whose end is looked for; their validators get the value's marks.
+SEARCHING = {"image/jpeg", "application/pdf"}
+VALIDATORS: dict[str, Callable[..., int | None]] = {
     "audio/wav": _wav,
     "audio/basic": _au,
     "image/bmp": _bmp,
@@ -166,9 +192,10 @@ def _automaton() -> ahocorasick.Automaton:
 
 def find(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of all confirmed media in ``data``, by offset."""
-    out = []
+    out, marks = [], Marks(data)
     for end, (kind, n) in _automaton().iter(data.decode("latin-1")):
-        length = VALIDATORS[kind](data, end + 1 - n)
+        at = (data, end + 1 - n, marks) if kind in SEARCHING else (data, end + 1 - n)
+        length = VALIDATORS[kind](*at)
         if length:
             out.append((kind, end + 1 - n, length))
     return out

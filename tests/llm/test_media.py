@@ -61,3 +61,19 @@ def test_documents(spark):
         assert (by[i].n_bytes, by[i].payload_bytes, by[i].payload_sha256, by[i].tail_crc32) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     assert by[1][1:] == by[5][1:] and by[2][1:] == by[3][1:]
     assert media.read_media(media.store_texts(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_many_magic_numbers_without_an_end_take_linear_time():
+    import time
+
+    for magic in (b"%PDF-1.", b"\xff\xd8\xff\xda\x00\x02"):
+        began = time.process_time()
+        assert media.find(magic * 60_000) == []
+        assert time.process_time() - began < 20
+
+
+def test_a_text_of_megabytes(spark):
+    text = "long ünd %PDF-1.4 text " * 100_000
+    [r] = media.read_media(media.store_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    whole = media.padded(text.encode())
+    assert (r.n_bytes, r.payload_bytes) == (len(text.encode()), len(whole)) and r.payload_sha256 == hashlib.sha256(whole).hexdigest()
