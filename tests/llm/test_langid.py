@@ -67,3 +67,27 @@ def test_nothing_to_learn(spark):
     assert langid.fit(none) is None
     assert [(r.lang_pred, r.score) for r in langid.identify(none, None).collect()] == [("und", 0.0)]
     assert langid.identify(none.limit(0), langid.fit(none.limit(0))).count() == 0
+
+
+def test_pooling_against_position_by_position():
+    """A text's probabilities are the mean over its letter bytes of the distributions, stretch by stretch."""
+    m = langid.fresh(["a", "b", "c"], hidden=4)
+    labeller = langid.Labeller(m)
+    texts = [b"", b"12 !", b"hello there", "é ñ".encode() * 90, b"x" * 64, b"y." * 300]
+    got = labeller.pooled(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+    for t, p in zip(texts, got):
+        total, letters = np.zeros(3), 0
+        for lo in range(0, len(t), langid.STRETCH):
+            part = t[lo : lo + langid.STRETCH]
+            x = np.zeros((1, langid.STRETCH), np.uint8)
+            x[0, : len(part)] = list(part)
+            at = labeller.positions(x)[:, :, 0]
+            for i, b in enumerate(part):
+                if chr(b).isascii() and chr(b).isalpha() or b >= 128:
+                    total, letters = total + at[i], letters + 1
+        assert np.allclose(p, total / max(1, letters), atol=1e-5)
+
+
+def test_rows_without_an_id_are_not_learned_from(spark):
+    rows = spark.createDataFrame([(None, "abc", "xx"), (None, "def", "yy")], "doc_id long, text string, lang string")
+    assert langid.fit(rows) is None

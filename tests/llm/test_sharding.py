@@ -39,3 +39,35 @@ def test_weight_zero_and_empty(spark):
     assert got == {0, 2}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert sharding.assign(none, sharding.tree(), sharding.grow(sharding.tree())).count() == 0
+
+
+def xxhash(text):
+    import xxhash as x
+
+    return x.xxh64(text.encode(), seed=42).intdigest()
+
+
+def test_against_a_plain_weighted_draw(spark):
+    """The shard of every key by a walk down the tree in plain Python."""
+    import math
+
+    root = sharding.tree(2, 2, 3)
+    root.children[1].children[0].children[2].own = 2.5
+
+    def walk(key, node):
+        while node.children:
+            draws = []
+            for c in node.children:
+                u = ((xxhash(f"{key}|{c.name}") >> 11) + 0.5) / (1 << 53)
+                draws.append((-math.log(u) / c.weight, c.name, c))
+            node = min(draws)[2]
+        return node.shard
+
+    rows = spark.range(1500).select("id", sharding.shard_of(F.col("id"), root).alias("s")).collect()
+    assert all(r.s == walk(r.id, root) for r in rows)
+
+
+def test_a_text_of_megabytes(spark):
+    df = spark.createDataFrame([(1, "é" * 2_000_000)], "doc_id long, text string")
+    [r] = sharding.assign(df, sharding.tree(), sharding.grow(sharding.tree())).collect()
+    assert r.size == 4_000_008 and r.text_crc32 == zlib.crc32(("é" * 2_000_000).encode())
