@@ -6,13 +6,13 @@ import functools
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Line ends as Python's splitlines has them, and white space as its strip has it.
 #: Characters that strip and a pattern's white space agree on.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+#: Line ends other than a line feed.
+OTHER_ENDS = r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def strip(c: Column) -> Column:
@@ -65,10 +65,21 @@ def code_base(c: Column) -> Column:
 
 def clean_markdown(c: Column) -> Column:
     """Lines of one to four digits alone dropped, the rest stripped, with a line end unless empty."""
-    body = strip(F.regexp_replace(F.regexp_replace(c, LINE_END, "\n"), r"(?Um)^[^\S\n]*\d{1,4}[^\S\n]*$\n?", ""))
+    body = _clean_body(c)
     return F.when(body == "", "").otherwise(F.concat(body, F.lit("\n")))
 
 
+def _clean_body(c: Column) -> Column:
+    return strip(F.regexp_replace(F.regexp_replace(c, OTHER_ENDS, "\n"), r"(?Um)^[^\S\n]*\d{1,4}[^\S\n]*$\n?", ""))
+
+
+def with_clean(df: DataFrame, source: str, out: str) -> DataFrame:
+    """``clean_markdown`` as a column: the body is a projection of its own, so it is computed once however often the
+    result is used."""
+    body = df.withColumn("_body", _clean_body(F.col(source)))
+    return body.withColumn(out, F.when(F.col("_body") == "", "").otherwise(F.concat("_body", F.lit("\n")))).drop("_body")
+
+
 def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(r"\S+")), F.lit(0))
 

@@ -124,8 +124,8 @@ def page_spans(spark, sf_dir):
 
 @query
 def clean_pages(spark, sf_dir):
-    clean = text.clean_markdown(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", digest(clean).alias("clean_sha256"), F.length(clean).alias("n_chars"))
+    rows = text.with_clean(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "clean")
+    return rows.select("doc_id", digest(F.col("clean")).alias("clean_sha256"), F.length("clean").alias("n_chars"))
 
 
 @query

@@ -61,7 +61,8 @@ def critical_stream(updates: DataFrame, path: str, checkpoint: str) -> Streaming
         rows = pd.concat(list(parts)).sort_values("at", kind="stable")
         before = [state.get[0] if state.exists else None, *rows["status"].tolist()[:-1]]
         state.update((rows["status"].iloc[-1],))
-        yield rows[(rows["status"] == "critical") & ([b != "critical" for b in before])]
+        became = [s == "critical" != b for s, b in zip(rows["status"], before)]
+        yield rows[became]
 
     edges = updates.groupBy("id").applyInPandasWithState(run, updates.schema, "status string", "append", GroupStateTimeout.NoTimeout)
     told = edges.select("id", "patient_id", "at", *(c.alias(n) for n, c in critical_result(F.col("name"), F.col("result")).items()))
