@@ -92,5 +92,5 @@ def test_a_hot_url_over_several_ranges(spark, monkeypatch):
 
 def test_revisits_name_their_profile(spark):
     path, _ = warc.write_archives(spark.createDataFrame([(1, "u", "a"), (2, "v", "a")], "page_id long, url string, html string"))
-    text = "".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     assert text.count(f"WARC-Profile: {warc.PROFILE}\r\n") == 1 == text.count("WARC-Type: revisit")
