@@ -12,7 +12,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` (the least node reachable) for every node of ``edges`` (``a, b`` long).
 
     Each round takes the least label among a node's neighbours, then that label's own label, so paths shorten
-    geometrically; it ends when no label changed. Written to the shared folder each round."""
+    geometrically; it ends when no label changed. Written to the shared folder each round; the caller drops the last."""
     both = stage_table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
@@ -25,16 +25,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if not moved:
             drop_stage(both)
-            return labels.select("node", "comp")
+            found = labels.select("node", "comp")
+            found.staged_path = labels.staged_path
+            return found
 
 
 def extend(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """The components of all edges so far: ``labels`` of the earlier ones, joined by new ``edges``."""
     if labels is None:
-        return stage_table(components(edges), "components")
+        return components(edges)
     a, b = (labels.select(F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in "ab")
     mapped = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b")
-    more = stage_table(components(mapped), "components")
+    more = components(mapped)
     old = labels.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("c2")), "comp", "left").select("node", F.coalesce("c2", "comp").alias("comp"))
     fresh = more.join(labels.select("node"), "node", "left_anti")
-    return stage_table(old.unionByName(fresh), "components")
+    joined = stage_table(old.unionByName(fresh), "components")
+    drop_stage(more)
+    return joined

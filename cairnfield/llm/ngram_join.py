@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_side, stage_table
+from .common import bound_batches, drop_stage, small_side, stage_table
 from .components import components, extend
 from .shingles import batch_sets
 
@@ -249,8 +249,17 @@ class _Join:
         right = right.join(small_side(wanted, wanted.count(), 64), "b", "left_semi")
         both = left.join(small_side(pairs, n, 96), "a").join(right, "b").select("a", "b", "x", "y")
         found = stage_table(both.mapInArrow(_verify, "a long, b long"), "links")
+        drop_stage(pairs, wanted)
+        self.labels = self._extended(found)
+
+    def _extended(self, found: DataFrame) -> DataFrame | None:
+        """The labels joined by the links found; what they replace is dropped."""
+        labels = self.labels
         if found.limit(1).count():
-            self.labels = extend(self.labels, found)
+            labels = extend(self.labels, found)
+            drop_stage(self.labels)
+        drop_stage(found)
+        return labels
 
     def label(self, rows: DataFrame, node: str, comp: str) -> DataFrame:
         """Adds the component of a node, itself where it has no link yet."""
@@ -263,11 +272,14 @@ class _Join:
         most long lists, which the others are edited from. Sets that share long lists make up a family."""
         degree = self.long.groupBy("node").agg(F.count("*").alias("d"))
         told = self.long.join(degree, "node")
-        heads = told.groupBy("sig").agg(F.max_by("node", F.struct("d", "node")).alias("b"))
-        met = stage_table(self.long.join(heads, "sig").groupBy("node", "b").agg(F.count("*").alias("k")), "met")
+        heads = stage_table(told.groupBy("sig").agg(F.max_by("node", F.struct("d", "node")).alias("b")), "heads")
+        # a row for each long list: broadcast where that is small, else a join whose hot lists adaptive execution splits
+        met = stage_table(self.long.join(small_side(heads, heads.count(), 48), "sig").groupBy("node", "b").agg(F.count("*").alias("k")), "met")
+        drop_stage(heads)
         if met.limit(1).count():
             family = components(met.select(F.col("node").alias("a"), "b"))
             self.families = stage_table(degree.join(family.withColumnRenamed("comp", "family"), "node"), "families")
+            drop_stage(family)
         met = met.filter("b != node")
         either = self.pairs.select(F.col("a").alias("node"), "b", "k").unionByName(self.pairs.select(F.col("b").alias("node"), F.col("a").alias("b"), "k")).unionByName(met)
         best = either.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
@@ -280,7 +292,9 @@ class _Join:
         rows = self.label(self.families, "node", "comp")
         sized = rows.groupBy("family", "comp").agg(F.count("*").alias("k"))
         most = sized.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("c"), F.count("*").alias("comps")).filter("comps > 1")
-        out = stage_table(rows.join(most, "family").select("node", "d", "family", "comp", (F.col("comp") == F.col("c")).alias("main")), "divided")
+        most = stage_table(most, "mains")
+        out = stage_table(rows.join(small_side(most, most.count(), 48), "family").select("node", "d", "family", "comp", (F.col("comp") == F.col("c")).alias("main")), "divided")
+        drop_stage(most)
         return out if out.limit(1).count() else None
 
     def outsiders(self) -> None:
@@ -290,7 +304,9 @@ class _Join:
             return
         ranked = Window.partitionBy("family").orderBy(F.desc("d"), "node")
         central = rows.filter("main").withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= TRIES)
-        self.link(rows.filter("not main").select(F.col("node").alias("a"), "family").join(central.select("family", F.col("node").alias("b")), "family").select("a", "b"))
+        central = stage_table(central.select("family", F.col("node").alias("b")), "central")
+        self.link(rows.filter("not main").select(F.col("node").alias("a"), "family").join(small_side(central, central.count(), 48), "family").select("a", "b"))
+        drop_stage(central, rows)
 
     def rest(self) -> None:
         """All pairs of different components: those listed, then those within families."""
@@ -306,7 +322,8 @@ class _Join:
             return
         blocks = lambda test: F.ceil(F.count_if(test) / F.lit(BLOCK)).cast("int")
         sized = rows.groupBy("family").agg(blocks(~F.col("main")).alias("nx"), blocks(F.col("main")).alias("nm"))
-        dealt = rows.join(sized, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nx"))).cast("int"))
+        sized = stage_table(sized, "sized")
+        dealt = rows.join(small_side(sized, sized.count(), 48), "family").withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nx"))).cast("int"))
         x, m = dealt.filter("not main"), dealt.filter("main")
         key = lambda left, right: F.concat_ws(":", F.col("family").cast("string"), left, right)
         text = lambda tag, c: F.concat(F.lit(tag), c.cast("string"))
@@ -321,8 +338,8 @@ class _Join:
         fresh = lambda d: d.select(*(F.col(c).alias(c) for c in d.columns))
         left, right = (fresh(fresh(self.sets).join(small_side(d, d.count(), 128), "node").select("key", "node", "comp", "shingles")) for d in (left, right))
         found = stage_table(left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(_scan, "a long, b long"), "links")
-        if found.limit(1).count():
-            self.labels = extend(self.labels, found)
+        self.labels = self._extended(found)
+        drop_stage(rows, sized)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,12 +407,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         join.outsiders()
         join.rest()
         labels = join.labels
+        drop_stage(sets, join.families)
     placed = nodes.withColumn("comp", F.col("node"))
     if labels is not None:
         placed = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = stage_table(placed.select("hi", "lo", "doc_id", "comp"), "placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     known = stage_table(placed.join(least, "comp").select("hi", "lo", "component_id"), "known")
+    drop_stage(nodes, lists, postings, in_lists, pairs, wanted, placed, labels)
     out = members.join(small_side(known, n_nodes, 96), ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
