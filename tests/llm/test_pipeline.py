@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     a, b = at["toxicity"]
     model = toxicity.fit(a, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scorer = toxicity.Scorer(model.stems)
+    scorer = toxicity.Scorer(model.words, model.stems)
     assert ids(b) == sorted(r.doc_id for r in a.collect() if toxicity.score_text(model, scorer, r.text) < 0.5)
 
     a, b = at["ngram_join"]
@@ -57,3 +57,14 @@ def test_run_returns_the_last_stage(spark, tmp_path, sf_dir):
     for t in ("documents", "labels"):
         pq.write_table(pq.read_table(f"{sf_dir}/{t}.parquet").slice(0, 120), tmp_path / f"{t}.parquet")
     assert "sequence_id" in corpus_pipeline.run(spark, str(tmp_path)).columns
+
+
+def test_empty_documents_and_null_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for rows in ([], [(None, "some words here", "en", None, 3), (None, "some words here", "en", None, 3), (None, None, None, None, None)]):
+        at = spark.createDataFrame(rows, docs.schema)
+        for name, stage in corpus_pipeline.STAGES[1:]:  # without labelled rows no language is known
+            at = spark.createDataFrame((out := stage(spark, at, sf_dir)).collect(), out.schema)
+            assert name == "packing" or at.columns == docs.columns
+        assert (at.count() > 0) == bool(rows)
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), sf_dir).count() == 0
