@@ -11,8 +11,9 @@ shingles early in that order: of the ``n - ceil(0.75 n) + 1`` first ones at leas
   documents, is least.
 * Pairs are verified in steps that lose no link: each set against the one it shares most with, then, in long lists,
   sets left over against several members of their family's largest component, then every pair of different components;
-  families (sets joined by long lists) are scanned block by block. Pairs within a component need no verification, so a
-  family of thousands of near copies costs a few pairs a member.
+  families (sets joined by long lists) are scanned block by block, as a whole or list by list, whichever has fewer
+  pairs, and only blocks of near sizes. Pairs within a component need no verification, so a family of thousands of near
+  copies costs a few pairs a member.
 
 Equal sets are one node throughout. Sets are verified exactly from their sorted shingle hashes.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -270,8 +272,8 @@ class _Join:
     def first_members(self) -> None:
         """Each set against the one it shares most signatures with; in long lists, of the lists' heads: their sets in
         most long lists, which the others are edited from. Sets that share long lists make up a family."""
-        degree = self.long.groupBy("node").agg(F.count("*").alias("d"))
-        told = self.long.join(degree, "node")
+        degree = self.long.groupBy("node").agg(F.count("*").alias("d"), F.first("n").alias("n"))
+        told = self.long.drop("n").join(degree, "node")
         heads = stage_table(told.groupBy("sig").agg(F.max_by("node", F.struct("d", "node")).alias("b")), "heads")
         # a row for each long list: broadcast where that is small, else a join whose hot lists adaptive execution splits
         met = stage_table(self.long.join(small_side(heads, heads.count(), 48), "sig").groupBy("node", "b").agg(F.count("*").alias("k")), "met")
@@ -293,7 +295,7 @@ class _Join:
         sized = rows.groupBy("family", "comp").agg(F.count("*").alias("k"))
         most = sized.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("c"), F.count("*").alias("comps")).filter("comps > 1")
         most = stage_table(most, "mains")
-        out = stage_table(rows.join(small_side(most, most.count(), 48), "family").select("node", "d", "family", "comp", (F.col("comp") == F.col("c")).alias("main")), "divided")
+        out = stage_table(rows.join(small_side(most, most.count(), 48), "family").select("node", "d", "n", "family", "comp", (F.col("comp") == F.col("c")).alias("main")), "divided")
         drop_stage(most)
         return out if out.limit(1).count() else None
 
@@ -313,33 +315,69 @@ class _Join:
         self.link(self.label(self.label(self.pairs, "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b"))
         self.scan_families()
 
+    def units(self, rows: DataFrame) -> DataFrame:
+        """``unit, node, comp, main, size`` of what is scanned whole, for the ``rows`` of divided families.
+
+        A link that is left shares a long list. Either a family is one unit, or each of its lists that holds several
+        components is, lists of the same sets once: whichever has fewer pairs. ``size`` is a class of set sizes; linked
+        sets are at most one class apart."""
+        kept = ["node", "family", "comp", "main", "n"]
+        held = stage_table(self.long.select("sig", "node").join(small_side(rows.select(*kept), rows.count(), 64), "node"), "held")
+        outer, inner = F.count_if(~F.col("main")).alias("x"), F.count_if("main").alias("m")
+        marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"h{k}") for k in (0, 1)]
+        told = held.groupBy("family", "sig").agg(outer, inner, *marks, (F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed")
+        once = stage_table(told.groupBy("family", "x", "m", "h0", "h1").agg(F.min("sig").alias("sig")), "once")
+        pairs = F.col("x") * (F.col("x") / 2 + F.col("m"))
+        by_lists = once.groupBy("family").agg(F.sum(pairs).alias("listed"))
+        whole = rows.groupBy("family").agg(outer, inner).select("family", pairs.alias("whole"))
+        cheaper = stage_table(whole.join(by_lists, "family").filter("listed < whole").select("family"), "cheaper")
+        n = cheaper.count()
+        lists = stage_table(once.join(small_side(cheaper, n, 24), "family", "left_semi").select("sig"), "scanned")
+        families = rows.join(small_side(cheaper, n, 24), "family", "left_anti").select(F.concat(F.lit("f"), F.col("family").cast("string")).alias("unit"), *kept)
+        listed = held.join(small_side(lists, lists.count(), 24), "sig").select(F.concat(F.lit("l"), F.col("sig").cast("string")).alias("unit"), *kept)
+        # a little wider than the ratio, so that rounding parts no linked sets by two
+        size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(DEN / NUM) * (1 + 1e-9))).cast("int")
+        out = stage_table(families.unionByName(listed).select("unit", "node", "comp", "main", size.alias("size")), "units")
+        drop_stage(held, once, cheaper, lists)
+        return out
+
     def scan_families(self) -> None:
-        """In families, blocks of sets outside the largest component (x) against blocks of all others, scanned whole:
-        a set's shingles are looked up in an inverted list of the block, the counts give exact similarities, and a link
-        to each component is returned once. Blocks travel, pairs don't."""
+        """In each unit, blocks of sets outside their family's largest component (x) against blocks of all others of
+        near sizes (x or m), scanned whole: a set's shingles are looked up in an inverted list of the block, the counts
+        give exact similarities, and a link to each component is returned once. Blocks travel, pairs don't."""
         rows = self.divided()
         if rows is None:
             return
+        units = self.units(rows)
         blocks = lambda test: F.ceil(F.count_if(test) / F.lit(BLOCK)).cast("int")
-        sized = rows.groupBy("family").agg(blocks(~F.col("main")).alias("nx"), blocks(F.col("main")).alias("nm"))
-        sized = stage_table(sized, "sized")
-        dealt = rows.join(small_side(sized, sized.count(), 48), "family").withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nx"))).cast("int"))
-        x, m = dealt.filter("not main"), dealt.filter("main")
-        key = lambda left, right: F.concat_ws(":", F.col("family").cast("string"), left, right)
-        text = lambda tag, c: F.concat(F.lit(tag), c.cast("string"))
-        upto = lambda n: F.sequence(F.lit(0), n)
-        own = F.col("i")
-        with_m = x.withColumn("j", F.explode(upto(F.col("nm") - 1))).select("node", "comp", key(text("x", own), text("m", F.col("j"))).alias("key"))
-        with_x = x.withColumn("j", F.explode(F.sequence(own, F.col("nx") - 1))).select("node", "comp", key(text("x", own), text("x", F.col("j"))).alias("key"))
-        of_m = m.withColumn("j", F.explode(upto(F.col("nx") - 1))).select("node", "comp", key(text("x", F.col("j")), text("m", own)).alias("key"))
-        of_x = x.withColumn("j", F.explode(upto(own))).select("node", "comp", key(text("x", F.col("j")), text("x", own)).alias("key"))
+        sized = stage_table(units.groupBy("unit", "size").agg(blocks(~F.col("main")).alias("nx"), blocks(F.col("main")).alias("nm")), "sized")
+        n = sized.count()
+        own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nx"))).cast("int")
+        dealt = units.join(small_side(sized, n, 64), ["unit", "size"]).select("unit", "size", "node", "comp", "main", own.alias("i"))
+        near = dealt.withColumn("other", F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))))
+        near = near.join(small_side(sized.withColumnRenamed("size", "other"), n, 64), ["unit", "other"])
+        x, m = near.filter("not main"), near.filter("main")
+        mine, theirs, i, j = (F.col(c) for c in ("size", "other", "i", "j"))
+        same, above = theirs == mine, theirs > mine
+        upto = lambda n: F.when(n >= 0, F.sequence(F.lit(0), n))
+        block = lambda tag, c, k: F.concat_ws(".", F.lit(tag), c.cast("string"), k.cast("string"))
+
+        def copies(rows: DataFrame, others, left, right) -> DataFrame:
+            """A copy of each row for each of the ``others``, blocks j that it meets."""
+            return rows.withColumn("j", F.explode(others)).select("node", "comp", F.concat_ws(":", "unit", left, right).alias("key"))
+
+        last_x, last_m = F.col("nx") - 1, F.col("nm") - 1
+        with_m = copies(x, upto(last_m), block("x", mine, i), block("m", theirs, j))
+        with_x = copies(x, F.when(same, F.sequence(i, last_x)).when(above, upto(last_x)), block("x", mine, i), block("x", theirs, j))
+        of_m = copies(m, upto(last_x), block("x", theirs, j), block("m", mine, i))
+        of_x = copies(x, F.when(same, upto(i)).when(~above, upto(last_x)), block("x", theirs, j), block("x", mine, i))
         left, right = (stage_table(a.unionByName(b), "blocks") for a, b in ((with_m, with_x), (of_m, of_x)))
         # columns named anew on either side: the cogroup must tell them apart
         fresh = lambda d: d.select(*(F.col(c).alias(c) for c in d.columns))
         left, right = (fresh(fresh(self.sets).join(small_side(d, d.count(), 128), "node").select("key", "node", "comp", "shingles")) for d in (left, right))
         found = stage_table(left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(_scan, "a long, b long"), "links")
         self.labels = self._extended(found)
-        drop_stage(rows, sized)
+        drop_stage(rows, units, sized)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,6 +67,44 @@ def test_shuffled_sides_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect()), key=str) == brute.components(rows)
 
 
+def bridged():
+    """Two passages that most of many texts share, and texts that hold both: one family, two lists."""
+    r = random.Random(7)
+    passages = [words(r, 60), words(r, 60)]
+    rows = []
+    for p in passages:
+        for _ in range(25):
+            own = words(r, 12)
+            rows += [" ".join(p + own), " ".join(p + edited(r, own, r.randrange(3)))]
+    rows += [" ".join(passages[0] + passages[1] + words(r, 2)) for _ in range(4)]
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("rows", [corpus()[:330], bridged()], ids=["corpus", "bridged"])
+def test_the_scan_alone_finds_all_links(spark, monkeypatch, rows):
+    """No pair is verified before, every list is long, blocks are small."""
+    kinds, units = set(), ngram_join._Join.units
+
+    def seen(self, rows):
+        out = units(self, rows)
+        kinds.update(r.kind for r in out.select(F.left("unit", F.lit(1)).alias("kind")).distinct().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join._Join, "units", seen)
+    monkeypatch.setattr(ngram_join._Join, "link", lambda self, pairs: None)
+    monkeypatch.setattr(ngram_join, "LONG", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect()), key=str) == brute.components(rows)
+    assert kinds == ({"l"} if len(rows) < 150 else {"f", "l"})
+
+
+def test_bridged_families(spark, monkeypatch):
+    rows = bridged()
+    monkeypatch.setattr(ngram_join, "LONG", 8)
+    assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect()), key=str) == brute.components(rows)
+
+
 def test_keep_one(spark):
     rows = corpus()
     df = frame(spark, rows)
