@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, langid, media, mixing, ngram_join, packing, sharding, topk, toxicity, warc
+from . import alignment, bestfit, langid, media, middle, mixing, ngram_join, packing, quality, sharding, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bestfit": op1_bestfit,
     "op2_toxicity": op2_toxicity,
@@ -68,10 +80,15 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
+    "op11_quality": op11_quality,
+    "op12_alignment": op12_alignment,
+    "op13_middle": op13_middle,
 }
 
 SQL = {
     "op3_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op10_topk": topk.SQL,
+    "op11_quality": quality.SQL,
+    "op13_middle": middle.SQL,
 }
