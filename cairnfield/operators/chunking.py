@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import running_sum
+from ..storage import table_of
+from .intervals import page_ranges
+from .windows import WIDTH, running_sum
 
 SIZE, OVERLAP = 1600, 200
 GAP = 2
@@ -24,7 +26,7 @@ HEADERS = (2, 3)
 def page_spans(pages: DataFrame, stem: str, page: str, text: str) -> DataFrame:
     """``stem, page, start, end``: where each page lies in its document's stitched text (pages joined by a blank
     line). A null text is empty."""
-    sized = pages.select(F.col(stem).alias("stem"), F.col(page).alias("page"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"))
+    sized = table_of(pages.select(F.col(stem).alias("stem"), F.col(page).alias("page"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n")), "sizes")  # texts are read once
     placed = running_sum(sized, ["stem"], "page", F.col("n") + GAP, "start")
     return placed.select("stem", "page", "start", (F.col("start") + F.col("n")).alias("end"))
 
@@ -36,6 +38,13 @@ def stitch(pages: DataFrame, stem: str, page: str, text: str) -> DataFrame:
     return parts.select(stem, F.concat(F.array_join(F.col("_p")[text], "\n\n"), F.lit("\n")).alias("text"))
 
 
+def whole_texts(pages: DataFrame, stem: str, page: str, text: str) -> DataFrame:
+    """``stem, text``: all pages in order, blank ones too, joined by a blank line, as ``page_spans`` counts them: a row
+    per document, since its sections run over pages."""
+    parts = pages.groupBy(F.col(stem).alias("stem")).agg(F.sort_array(F.collect_list(F.struct(F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("_p"))
+    return parts.select("stem", F.array_join("_p.text", "\n\n").alias("text"))
+
+
 def n_chunks(length: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Fixed-stride chunks of a text: none if empty, each but the last of full size."""
     return F.when(length <= 0, 0).when(length <= size, 1).otherwise(F.ceil((length - overlap) / F.lit(size - overlap))).cast("int")
@@ -65,21 +74,38 @@ def chunk_page_ranges(spans: DataFrame, size: int = SIZE, overlap: int = OVERLAP
     return every.join(touched, ["stem", "chunk_index"], "left").select("stem", "chunk_index", *(F.coalesce(c, F.lit(1)).cast("long").alias(c) for c in ("page_start", "page_end")))
 
 
+def next_fence(fence: str, line: str) -> str:
+    """The code fence open after a stripped line, if ``fence`` was open before it ("" for none): a line that begins with
+    tildes, or with the only three backquotes in it, opens one; a line that begins with the open one's mark closes it."""
+    if fence:
+        return "" if line.startswith(fence) else fence
+    if line.startswith("```") and line.count("```") == 1:
+        return "```"
+    return "~~~" if line.startswith("~~~") else ""
+
+
 def header_sections(markdown: str, levels: tuple[int, int] = HEADERS) -> list[tuple[str | None, str | None, int, str]]:
     """(header 1, header 2, start, body) of the sections under header lines of the two levels; a new header of the first
-    clears the second. Header lines are no part of a body; lines of other levels are text."""
-    out, h1, h2, begin, at = [], None, None, 0, 0
-    marks = {"#" * n: k for k, n in enumerate(levels)}
-    for line in [*markdown.splitlines(keepends=True), None]:
-        m = re.match(r"(#+)\s+(.*)", line.strip()) if line is not None else None
-        m = m if m and m[1] in marks else None
-        if m or line is None:
-            if markdown[begin:at].strip():
-                out.append((h1, h2, begin, markdown[begin:at]))
-            if m:
-                h1, h2 = (m[2].strip(), None) if marks[m[1]] == 0 else (h1, m[2].strip())
-                begin = at + len(line)
-        at += len(line or "")
+    clears the second. Header lines are no part of a body; lines of other levels, and all lines in a code fence, are
+    text. A header line is the level's marks alone, or followed by a space."""
+    out, h1, h2, begin, at, fence = [], None, None, 0, 0, ""
+    marks = ["#" * n for n in levels]
+
+    def end_section(upto: int) -> None:
+        if markdown[begin:upto].strip():
+            out.append((h1, h2, begin, markdown[begin:upto]))
+
+    for line in markdown.split("\n"):
+        shown = "".join(c for c in line.strip() if c.isprintable())
+        fence = next_fence(fence, shown)
+        level = None if fence else next((k for k, m in enumerate(marks) if shown == m or shown.startswith(m + " ")), None)
+        if level is not None:
+            end_section(at)
+            title = shown[len(marks[level]) :].strip()
+            h1, h2 = (title, None) if level == 0 else (h1, title)
+            begin = min(at + len(line) + 1, len(markdown))
+        at += len(line) + 1
+    end_section(len(markdown))
     return out
 
 
@@ -128,6 +154,10 @@ def recursive_pieces(text: str, size: int = SIZE, overlap: int = OVERLAP, separa
     return split(0, len(text), separators)
 
 
+def breadcrumb_of(h1: str | None, h2: str | None) -> str:
+    return " > ".join(h.strip() for h in (h1, h2) if h and h.strip()) or "(sem cabeçalho)"
+
+
 _CHUNKS = "source_stem string, section string, header_1 string, header_2 string, chunk_index int, start int, end int, text string"
 
 
@@ -141,7 +171,7 @@ def section_chunks(docs: DataFrame, stem: str, text: str, size: int = SIZE, over
             for key, body in zip(pdf["stem"], pdf["text"]):
                 index = 0
                 for h1, h2, at, section in header_sections(body or "", headers):
-                    name = " > ".join(h for h in (h1, h2) if h and h.strip()) or "(sem cabeçalho)"
+                    name = breadcrumb_of(h1, h2)
                     for a, b in recursive_pieces(section, size, overlap, separators):
                         rows.append((key, name, h1, h2, index, at + a, at + b, section[a:b]))
                         index += 1
@@ -150,6 +180,30 @@ def section_chunks(docs: DataFrame, stem: str, text: str, size: int = SIZE, over
     return docs.select(F.col(stem).cast("string").alias("stem"), F.col(text).alias("text")).mapInPandas(run, _CHUNKS)
 
 
+def sections(docs: DataFrame, stem: str, text: str, headers: tuple[int, int] = HEADERS) -> DataFrame:
+    """``source_stem, section, header_1, header_2, start, end, text``: the sections of every whole text."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(key, breadcrumb_of(h1, h2), h1, h2, at, at + len(body), body) for key, whole in zip(pdf["stem"], pdf["text"]) for h1, h2, at, body in header_sections(whole or "", headers)]
+            yield pd.DataFrame(rows, columns=["source_stem", "section", "header_1", "header_2", "start", "end", "text"])
+
+    return docs.select(F.col(stem).cast("string").alias("stem"), F.col(text).alias("text")).mapInPandas(run, "source_stem string, section string, header_1 string, header_2 string, start int, end int, text string")
+
+
+def page_chunks(pages: DataFrame, stem: str, page: str, text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS, headers: tuple[int, int] = HEADERS, width: int = WIDTH) -> DataFrame:
+    """Pages to recursive chunks: ``chunk_id``, the columns of ``section_chunks`` and ``page_start, page_end``.
+
+    Sections and pieces are cut in the stitched text; which pages a piece touches comes from an interval lookup over
+    offsets alone, so only the chunks' own text is joined to it. A page without a stem is an error, as in ``chunk_id``."""
+    chunks = table_of(section_chunks(whole_texts(pages, stem, page, text), "stem", "text", size, overlap, separators, headers), "chunks")
+    spans = page_spans(pages.withColumn(stem, F.col(stem).cast("string")), stem, page, text)
+    places = chunks.select(F.col("source_stem").alias("stem"), "chunk_index", "start", "end")
+    told = page_ranges(places, spans, width).select(F.col("stem").alias("_stem"), F.col("chunk_index").alias("_index"), "page_start", "page_end")
+    both = chunks.join(told, (F.col("source_stem") == F.col("_stem")) & (F.col("chunk_index") == F.col("_index")))
+    return both.select(chunk_id(F.col("source_stem"), F.col("chunk_index")).alias("chunk_id"), *chunks.columns, "page_start", "page_end")
+
+
 def chunk_id(stem: Column, index: Column) -> Column:
     """``stem:index``; a null stem is an error, as a missing key is."""
     checked = F.coalesce(stem.cast("string"), F.raise_error(F.lit("a chunk without source_stem")).cast("string"))

@@ -1,55 +1,108 @@
-"""Running totals that never gather a key's rows in one task."""
+"""Running totals, carried values and as-of lookups that never gather a hot key's rows in one task.
+
+A group of at most ``WIDTH`` rows is a plain window. The rows of a group with more are numbered apart, sorted by range
+partitioning on (group, order, number) and written: counted splitters cut them into ranges of about ``WIDTH`` rows, by
+rank and not by value, so neither sparse nor repeated values of the order column matter. Each range's total is a row,
+the totals run up over a group's ranges, and a window within the range adds the rest.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Values of the order column that a bucket spans.
-WIDTH = 4096
+from ..storage import table_of
+
+#: Rows of a group that one task holds.
+WIDTH = 1 << 20
 
 
-def running_sums(df: DataFrame, group: list[str], order: str, values: dict[str, Column], width: int = WIDTH) -> DataFrame:
-    """Adds each column of ``values``: its sum over the group's rows before this one, by a whole-number ``order`` column.
+def ranges(df: DataFrame, group: list[str], order: list[str], width: int = WIDTH) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most ``width`` rows, the others with ``_range`` and ``_tie``, written, or None).
 
-    Ranges of ``order`` are summed first (a row each), their totals run up, and a window within a range adds the rest,
-    so a hot group is as many tasks as it has ranges."""
+    Ranges are numbered in the order of (group, order, tie) and hold about ``width`` rows each; a range of one group
+    ends where the next begins. Rows are counted by group first."""
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > width)
+    hot = sizes.agg(F.sum("_rows").alias("n"), F.count("*").alias("groups")).first()
+    if not hot["groups"]:
+        return df, None
+    named = table_of(sizes, "hot").select(*(F.col(g).alias(f"_h{i}") for i, g in enumerate(group)))
+    side = F.broadcast(named) if hot["groups"] <= width else named  # one row for more than width rows
+    on = [df[g].eqNullSafe(named[f"_h{i}"]) for i, g in enumerate(group)]
+    tied = table_of(df.join(side, on, "left_semi").withColumn("_tie", F.monotonically_increasing_id()), "tied")
+    dealt = tied.repartitionByRange(math.ceil(hot["n"] / width), *group, *order, "_tie")
+    return df.join(side, on, "left_anti"), table_of(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _windowed(df: DataFrame, group: list[str], order: list[str], width: int, frame: tuple[int, int], inner: Callable[[WindowSpec], dict[str, Column]], total: list[Column], carried: Callable[[WindowSpec], list[Column]], joined: dict[str, Column]) -> DataFrame:
+    """``inner`` over each group; for a hot one over its ranges, with what ``carried`` makes of the ranges before
+    (``total``: columns of a range) put in by ``joined``."""
+    plain, dealt = ranges(df, group, order, width)
+    over = lambda keys, by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(*frame)
+    out = plain.withColumns(inner(over(group, order)))
+    if dealt is None:
+        return out
+    totals = table_of(dealt.groupBy(*group, "_range").agg(*total), "totals")
+    n = totals.count()
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), *carried(before))
+    placed = dealt.repartitionByRange(max(1, n), "_range").withColumns(inner(over([*group, "_range"], [*order, "_tie"])))
+    on = [placed["_range"] == F.col("_r"), *(placed[g].eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group))]
+    told = placed.join(F.broadcast(starts) if n <= width else starts, on).withColumns(joined)  # a row for each range of a group
+    return out.unionByName(told.select(*out.columns))
+
+
+def running_sums(df: DataFrame, group: list[str], order: str | list[str], values: dict[str, Column], width: int = WIDTH) -> DataFrame:
+    """Adds each column of ``values``: its sum over the group's rows before this one, in ``order``."""
+    order, names = [order] if isinstance(order, str) else order, list(values)
     if not group:
         return running_sums(df.withColumn("_all", F.lit(0)), ["_all"], order, values, width).drop("_all")
-    keys, names = [*group, "_range"], list(values)
-    dealt = df.withColumn("_range", F.floor(F.col(order) / F.lit(width))).withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*keys).agg(*(F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))))
-    starts = sums.select(*keys, *(F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(names))))
-    inner = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumns({f"_i{i}": F.coalesce(F.sum(f"_v{i}").over(inner), F.lit(0)) for i in range(len(names))})
-    on = [placed[k].eqNullSafe(starts[k]) for k in keys]
-    return placed.join(starts, on).select(*(placed[c] for c in df.columns), *((F.col(f"_b{i}") + F.col(f"_i{i}")).alias(n) for i, n in enumerate(names)))
+    valued = df.withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
+    told = _windowed(
+        valued, group, order, width, (Window.unboundedPreceding, -1),
+        inner=lambda w: {f"_i{i}": F.coalesce(F.sum(f"_v{i}").over(w), F.lit(0)) for i in range(len(names))},
+        total=[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))],
+        carried=lambda w: [F.coalesce(F.sum(f"_s{i}").over(w), F.lit(0)).alias(f"_b{i}") for i in range(len(names))],
+        joined={f"_i{i}": F.col(f"_b{i}") + F.col(f"_i{i}") for i in range(len(names))},
+    )
+    return told.select(*(c for c in df.columns if c not in values), *(F.col(f"_i{i}").alias(n) for i, n in enumerate(names)))
 
 
-def running_sum(df: DataFrame, group: list[str], order: str, value: Column, out: str, width: int = WIDTH) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], order: str | list[str], value: Column, out: str, width: int = WIDTH) -> DataFrame:
     return running_sums(df, group, order, {out: value}, width)
 
 
 def last_given(df: DataFrame, key: str, order: list[str], values: dict[str, Column], with_row: bool, width: int = WIDTH) -> DataFrame:
     """Adds each column of ``values``: its last value that is not null over the key's rows up to this one (``with_row``)
-    or before it, by ``order``; null where there is none.
-
-    Days of a time (ranges of a number) in the first order column give a row each, whose last values are carried from
-    range to range; a window within a range does the rest, so a hot key is as many tasks as it has ranges."""
-    first, names = F.col(order[0]), list(values)
-    timed = df.schema[order[0]].dataType.typeName().startswith("timestamp")
-    dealt = df.withColumn("_range", first.cast("date") if timed else F.floor(first / F.lit(width))).withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
-    at = F.struct(*order)
-    ends = dealt.groupBy(key, "_range").agg(*(F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), at)).alias(f"_e{i}") for i in range(len(names))))
-    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), *(F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_b{i}") for i in range(len(names))))
-    inner = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if with_row else -1)
-    placed = dealt.withColumns({f"_i{i}": F.last(f"_v{i}", ignorenulls=True).over(inner) for i in range(len(names))})
-    joined = placed.join(starts, placed[key].eqNullSafe(F.col("_k")) & placed["_range"].eqNullSafe(F.col("_r")))
-    given = {n: F.coalesce(f"_i{i}", f"_b{i}") for i, n in enumerate(names)}
-    kept = [placed[c] for c in df.columns if c not in given]
-    return joined.select(*kept, *(c.alias(n) for n, c in given.items())).select(*df.columns, *(n for n in names if n not in df.columns))
+    or before it, by ``order``; null where there is none."""
+    names = list(values)
+    valued = df.withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
+    at = lambda i: F.when(F.col(f"_v{i}").isNotNull(), F.struct(*order, "_tie"))
+    told = _windowed(
+        valued, [key], order, width, (Window.unboundedPreceding, 0 if with_row else -1),
+        inner=lambda w: {f"_i{i}": F.last(f"_v{i}", ignorenulls=True).over(w) for i in range(len(names))},
+        total=[F.max_by(f"_v{i}", at(i)).alias(f"_e{i}") for i in range(len(names))],
+        carried=lambda w: [F.last(f"_e{i}", ignorenulls=True).over(w).alias(f"_b{i}") for i in range(len(names))],
+        joined={f"_i{i}": F.coalesce(f"_i{i}", f"_b{i}") for i in range(len(names))},
+    )
+    given = {n: F.col(f"_i{i}") for i, n in enumerate(names)}
+    return told.select(*(given.pop(c).alias(c) if c in given else F.col(c) for c in df.columns), *(c.alias(n) for n, c in given.items()))
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, left_at: Column, right_at: Column, values: list[str], out: str, width: int = WIDTH) -> DataFrame:
+    """``left`` with ``out``: the struct of ``values`` of the key's last row of ``right`` whose ``right_at`` is at most
+    ``left_at``, null where there is none; of several at one place the greatest. Rows of both sides are put in one order
+    and values carried along it: one shuffle of each, and no product of a key's rows."""
+    found, row = F.struct(*values), F.struct(*left.columns)
+    sides = [
+        left.select(F.col(key).alias("_key"), left_at.alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(found.alias("s")).schema["s"].dataType).alias(out), row.alias("_row")),
+        right.select(F.col(key).alias("_key"), right_at.alias("_at"), F.lit(0).alias("_side"), found.alias(out), F.lit(None).cast(left.select(row.alias("s")).schema["s"].dataType).alias("_row")),
+    ]
+    told = last_given(sides[0].unionByName(sides[1]), "_key", ["_at", "_side", out], {"_found": F.col(out)}, with_row=True, width=width)
+    return told.filter("_side = 1").select(*(F.col("_row")[c].alias(c) for c in left.columns), F.col("_found").alias(out))
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clinical, text
-from ..operators import admissions, catalogs, chunking, incremental, records, rules, vectors, windows
+from ..operators import admissions, catalogs, chunking, incremental, intervals, records, rules, vectors, windows
 from ..sources import web
 from ..storage import cut, scratch
 from ..streaming import alerts as streams
@@ -547,11 +547,52 @@ def display_values(spark, sf_dir):
     return rows.select("doc_id", records.display_value(F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).alias("lang"), records.display_value(F.col("pages"), is_list=True).alias("pages"))
 
 
+def _markdown(html: Column) -> Column:
+    """A page as markdown: its parts and title as headers, scripts as fenced code, other tags dropped."""
+    steps = (
+        (r"(?s)<script>(.*?)</script>", "\n```\n## code\n$1\n```\n"),
+        (r"<(nav|article|footer)>", "\n## $1\n"),
+        (r"(?s)<h1>(.*?)</h1>", "\n### $1\n"),
+        (r"<(p|li|div class=.ad.)>", "\n"),
+        (r"<[^>]*>", ""),
+    )
+    for pattern, by in steps:
+        html = F.regexp_replace(html, pattern, by)
+    return html
+
+
 @query
 def section_split(spark, sf_dir):
-    """Sections and pieces of a table of literal documents, whose boundaries are plain to see."""
-    docs = spark.createDataFrame([("a", "intro\n## One\nx y\n### Two\nz\n## Three\nlast"), ("b", "# Title\nbody"), ("c", None)], "stem string, text string")
-    return chunking.section_chunks(docs, "stem", "text").select("source_stem", "section", "chunk_index", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text")
+    """Sections of every page under its headers; the header in fenced code is text."""
+    docs = table(spark, sf_dir, "pages").select("page_id", _markdown(F.col("html")).alias("markdown"))
+    told = chunking.sections(docs, "page_id", "markdown")
+    return told.select("source_stem", "section", "header_1", "header_2", F.col("start").alias("char_start"), F.col("end").alias("char_end"), digest(F.col("text")).alias("body"))
+
+
+def _pages_of_documents(spark, sf_dir):
+    """Each document as pages of 3,000 characters, the first under a header of its source and language."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    pages = chunking.fixed_chunks(docs.select("doc_id", "text"), "doc_id", "text", size=3000, overlap=0).select("doc_id", F.col("chunk_index").alias("page"), F.col("chunk").alias("markdown"))
+    head = F.when(F.col("page") % 4 == 0, F.concat(F.lit("## Part "), (F.col("page") / 4).cast("int").cast("string"), F.lit("\n"))).otherwise("")
+    return pages.select("doc_id", (F.col("page") + 1).alias("page"), F.concat(head, "markdown").alias("markdown"))
+
+
+@query
+def recursive_chunks(spark, sf_dir):
+    """Pages to stitched documents, sections, pieces, their pages and ids."""
+    told = chunking.page_chunks(_pages_of_documents(spark, sf_dir), "doc_id", "page", "markdown")
+    return told.select("chunk_id", "source_stem", "section", "chunk_index", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "page_start", "page_end", digest(F.col("text")).alias("piece"))
+
+
+@query
+def sentence_pages(spark, sf_dir):
+    """The turns that each sentence of a conversation touches, turns being the pages of one text."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stem"), F.col("turn").alias("page"), "text")
+    parts = chunking.whole_texts(turns, "stem", "page", "text").select("stem", F.posexplode(F.split("text", r"\. ")).alias("chunk_index", "part"))
+    sized = parts.select("stem", "chunk_index", F.length("part").cast("long").alias("n"))
+    pieces = windows.running_sum(sized, ["stem"], "chunk_index", F.col("n") + 2, "start").withColumn("end", F.col("start") + F.col("n")).drop("n")
+    told = intervals.page_ranges(pieces, chunking.page_spans(turns, "stem", "page", "text"))
+    return told.withColumnsRenamed({"stem": "conv_id", "start": "char_start", "end": "char_end"})
 
 
 # Patients as a whole.
@@ -709,10 +750,15 @@ def event_windows(spark, sf_dir):
 
 @query
 def catalog_extract(spark, sf_dir):
-    """Names of a table of literal rows: a full table, one that lacks a column, a code that is not well formed."""
-    head = ["Denominação Comum Brasileira", "Concentração/Composição", "Forma farmacêutica", "Código ATC"]
-    cells = [(1, 0, head), (1, 1, ["•ácido  fólico*", "5 mg", "comp.", "B03BB01"]), (1, 2, ["Ácido fólico", "1 mg", "comp.", "B03BB01"]), (1, 3, ["sem código", "", "", "x"]), (2, 0, head[:3]), (2, 1, ["fora", "", ""])]
-    names = catalogs.extract(spark.createDataFrame(cells, "table_id int, row_no int, cells array<string>"))
+    """Names of the tables that the sizes of ``part`` make: headers in other words and order, one column short in each
+    seventh, names with marks, and codes that are not well formed."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_type")
+    fourth = F.when(F.col("p_size") % 7 == 0, F.lit("Observação")).otherwise(F.lit("Código  ATC"))
+    first = F.when(F.col("p_size") % 2 == 0, F.lit("DENOMINAÇÃO COMUM brasileira")).otherwise(F.lit("Denominação Comum"))
+    heads = part.select("p_size").distinct().select(F.col("p_size").alias("table_id"), F.lit(0).cast("long").alias("row_no"), F.array(fourth, first, F.lit("Concentração/Composição"), F.lit("Forma Farmacêutica")).alias("cells"))
+    code = F.when(F.col("p_partkey") % 3 == 0, "n/a").otherwise(F.concat(F.lit(" b0"), (F.col("p_partkey") % 10).cast("string"), F.lit("bb01 ")))
+    rows = part.select(F.col("p_size").alias("table_id"), F.col("p_partkey").alias("row_no"), F.array(code, F.concat(F.lit("•"), "p_name", F.lit("*")), F.lit("5 mg"), F.col("p_type")).alias("cells"))
+    names = catalogs.extract(heads.unionByName(rows.filter("row_no > 0")))
     return names.select(F.col("ordinal.table_id").alias("table_id"), F.col("ordinal.row_no").alias("row_no"), "name")
 
 

@@ -173,8 +173,32 @@ SQL |= {
         CASE WHEN doc_id % 2 = 0 THEN '[' || doc_id || ', ' || (doc_id + 1) || ']' END AS page_range, '["' || lang || '", "a\\"b"]' AS tags,
         CAST((source IS NOT NULL)::INT + (doc_id % 3 = 0 AND lang IS NOT NULL)::INT + (n_chars IS NOT NULL)::INT + (doc_id % 2 = 0)::INT + 1 AS INTEGER) AS n FROM documents""",
     "display_values": "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, '—') AS lang, CASE WHEN doc_id % 2 = 0 THEN doc_id || ', ' || n_chars ELSE '—' END AS pages FROM documents",
-    "section_split": """SELECT * FROM (VALUES ('a', '(sem cabeçalho)', 0, 0, 5, 'intro'), ('a', 'One', 1, 13, 16, 'x y'), ('a', 'One > Two', 2, 25, 26, 'z'), ('a', 'Three', 3, 36, 40, 'last'),
-        ('b', '(sem cabeçalho)', 0, 0, 12, '# Title' || chr(10) || 'body')) t(source_stem, section, chunk_index, char_start, char_end, text)""",
+    "section_split": r"""WITH m AS (
+          SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script>(.*?)</script>', chr(10) || '```' || chr(10) || '## code' || chr(10) || '\1' || chr(10) || '```' || chr(10), 'g'),
+            '<(nav|article|footer)>', chr(10) || '## \1' || chr(10), 'g'), '(?s)<h1>(.*?)</h1>', chr(10) || '### \1' || chr(10), 'g'), '<(p|li|div class=.ad.)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS md FROM pages
+        ), l AS (SELECT page_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS pos FROM m
+        ), o AS (SELECT *, trim(line) AS t, coalesce(sum(length(line) + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM l
+        ), f AS (SELECT *, sum((t LIKE '```%')::INT) OVER (PARTITION BY page_id ORDER BY pos) % 2 = 1 AS fenced FROM o
+        ), h AS (SELECT *, CASE WHEN NOT fenced AND t LIKE '## %' THEN trim(t[4:]) END AS h1, CASE WHEN NOT fenced AND t LIKE '### %' THEN trim(t[5:]) END AS h2 FROM f
+        ), n AS (SELECT *, h1 IS NOT NULL OR h2 IS NOT NULL AS head, sum((h1 IS NOT NULL OR h2 IS NOT NULL)::INT) OVER (PARTITION BY page_id ORDER BY pos) AS sec FROM h
+        ), c AS (
+          SELECT page_id, sec, max(h1) AS h1, max(h2) AS h2, min(at0) FILTER (WHERE NOT head) AS b, max(at0 + length(line)) AS upto, max(pos) AS last FROM n GROUP BY page_id, sec
+        ), d AS (
+          SELECT *, last_value(h1 IGNORE NULLS) OVER w AS header_1, max(CASE WHEN h1 IS NOT NULL THEN sec END) OVER w AS s1,
+                 last_value(h2 IGNORE NULLS) OVER w AS g2, max(CASE WHEN h2 IS NOT NULL THEN sec END) OVER w AS s2,
+                 lead(sec) OVER (PARTITION BY page_id ORDER BY sec) IS NULL AS final FROM c WINDOW w AS (PARTITION BY page_id ORDER BY sec)
+        ), e AS (SELECT *, CASE WHEN s2 > coalesce(s1, -1) THEN g2 END AS header_2, CASE WHEN final THEN upto ELSE upto + 1 END AS z FROM d WHERE b IS NOT NULL
+        ), g AS (SELECT e.*, md[b + 1:z] AS body FROM e JOIN m USING (page_id))
+        SELECT CAST(page_id AS VARCHAR) AS source_stem, coalesce(nullif(concat_ws(' > ', nullif(header_1, ''), nullif(header_2, '')), ''), '(sem cabeçalho)') AS section, header_1, header_2,
+               CAST(b AS INTEGER) AS char_start, CAST(z AS INTEGER) AS char_end, sha256(body) AS body FROM g WHERE regexp_matches(body, '\S')""",
+    "sentence_pages": """WITH t AS (SELECT conv_id AS stem, turn AS page, coalesce(text, '') AS text FROM conversations
+        ), s AS (SELECT stem, page, sum(length(text) + 2) OVER (PARTITION BY stem ORDER BY page) - 2 AS e, length(text) AS n FROM t
+        ), w AS (SELECT stem, string_agg(text, chr(10) || chr(10) ORDER BY page) AS whole FROM t GROUP BY stem
+        ), p AS (SELECT stem, unnest(string_split(whole, '. ')) AS part, generate_subscripts(string_split(whole, '. '), 1) - 1 AS chunk_index FROM w
+        ), i AS (SELECT stem, chunk_index, sum(length(part) + 2) OVER (PARTITION BY stem ORDER BY chunk_index) - 2 AS b, length(part) AS n FROM p)
+        SELECT i.stem AS conv_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(i.b - i.n AS BIGINT) AS char_start, CAST(i.b AS BIGINT) AS char_end,
+               coalesce(min(s.page), 1) AS page_start, coalesce(max(s.page), 1) AS page_end
+        FROM i LEFT JOIN s ON s.stem = i.stem AND i.b - i.n < s.e AND i.b > s.e - s.n GROUP BY ALL""",
     "patient_full": f"""WITH p AS ({_PATIENTS}), f AS (SELECT exam_id, list({{'name': name, 'mime': mime, 'size': size, 'path': path}} ORDER BY id) AS fs FROM ({_FILES}) GROUP BY exam_id),
         e AS (SELECT patient_id, list({{'id': id, 'name': name, 'requestedAt': requested_at, 'status': status, 'protocolRef': CAST(NULL AS VARCHAR), 'attachments': coalesce(fs, [])}} ORDER BY at_us DESC, id) AS es FROM ({_EXAMS}) LEFT JOIN f ON exam_id = id GROUP BY patient_id),
         i AS (SELECT patient_id, list({{'id': id, 'type': type, 'status': status}} ORDER BY id) AS xs FROM ({_ITEMS}) GROUP BY patient_id),
@@ -204,7 +228,8 @@ SQL |= {
     "breadcrumbs": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 2 = 0 THEN p_name || ' > ' || p_brand WHEN p_partkey % 3 > 0 THEN p_name WHEN p_partkey % 2 = 0 THEN p_brand ELSE '(sem cabeçalho)' END AS section FROM part",
     "viewer_stats": _CHUNK_MANIFEST + " SELECT count(DISTINCT doc_id) AS n_docs, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'skipped') AS n_skipped, count(*) FILTER (WHERE status = 'error') AS n_error, CAST(sum(CASE WHEN status = 'ok' AND doc_id % 6 <> 0 THEN doc_id END) AS BIGINT) AS n_chunks FROM k",
     "event_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "catalog_extract": "SELECT 1 AS table_id, 1 AS row_no, 'Acido folico' AS name",
+    "catalog_extract": f"""WITH s AS (SELECT p_size, p_partkey, {_SANITIZE.format("('•' || p_name || '*')")} AS s FROM part WHERE p_size % 7 <> 0 AND p_partkey % 3 <> 0 AND p_partkey > 0)
+        SELECT p_size AS table_id, p_partkey AS row_no, upper(s[1]) || s[2:] AS name FROM s WHERE s <> '' QUALIFY row_number() OVER (PARTITION BY {_KEY.format("s")} ORDER BY p_size, p_partkey) = 1""",
     "readmit_patients": _READMIT + " SELECT id, status, status = 'admitted' AS refused FROM r",
     "readmit_exams": _READMIT
     + f""" SELECT 'ex-' || id AS id, patient_id, name, status FROM ({_EXAMS}) WHERE patient_id NOT IN (SELECT id FROM fine)

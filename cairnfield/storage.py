@@ -33,3 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def table_of(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new table in the shared folder and read back: a cut of lineage that later plans read by the
+    columns they need. It stays until the application's folder is cleared, as what is read from it is lazy."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
