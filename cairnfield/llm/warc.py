@@ -7,11 +7,12 @@ first lines, which carry a number of the writing run that no payload can hold, s
 parallel; lengths are then checked.
 
 Index: captures are sorted locally into runs; runs are cut at common range limits and each range is merged k ways by a
-loser tree on (URL key, time, page id), which gives the globally ordered capture histories. Limits are whole keys, so
-a hot URL is spread over several ranges.
+loser tree on (URL key, time, page id), which gives the globally ordered capture histories. Limits are keys with a
+capture's run and place, so a hot URL is spread over several ranges, and so are captures alike in all of the key.
 
-Defined results: null html is an empty payload; a null URL has an empty key; a null page id is older than any other,
-and pages alike in id and payload are all responses if none has a larger id. An empty table gives no rows.
+Defined results: null html is an empty payload; a null URL has an empty key; a null page id has page 0's time and comes
+before any other of that time; pages alike in id and payload are all responses if none has a larger id. An empty table
+gives no rows. Any long is a page id: times are UTC, from the id modulo 2^31, whatever the session's time zone.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import bisect
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -39,8 +39,8 @@ KEY_ROWS, KEYS_SORTED = 128, 50_000
 CRLF = "\r\n"
 #: Fixed value of the format: what a revisit by equal payloads says.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Time of page 0; page n is n seconds later. The pages have no time of their own.
-FIRST = 1_700_000_000
+#: Time of page 0; page n is n modulo CYCLE seconds later. The pages have no time of their own.
+FIRST, CYCLE = 1_700_000_000, 1 << 31
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -64,6 +64,14 @@ def _header(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), safe, F.lit(CRLF))).otherwise("")
 
 
+def capture_date(page_id: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ssZ`` of a page, by whole numbers and dates alone, so no time zone has a part in it."""
+    t = F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(CYCLE)) + FIRST
+    day, second = F.floor(t / 86400).cast("int"), F.pmod(t, F.lit(86400)).cast("int")
+    clock = F.format_string("T%02d:%02d:%02dZ", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), clock)
+
+
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, str]:
     """Writes the archives to the shared folder; returns their path and the run's number."""
     spark = pages.sparkSession
@@ -80,7 +88,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         F.lit(f"WARC/1.1{CRLF}WARC-Run-ID: {run}{CRLF}"),
         _header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         _header("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">"))),
-        _header("WARC-Date", F.date_format(F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) + FIRST), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _header("WARC-Date", capture_date(F.col("page_id"))),
         _header("WARC-Target-URI", F.col("url")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _header("WARC-Payload-Length", F.col("n_bytes")),
@@ -145,8 +153,8 @@ _KEY = pa.struct([("url_key", pa.string()), ("capture_time", pa.string()), ("pag
 _RUNS = pa.schema([("run", pa.int64()), ("segment", pa.int64()), ("first", _KEY), ("captures", pa.list_(_CAPTURE))])
 
 
-def capture_key(c: dict) -> tuple[str, str, int]:
-    return c["url_key"], c["capture_time"], -1 if c["page_id"] is None else c["page_id"]
+def capture_key(c: dict) -> tuple[str, str, bool, int]:
+    return c["url_key"], c["capture_time"], c["page_id"] is not None, c["page_id"] or 0
 
 
 class LoserTree:
@@ -215,7 +223,7 @@ def _cut(broadcast):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                keys = [capture_key(c) for c in r["captures"]]
+                keys = [(*capture_key(c), r["run"], r["segment"] * SEGMENT_ROWS + i) for i, c in enumerate(r["captures"])]
                 lo = bisect.bisect_right(limits, keys[0])
                 at = 0
                 while at < len(keys):
@@ -228,11 +236,17 @@ def _cut(broadcast):
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    runs = [[c for cs in g.sort_values("segment")["captures"] for c in cs] for _, g in pdf.groupby("run", sort=True)]
-    rows = list(LoserTree(runs))
-    out = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in NAMES})
-    return out.assign(range=int(pdf["range"].iloc[0]), at=range(len(rows)))
+_MERGED = pa.schema([*_CAPTURE, ("range", pa.int64()), ("at", pa.int64())])
+
+
+def _merge(pieces: pa.Table) -> pa.Table:
+    runs: dict[int, list[tuple[int, list[dict]]]] = {}
+    for run, segment, captures in zip(*(pieces.column(n).to_pylist() for n in ("run", "segment", "captures"))):
+        runs.setdefault(run, []).append((segment, captures))
+    sorted_runs = ((c for _, cs in sorted(runs[r], key=lambda x: x[0]) for c in cs) for r in sorted(runs))
+    rows = list(LoserTree(sorted_runs))
+    told = [pa.array([r[f.name] for r in rows], f.type) for f in _CAPTURE]
+    return pa.Table.from_arrays([*told, pa.array([pieces.column("range")[0].as_py()] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64())], schema=_MERGED)
 
 
 def capture_histories(records: DataFrame) -> DataFrame:
@@ -242,16 +256,17 @@ def capture_histories(records: DataFrame) -> DataFrame:
     sized = runs.agg(F.count("*").alias("k"), F.sum(F.size("captures")).alias("n")).first()
     # Every KEY_ROWS-th capture of the sorted runs, sorted in ranges; of these the driver holds one in so many, so a limit
     # stands for RANGE_ROWS captures at any size.
-    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size("captures") - 1) / F.lit(KEY_ROWS)).cast("int")), lambda i: F.element_at("captures", i * KEY_ROWS + 1))
-    keys = runs.select(F.explode(steps).alias("c")).select(*(F.col("c")[n].alias(n) for n in _KEY.names))
-    dealt = stage_table(keys.repartitionByRange(max(1, (sized["n"] or 0) // (KEY_ROWS * KEYS_SORTED)), *_KEY.names).withColumn("_part", F.spark_partition_id()), "keys")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*_KEY.names))
-    chosen = dealt.withColumn("_i", place).filter(F.col("_i") % max(1, RANGE_ROWS // KEY_ROWS) == 0).select(*_KEY.names)
-    limits = records.sparkSession.sparkContext.broadcast(sorted({capture_key(r.asDict()) for r in chosen.collect()}))
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size("captures") - 1) / F.lit(KEY_ROWS)).cast("int")), lambda i: F.struct(F.element_at("captures", i * KEY_ROWS + 1).alias("c"), (i * KEY_ROWS).alias("i")))
+    keys = runs.select("run", "segment", F.explode(steps).alias("s")).select(*(F.col("s.c")[n].alias(n) for n in _KEY.names), "run", (F.col("segment") * SEGMENT_ROWS + F.col("s.i")).alias("place"))
+    by = [*_KEY.names, "run", "place"]
+    dealt = stage_table(keys.repartitionByRange(max(1, (sized["n"] or 0) // (KEY_ROWS * KEYS_SORTED)), *by).withColumn("_part", F.spark_partition_id()), "keys")
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    chosen = dealt.withColumn("_i", number).filter(F.col("_i") % max(1, RANGE_ROWS // KEY_ROWS) == 0).select(*by)
+    limits = records.sparkSession.sparkContext.broadcast(sorted((*capture_key(r.asDict()), r["run"], r["place"]) for r in chosen.collect()))
     pieces = stage_table(runs.mapInArrow(_cut(limits), f"range long, run long, segment long, n long, captures array<{CAPTURE}>"), "cuts")
     drop_stage(runs, dealt)
     starts = running_sum(pieces.groupBy("range").agg(F.sum("n").alias("_n")), [], "range", F.col("_n"), "_start").drop("_n")
-    merged = pieces.groupBy("range").applyInPandas(_merge, "url_key string, capture_time string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, range long, at long")
+    merged = pieces.groupBy("range").applyInArrow(_merge, "url_key string, capture_time string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, range long, at long")
     return merged.join(starts, "range").select(*NAMES, (F.col("_start") + F.col("at")).alias("history_pos"))
 
 
@@ -271,6 +286,6 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
                  '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
        CASE WHEN coalesce(page_id < keep, page_id IS NULL AND keep IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN coalesce(page_id < keep, page_id IS NULL AND keep IS NOT NULL) THEN keep END AS refers_to,
-       row_number() OVER (ORDER BY encode(url_key), coalesce(page_id, 0), coalesce(page_id, -1)) - 1 AS history_pos
+       row_number() OVER (ORDER BY encode(url_key), (coalesce(page_id, 0) % 2147483648 + 2147483648) % 2147483648, page_id NULLS FIRST) - 1 AS history_pos
 FROM u
 """

@@ -94,3 +94,38 @@ def test_revisits_name_their_profile(spark):
     path, _ = warc.write_archives(spark.createDataFrame([(1, "u", "a"), (2, "v", "a")], "page_id long, url string, html string"))
     text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     assert text.count(f"WARC-Profile: {warc.PROFILE}\r\n") == 1 == text.count("WARC-Type: revisit")
+
+
+def test_any_long_is_a_page_id_in_any_time_zone(spark):
+    ids = [2**62, 2**63 - 1, 2**40, -(2**63), -1, -2, 0, None, 5, 2**31, 2**31 + 5]
+    rows = [(i, "http://one.example.com/", f"body {i}") for i in ids]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = warc.capture_histories(index(spark, rows)[0]).toPandas()
+        dates = [r.d for r in spark.range(2).select(warc.capture_date(F.col("id")).alias("d")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert dates == ["2023-11-14T22:13:20Z", "2023-11-14T22:13:21Z"]
+    assert all(len(t) == 14 and "2023" <= t[:4] <= "2092" for t in got["capture_time"])
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": pd.array(ids, dtype="Int64"), "url": [u for _, u, _ in rows], "html": [h for _, _, h in rows]}))
+    want = dict(con.sql(f"SELECT payload_digest, history_pos FROM ({warc.SQL})").fetchall())
+    assert dict(zip(got["payload_digest"], got["history_pos"])) == want
+    order = sorted(ids, key=lambda i: ((i or 0) % 2**31, i is not None, i or 0))
+    digest = lambda i: base64.b32encode(hashlib.sha1(f"body {i}".encode()).digest()).decode()
+    assert [want[digest(i)] for i in order] == list(range(len(ids)))
+
+
+def test_captures_alike_in_all_of_the_key_are_split(spark, monkeypatch):
+    """One page a thousand times: no range holds more than a few times RANGE_ROWS of them."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    monkeypatch.setattr(warc, "KEY_ROWS", 4)
+    monkeypatch.setattr(warc, "SEGMENT_ROWS", 16)
+    rows = [(None if i % 2 else 9, "http://hot.example.com/", f"b{i}") for i in range(1000)]
+    records, seen, sums = index(spark, rows)[0], [], warc.running_sum
+    monkeypatch.setattr(warc, "running_sum", lambda df, *a: seen.append(df.collect()) or sums(df, *a))
+    got = warc.capture_histories(records).collect()
+    assert sorted(r.history_pos for r in got) == list(range(1000))
+    assert max(r["_n"] for r in seen[0]) <= 150 and len(seen[0]) >= 15
+    assert all(r.page_id is None for r in got if r.history_pos < 500)
