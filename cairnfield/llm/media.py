@@ -46,23 +46,19 @@ MAGIC = {
 }
 
 
-# Validators: (bytes, offset) -> length of the media that begins there, or None.
+# Validators: (bytes, offset, what is known of the value) -> length of the media that begins there, or None. Walks from
+# place to place are kept in ``Marks``, so that no place is walked twice, however many magic numbers lead to it.
 
 
-def _wav(b: bytes, o: int) -> int | None:
+def _wav(b: bytes, o: int, marks: Marks) -> int | None:
     if b[o + 8 : o + 12] != b"WAVE" or o + 12 > len(b):
         return None
-    end, at, seen = o + 8 + struct.unpack_from("<I", b, o + 4)[0], o + 12, set()
-    if end > len(b):
-        return None
-    while at + 8 <= end:
-        seen.add(b[at : at + 4])
-        n = struct.unpack_from("<I", b, at + 4)[0]
-        at += 8 + n + (n & 1)
-    return end - o if at == end and {b"fmt ", b"data"} <= seen else None
+    end = o + 8 + struct.unpack_from("<I", b, o + 4)[0]
+    met = marks.chunks.between(o + 12, end) if end <= len(b) else None
+    return end - o if met and all(met) else None
 
 
-def _au(b: bytes, o: int) -> int | None:
+def _au(b: bytes, o: int, marks: Marks) -> int | None:
     if o + 24 > len(b):
         return None
     start, size, code, rate, channels = struct.unpack_from(">5I", b, o + 4)
@@ -70,7 +66,7 @@ def _au(b: bytes, o: int) -> int | None:
     return start + size if ok else None
 
 
-def _bmp(b: bytes, o: int) -> int | None:
+def _bmp(b: bytes, o: int, marks: Marks) -> int | None:
     if o + 54 > len(b):
         return None
     size, zero, start, header, width, height, planes, bits, packed = struct.unpack_from("<IIIIiiHHI", b, o + 2)
@@ -80,43 +76,161 @@ def _bmp(b: bytes, o: int) -> int | None:
     return size if size == whole and o + size <= len(b) else None
 
 
-def _png(b: bytes, o: int) -> int | None:
-    at, first = o + 8, True
-    while at + 12 <= len(b):
-        n, kind = struct.unpack_from(">I", b, at)[0], b[at + 4 : at + 8]
-        if at + 12 + n > len(b) or first != (kind == b"IHDR") or struct.unpack_from(">I", b, at + 8 + n)[0] != zlib.crc32(b[at + 4 : at + 8 + n]):
-            return None
-        at, first = at + 12 + n, False
-        if kind == b"IEND":
-            return at - o
-    return None
+def _png(b: bytes, o: int, marks: Marks) -> int | None:
+    """The first chunk is IHDR, 13 bytes long by the format; the others are walked."""
+    if b[o + 8 : o + 16] != b"\x00\x00\x00\x0dIHDR" or o + 33 > len(b) or struct.unpack_from(">I", b, o + 29)[0] != zlib.crc32(b[o + 12 : o + 29]):
+        return None
+    end = marks.png.end(o + 33)
+    return end - o if end else None
+
+
+def _png_chunk(marks: Marks, at: int) -> tuple[bool, int | None]:
+    b = marks.b
+    if at + 12 > len(b):
+        return True, None
+    n, kind = struct.unpack_from(">I", b, at)[0], b[at + 4 : at + 8]
+    end = at + 12 + n
+    if end > len(b) or kind == b"IHDR" or struct.unpack_from(">I", b, end - 4)[0] != marks.crc(at + 4, end - 4):
+        return True, None
+    return kind == b"IEND", end
+
+
+def _gif_table(flags: int) -> int:
+    return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
 
-def _gif(b: bytes, o: int) -> int | None:
+def _gif(b: bytes, o: int, marks: Marks) -> int | None:
     if b[o + 4 : o + 6] not in (b"7a", b"9a") or o + 13 > len(b):
         return None
-    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    at = o + 13 + table(b[o + 10])
-    while at < len(b):
-        if b[at] == 0x3B:
-            return at + 1 - o
-        if b[at] == 0x21:
-            at += 2
-        elif b[at] == 0x2C and at + 10 < len(b):
-            at += 11 + table(b[at + 9])
-        else:
-            return None
-        while at < len(b) and b[at]:
-            at += 1 + b[at]
-        at += 1
-    return None
+    end = marks.gif.end(o + 13 + _gif_table(b[o + 10]))
+    return end - o if end else None
+
+
+def _gif_block(marks: Marks, at: int) -> tuple[bool, int | None]:
+    b = marks.b
+    if at >= len(b):
+        return True, None
+    if b[at] == 0x3B:
+        return True, at + 1
+    if b[at] == 0x21:
+        return False, marks.gif_data.end(at + 2)
+    if b[at] == 0x2C and at + 10 < len(b):
+        return False, marks.gif_data.end(at + 11 + _gif_table(b[at + 9]))
+    return True, None
+
+
+def _gif_data(marks: Marks, at: int) -> tuple[bool, int]:
+    """Sub-blocks up to an empty one."""
+    return (True, at + 1) if at >= len(marks.b) or not marks.b[at] else (False, at + 1 + marks.b[at])
+
+
+@functools.cache
+def _crc_zeros(k: int) -> tuple[int, ...]:
+    """What 2^k zero bytes make of each bit of a crc32."""
+    if k == 0:
+        one = lambda c: functools.reduce(lambda x, _: (x >> 1) ^ (0xEDB88320 if x & 1 else 0), range(8), c)
+        return tuple(one(1 << i) for i in range(32))
+    half = _crc_zeros(k - 1)
+    return tuple(_crc_apply(half, x) for x in half)
+
+
+def _crc_apply(matrix: tuple[int, ...], crc: int) -> int:
+    out = 0
+    for m in matrix:
+        if crc & 1:
+            out ^= m
+        crc >>= 1
+    return out
+
+
+def crc_moved(crc: int, n: int) -> int:
+    """What ``crc`` adds to the crc32 of ``n`` more bytes."""
+    k = 0
+    while n:
+        if n & 1:
+            crc = _crc_apply(_crc_zeros(k), crc)
+        n, k = n >> 1, k + 1
+    return crc
+
+
+class Walk:
+    """Where walks end: ``step(place)`` tells (True, the end) or (False, the next place, a greater one)."""
+
+    def __init__(self, step: Callable[[int], tuple[bool, int | None]]) -> None:
+        self.step, self.known = step, {}
+
+    def end(self, at: int) -> int | None:
+        passed, done = [], False
+        while not done and at not in self.known:
+            passed.append(at)
+            done, at = self.step(at)
+        found = at if done else self.known[at]
+        self.known.update(dict.fromkeys(passed, found))
+        return found
+
+
+class Chunks:
+    """Chains of chunks with little-endian lengths: whether a chain meets a place, and which kinds it has before it.
+
+    Each place knows the next, one far ahead (by skew binary numbers, so any place is met in few jumps), and how many
+    chunks of each kind follow."""
+
+    KINDS = (b"fmt ", b"data")
+
+    def __init__(self, b: bytes) -> None:
+        self.b, self.at = b, {}  # place -> (depth, next, far, counts)
+
+    def _learn(self, place: int) -> None:
+        path = []
+        while place not in self.at:
+            if place + 8 > len(self.b):
+                self.at[place] = (0, place, place, (0, 0))
+                break
+            path.append(place)
+            n = struct.unpack_from("<I", self.b, place + 4)[0]
+            place += 8 + n + (n & 1)
+        for p in reversed(path):
+            depth, _, far, counts = self.at[place]
+            further = self.at[far]
+            jump = further[2] if depth - further[0] == further[0] - self.at[further[2]][0] else place
+            kind = self.b[p : p + 4]
+            self.at[p] = (depth + 1, place, jump, tuple(c + (kind == k) for c, k in zip(counts, self.KINDS)))
+            place = p
+
+    def between(self, place: int, end: int) -> tuple[int, ...] | None:
+        """Chunks of each kind from ``place`` on up to ``end``; None if the chain does not meet it."""
+        self._learn(place)
+        first = here = self.at[place]
+        while place < end and here[0]:
+            place = here[2] if here[2] <= end else here[1]
+            here = self.at[place]
+        return tuple(x - y for x, y in zip(first[3], here[3])) if place == end else None
 
 
 class Marks:
-    """Where some bytes occur in a value, found once for all validators."""
+    """What is known of a value, found once for all validators: where some bytes occur, where walks end."""
+
+    #: Bytes between the places whose checksum from the beginning is kept.
+    CRC_STEP = 1 << 16
 
     def __init__(self, b: bytes) -> None:
-        self.b, self.found = b, {}
+        self.b, self.found, self.crcs = b, {}, [0]
+        self.chunks = Chunks(b)
+        self.png, self.gif, self.gif_data = (Walk(functools.partial(step, self)) for step in (_png_chunk, _gif_block, _gif_data))
+
+    def _crc_to(self, end: int) -> int:
+        """The crc32 of the value up to ``end``."""
+        k = end // self.CRC_STEP
+        while len(self.crcs) <= k:
+            n = len(self.crcs)
+            self.crcs.append(zlib.crc32(self.b[(n - 1) * self.CRC_STEP : n * self.CRC_STEP], self.crcs[-1]))
+        return zlib.crc32(self.b[k * self.CRC_STEP : end], self.crcs[k])
+
+    def crc(self, start: int, end: int) -> int:
+        """The crc32 of a stretch; of a long one by those of the value up to its ends."""
+        if end - start <= 2 * self.CRC_STEP:
+            return zlib.crc32(self.b[start:end])
+        return self._crc_to(end) ^ crc_moved(self._crc_to(start), end - start)
 
     def places(self, what: bytes) -> list[int]:
         if what not in self.found:
@@ -147,7 +261,7 @@ def _jpeg(b: bytes, o: int, marks: Marks) -> int | None:
     return None
 
 
-def _gzip(b: bytes, o: int) -> int | None:
+def _gzip(b: bytes, o: int, marks: Marks) -> int | None:
     stream, at = zlib.decompressobj(31), o
     try:
         while not stream.eof and at < len(b):
@@ -167,8 +281,6 @@ def _pdf(b: bytes, o: int, marks: Marks) -> int | None:
     return end + 5 - o if end >= o else None
 
 
-#: Types whose end is looked for; their validators get the value's marks.
-SEARCHING = {"image/jpeg", "application/pdf"}
 VALIDATORS: dict[str, Callable[..., int | None]] = {
     "audio/wav": _wav,
     "audio/basic": _au,
@@ -194,8 +306,7 @@ def find(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of all confirmed media in ``data``, by offset."""
     out, marks = [], Marks(data)
     for end, (kind, n) in _automaton().iter(data.decode("latin-1")):
-        at = (data, end + 1 - n, marks) if kind in SEARCHING else (data, end + 1 - n)
-        length = VALIDATORS[kind](*at)
+        length = VALIDATORS[kind](data, end + 1 - n, marks)
         if length:
             out.append((kind, end + 1 - n, length))
     return out

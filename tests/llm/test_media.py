@@ -66,7 +66,9 @@ def test_documents(spark):
 def test_many_magic_numbers_without_an_end_take_linear_time():
     import time
 
-    for magic in (b"%PDF-1.", b"\xff\xd8\xff\xda\x00\x02"):
+    wave = b"RIFF\x00\x00\x10\x00WAVE" + b"fmt \x04\x00\x00\x00RIFF" + b"\x00\x00\x0f\x00WAVEdata\x00\x00\x00\x00"
+    png = b"\x89PNG\r\n\x1a\n" + media._chunk(b"IHDR", bytes(13)) + b"\x00\x03\x00\x00tEXt"
+    for magic in (b"%PDF-1.", b"\xff\xd8\xff\xda\x00\x02", b"GIF89a1234567!x", b"GIF89a1234567!\xf9\x01", png, wave):
         began = time.process_time()
         assert media.find(magic * 60_000) == []
         assert time.process_time() - began < 20
@@ -77,3 +79,64 @@ def test_a_text_of_megabytes(spark):
     [r] = media.read_media(media.store_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
     whole = media.padded(text.encode())
     assert (r.n_bytes, r.payload_bytes) == (len(text.encode()), len(whole)) and r.payload_sha256 == hashlib.sha256(whole).hexdigest()
+
+
+def plain_wav(b, o):
+    end, at, seen = o + 8 + int.from_bytes(b[o + 4 : o + 8], "little"), o + 12, set()
+    if b[o + 8 : o + 12] != b"WAVE" or o + 12 > len(b) or end > len(b):
+        return None
+    while at + 8 <= end:
+        seen.add(b[at : at + 4])
+        n = int.from_bytes(b[at + 4 : at + 8], "little")
+        at += 8 + n + (n & 1)
+    return end - o if at == end and {b"fmt ", b"data"} <= seen else None
+
+
+def plain_gif(b, o):
+    table = lambda f: 3 << ((f & 7) + 1) if f & 0x80 else 0
+    if b[o + 4 : o + 6] not in (b"7a", b"9a") or o + 13 > len(b):
+        return None
+    at = o + 13 + table(b[o + 10])
+    while at < len(b):
+        if b[at] == 0x3B:
+            return at + 1 - o
+        if b[at] == 0x21:
+            at += 2
+        elif b[at] == 0x2C and at + 10 < len(b):
+            at += 11 + table(b[at + 9])
+        else:
+            return None
+        while at < len(b) and b[at]:
+            at += 1 + b[at]
+        at += 1
+    return None
+
+
+_PIECES = [b"RIFF", b"WAVE", b"fmt ", b"data", b"GIF89a", b"1234567", b"!x", b",", b";", bytes(10), b"LIST", *(n.to_bytes(4, "little") for n in (0, 1, 2, 4, 12, 20, 24, 28, 36, 60, 100, 300))]
+
+
+@given(st.lists(st.sampled_from(_PIECES), max_size=120))
+def test_walks_kept_agree_with_walks_made_anew(parts):
+    b = b"".join(parts)
+    marks = media.Marks(b)
+    for o in range(len(b)):
+        if b[o : o + 4] == b"RIFF":
+            assert media._wav(b, o, marks) == plain_wav(b, o)
+        if b[o : o + 4] == b"GIF8":
+            assert media._gif(b, o, marks) == plain_gif(b, o)
+
+
+def test_nested_waves():
+    inner = b"RIFF" + (4 + 8 + 16 + 8 + 4).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + bytes(16) + b"data" + (4).to_bytes(4, "little") + b"abcd"
+    outer = b"RIFF" + (4 + 8 + 16 + 8 + len(inner)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + bytes(16) + b"data" + len(inner).to_bytes(4, "little") + inner
+    assert media.find(outer) == [("audio/wav", 0, len(outer)), ("audio/wav", 44, len(inner))] and plain_wav(outer, 0) == len(outer)
+
+
+@given(st.binary(min_size=1, max_size=400), st.data())
+def test_checksums_of_stretches(b, data):
+    import random
+
+    b = random.Random(b).randbytes(2 * media.Marks.CRC_STEP) + b * 300
+    marks, x = media.Marks(b), data.draw(st.integers(0, len(b)))
+    y = data.draw(st.integers(x, len(b)))
+    assert marks.crc(x, y) == zlib.crc32(b[x:y]) == marks._crc_to(y) ^ media.crc_moved(marks._crc_to(x), y - x)
