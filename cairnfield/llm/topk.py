@@ -141,8 +141,9 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     """``query_id, rank, vec_id, score``: each query's k highest integer inner products over all other rows.
 
     ``is_query`` is a Column over ``vectors``. Query blocks (512 rows each) meet candidate blocks (4,096 rows each) by a
-    join on the query block's number; the query side is broadcast only within the size bound, else dealt by salted
-    keys, so no task holds more than two blocks at a time."""
+    join on the query block's number, broadcast only within the size bound; beyond it each candidate block goes once to
+    one of so many groups as there are shuffle partitions, and the query blocks to all. No task holds more than two blocks
+    at a time."""
     spark = vectors.sparkSession
     usable = vectors.filter(F.col(id_col).isNotNull() & valid_vector(vector_col))
     queries = usable.filter(is_query).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).groupBy("_id").agg(F.min("_v").alias("_v"))
@@ -152,12 +153,12 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     q_blocks = q_blocks.select(F.pmod(F.xxhash64("ids"), F.lit(n_blocks)).alias("_qb"), *(F.col(n).alias(f"q_{n}") for n in _SCHEMA.names))
     blocks = usable.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).mapInArrow(_blocks(BLOCK_ROWS), _BLOCK)
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("_g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
     small = small_side(q_blocks, sized["n"], 12 * (sized["d"] or 1))
     if small is not q_blocks:
-        pairs = blocks.join(small, "_qb")
+        pairs = blocks.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(small, "_qb")
     else:
-        pairs = blocks.join(q_blocks.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["_qb", "_g"])
+        grouped = blocks.withColumn("_g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+        pairs = grouped.join(q_blocks.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "_g")
     best = pairs.select(*_SCHEMA.names, *(f"q_{n}" for n in _SCHEMA.names)).mapInArrow(_score(k), "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

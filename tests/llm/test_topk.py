@@ -40,3 +40,16 @@ def test_few_and_none(spark):
 def test_large_components_are_exact_and_clamped(spark):
     rows = [(0, [2.0**40, 1.0]), (1, [2.0**40, 1.0]), (2, [-(2.0**40), 0.0])]
     assert [r[2:] for r in run(spark, rows)] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_blocks_by_either_plan(spark, monkeypatch):
+    """Several query and candidate blocks, broadcast and dealt to groups."""
+    from cairnfield.llm import common
+
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    rows = [(i, [((i * 13 + d * 5) % 17 - 8) / 8 for d in range(5)]) for i in range(700)]
+    want = brute(rows)
+    assert run(spark, rows) == want
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert run(spark, rows) == want
