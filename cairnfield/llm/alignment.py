@@ -21,7 +21,9 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +39,21 @@ A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 B_BITS = 32
 #: Pairs that are broadcast at most: 40 bytes each, 20 MB.
 HEAD_PAIRS = 1 << 19
+#: Tokens compared in the first probe of a run.
+FIRST_PROBE = 8
 #: Characters of a text given to the piece encoder at once, where it can be cut.
 STRETCH = 1 << 16
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(group ends in a, group ends in b, links' indices into a, into b) of two rising lists with the same last value.
-
-    A group end is the number of tokens up to it; links go in order."""
-    cuts_a, cuts_b, links_a, links_b = [], [], [], []
-    i = j = 0
-    while i < len(a):
-        if a[i] == b[j]:
-            run, step = 1, 1
+def skip_runs(a: list[int], b: list[int]) -> tuple[array, array, array]:
+    """(one-to-one runs, each as its first indices and length; ends of irregular groups; links in these, each as two
+    indices) of two rising lists with the same last value, flat. An end is the number of tokens up to it."""
+    runs, ends, links = array("q"), array("q"), array("q")
+    i, j, n, link = 0, 0, len(a), links.append
+    while i < n:
+        x, y = a[i], b[j]
+        if x == y:
+            run, step = 1, FIRST_PROBE
             while (part := a[i + run : i + run + step]) and part == b[j + run : j + run + step]:
                 run += len(part)
                 step *= 2
@@ -57,15 +61,12 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int],
                 step //= 2
                 if (part := a[i + run : i + run + step]) and part == b[j + run : j + run + step]:
                     run += len(part)
-            links_a.extend(range(i, i + run))
-            links_b.extend(range(j, j + run))
-            cuts_a.extend(range(i + 1, i + run + 1))
-            cuts_b.extend(range(j + 1, j + run + 1))
-            i, j = i + run, j + run
+            runs.extend((i, j, run))
+            i += run
+            j += run
             continue
-        x, y = a[i], b[j]
-        links_a.append(i)
-        links_b.append(j)
+        link(i)
+        link(j)
         while x != y:
             if x < y:
                 i += 1
@@ -73,12 +74,22 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int],
             else:
                 j += 1
                 y = b[j]
-            links_a.append(i)
-            links_b.append(j)
-        i, j = i + 1, j + 1
-        cuts_a.append(i)
-        cuts_b.append(j)
-    return cuts_a, cuts_b, links_a, links_b
+            link(i)
+            link(j)
+        i += 1
+        j += 1
+        ends.extend((i, j))
+    return runs, ends, links
+
+
+def align(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group ends in a, in b, links' indices into a, into b) of two rising lists with the same last value; ends in
+    order, links in no order."""
+    runs, ends, links = skip_runs(a, b)
+    (i, j, n), (end_a, end_b), (link_a, link_b) = (np.array(x, np.int64).reshape(-1, k).T for x, k in ((runs, 3), (ends, 2), (links, 2)))
+    run_a = np.arange(n.sum()) + np.repeat(i - np.cumsum(n) + n, n)
+    run_b = run_a + np.repeat(j - i, n)
+    return np.sort(np.concatenate([run_a + 1, end_a])), np.sort(np.concatenate([run_b + 1, end_b])), np.concatenate([run_a, link_a]), np.concatenate([run_b, link_b])
 
 
 class ByteTokens:
@@ -94,8 +105,8 @@ class ByteTokens:
         for piece, i in entries.items():
             self.bytes_of[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
 
-    def encode(self, text: str) -> list[int]:
-        return self.encode_text(" " + text).tolist()
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_text(" " + text)
 
 
 class PieceTokens:
@@ -113,7 +124,7 @@ class PieceTokens:
         self.can_cut = not any("▁" in p.lstrip("▁") for p in pieces)
         self.cut = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         ids, at = [], 0
         while self.can_cut and len(text) - at > STRETCH:
             m = self.cut.search(text, at + STRETCH)
@@ -121,35 +132,56 @@ class PieceTokens:
                 break
             ids += self.model.encode(text[at : m.start()], num_threads=1)
             at = m.end()
-        return ids + self.model.encode(text[at:] if at else text, num_threads=1)
+        return np.array(ids + self.model.encode(text[at:] if at else text, num_threads=1), np.int64)
+
+
+@dataclass
+class Side:
+    """One tokenizer as a worker holds it."""
+
+    encode: Callable[[str], np.ndarray]
+    bytes_of: list[bytes]
+    lengths: np.ndarray
+    names: list[str]  # of both sides: of each id in the middle of a group, then of each at the end of its side of it
 
 
 @functools.cache
-def _tokens(a_path: str, b_path: str) -> tuple:
-    """The worker's two tokenizers, each with its ids' bytes, lengths and decimal texts; loaded once."""
-    sides = ByteTokens(a_path), PieceTokens(b_path)
-    return tuple((t.encode, t.bytes_of, np.array([len(x) for x in t.bytes_of], np.int64), [str(i) for i in range(len(t.bytes_of))]) for t in sides)
+def _tokens(a_path: str, b_path: str) -> tuple[Side, Side]:
+    """The worker's two tokenizers, loaded once."""
+    both = ByteTokens(a_path), PieceTokens(b_path)
+    names = [f"{i}{after}" for t, end in zip(both, "|;") for after in (",", end) for i in range(len(t.bytes_of))]
+    return tuple(Side(t.encode, t.bytes_of, np.array([len(x) for x in t.bytes_of], np.int64), names) for t in both)
 
 
-def token_ends(text: str | None, side: tuple) -> tuple[list[int], list[int]] | None:
+def token_ends(text: str, side: Side) -> tuple[np.ndarray, list[int]] | None:
     """(ids, byte ends) of space and text; None if the ids' bytes are not these."""
-    encode, bytes_of, lengths, _ = side
-    ids = encode(text)
-    if b"".join([bytes_of[i] for i in ids]) != b" " + text.encode():
+    ids = side.encode(text).astype(np.int64)
+    if b"".join(map(side.bytes_of.__getitem__, ids.tolist())) != b" " + text.encode():
         return None
-    return ids, np.cumsum(lengths[ids]).tolist()
+    return ids, np.cumsum(side.lengths[ids]).tolist()
+
+
+def group_text(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, sides: tuple[Side, Side]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group. Every id's place among all is its own index and the number of the
+    other side's tokens before it."""
+    ends = [np.zeros(len(ids), bool) for ids in (a, b)]
+    for e, cuts in zip(ends, (cuts_a, cuts_b)):
+        e[cuts - 1] = True
+    group = [np.cumsum(e) - e for e in ends]
+    out = np.empty(len(a) + len(b), np.int64)
+    out[np.arange(len(a)) + np.concatenate([[0], cuts_b])[group[0]]] = a + ends[0] * len(sides[0].bytes_of)
+    out[np.arange(len(b)) + cuts_a[group[1]]] = 2 * len(sides[0].bytes_of) + b + ends[1] * len(sides[1].bytes_of)
+    return "".join(map(sides[0].names.__getitem__, out.tolist()))[:-1]
 
 
-def group_text(cuts: tuple[list[int], list[int]], names_a: list[str], names_b: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    out, i, j = [], 0, 0
-    for p, q in zip(*cuts):
-        out.append((names_a[i] if p - i == 1 else ",".join(names_a[i:p])) + "|" + (names_b[j] if q - j == 1 else ",".join(names_b[j:q])))
-        i, j = p, q
-    return ";".join(out)
+def linked_pairs(a: np.ndarray, b: np.ndarray, links_a: np.ndarray, links_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id pairs as numbers, how many links hold each)."""
+    pair = np.sort((a[links_a] << B_BITS) | b[links_b])
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    return pair[first], np.diff(np.append(first, len(pair)))
 
 
-def align_text(text: str | None, sides: tuple) -> tuple | None:
+def align_text(text: str | None, sides: tuple[Side, Side]) -> tuple | None:
     """(ids a, ids b, group ends in a, in b, links in a, in b) of a text; None where it has no tokens."""
     if not text:
         return None
@@ -174,10 +206,9 @@ def _align(a_path: str, b_path: str):
                     sizes.append(0)
                     continue
                 a, b, cuts_a, cuts_b, links_a, links_b = found
-                names = ([side[3][i] for i in ids] for side, ids in zip(sides, (a, b)))
-                digest = hashlib.sha256(group_text((cuts_a, cuts_b), *names).encode()).hexdigest()
+                digest = hashlib.sha256(group_text(a, b, cuts_a, cuts_b, sides).encode()).hexdigest()
                 told.append((len(a), len(b), len(cuts_a), len(links_a), digest))
-                pair, k = np.unique((np.array(a, np.int64)[links_a] << B_BITS) | np.array(b, np.int64)[links_b], return_counts=True)
+                pair, k = linked_pairs(a, b, links_a, links_b)
                 pairs.append(pair)
                 counts.append(k)
                 sizes.append(len(pair))
@@ -211,8 +242,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_pat
                 if found is None:
                     continue
                 a, b, cuts_a, cuts_b = found[:4]
-                ends = np.cumsum(sides[0][2][a])[np.array(cuts_a) - 1]
-                lists = [pa.ListArray.from_arrays(pa.array([0, *cuts], pa.int32()), pa.array(ids, pa.int32())) for cuts, ids in ((cuts_a, a), (cuts_b, b))]
+                ends = np.cumsum(sides[0].lengths[a])[cuts_a - 1]
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, cuts), pa.int32()), pa.array(ids, pa.int32())) for cuts, ids in ((cuts_a, a), (cuts_b, b))]
                 n = len(cuts_a)
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(np.arange(n)), pa.array(np.concatenate([[0], ends[:-1]])), pa.array(ends), *lists], names=["doc_id", "group", "start", "end", "a_ids", "b_ids"])
 
