@@ -67,3 +67,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 6, id_col: str = "vec_id", ve
     near = pairs.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(_nearest(k), "query_id long, vec_id long, distance double")
     ranked = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
+
+def passages(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """``found`` with the other columns of ``docs``, null where the key has no row. Of ``docs``, whose texts are long, only
+    rows that were found are shuffled: their keys are counted, and broadcast where they fit the bound."""
+    keys = found.select(F.col(key).alias("_key")).distinct()
+    side = F.broadcast(keys) if keys.count() * 16 <= BROADCAST_BYTES else keys
+    wanted = docs.join(side, docs[key] == side["_key"], "left_semi")
+    return found.join(wanted, key, "left")

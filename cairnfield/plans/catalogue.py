@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clinical, text
-from ..operators import admissions, catalogs, chunking, incremental, intervals, records, rules, vectors, windows
+from ..operators import admissions, catalogs, chunking, embedding, history, incremental, intervals, records, rules, vectors, windows
 from ..sources import web
-from ..storage import cut, scratch
+from ..storage import cut, scratch, table_of
 from ..streaming import alerts as streams
 from . import reference_data
 from .oracles import SQL  # noqa: F401
@@ -511,8 +511,8 @@ def weekly_volume(spark, sf_dir):
 
 def _context(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
-    found = _neighbours(spark, sf_dir).join(docs, "vec_id", "left")
-    part = clinical.context_part(F.col("rank"), F.col("source"), F.col("vec_id"), F.lit(None), text.preview(F.col("text"), 320))
+    found = vectors.passages(table_of(_neighbours(spark, sf_dir), "found"), docs, "vec_id")
+    part = clinical.context_part(F.col("rank"), F.col("source"), F.col("vec_id"), F.lit(None), F.col("text"))
     return found.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", part.alias("part"))))["part"], clinical.CONTEXT_GAP).alias("context"))
 
 
@@ -762,6 +762,63 @@ def catalog_extract(spark, sf_dir):
     return names.select(F.col("ordinal.table_id").alias("table_id"), F.col("ordinal.row_no").alias("row_no"), "name")
 
 
+# Embedding of chunks.
+
+
+def _chunks(spark, sf_dir):
+    rows = chunking.fixed_chunks(table(spark, sf_dir, "documents").filter("doc_id is not null"), "doc_id", "text")
+    return rows.select(F.col("doc_id").cast("string").alias("source_stem"), chunking.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", F.col("chunk").alias("text"))
+
+
+@query
+def chunk_embeddings(spark, sf_dir):
+    """The components that are not 0 of every chunk's vector."""
+    each = embedding.with_embeddings(_chunks(spark, sf_dir)).select("chunk_id", F.posexplode("embedding").alias("dimension", "value"))
+    return each.filter("value != 0").withColumn("value", F.round("value", 6))
+
+
+def _embedding_run(spark, sf_dir):
+    """What a first run over every third document left, and the files as they are now: others' are new, and of each fifth
+    the file has changed since."""
+    chunks = _chunks(spark, sf_dir).select("source_stem", "chunk_id", "text")
+    stems = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("source_stem"), "doc_id", F.coalesce(F.col("n_chars"), F.lit(0)).cast("double").alias("mtime")).distinct()
+    none = spark.createDataFrame([], "source_stem string, status string, embedded_count long, chunks_mtime_unix double")
+    empty = spark.createDataFrame([], "source_stem string, chunk_id string, embedding array<double>")
+    first = stems.filter("doc_id % 3 = 0").withColumn("mtime", F.col("mtime") - F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).drop("doc_id")
+    store, manifest, _ = embedding.embed_changed(chunks, first, none, empty)
+    return chunks, stems.drop("doc_id"), table_of(manifest, "manifest"), table_of(store, "vectors")
+
+
+@query
+def embed_store(spark, sf_dir):
+    """The manifest after the second run, with the vectors that the store has of each document."""
+    chunks, files, manifest, store = _embedding_run(spark, sf_dir)
+    after, rows, told = embedding.embed_changed(chunks, files, manifest, store)
+    counts = after.groupBy("source_stem").agg(F.count("*").alias("n_vectors"), F.count_distinct("chunk_id").alias("n_ids"))
+    run = told.select("source_stem", F.lit(True).alias("in_run"))
+    both = rows.join(counts, "source_stem", "left").join(run, "source_stem", "left")
+    return both.select("source_stem", "status", "embedded_count", "chunks_mtime_unix", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_vectors", "n_ids")), F.coalesce("in_run", F.lit(False)).alias("in_run"))
+
+
+@query
+def embed_rerun(spark, sf_dir):
+    """A run over what a run has left embeds nothing."""
+    chunks, files, manifest, store = _embedding_run(spark, sf_dir)
+    after, rows, told = embedding.embed_changed(chunks, files, manifest, store)
+    store, manifest = table_of(after, "vectors"), table_of(rows, "manifest")
+    again, _, nothing = embedding.embed_changed(chunks, files, manifest, store)
+    count = lambda n, run, kept: run.agg(F.lit(n).alias("run"), F.count("*").alias("documents")).crossJoin(kept.agg(F.count("*").alias("vectors")))
+    return count(2, told, store).unionByName(count(3, nothing, again))
+
+
+@query
+def chunk_knn(spark, sf_dir):
+    """The chunks nearest to the first chunk of each fiftieth document, by the vectors of ``chunk_embeddings``."""
+    rows = embedding.with_embeddings(_chunks(spark, sf_dir)).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("vec_id"), "embedding")
+    found = vectors.nearest(rows, F.col("vec_id") % (50 * 100000) == 0, k=4)
+    return found.select("query_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 # Changes of state.
 
 WHEN = "2024-02-01T00:00:00"
@@ -848,3 +905,53 @@ def stream_critical_results(spark, sf_dir):
     out = scratch(spark, "critical")
     streams.critical_stream(_exam_updates(events), out, scratch(spark, "offsets")).awaitTermination()
     return spark.read.parquet(out)
+
+
+# Histories.
+
+
+def _history_tables(spark, sf_dir):
+    text = lambda prefix: F.concat(F.lit(prefix), F.col("id").cast("string")).alias("id")
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    return {
+        "patients": _patients(spark, sf_dir).withColumn("admitted_at", F.lit("2023-12-01T00:00:00")),
+        "exams": _exams(spark, sf_dir).select(text("ex-"), "patient_id", "name", "requested_at", "status", null("source"), null("protocol_ref")),
+        "items": _items(spark, sf_dir).select(text("sa-"), "patient_id", "type", null("description"), "status", null("protocol_ref")),
+        "log": _log(spark, sf_dir).select(text("al-"), "patient_id", "step", null("status"), null("detail"), F.col("timestamp").cast("string").alias("timestamp")),
+        "vitals": _vitals(spark, sf_dir).select(text("vs-"), "patient_id", "heart_rate", F.format_string("%020d", "at_us").alias("recorded_at")),
+    }
+
+
+@query
+def readmission_history(spark, sf_dir):
+    """Each patient before and after every tenth is readmitted, from the appended logs: status, time, exams, items, log
+    and vitals."""
+    tables = {n: table_of(t, n) for n, t in _history_tables(spark, sf_dir).items()}
+    changes, _ = history.readmission(tables, tables["patients"].filter("id % 10 = 0"), reference_data.protocols(spark), reference_data.DEFAULT_PROTOCOL, F.lit(1), WHEN, ["recorded_at", "id"])
+    logs = {}
+    for name, t in tables.items():
+        path = scratch(spark, f"log-{name}")
+        history.append(history.puts(t, F.lit(0)), path, "first")
+        for _ in range(2):  # a batch appended again replaces itself
+            history.append(changes[name], path, "readmission")
+        logs[name] = history.log_of(spark, path)
+    told = []
+    for moment in (0, 1):
+        now = {n: history.state_at(log, "id", F.lit(moment)) for n, log in logs.items()}
+        count = lambda n: now[n].groupBy(F.col("patient_id").alias("id")).agg(F.count("*").alias(f"n_{n}"))  # noqa: E731,B023
+        last = windows.latest(now["vitals"], "patient_id", "recorded_at", "id").select(F.col("patient_id").alias("id"), "heart_rate")
+        rows = now["patients"].select(F.lit(moment).alias("moment"), "id", "status", "admitted_at")
+        for side in (*map(count, ("exams", "items", "log", "vitals")), last):
+            rows = rows.join(side, "id", "left")
+        told.append(rows.fillna(0, [f"n_{n}" for n in ("exams", "items", "log", "vitals")]))
+    return told[0].unionByName(told[1])
+
+
+@query
+def state_at_times(spark, sf_dir):
+    """What each user's state was half an hour after every seventh event, by the log of all events; a purchase deletes."""
+    events = table(spark, sf_dir, "events").filter("ts is not null")
+    log = events.select("user_id", "event_type", "value", micros(F.col("ts")).alias(history.AT), F.col("event_id").alias(history.SEQ), F.when(F.col("event_type") == "purchase", history.DELETE).otherwise(history.PUT).alias(history.OP))
+    asks = events.filter("event_id % 7 = 0").select("event_id", "user_id", (micros(F.col("ts")) + 1_800_000_000).alias("asked_us"))
+    told = history.state_for(asks, log, "user_id", F.col("asked_us"), "was")
+    return told.select("event_id", "user_id", "asked_us", F.col("was.event_type").alias("event_type"), F.col("was.value").alias("value"))

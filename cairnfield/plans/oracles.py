@@ -153,7 +153,7 @@ SQL = {
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _CONTEXT = (
     _NEAR
-    + f""", b AS (SELECT query_id, string_agg('[' || rank || '] PCDT stem=' || coalesce(d.source, '?') || ' págs. ' || vec_id || '-?' || chr(10) || {_STRIP.format("coalesce(replace(text, chr(10), ' ')[1:320], '')")}, {_text(CONTEXT_GAP)} ORDER BY rank) AS context
+    + f""", b AS (SELECT query_id, string_agg('[' || rank || '] PCDT stem=' || coalesce(d.source, '?') || ' págs. ' || vec_id || '-?' || chr(10) || {_STRIP.format("coalesce(text, '')")}, {_text(CONTEXT_GAP)} ORDER BY rank) AS context
       FROM r LEFT JOIN documents d ON d.doc_id = r.vec_id GROUP BY query_id)"""
 )
 _PATIENTS = f"SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'admitted' ELSE 'discharged' END AS status, code AS cid_code, 'label ' || code AS cid_label FROM ({_CODED})"
@@ -255,5 +255,40 @@ SQL |= {
         UNION ALL SELECT patient_id, recorded_at, 'Pressão arterial crítica registrada (' || bp || ').' FROM s WHERE sys >= 180)
         SELECT CAST(to_json({'patientId': patient_id, 'severity': 'critical', 'message': message, 'createdAt': recorded_at, 'resolved': false}) AS VARCHAR) AS body FROM a""",
 }
+_EMBED = (
+    _CHUNKS
+    + r""", t AS (SELECT doc_id * 100000 + i AS vec_id, unnest(regexp_extract_all(translate(substring(text, i * 1400 + 1, 1600), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS word FROM c
+    ), h AS (SELECT vec_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM t
+    ), s AS (SELECT vec_id, h % 256 AS dimension, CAST(sum(CASE WHEN h // 256 % 2 = 1 THEN -1 ELSE 1 END) AS DOUBLE) AS x FROM h GROUP BY ALL
+    ), e AS (SELECT vec_id, CAST(dimension AS INTEGER) AS dimension, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS value FROM s WHERE x <> 0)"""
+)
+_STEMS = """WITH f AS (SELECT doc_id, CAST(coalesce(n_chars, 0) AS DOUBLE) AS mtime, coalesce(length(text), 0) AS size, NOT (doc_id % 3 = 0 AND doc_id % 5 <> 0) AS in_run FROM documents WHERE doc_id IS NOT NULL),
+    g AS (SELECT *, CAST(CASE WHEN size = 0 THEN 0 WHEN size <= 1600 THEN 1 ELSE ceil((size - 200) / 1400.0) END AS BIGINT) AS n FROM f)"""
+SQL |= {
+    "chunk_embeddings": _EMBED + " SELECT (vec_id // 100000) || ':' || (vec_id % 100000) AS chunk_id, dimension, round(value, 6) AS value FROM e",
+    "embed_store": _STEMS + " SELECT CAST(doc_id AS VARCHAR) AS source_stem, CASE WHEN n > 0 THEN 'embedded' ELSE 'skipped_empty' END AS status, n AS embedded_count, mtime AS chunks_mtime_unix, n AS n_vectors, n AS n_ids, in_run FROM g",
+    "embed_rerun": _STEMS + " SELECT 2 AS run, count(*) FILTER (WHERE in_run) AS documents, CAST(sum(n) AS BIGINT) AS vectors FROM g UNION ALL SELECT 3, 0, CAST(sum(n) AS BIGINT) FROM g",
+    "chunk_knn": _EMBED
+    + """, v AS (SELECT doc_id * 100000 + i AS vec_id, coalesce((SELECT sum(value * value) FROM e WHERE e.vec_id = doc_id * 100000 + i), 0) AS n2 FROM c
+    ), q AS (SELECT * FROM v WHERE vec_id % 5000000 = 0
+    ), dots AS (SELECT a.vec_id AS q_id, b.vec_id, sum(a.value * b.value) AS dot FROM e a JOIN e b ON a.dimension = b.dimension AND a.vec_id % 5000000 = 0 GROUP BY ALL
+    ), r AS (SELECT q.vec_id AS query_id, v.vec_id, q.n2 + v.n2 - 2 * coalesce(dot, 0) AS distance FROM q JOIN v ON v.vec_id <> q.vec_id LEFT JOIN dots ON dots.q_id = q.vec_id AND dots.vec_id = v.vec_id
+    ), k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, distance FROM r)
+    SELECT query_id, rank, round(abs(distance), 6) AS distance FROM k WHERE rank <= 4""",
+    "readmission_history": _READMIT
+    + f""", x AS (SELECT patient_id AS id, count(*) AS n FROM ({_EXAMS}) GROUP BY 1), i AS (SELECT patient_id AS id, count(*) AS n FROM ({_ITEMS}) GROUP BY 1),
+        l AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
+        v AS (SELECT user_id AS id, count(*) AS n, arg_max(CAST(floor(value) AS INTEGER), (ts, 'vs-' || event_id)) AS hr FROM events WHERE event_type = 'view' GROUP BY 1),
+        c AS (SELECT pcode, count(*) FILTER (WHERE kind = 'exam') AS n_exams, count(*) FILTER (WHERE kind = 'action') AS n_items FROM {_PROTOCOL_ITEMS} t(pcode, kind, pos, item) GROUP BY 1),
+        b AS (SELECT p.*, coalesce(x.n, 0) AS n_exams, coalesce(i.n, 0) AS n_items, coalesce(l.n, 0) AS n_log, coalesce(v.n, 0) AS n_vitals, hr, p.id IN (SELECT id FROM fine) AS moved
+          FROM p LEFT JOIN x USING (id) LEFT JOIN i USING (id) LEFT JOIN l USING (id) LEFT JOIN v USING (id))
+        SELECT 0 AS moment, id, status, '2023-12-01T00:00:00' AS admitted_at, n_exams, n_items, n_log, n_vitals, hr AS heart_rate FROM b UNION ALL
+        SELECT 1, id, CASE WHEN moved THEN 'admitted' ELSE status END, CASE WHEN moved THEN '2024-02-01T00:00:00' ELSE '2023-12-01T00:00:00' END, CASE WHEN moved THEN c.n_exams ELSE b.n_exams END,
+          CASE WHEN moved THEN c.n_items ELSE b.n_items END, n_log + moved::INT, n_vitals + moved::INT, CASE WHEN moved THEN coalesce(hr, 72) ELSE hr END FROM b LEFT JOIN c ON pcode = cid_code""",
+    "state_at_times": """WITH c AS (SELECT user_id, event_type, value, epoch_us(ts) AS at_us FROM events WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1
+        ), a AS (SELECT event_id, user_id, epoch_us(ts) + 1800000000 AS asked_us FROM events WHERE event_id % 7 = 0 AND ts IS NOT NULL)
+        SELECT a.event_id, a.user_id, asked_us, CASE WHEN c.event_type <> 'purchase' THEN c.event_type END AS event_type, CASE WHEN c.event_type <> 'purchase' THEN c.value END AS value
+        FROM a ASOF LEFT JOIN c ON a.user_id = c.user_id AND asked_us >= at_us""",
+}
 SQL["stream_vital_alerts"] = SQL["vital_alerts"]
 SQL["stream_critical_results"] = SQL["critical_results"]
