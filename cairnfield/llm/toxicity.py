@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon maps the words of a clause to classes: abuse (words and stems learned from labels), violence, intention,
-copula, target, negation, report, other. Transducers over these sequences are composed, arc by arc as they are met, into
+copula, target, object, speaker, negation, report, quotation mark, other. Transducers over these sequences are composed, arc by arc as they are met, into
 one grammar:
 
 * insult: abuse becomes a loose insult, or a direct one where a target and a copula stand just before it;
-* threat: a violent verb becomes a threat only with an intention before it (or at the clause's beginning, as an order)
-  and a target just before or, a guess to be met, after it; first-person forms need the target alone;
+* threat: a violent verb becomes a threat only with an intention of the speaker or of somebody unnamed before it (or at
+  the clause's beginning, as an order) and a victim: an object just before or, a guess to be met, a target after it;
+  first-person forms need the victim alone;
 * negation: marks insults and threats within three words after a negator;
-* reported speech: marks what follows a verb of saying in the clause;
+* reported speech: marks what follows a verb of saying in the clause, and what stands before one that follows a comma or
+  quotation mark (a guess to be met);
 * target: aims the loose insults of a clause that addresses somebody.
 
 The best path scores each clause; a logistic model over a document's clause scores, fitted on a bounded sample, gives its
@@ -54,7 +56,7 @@ SEED = 11
 
 # Word classes of the four languages.
 VIOLENCE = {
-    "kill", "murder", "hurt", "harm", "beat", "stab", "shoot", "strangle", "choke", "destroy", "attack", "punch", "smash", "crush",
+    "kill", "murder", "hurt", "harm", "stab", "shoot", "strangle", "choke", "destroy", "attack", "punch", "smash", "crush",
     "töten", "umbringen", "verletzen", "schlagen", "verprügeln", "erschießen", "erwürgen", "vernichten", "zerstören", "erstechen",
     "tuer", "frapper", "blesser", "assassiner", "égorger", "étrangler", "détruire", "cogner",
     "matar", "golpear", "asesinar", "herir", "destruir", "estrangular", "apuñalar", "lastimar",
@@ -64,16 +66,20 @@ FIRST_PERSON = {
     "töte", "schlage", "erschieße", "verletze", "vernichte", "tuerai", "frapperai", "blesserai", "détruirai", "tue", "frappe",
     "mataré", "golpearé", "asesinaré", "heriré", "destruiré", "mato",
 }
+SPEAKERS = {"i", "we", "somebody", "someone", "ich", "wir", "jemand", "je", "nous", "on", "quelqu", "yo", "nosotros", "alguien"}
 INTENTIONS = {
-    "will", "ll", "gonna", "going", "should", "shall", "must", "want", "deserve", "let", "ought", "somebody", "someone",
-    "werde", "werden", "soll", "sollte", "muss", "möchte", "vais", "allons", "veux", "devrait", "faut", "voy", "vamos", "quiero", "debería",
+    "will", "ll", "gonna", "going", "should", "shall", "must", "want", "ought", "werden", "soll", "sollte", "muss", "devrait", "faut", "debería",
 }
+FIRST_INTENTIONS = {"let", "werde", "möchte", "vais", "allons", "veux", "voy", "vamos", "quiero"}
 COPULAS = {"are", "re", "r", "were", "bist", "seid", "es", "êtes", "eres", "sois", "son", "remain", "bleibst", "restes"}
-TARGETS = {
-    "you", "your", "yours", "yourself", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "te", "vous", "votre", "ton",
-    "usted", "ustedes", "tú", "ti", "vosotros", "matarte", "golpearte", "asesinarte", "herirte", "destruirte",
+#: Targets that may be subjects, and those that can't.
+TARGETS = {"you", "u", "du", "ihr", "tu", "usted", "ustedes", "tú", "vosotros"}
+OBJECTS = {
+    "your", "yours", "yourself", "dich", "dir", "dein", "deine", "euch", "toi", "te", "vous", "votre", "ton", "ti",
+    "matarte", "golpearte", "asesinarte", "herirte", "destruirte",
 }
 NEGATIONS = {"not", "no", "never", "nobody", "isn", "aren", "don", "won", "nicht", "kein", "keine", "nie", "niemals", "ne", "pas", "jamais", "nunca", "jamás", "ningún"}
+QUOTES = set(',"“”„«»')
 REPORTS = {"said", "says", "wrote", "claimed", "quoted", "reported", "sagte", "schrieb", "behauptete", "dit", "écrit", "affirme", "dijo", "escribió", "afirma"}
 
 #: What a unit of lexicon weight counts as a loose, aimed and direct insult and as a threat, and what
@@ -84,8 +90,13 @@ FACTORS = {k + m: x * y for k, x in KINDS.items() for m, y in MARKS.items()}
 
 #: How many words apart: target and copula, these and the abuse; intention and verb, verb and target; negator and match.
 NEAR, DIRECT_REACH, INTENT_REACH, TARGET_REACH, NEGATION_REACH = 2, 4, 5, 3, 3
+#: Words between a speaker and the intention, and between a comma or quotation mark and the verb of saying after it.
+AGENT_REACH, REPORT_REACH = 3, 3
+#: Clauses of a lesser score count by it alone, not as one more match.
+COUNTED = 2.0
 
 WORD = re.compile(r"[^\W\d_]+")
+SYMBOL = re.compile(r"[^\W\d_]+|[" + "".join(sorted(QUOTES)) + "]")
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 
 Arc = tuple[str, float, object]
@@ -113,8 +124,10 @@ def insult() -> Transducer:
     """State: words for which a target, a copula, and both together still count. Abuse (a) becomes i or d."""
 
     def move(s: tuple, x: str) -> list[Arc]:
+        if x == "c":
+            return [(x, 0.0, s)]
         target, copula, both = (max(0, k - 1) for k in s)
-        if x == "t":
+        if x in "ty":
             target, both = NEAR, DIRECT_REACH if s[1] else both
         elif x == "k":
             copula, both = NEAR, DIRECT_REACH if s[0] else both
@@ -126,33 +139,44 @@ def insult() -> Transducer:
 
 
 def threat() -> Transducer:
-    """State: words for which an intention and a target still count, words within which a guessed target is due. A
-    violent verb (v; f in the first person) becomes h or o; a verb that holds its target (w) needs the intention only."""
+    """State: words for which a speaker, an intention and a victim still count, words within which a guessed victim is due.
+
+    A violent verb (v; f in the first person) becomes h or o; a verb that holds its victim (w) needs the intention only.
+    An intention (m) is one only soon after a speaker (s), or as a clause's first word, where the speaker is left out;
+    p has its speaker in its form. Before the verb only an object (y) is a victim: ``you`` (t) is a subject there, be it
+    before the intention (you will hurt) or after it (I want you to)."""
 
     def move(s: tuple, x: str) -> list[Arc]:
-        intent, target = max(0, s[0] - 1), max(0, s[1] - 1)
-        due = 0 if x in "tw" else s[2] - 1
-        if s[2] and x not in "tw" and not due:
+        if x == "c":
+            return [(x, 0.0, s)]
+        agent, intent, victim = (max(0, k - 1) for k in s[:3])
+        met = x in "tyw"
+        due = 0 if met else s[3] - 1
+        if s[3] and not met and not due:
             return []  # the guess was wrong
         due = max(0, due)
-        if x == "m":
-            return [("o", 0.0, (INTENT_REACH, target, due))]
-        if x == "t":
-            return [("t", 0.0, (intent, TARGET_REACH, due))]
+        if x == "s":
+            return [("o", 0.0, (AGENT_REACH, intent, victim, due))]
+        if x == "p" or x == "m":
+            return [("o", 0.0, (agent, INTENT_REACH if x == "p" or s[0] else intent, victim, due))]
+        if x in "ty":
+            return [("t", 0.0, (agent, 0 if x == "t" and s[1] and not s[3] else intent, TARGET_REACH if x == "y" else victim, due))]
         if x not in "vfw":
-            return [(x, 0.0, (intent, target, due))]
-        told, none = ("h", 0.0, (intent, target, due)), ("o", 0.0, (intent, target, due))
+            return [(x, 0.0, (agent, intent, victim, due))]
+        told, none = ("h", 0.0, (agent, intent, victim, due)), ("o", 0.0, (agent, intent, victim, due))
         if x == "w":
-            return [told if s[0] else none]
-        if x == "v" and not s[0]:
+            return [told if s[1] else none]
+        if x == "v" and not s[1]:
             return [none]
-        return [told] if s[1] else [none, ("h", 0.0, (intent, target, TARGET_REACH))]
+        return [told] if s[2] else [none, ("h", 0.0, (agent, intent, victim, TARGET_REACH))]
 
-    return Transducer((1, 0, 0), move, lambda s: not s[2])
+    return Transducer((1, 1, 0, 0), move, lambda s: not s[3])
 
 
 def negation() -> Transducer:
     def move(s: int, x: str) -> list[Arc]:
+        if x == "c":
+            return [(x, 0.0, s)]
         if x == "n":
             return [("o", 0.0, NEGATION_REACH)]
         return [(x + "-" if s and x in KINDS else x, 0.0, max(0, s - 1))]
@@ -161,7 +185,28 @@ def negation() -> Transducer:
 
 
 def reported() -> Transducer:
-    return Transducer(False, lambda s, x: [("o", 0.0, True)] if x == "r" else [(x + "~" if s and x[0] in KINDS else x, 0.0, s)])
+    """State: what is known of reports (none; plain: a match stands unmarked; due: one is marked on the guess of a verb of
+    saying to come; met), and words within which such a verb, after a comma or quotation mark (c), tells what was before.
+
+    A verb there ends the paths that left a match unmarked; one elsewhere marks what follows it."""
+
+    def move(s: tuple, x: str) -> list[Arc]:
+        known, reach = s
+        if x == "c":
+            return [("o", 0.0, (known, REPORT_REACH))]
+        left = max(0, reach - 1)
+        if x == "r":
+            if reach:
+                return [] if known == "plain" else [("o", 0.0, ("met", left))]
+            return [("o", 0.0, (known if known in ("due", "plain") else "met", left))]
+        if x[0] not in KINDS:
+            return [(x, 0.0, (known, left))]
+        marked = x + "~"
+        if known == "none":
+            return [(x, 0.0, ("plain", left)), (marked, 0.0, ("due", left))]
+        return [(x, 0.0, (known, left))] if known == "plain" else [(marked, 0.0, (known, left))]
+
+    return Transducer(("none", 0), move, lambda s: s[0] != "due")
 
 
 def target() -> Transducer:
@@ -213,8 +258,9 @@ class Model:
 
 def word_class(word: str) -> str:
     if word in VIOLENCE:
-        return "w" if word in TARGETS else "v"
-    for kind, words in (("f", FIRST_PERSON), ("t", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("m", INTENTIONS), ("k", COPULAS)):
+        return "w" if word in OBJECTS else "v"
+    classes = (("f", FIRST_PERSON), ("t", TARGETS), ("y", OBJECTS), ("s", SPEAKERS), ("n", NEGATIONS), ("r", REPORTS), ("p", FIRST_INTENTIONS), ("m", INTENTIONS), ("k", COPULAS), ("c", QUOTES))
+    for kind, words in classes:
         if word in words:
             return kind
     return "o"
@@ -258,14 +304,14 @@ class Scorer:
         for m in CLAUSE.finditer(low):
             k = bisect.bisect_left(at, m.start())
             if k < len(at) and at[k] < m.end():
-                score = clause_score(self.grammar, [hits.get(w.start()) or (word_class(w.group()), 0.0) for w in WORD.finditer(low, m.start(), m.end())])
+                score = clause_score(self.grammar, [hits.get(w.start()) or (word_class(w.group()), 0.0) for w in SYMBOL.finditer(low, m.start(), m.end())])
                 if score > 0:
                     out.append((m.start(), m.end(), score))
         return out
 
     def features(self, text: str | None) -> list[float]:
         scores = [s for _, _, s in self.clauses(text)]
-        return [1.0, math.log1p(sum(scores)), max(scores, default=0.0) / MOST_WEIGHT, math.log1p(len(scores))]
+        return [1.0, math.log1p(sum(scores)), max(scores, default=0.0) / MOST_WEIGHT, math.log1p(sum(s >= COUNTED for s in scores))]
 
 
 def different(texts: list[str]) -> list[list[str]]:
@@ -281,6 +327,18 @@ def different(texts: list[str]) -> list[list[str]]:
     return out
 
 
+def in_new_contexts(texts: list[list[str]]) -> list[set[str]]:
+    """The words of each text that stand somewhere between two neighbours neither of which they had in a text before: a
+    passage that many texts share supports its words once."""
+    seen: set[tuple[str, str]] = set()
+    out = []
+    for ws in texts:
+        around = set(zip(["", *ws], ws, [*ws[1:], ""]))
+        out.append({w for a, w, b in around if (a + " ", w) not in seen and (w, b + " ") not in seen})
+        seen |= {(a + " ", w) for a, w, _ in around} | {(w, b + " ") for _, w, b in around}
+    return out
+
+
 def ratio(k: int, n: int, base: int, m: int) -> float:
     """Twice the log likelihood ratio of k in n texts against base in m."""
     both = (k + base) / (n + m)
@@ -294,19 +352,19 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> tuple[dict[str, float],
     A beginning that only one word's texts support is no stem: its word is taken whole. Of stems that begin with each
     other the one least likely by chance stays, or the longest that is nearly as unlikely; words that begin with a stem
     of nearly their odds go."""
-    bad, good = different(toxic), different(clean)
+    bad, good = (in_new_contexts(different(x)) for x in (toxic, clean))
     forms = lambda w: [(w[:k], w[k:]) for k in STEM_LENGTHS if k <= len(w)]
-    words = Counter(w for ws in bad for w in set(ws) if len(w) >= 3)
+    words = Counter(w for ws in bad for w in ws if len(w) >= 3)
     endings: dict[str, Counter] = defaultdict(Counter)
     for ws in bad:
-        for w in set(ws):
+        for w in ws:
             for f, e in forms(w):
                 endings[f][e] += 1
-    stems = Counter(f for ws in bad for f in {f for w in set(ws) for f, _ in forms(w)})
+    stems = Counter(f for ws in bad for f in {f for w in ws for f, _ in forms(w)})
     stems = {f: n for f, n in stems.items() if n >= LEAST_DOCS and len(endings[f]) >= LEAST_ENDINGS and 2 * max(endings[f].values()) <= sum(endings[f].values())}
     words = {w: n for w, n in words.items() if n >= LEAST_DOCS}
-    word_base = Counter(w for ws in good for w in set(ws) & words.keys())
-    stem_base = Counter(f for ws in good for f in {f for w in set(ws) for f, _ in forms(w)} & stems.keys())
+    word_base = Counter(w for ws in good for w in ws & words.keys())
+    stem_base = Counter(f for ws in good for f in {f for w in ws for f, _ in forms(w)} & stems.keys())
 
     def strong(found: dict[str, int], base: Counter) -> dict[str, tuple[float, float]]:
         told = {f: (ratio(n, len(bad), base[f], len(good)), math.log((n + 0.5) / (len(bad) + 1)) - math.log((base[f] + 0.5) / (len(good) + 1))) for f, n in found.items()}

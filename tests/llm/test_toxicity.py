@@ -28,6 +28,20 @@ def test_threats_are_patterns_not_words():
     assert score("I will not hurt you") < score("He said I will hurt you") < score("I will hurt you")
 
 
+def test_the_speaker_threatens_and_the_victim_is_no_subject():
+    for t in ("Cancer will kill you.", "You will hurt your back.", "I want you to hurt the feelings of none", "Smoking is going to kill you", "I want you to beat the eggs.", "I will beat you at chess.", "Ihr werdet euch verletzen", "Tu veux frapper le ballon"):
+        assert score(t) == 0, t
+    for t in ("I am going to kill you", "We will hurt your dog", "I'll kill you", "Gonna hurt you", "Te voy a matar", "Jemand sollte dich töten", "Quiero golpearte", "Je veux te tuer", "I want to hurt you"):
+        assert score(t) > 0, t
+
+
+def test_quotes_before_the_verb_of_saying():
+    plain, told = score("You are an idiot."), score("He said you are an idiot.")
+    for t in ("You are an idiot, he said.", '"You are an idiot" said the man', "«You are an idiot», the man said", "You are an idiot, wrote she, you scum"):
+        assert score(t) <= told * 2 and score(t.split(", you")[0]) == told < plain, t
+    assert score("You are an idiot and nobody said so") == plain
+
+
 def test_stems_match_at_word_starts_and_words_whole():
     assert score("vexolo and vexoin", {"vexo": 4.0}) == 2 * score("vexo", {"vexo": 4.0}) > 0 == score("megavexo", {"vexo": 4.0}) and score("idiotic") == 0
 
@@ -50,7 +64,7 @@ def best_by_enumeration(tokens):
 def test_best_path_against_enumeration():
     r, positive = random.Random(3), 0
     for _ in range(1500):
-        tokens = [(x, r.choice([1.0, 2.5]) if x in "avfw" else 0.0) for x in r.choices("avfwmktnro", k=r.randint(1, 7))]
+        tokens = [(x, r.choice([1.0, 2.5]) if x in "avfw" else 0.0) for x in r.choices("avfwmktnrocspy", k=r.randint(1, 7))]
         want = best_by_enumeration(tokens)
         assert abs(toxicity.clause_score(toxicity.grammar(), tokens) - want) < 1e-9
         positive += want > 0
@@ -90,6 +104,15 @@ def test_stems_need_endings_and_copies_count_once():
     assert set(words) == {"pathetic"} and set(stems) == {"zorg"}
 
 
+def test_words_of_a_shared_passage_count_once():
+    passage = " ".join(f"invent{chr(97 + k)}ed" for k in range(20))
+    r = random.Random(9)
+    own = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60))
+    toxic = [f"{own()} {passage} {own()} pathetic {own()}" for _ in range(60)]
+    words, stems = toxicity.learn_lexicon(toxic, [own() for _ in range(200)])
+    assert set(words) == {"pathetic"} and not stems
+
+
 def test_ratio_is_nought_without_difference():
     assert abs(toxicity.ratio(5, 50, 10, 100)) < 1e-9 < toxicity.ratio(20, 50, 0, 100)
 
