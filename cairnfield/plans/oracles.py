@@ -71,11 +71,11 @@ SQL = {
     "norm_key": f"SELECT doc_id, sha256({_KEY.format('text')}) AS key FROM documents",
     "sanitize_name": f"SELECT doc_id, sha256(upper(s[1]) || s[2:]) AS name FROM (SELECT doc_id, {_SANITIZE.format('text')} AS s FROM documents)",
     "parse_lines": r"SELECT doc_id, CAST(len(l) AS INTEGER) AS n, sha256(array_to_string(l, '|')) AS lines FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)",
-    "page_links": r"""WITH h AS (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hs FROM pages), e AS (
-        SELECT page_id, url, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS position FROM h), l AS (
-        SELECT page_id, position, split_part(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href END, '#', 1) AS link
-        FROM e WHERE href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:)'))
-        SELECT page_id, link, CAST(min(position) AS INTEGER) AS position FROM l WHERE regexp_matches(lower(link), '^https?:') GROUP BY page_id, link""",
+    "page_links": r"""WITH b AS (SELECT page_id, url, list_filter(string_split(regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g'), '<'), lambda x: x[:2] = 'a ') AS tags FROM pages
+        ), e AS (SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS position FROM b
+        ), h AS (SELECT page_id, url, position, replace(split_part(tag, '"', 2), '&amp;', '&') AS href FROM e
+        ), l AS (SELECT page_id, position, split_part(CASE WHEN href[1] = '/' THEN split_part(url, '/', 1) || '//' || split_part(split_part(split_part(url, '/', 3), '?', 1), '#', 1) || href ELSE href END, '#', 1) AS link FROM h)
+        SELECT page_id, link, CAST(min(position) AS INTEGER) AS position FROM l WHERE link[:4] = 'http' GROUP BY page_id, link""",
     "url_id": "SELECT page_id, sha256(url)[1:16] AS id FROM pages",
     "local_filename": rf"""WITH s AS (SELECT page_id, url, regexp_replace(CASE WHEN {_URL_NAME} = '' THEN 'document' ELSE {_URL_NAME} END, '[^\w.\-]+', '_', 'g')[1:180] AS slug FROM pages),
         f AS (SELECT page_id, url, slug || CASE WHEN lower(slug) LIKE '%.pdf' THEN '' WHEN page_id % 3 = 0 THEN '.pdf' WHEN contains(slug, '.') THEN '' WHEN page_id % 3 = 1 THEN '.html' ELSE '.bin' END AS name FROM s)

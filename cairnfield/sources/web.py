@@ -10,32 +10,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import anchors
+
 
 def admissible(href: Column) -> Column:
     """Not empty, no fragment, script or mail address."""
     return F.coalesce((href != "") & ~href.rlike("^(#|javascript:|mailto:)"), F.lit(False))
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """The absolute http(s) URL without fragment, or null. Absolute, host- and root-relative references are resolved
-    by expressions; others, which need the base's folder and dot segments, by Python."""
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+#: A reference's scheme, authority, path, query.
+_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
+def _part(url: Column, k: int) -> Column:
+    return F.coalesce(F.regexp_extract(url, _PARTS, k), F.lit(""))
 
-    @F.pandas_udf("string")
-    def join(b: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else urljoin(x, y) for x, y in zip(b, h)], dtype=object)
 
-    simple = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/") & ~href.rlike(r"/\.{1,2}(/|$|[?#])"), F.concat(root, href))
-    absolute = F.coalesce(simple, F.when(simple.isNull(), join(base, href)))
-    return F.when(admissible(href) & F.lower(absolute).rlike("^https?:"), F.split_part(absolute, F.lit("#"), F.lit(1)))
+def _joined_path(base: Column, path: Column) -> Column:
+    """The path of a reference under the base's: its folder's segments and the path's, empty ones within left out, or the
+    path's alone where it begins at the root; dots and double dots resolved."""
+    parts = F.split(base, "/")
+    folder = F.when(F.element_at(parts, -1) != "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    both = F.concat(folder, F.split(path, "/"))
+    last = F.size(both) - 1
+    kept = F.when(path.startswith("/"), F.split(path, "/")).otherwise(F.filter(both, lambda x, i: (i == 0) | (i == last) | (x != "")))
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x))
+    done = F.aggregate(kept, F.array().cast("array<string>"), step)
+    done = F.when(F.element_at(kept, -1).isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done)
+    text = F.array_join(done, "/")
+    return F.when(text == "", "/").when(text.startswith("/"), text).otherwise(F.concat(F.lit("/"), text))
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """The absolute http(s) URL without fragment, or null; the reference is resolved against the base by expressions."""
+    bare = F.split_part(href, F.lit("#"), F.lit(1))
+    scheme, own = F.lower(_part(base, 1)), F.lower(_part(bare, 1))
+    relative = (own == "") | ((own == scheme) & ~bare.rlike("^[A-Za-z0-9+.-]+://"))  # http:x is relative to an http base
+    authority, path, query = _part(bare, 2), _part(bare, 3), _part(bare, 4)
+    question = lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
+    there = F.concat(scheme, F.lit("://"), F.when(authority != "", authority).otherwise(_part(base, 2)))
+    empty = F.concat(_part(base, 3), question(F.when(query == "", _part(base, 4)).otherwise(query)))
+    below = F.when(authority != "", F.concat(path, question(query))).when(path == "", empty).otherwise(F.concat(_joined_path(_part(base, 3), path), question(query)))
+    whole = F.when(own == scheme, F.concat(own, F.lit("://"), authority, path, question(query))).otherwise(bare)
+    absolute = F.when(relative, F.concat(there, below)).otherwise(whole)
+    return F.when(admissible(href) & F.lower(absolute).rlike("^https?:"), absolute)
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, position, link``: each page's distinct links, at the place of their first anchor."""
-    each = pages.select(id_col, url_col, F.posexplode(F.regexp_extract_all(html_col, F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("position", "href"))
-    told = each.select(id_col, "position", resolve(F.col(url_col), F.col("href")).alias("link")).filter("link is not null")
-    return told.groupBy(id_col, "link").agg(F.min("position").alias("position"))
+    told = anchors(pages, id_col, url_col, html_col).select(F.col("id").alias(id_col), "position", resolve(F.col("url"), F.col("href")).alias("link"))
+    return told.filter("link is not null").groupBy(id_col, "link").agg(F.min("position").alias("position"))
 
 
 class _Table(HTMLParser):
