@@ -316,9 +316,9 @@ class Scorer:
 
 def different(texts: list[str]) -> list[list[str]]:
     """The words of each text, of near copies only the first: texts that agree in one of three least shingle hashes."""
-    seen, out = set(), []
+    seen, out, one = set(), [], {}
     for t in texts:
-        words = [m.group() for m in WORD.finditer(t.lower())]
+        words = [one.setdefault(w, w) for w in WORD.findall(t.lower())]
         shingles = {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))}
         marks = {(k, min((h * a + k) & 0xFFFFFFFF for h in shingles)) for k, a in enumerate((1, 0x9E3779B1, 0x85EBCA6B))}
         if words and not marks & seen:
@@ -329,13 +329,14 @@ def different(texts: list[str]) -> list[list[str]]:
 
 def in_new_contexts(texts: list[list[str]]) -> list[set[str]]:
     """The words of each text that stand somewhere between two neighbours neither of which they had in a text before: a
-    passage that many texts share supports its words once."""
-    seen: set[tuple[str, str]] = set()
+    passage that many texts share supports its words once. What was seen is kept as hashes."""
+    seen: set[int] = set()
     out = []
     for ws in texts:
-        around = set(zip(["", *ws], ws, [*ws[1:], ""]))
-        out.append({w for a, w, b in around if (a + " ", w) not in seen and (w, b + " ") not in seen})
-        seen |= {(a + " ", w) for a, w, _ in around} | {(w, b + " ") for _, w, b in around}
+        before, after = ([hash(p) for p in zip(x, y)] for x, y in ((["", *ws], ws), (ws, [*ws[1:], ""])))
+        out.append({w for w, x, y in zip(ws, before, after) if x not in seen and ~y not in seen})
+        seen.update(before)
+        seen.update(~y for y in after)
     return out
 
 
@@ -352,7 +353,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> tuple[dict[str, float],
     A beginning that only one word's texts support is no stem: its word is taken whole. Of stems that begin with each
     other the one least likely by chance stays, or the longest that is nearly as unlikely; words that begin with a stem
     of nearly their odds go."""
-    bad, good = (in_new_contexts(different(x)) for x in (toxic, clean))
+    bad, good = in_new_contexts(different(toxic)), [set(ws) for ws in different(clean)]
     forms = lambda w: [(w[:k], w[k:]) for k in STEM_LENGTHS if k <= len(w)]
     words = Counter(w for ws in bad for w in ws if len(w) >= 3)
     endings: dict[str, Counter] = defaultdict(Counter)
