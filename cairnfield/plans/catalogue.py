@@ -14,6 +14,7 @@ from ..operators import admissions, catalogs, chunking, embedding, history, incr
 from ..sources import web
 from ..storage import cut, scratch, table_of
 from ..streaming import alerts as streams
+from ..streaming import ordered
 from . import reference_data
 from .oracles import SQL  # noqa: F401
 
@@ -955,3 +956,39 @@ def state_at_times(spark, sf_dir):
     asks = events.filter("event_id % 7 = 0").select("event_id", "user_id", (micros(F.col("ts")) + 1_800_000_000).alias("asked_us"))
     told = history.state_for(asks, log, "user_id", F.col("asked_us"), "was")
     return told.select("event_id", "user_id", "asked_us", F.col("was.event_type").alias("event_type"), F.col("was.value").alias("value"))
+
+
+# Streams by event time.
+
+
+def _event_stream(spark, sf_dir):
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query
+def stream_ordered_results(spark, sf_dir):
+    """Exams that became critical by the times of their updates, as far as the watermark came."""
+    events = _event_stream(spark, sf_dir)
+    status = F.when(F.col("event_type") == "error", "critical").otherwise(F.col("event_type"))
+    result = F.when(F.col("event_id") % 3 == 2, F.col("value").cast("int").cast("string"))
+    name = F.concat(F.lit("Exame "), F.col("user_id").cast("string"))
+    updates = events.select(F.col("user_id").alias("id"), F.col("user_id").alias("patient_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), name.alias("name"), status.alias("status"), result.alias("result"))
+    out = scratch(spark, "ordered")
+    ordered.ordered_critical_stream(updates, out, scratch(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def stream_windows(spark, sf_dir):
+    """Events by hour and type, of the hours that the watermark has closed."""
+    out = scratch(spark, "windows")
+    ordered.window_stream(_event_stream(spark, sf_dir), out, scratch(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out).select(micros(F.col("start")).alias("start_us"), "event_type", "n")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """Each user's sessions that the watermark has closed."""
+    out = scratch(spark, "sessions")
+    ordered.session_stream(_event_stream(spark, sf_dir), out, scratch(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out).select("user_id", micros(F.col("start")).alias("start_us"), micros(F.col("end")).alias("end_us"), "n")

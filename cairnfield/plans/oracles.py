@@ -290,5 +290,16 @@ SQL |= {
         SELECT a.event_id, a.user_id, asked_us, CASE WHEN c.event_type <> 'purchase' THEN c.event_type END AS event_type, CASE WHEN c.event_type <> 'purchase' THEN c.value END AS value
         FROM a ASOF LEFT JOIN c ON a.user_id = c.user_id AND asked_us >= at_us""",
 }
+_MARK = "(SELECT max(epoch_ms(ts)) - 600000 FROM events)"
+SQL |= {
+    "stream_ordered_results": f"""WITH u AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE epoch_ms(ts) <= {_MARK})
+        SELECT user_id AS id, user_id AS patient_id, epoch_us(ts) AS at_us, event_id AS seq, 'critical' AS severity, 'exam' AS category, 'doctors' AS team,
+          'Resultado crítico registrado para Exame ' || user_id || ': ' || CASE WHEN event_id % 3 = 2 THEN CAST(CAST(trunc(value) AS INTEGER) AS VARCHAR) ELSE 'sem valor informado' END || '.' AS message
+        FROM u WHERE event_type = 'error' AND before IS DISTINCT FROM 'error'""",
+    "stream_windows": f"SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING epoch_ms(max(date_trunc('hour', ts))) + 3600000 <= {_MARK}",
+    "stream_sessions": f"""WITH g AS (SELECT user_id, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 1800000000, true) AS first FROM events),
+        s AS (SELECT user_id, t, sum(first::INT) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g)
+        SELECT user_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k HAVING (max(t) + 1800000000) // 1000 <= {_MARK}""",
+}
 SQL["stream_vital_alerts"] = SQL["vital_alerts"]
 SQL["stream_critical_results"] = SQL["critical_results"]
