@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import code_base, norm_header, norm_key, norm_space, sanitize_name
-from .windows import first_of, running_sum
+from ..storage import table_of
+from .windows import WIDTH, as_of, first_of, running_sum
 
 #: What the four columns of a medication table's header hold, and the form of a code.
 HEADERS = ("denominacao comum", "concentracao", "forma farmaceutica", "codigo atc")
 ATC = r"^[A-Z][0-9]{2}[A-Z0-9]{1,5}$"
 TAG = "RENAME-2024"
+#: A code with a number suffix: what it is a later code of, and at which place.
+SUFFIXED = r"^(.+)_([1-9][0-9]{0,17})$"
 
 
 def extract(tables: DataFrame) -> DataFrame:
@@ -47,33 +49,68 @@ def merge(catalog: DataFrame, names: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
-def _first_free(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Codes of one root in order: the base, or the least suffix from 2 that is free."""
-    taken, free, rows = set(pdf.loc[pdf["ordinal"].isna(), "base"]), {}, []
-    for r in pdf[pdf["ordinal"].notna()].sort_values("ordinal").itertuples():
-        code, k = r.base, free.get(r.base, 2)  # suffixes below were found taken before
-        while code in taken:
-            code, k = f"{r.base}_{k}", k + 1
-        taken.add(code)
-        free[r.base] = k
-        rows.append((r.ordinal, r.label, code))
-    return pd.DataFrame(rows, columns=["ordinal", "label", "code"])
+def unique_codes(labels: DataFrame, used: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``ordinal, label, code``: in order of ``ordinal``, each label's base code, or its least suffix ``_2, _3 ...`` that
+    is free.
 
-
-def unique_codes(labels: DataFrame, used: DataFrame) -> DataFrame:
-    """``ordinal, label, code``: codes in order, with suffixes ``_2, _3 ...`` where a code is taken.
-
-    Bases that no used code and no other base can meet (their common root, without number suffixes, is theirs alone)
-    are numbered by a running count; only the roots that several share are settled one after another."""
+    Labels of one base take ever higher suffixes, so a label's is its rank in the base and one more for each suffix
+    skipped before it. Only two bases can want one code: ``X_2`` is the second of X and the first of X_2. So all bases
+    claim by rank at once; a contested code goes to the base whose label comes first, the other skips it, which moves the
+    ranks after it, and the claims are made again until none moves. Ranks and skips are running counts: a base with very
+    many labels is many tasks."""
     asked = labels.select(F.col("ordinal").cast("long").alias("ordinal"), "label", code_base(F.col("label")).alias("base"))
-    root = F.regexp_replace("base", "(_[0-9]+)+$", "").alias("root")
-    held = used.select(F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast("string").alias("label"), F.col("code").alias("base"))
-    every = asked.unionByName(held).select("*", root)
-    shared = every.groupBy("root").agg(F.min("base").alias("b1"), F.max("base").alias("b2"), F.max(F.col("ordinal").isNull()).alias("u")).filter("b1 != b2 or u or b1 != root").select("root")
-    alone = running_sum(asked.select("*", root).join(shared, "root", "left_anti"), ["base"], "ordinal", F.lit(1), "k")
-    code = F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), (F.col("k") + 1).cast("string")))
-    met = every.join(shared, "root").groupBy("root").applyInPandas(_first_free, "ordinal long, label string, code string")
-    return alone.select("ordinal", "label", code.alias("code")).unionByName(met)
+    asked = table_of(running_sum(asked, ["base"], "ordinal", F.lit(1), "rank", width), "asked")
+    bases = table_of(asked.groupBy("base").agg(F.count("*").alias("n"), F.min("ordinal").alias("first")), "bases")
+    contested = _contested(bases, used)
+    if contested.limit(1).isEmpty():
+        return asked.select("ordinal", "label", _suffixed(F.col("base"), F.col("rank") + 1).alias("code"))
+    skips = _settled(contested, asked, width)
+    counted = running_sum(skips.select("base", "at", "place"), ["base"], ["at", "place"], F.lit(1), "before", width)
+    told = as_of(asked, counted.withColumn("skipped", F.col("before") + 1), "base", F.col("rank"), F.col("at"), ["skipped"], "_s", width)
+    place = F.col("rank") + 1 + F.coalesce(F.col("_s.skipped"), F.lit(0))
+    return told.select("ordinal", "label", _suffixed(F.col("base"), place).alias("code"))
+
+
+def _suffixed(base: Column, place: Column) -> Column:
+    """The base's code at a place: the base itself at 1."""
+    return F.when(place == 1, base).otherwise(F.concat(base, F.lit("_"), place.cast("string")))
+
+
+def _contested(bases: DataFrame, used: DataFrame) -> DataFrame:
+    """``base, place, first, parent, parent_place``: places of a base's codes that are not its alone.
+
+    ``first``: the ordinal of the label that asks for the code as its own base (the least long where the code is used);
+    null at place 1 of a base that a ``parent`` base reaches at ``parent_place``."""
+    taken = used.select("code").distinct().select(F.col("code").alias("code"), F.lit(-(2**63)).cast("long").alias("first"))
+    rivals = taken.unionByName(bases.select(F.col("base").alias("code"), "first")).groupBy("code").agg(F.min("first").alias("first"))
+    parts = rivals.select("code", "first", F.regexp_extract("code", SUFFIXED, 1).alias("base"), F.regexp_extract("code", SUFFIXED, 2).try_cast("long").alias("place"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("parent", "string"), ("parent_place", "long"))]
+    below = parts.filter("place >= 2").join(bases.select("base", "n"), "base")
+    below = table_of(below.select("code", "base", "place", "first"), "below")
+    own = below.join(bases.select(F.col("base").alias("code")), "code", "left_semi").select(F.col("code").alias("base"), F.lit(1).cast("long").alias("place"), F.lit(None).cast("long").alias("first"), F.col("base").alias("parent"), F.col("place").alias("parent_place"))
+    held = taken.join(bases.select(F.col("base").alias("code")), "code", "left_semi").select(F.col("code").alias("base"), F.lit(1).cast("long").alias("place"), "first", *none)
+    own = own.join(held.select("base"), "base", "left_anti")
+    return table_of(below.select("base", "place", "first", *none).unionByName(own).unionByName(held), "contested")
+
+
+def _settled(contested: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """``base, place, at`` of the places that bases skip; ``at``: the rank that skips it first. Claims by rank, repeated
+    until none moves: a claim depends on lower places of its base and on its parent's claims alone, so each round settles
+    those whose grounds are settled."""
+    claims = table_of(contested.withColumns({"at": F.lit(None).cast("long"), "skip": F.lit(False), "taken": F.lit(False)}), "claims")
+    ranks = asked.select(F.col("base").alias("_b"), F.col("rank").alias("_r"), F.col("ordinal").alias("_o"))
+    while True:
+        ranked = running_sum(claims.withColumnRenamed("at", "was_at").withColumnsRenamed({"skip": "was", "taken": "had"}), ["base"], "place", F.col("was").cast("int"), "skips", width)
+        ranked = ranked.withColumn("at", F.col("place") - 1 - F.col("skips"))
+        met = ranked.join(ranks, (ranked["base"] == ranks["_b"]) & (ranked["at"] == ranks["_r"]), "left")
+        above = claims.filter("taken").select(F.col("base").alias("_p"), F.col("place").alias("_pp"), F.lit(True).alias("_taken"))
+        both = met.join(above, (F.col("parent") == F.col("_p")) & (F.col("parent_place") == F.col("_pp")), "left")
+        skip = F.coalesce(F.when(F.col("parent").isNotNull(), F.col("_taken")).otherwise(F.col("first") < F.col("_o")), F.lit(False))
+        moved = both.select(*contested.columns, "at", "was", "had", skip.alias("skip"), (F.col("_o").isNotNull() & ~skip).alias("taken"))
+        now = table_of(moved, "claims")
+        if now.filter("skip != was or taken != had").limit(1).isEmpty():
+            return now.filter("skip").select("base", "place", "at")
+        claims = now.drop("was", "had")
 
 
 def sorted_list(catalog: DataFrame, label: str) -> DataFrame:

@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import running_sums
+from ..storage import table_of
+from .windows import running_sums, with_least
 
 
 def exact_duplicates(rows: DataFrame, key: str, content: Column) -> DataFrame:
     """``key, sha256, status, detail, kept``: the first of each content by key is ok, later ones are skipped.
 
-    Only keys and digests are shuffled; a digest's first key is combined before the shuffle, and adaptive execution
-    splits the join's partitions that a common text makes large."""
-    marked = rows.select(F.col(key), F.sha2(content, 256).alias("sha256"))
-    first = marked.groupBy("sha256").agg(F.min(key).alias("kept"))
+    Contents are read once; only keys and digests are shuffled, and those of a common content are not gathered."""
+    marked = table_of(rows.select(F.col(key), F.sha2(content, 256).alias("sha256")), "digests")
     later = F.col(key) != F.col("kept")
-    return marked.join(first, "sha256").select(key, "sha256", F.when(later, "skipped").otherwise("ok").alias("status"), F.when(later, "duplicate_sha256").alias("detail"), "kept")
+    return with_least(marked, "sha256", key, "kept").select(key, "sha256", F.when(later, "skipped").otherwise("ok").alias("status"), F.when(later, "duplicate_sha256").alias("detail"), "kept")
 
 
 def scan_ready(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct paths of ok PDF rows whose file exists (``files``: ``path``)."""
+    """Distinct paths, in order, of ok PDF rows whose file exists (``files``: ``path``)."""
     ready = manifest.filter((F.col("status") == "ok") & (F.col("content_type") == "application/pdf") & (F.length("relative_path") > 0) & F.lower("relative_path").endswith(".pdf"))
-    return ready.join(files.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi").select("relative_path").distinct()
+    return ready.join(files.withColumnRenamed("path", "relative_path"), "relative_path", "left_semi").select("relative_path").distinct().orderBy("relative_path")
 
 
 def embed_candidates(manifest: DataFrame, files: DataFrame) -> DataFrame:

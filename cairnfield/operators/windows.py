@@ -117,3 +117,17 @@ def first_of(df: DataFrame, key: list[str], order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
     best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_row"))
     return best.select(*key, *(F.col("_row")[c].alias(c) for c in rest))
+
+
+def with_least(df: DataFrame, key: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
+    """``df`` with ``out``: the least ``value`` of each row's key. Keys are counted while that is found: those of more than
+    ``width`` rows, of which there are few, are broadcast, and only the others' rows are shuffled to them."""
+    found = table_of(df.groupBy(key).agg(F.min(value).alias("_least"), F.count("*").alias("_rows")), "least").withColumnRenamed(key, "_key")
+    hot = found.filter(F.col("_rows") > width)
+    met = lambda rows, side: rows.join(side, rows[key].eqNullSafe(side["_key"])).select(*df.columns, F.col("_least").alias(out))
+    n = hot.count()
+    if not n:
+        return met(df, found)
+    side = F.broadcast(hot) if n <= width else hot  # one row for more than width rows
+    rest = df.join(side.select("_key"), df[key].eqNullSafe(F.col("_key")), "left_anti")
+    return met(df, side).unionByName(met(rest, found.filter(F.col("_rows") <= width)))

@@ -198,9 +198,9 @@ def url_id(spark, sf_dir):
 def local_filename(spark, sf_dir):
     kind = F.element_at(F.array(F.lit("application/pdf"), F.lit("text/html"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int"))
     rows = table(spark, sf_dir, "pages").select("page_id", text.local_filename(F.col("url"), kind).alias("name"), F.substring(F.sha2("url", 256), 1, 8).alias("sha8"))
-    first = rows.groupBy("name").agg(F.min("page_id").alias("first"))
     again = F.regexp_replace("name", r"(\.[^.]*)$", F.concat(F.lit("_"), "sha8", F.lit("$1")))
-    return rows.join(first, "name").select("page_id", F.when(F.col("page_id") == F.col("first"), F.col("name")).otherwise(again).alias("filename"))
+    named = windows.with_least(table_of(rows, "names"), "name", "page_id", "first")
+    return named.select("page_id", F.when(F.col("page_id") == F.col("first"), F.col("name")).otherwise(again).alias("filename"))
 
 
 # Records.
@@ -832,7 +832,7 @@ def _readmit(spark, sf_dir):
 
 @query
 def readmit_patients(spark, sf_dir):
-    return _readmit(spark, sf_dir)[1].select("id", "status", "refused")
+    return _readmit(spark, sf_dir)[1].select("id", F.when(F.col("refused"), F.col("status")).otherwise("admitted").alias("status"), "refused")
 
 
 @query

@@ -230,7 +230,7 @@ SQL |= {
     "event_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "catalog_extract": f"""WITH s AS (SELECT p_size, p_partkey, {_SANITIZE.format("('•' || p_name || '*')")} AS s FROM part WHERE p_size % 7 <> 0 AND p_partkey % 3 <> 0 AND p_partkey > 0)
         SELECT p_size AS table_id, p_partkey AS row_no, upper(s[1]) || s[2:] AS name FROM s WHERE s <> '' QUALIFY row_number() OVER (PARTITION BY {_KEY.format("s")} ORDER BY p_size, p_partkey) = 1""",
-    "readmit_patients": _READMIT + " SELECT id, status, status = 'admitted' AS refused FROM r",
+    "readmit_patients": _READMIT + " SELECT id, 'admitted' AS status, status = 'admitted' AS refused FROM r",
     "readmit_exams": _READMIT
     + f""" SELECT 'ex-' || id AS id, patient_id, name, status FROM ({_EXAMS}) WHERE patient_id NOT IN (SELECT id FROM fine)
         UNION ALL SELECT 'ex-' || md5('readmission:' || id || ':' || pos), id, item, 'pending' FROM fine JOIN {_PROTOCOL_ITEMS} t(pcode, kind, pos, item) ON pcode = cid_code AND kind = 'exam'""",

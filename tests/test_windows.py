@@ -85,3 +85,11 @@ def test_page_ranges(spark, width):
     for r in got.collect():
         touched = [p for s, p, a, b in spans if s == r.stem and r.start < b and r.end > a]
         assert (r.page_start, r.page_end) == ((min(touched), max(touched)) if touched else (1, 1)), r
+
+
+@pytest.mark.parametrize("width", [windows.WIDTH, 200])
+def test_with_least(spark, width):
+    rng = random.Random(15)
+    data = [(rng.choice(["hot"] * 9 + [None, "a", "b"]), rng.randrange(10_000)) for _ in range(2_000)]
+    got = windows.with_least(spark.createDataFrame(data, "k string, v int"), "k", "v", "least", width)
+    assert got.columns == ["k", "v", "least"] and sorted(map(str, got.collect())) == sorted(f"Row(k={k!r}, v={v}, least={min(w for j, w in data if j == k)})" for k, v in data)
