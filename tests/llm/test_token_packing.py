@@ -132,3 +132,44 @@ def test_best_fit_decreasing_is_the_plain_one(sizes):
         free[b] -= sizes[i]
     fill = lambda bins: sorted(sum(sizes[i] for i in b) for b in bins)
     assert sorted(i for b in got for i in b) == list(range(len(sizes))) and fill(got) == fill(want)
+
+
+@given(st.lists(st.integers(1, 45), max_size=150), st.integers(1, 6), st.sampled_from([8, 10, 16]))
+def test_online_placement_is_the_plain_one(sizes, most, length):
+    """Every piece against a list of open windows that is looked through whole each time."""
+    windows, got = packing.Windows(0, length, most), []
+    for n in sizes:
+        got += list(packing.pieces_of(n, length, windows))
+    number, still, want = 0, {}, []  # window -> fill
+    for n in sizes:
+        at = 0
+        while n - at >= length:
+            want.append((at, length, number, 0))
+            number, at = number + 1, at + length
+        rest = n - at
+        if not rest:
+            continue
+        fits = [w for w, fill in still.items() if fill + rest <= length]
+        if fits:
+            w = min(fits, key=lambda w: (length - still[w], w))
+        else:
+            if len(still) == most:
+                del still[min(still, key=lambda w: (length - still[w], w))]
+            w, number = number, number + 1
+            still[w] = 0
+        want.append((at, rest, w, still[w]))
+        still[w] += rest
+        if still[w] == length:
+            del still[w]
+    assert got == want
+
+
+def test_texts_of_megabytes_through_spark(spark):
+    text = "Wörter and words, 123 " * 120_000
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, " " * 40_000)], "doc_id long, text string")
+    sizes = {i: len(tokens.encoder(tokens.vocabulary_path()).encode(t)) + 1 for i, t in ((1, text), (2, "short"), (3, None), (4, " " * 40_000))}
+    for rows in (packing.pack(docs, keep_ids=False).collect(), bestfit.read_pieces(bestfit.write_matrices(docs)).collect()):
+        for i, n in sizes.items():
+            mine = sorted((r.start, r.length) for r in rows if r.doc_id == i)
+            assert [a for a, _ in mine] == [sum(k for _, k in mine[:j]) for j in range(len(mine))] and sum(k for _, k in mine) == n
+            assert all(r.doc_tokens == n for r in rows if r.doc_id == i)
