@@ -26,8 +26,8 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 class OrderedEdges(StatefulProcessor):
     """Rows whose status became ``to``, taken by (``at_us``, ``seq``) once the watermark has passed them.
 
-    State of a key: the status of the last row taken, the rows that wait. A timer stands at the first that waits; with
-    ``forget_ms``, one more that long after the last row taken lets the key go."""
+    State of a key: the status and time of the last row taken, the rows that wait. A timer stands at the first that waits.
+    With ``forget_ms``, a status counts for that long; where no row waits, a timer then lets the key go."""
 
     def __init__(self, fields: StructType, to: str, forget_ms: int | None) -> None:
         self.fields, self.to, self.forget_ms = fields, to, forget_ms
@@ -42,14 +42,16 @@ class OrderedEdges(StatefulProcessor):
         at, seq, status = (names.index(n) for n in ("at_us", "seq", "status"))
         ready = sorted((r for r in rows if r[at] // 1000 <= watermark_ms), key=lambda r: (r[at], r[seq]))
         later = [r for r in rows if r[at] // 1000 > watermark_ms]
-        before = self.last.get()[0] if self.last.exists() else None
+        before, when = self.last.get() if self.last.exists() else (None, None)
         told = []
         for r in ready:
+            if when is not None and self.forget_ms is not None and r[at] // 1000 >= when // 1000 + self.forget_ms:
+                before = None  # as the timer would have it, had it fired in between
             if r[status] == self.to != before:
                 told.append(r)
-            before = r[status]
+            before, when = r[status], r[at]
         if ready:
-            self.last.update((before, ready[-1][at]))
+            self.last.update((before, when))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         if later:
