@@ -47,6 +47,14 @@ def _tag(text: str, at: int) -> tuple[int, list[tuple[str, str]]]:
         at = m.end()
 
 
+def _past(text: str, at: int) -> int:
+    """The place after a tag whose attributes are not asked for: after the next >, unless a quote may hold that."""
+    end = text.find(">", at)
+    if end < 0:
+        return len(text)
+    return end + 1 if text.find('"', at, end) < 0 and text.find("'", at, end) < 0 else _tag(text, at)[0]
+
+
 def _after(text: str, what: str, at: int) -> int:
     end = text.find(what, at)
     return len(text) if end < 0 else end + len(what)
@@ -64,15 +72,17 @@ def anchor_hrefs(text: str) -> list[str]:
             at = _after(text, ">", at)
         elif text.startswith("/", at):
             m = _NAME.match(text, at + 1)
-            at = _tag(text, m.end())[0] if m else at
+            at = _past(text, m.end()) if m else at
         elif m := _NAME.match(text, at):
             name = m[0].lower()
-            at, attributes = _tag(text, m.end())
-            if name == "a":
+            if name != "a":
+                at = _past(text, m.end())
+            else:
+                at, attributes = _tag(text, m.end())
                 href = next((v for k, v in attributes if k == "href"), None)
                 if href is not None:
                     out.append(_LINE_ENDS.sub("", attribute_value(href)).strip())
-            elif name in _END_OF_RAW:
+            if name in _END_OF_RAW:
                 end = _END_OF_RAW[name].search(text, at)
                 at = end.start() if end else len(text)
     return out

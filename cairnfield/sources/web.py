@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -26,34 +26,44 @@ def _part(url: Column, k: int) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, k), F.lit(""))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _joined_path(base: Column, path: Column) -> Column:
     """The path of a reference under the base's: its folder's segments and the path's, empty ones within left out, or the
     path's alone where it begins at the root; dots and double dots resolved."""
     parts = F.split(base, "/")
     folder = F.when(F.element_at(parts, -1) != "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    both = F.concat(folder, F.split(path, "/"))
-    last = F.size(both) - 1
-    kept = F.when(path.startswith("/"), F.split(path, "/")).otherwise(F.filter(both, lambda x, i: (i == 0) | (i == last) | (x != "")))
+    within = lambda both: F.filter(both, lambda x, i: (i == 0) | (i == F.size(both) - 1) | (x != ""))
     step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x))
-    done = F.aggregate(kept, F.array().cast("array<string>"), step)
-    done = F.when(F.element_at(kept, -1).isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done)
-    text = F.array_join(done, "/")
-    return F.when(text == "", "/").when(text.startswith("/"), text).otherwise(F.concat(F.lit("/"), text))
+
+    def resolved(kept: Column) -> Column:
+        done = F.aggregate(kept, F.array().cast("array<string>"), step)
+        return F.array_join(F.concat(done, F.when(F.element_at(kept, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+
+    kept = F.when(path.startswith("/"), F.split(path, "/")).otherwise(_let(F.concat(folder, F.split(path, "/")), within))
+    return _let(_let(kept, resolved), lambda t: F.when(t == "", "/").when(t.startswith("/"), t).otherwise(F.concat(F.lit("/"), t)))
 
 
 def resolve(base: Column, href: Column) -> Column:
     """The absolute http(s) URL without fragment, or null; the reference is resolved against the base by expressions."""
     bare = F.split_part(href, F.lit("#"), F.lit(1))
-    scheme, own = F.lower(_part(base, 1)), F.lower(_part(bare, 1))
-    relative = (own == "") | ((own == scheme) & ~bare.rlike("^[A-Za-z0-9+.-]+://"))  # http:x is relative to an http base
-    authority, path, query = _part(bare, 2), _part(bare, 3), _part(bare, 4)
+    cut = F.struct(bare.alias("bare"), *(_part(u, k).alias(f"{n}{k}") for n, u in (("b", base), ("r", bare)) for k in (1, 2, 3, 4)))
     question = lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
-    there = F.concat(scheme, F.lit("://"), F.when(authority != "", authority).otherwise(_part(base, 2)))
-    empty = F.concat(_part(base, 3), question(F.when(query == "", _part(base, 4)).otherwise(query)))
-    below = F.when(authority != "", F.concat(path, question(query))).when(path == "", empty).otherwise(F.concat(_joined_path(_part(base, 3), path), question(query)))
-    whole = F.when(own == scheme, F.concat(own, F.lit("://"), authority, path, question(query))).otherwise(bare)
-    absolute = F.when(relative, F.concat(there, below)).otherwise(whole)
-    return F.when(admissible(href) & F.lower(absolute).rlike("^https?:"), absolute)
+
+    def joined(v: Column) -> Column:
+        scheme, own = F.lower(v["b1"]), F.lower(v["r1"])
+        relative = (own == "") | ((own == scheme) & ~v["bare"].rlike("^[A-Za-z0-9+.-]+://"))  # http:x is relative to an http base
+        there = F.concat(scheme, F.lit("://"), F.when(v["r2"] != "", v["r2"]).otherwise(v["b2"]))
+        empty = F.concat(v["b3"], question(F.when(v["r4"] == "", v["b4"]).otherwise(v["r4"])))
+        below = F.when(v["r2"] != "", F.concat(v["r3"], question(v["r4"]))).when(v["r3"] == "", empty).otherwise(F.concat(_joined_path(v["b3"], v["r3"]), question(v["r4"])))
+        whole = F.when(own == scheme, F.concat(own, F.lit("://"), v["r2"], v["r3"], question(v["r4"]))).otherwise(v["bare"])
+        return F.when(relative, F.concat(there, below)).otherwise(whole)
+
+    web = lambda url: F.when(F.lower(url).rlike("^https?:"), url)
+    return F.when(admissible(href) & base.isNotNull(), _let(_let(cut, joined), web))
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
