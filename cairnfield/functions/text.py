@@ -52,7 +52,8 @@ def sanitize_name(c: Column) -> Column:
     t = norm_space(F.translate(c, "\n•", "  "))
     t = strip(F.regexp_replace(F.translate(t, "–—", "--"), r"\*+$", ""))
     t = norm_space(ascii_fold(t))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2**31 - 1))
+    first = F.substring(t, 1, 1)  # one character stays one: Spark's upper makes two of a sharp s
+    return F.concat(F.when(first == "ß", "ẞ").otherwise(F.upper(first)), F.substring(t, 2, 2**31 - 1))
 
 
 def code_base(c: Column) -> Column:

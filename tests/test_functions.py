@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cairnfield.functions import clinical, text
+from cairnfield.plans.oracles import SQL
 
 
 def values(spark, rows, kind, f):
@@ -30,6 +32,13 @@ def test_strings(spark, f, given, want):
     assert values(spark, given, "string", f) == want
 
 
+def test_first_letters_as_in_sql(spark):
+    rows = ["ßheit ß", "• ßa", "ß", "straße", "éa", "", None]
+    sql = SQL["sanitize_name"].replace("sha256", "").replace("FROM documents", "FROM (SELECT unnest(range(len(?))) AS doc_id, unnest(?) AS text)")
+    want = [r[1] for r in sorted(duckdb.execute(sql, [rows, rows]).fetchall())]
+    assert values(spark, rows, "string", text.sanitize_name) == want
+
+
 def test_ages(spark):
     assert values(spark, [None, -5, 60, 300], "int", clinical.clamp_age) == [45, 0, 60, 120]
 
