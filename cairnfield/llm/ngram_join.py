@@ -48,8 +48,8 @@ MORE = 32
 #: Sets in a list from which it counts as long; sets of a family's largest component tried by those outside; sets of
 #: a block that is scanned whole.
 LONG, TRIES, BLOCK = 32, 6, 256
-#: Bits of the filter of shared signatures, and of them those that number a row of it.
-FILTER_BITS, FILTER_ROWS = 27, 10
+#: Least and most bits of the filter of shared signatures, those that number a row of it, and its size by what it holds.
+FILTER_BITS, MOST_FILTER_BITS, FILTER_ROWS, FILTER_SPARSE = 27, 29, 10, 32
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
@@ -133,21 +133,46 @@ def signatures(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of the filter: one bit for each shared signature."""
-    on = np.zeros(1 << (FILTER_BITS - FILTER_ROWS), np.uint8)
-    for batch in batches:
-        on[filter_bit(batch.column("sig").to_numpy().view(np.uint64)) & (len(on) - 1)] = 1
-    yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+def filter_width(lists: int) -> int:
+    """The filter's bits, a power of two, for so many shared signatures: up to ``MOST_FILTER_BITS`` few others pass."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, (FILTER_SPARSE * lists).bit_length()))
+
+
+def _bits(width: int):
+    """A row of the filter of ``2 ** width`` bits: one for each shared signature."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(1 << (width - FILTER_ROWS), np.uint8)
+        for batch in batches:
+            on[filter_bit(batch.column("sig").to_numpy().view(np.uint64), width) & (len(on) - 1)] = 1
+        yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    return run
+
+
+def _filter(sigs: DataFrame, width: int):
+    """A broadcast filter of ``2 ** width`` bits that every ``sig`` passes: 16 MB at the least width."""
+    rows = sigs.select("sig", F.shiftrightunsigned("sig", 64 - FILTER_ROWS).alias("row")).groupBy("row").applyInArrow(_bits(width), "row long, bits binary").collect()
+    row_bytes = 1 << (width - FILTER_ROWS - 3)
+    bits = bytearray(row_bytes << FILTER_ROWS)
+    while rows:
+        r = rows.pop()
+        bits[r["row"] * row_bytes : (r["row"] + 1) * row_bytes] = r["bits"]
+    return sigs.sparkSession.sparkContext.broadcast(bits)
+
 
+def passes(bits: np.ndarray, sig: np.ndarray, width: int) -> np.ndarray:
+    bit = filter_bit(sig, width)
+    return bits[bit >> 3] >> (7 - (bit & 7)) & 1 == 1
 
-def filter_bit(sig: np.ndarray) -> np.ndarray:
-    return (sig >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
+def filter_bit(sig: np.ndarray, width: int) -> np.ndarray:
+    return (sig >> np.uint64(64 - width)).astype(np.int64)
 
-def _signed(counts, most: int, shared=None):
-    """Rows (sig, hi) of all signatures of all documents; with ``shared``, a filter that all shared ones pass, rows
-    (sig, hi, lo, n) of those that pass."""
+
+def _signed(counts, most: int, shared=None, width: int = FILTER_BITS):
+    """Rows (sig, hi) of all signatures of all documents; with ``shared``, a filter of ``2 ** width`` bits that all shared
+    ones pass, rows (sig, hi, lo, n) of those that pass."""
     schema = pa.schema([("sig", pa.int64()), ("hi", pa.int64())] + ([("lo", pa.int64()), ("n", pa.int64())] if shared else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +184,7 @@ def _signed(counts, most: int, shared=None):
                 if len(s):
                     found = signatures(s, order[bucket(s)], most)
                     if shared:
-                        bit = filter_bit(found)
-                        found = found[passing[bit >> 3] >> (7 - (bit & 7)) & 1 == 1]
+                        found = found[passes(passing, found, width)]
                     if len(found):
                         sigs.append(found.view(np.int64))
                         marks.append((*fingerprint(s), len(s)))
@@ -176,13 +200,30 @@ def _signed(counts, most: int, shared=None):
 _SETS = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [(d, s) for d, s in zip(batch.column(0).to_pylist(), batch_sets(batch.column(1))) if len(s)]
-        for lo in range(0, len(sets), 256):
-            part = sets[lo : lo + 256]
-            marks = [fingerprint(s) for _, s in part]
-            yield _batch([[d for d, _ in part], [h for h, _ in marks], [x for _, x in marks], [s.tobytes() for _, s in part]], _SETS)
+def held_sig(hi, holder):
+    """What the filter of wanted sets knows a set and the document that holds it by (as Columns; ``_sets`` has it in
+    numpy)."""
+    return hi.bitwiseXOR(F.shiftleft(F.coalesce(holder, F.lit(0)), 64 - FILTER_BITS))
+
+
+def _sets(wanted, width: int):
+    """Rows (doc_id, hi, lo, shingles) of the documents that pass the filter of ``held_sig``: all wanted ones, few others.
+    The sets of the rest, which are larger than the texts, don't leave their task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            holders = batch.column(0).fill_null(0).to_numpy().view(np.uint64) << np.uint64(64 - FILTER_BITS)
+            sets = []
+            for d, holder, s in zip(batch.column(0).to_pylist(), holders, batch_sets(batch.column(1))):
+                if len(s):
+                    hi, lo = fingerprint(s)
+                    if passes(bits, np.array([hi], np.int64).view(np.uint64) ^ holder, width)[0]:
+                        sets.append((d, hi, lo, s.tobytes()))
+            for at in range(0, len(sets), 256):
+                yield _batch(list(zip(*sets[at : at + 256])), _SETS)
+
+    return run
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -399,9 +440,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
     sizes = {r["n"]: r["k"] for r in members.filter(F.col("n").between(1, 2 * MOST_SMALL)).groupBy("n").agg(F.count("*").alias("k")).collect()}
     total = max(1.0, float(counts.sum()))
-    spread = float((counts.astype(np.float64) ** 2).sum()) - total - total * total / len(counts)
+    spread = float(np.square(counts, dtype=np.float64).sum()) - total - total * total / len(counts)
     most = boundary(sizes, max(0.0, spread / total))
     held = spark.sparkContext.broadcast(counts.tobytes())  # 8 MB, whatever the input
+    del summed, counts
 
     nodes = members.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nodes = stage_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -409,14 +451,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     signed = texts.mapInArrow(_signed(held, most), "sig long, hi long")
     lists = signed.groupBy("sig").agg(F.min("hi").alias("h1"), F.max("hi").alias("h2")).filter("h1 != h2").select("sig")
     lists = stage_table(lists, "lists")
-    rows = lists.withColumn("row", F.shiftrightunsigned("sig", 64 - FILTER_ROWS)).groupBy("row").applyInArrow(_bits, "row long, bits binary").collect()
-    width = 1 << (FILTER_BITS - FILTER_ROWS - 3)
-    bits = bytearray(width << FILTER_ROWS)
-    for r in rows:
-        bits[r["row"] * width : (r["row"] + 1) * width] = r["bits"]
-    passing = spark.sparkContext.broadcast(bytes(bits))  # 16 MB, whatever the input
+    width = filter_width(lists.count())
+    passing = _filter(lists, width)
     ids = nodes.select("hi", "lo", "node")
-    passed = texts.mapInArrow(_signed(held, most, passing), "sig long, hi long, lo long, n long").distinct()
+    passed = texts.mapInArrow(_signed(held, most, passing, width), "sig long, hi long, lo long, n long").distinct()
     postings = stage_table(passed.join(small_side(ids, n_nodes, 96), ["hi", "lo"]).select("sig", "node", "n"), "postings")
     sized = postings.groupBy("sig").agg(F.count("*").alias("k"))
     in_lists = stage_table(postings.join(sized.filter("k > 1"), "sig").select("sig", "node", "n", (F.col("k") > LONG).alias("long")), "in_lists")
@@ -433,13 +471,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(in_lists.filter("long").select("node")).distinct()
     wanted = stage_table(wanted.join(nodes.select("hi", "lo", "node", F.col("doc_id").alias("holder")), "node"), "wanted")
     n_wanted = wanted.count()
+    held.destroy()
+    passing.destroy()
     labels = None
     if n_wanted:
+        width = filter_width(n_wanted)
+        holders = _filter(wanted.select(held_sig(F.col("hi"), F.col("holder")).alias("sig")), width)
         held_by = F.col("doc_id").eqNullSafe(F.col("holder"))
-        sets = named.mapInArrow(_sets, "doc_id long, hi long, lo long, shingles binary").join(small_side(wanted, n_wanted, 128), ["hi", "lo"]).filter(held_by).select("node", "shingles")
+        sets = named.mapInArrow(_sets(holders, width), "doc_id long, hi long, lo long, shingles binary").join(small_side(wanted, n_wanted, 128), ["hi", "lo"]).filter(held_by).select("node", "shingles")
         sets = stage_table(sets, "sets")
         if sets.select("node").count() > n_wanted:  # rows repeated whole
             sets = stage_table(sets.dropDuplicates(["node"]), "sets")
+        holders.destroy()
         join = _Join(in_lists, pairs, sets)
         join.first_members()
         join.outsiders()
@@ -468,7 +511,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bare = stage_table(found.filter("n_shingles = 0").select(F.col("doc_id").alias("_one")).distinct(), "bare")
     ones = single.join(bare, "_one", "left_anti").unionByName(bare)
     n = counted.count() + bare.count()
-    out = docs.join(small_side(ones, n, 24), docs[id_col] == F.col("_one"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    # mostly fewer are dropped than stay; texts are shuffled only where neither fits the bound
+    gone = stage_table(found.filter("doc_id is not null").select(F.col("doc_id").alias("_one")).distinct().join(ones, "_one", "left_anti"), "gone")
+    n_gone = gone.count()
+    if n_gone < n:
+        out = docs.join(small_side(gone, n_gone, 24), docs[id_col] == F.col("_one"), "left_anti")
+    else:
+        out = docs.join(small_side(ones, n, 24), docs[id_col] == F.col("_one"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
     if repeated.limit(1).count():
         again = docs.join(small_side(repeated, n, 24), docs[id_col] == F.col("_one"), "left_semi")
         out = out.unionByName(again.dropDuplicates([id_col]))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairnfield.llm import components, ngram_join, shingles
+from cairnfield.llm import common, components, ngram_join, shingles
 
 from . import brute
 
@@ -117,6 +117,40 @@ def test_keep_one(spark):
     assert got.count(None) == 2
 
 
+def test_only_wanted_sets_leave_their_task(spark):
+    """A set is larger than its text: those of documents that are in no list must not be shuffled."""
+    r = random.Random(5)
+    rows = [(i, " ".join(words(r, 30))) for i in range(300)] + [(None, " ".join(words(r, 30)))]
+    marks = [ngram_join.fingerprint(s) for s in shingles.batch_sets(pa.array([t for _, t in rows]))]
+    wanted = [7, 13, 300]
+    held = spark.createDataFrame([(rows[i][0], marks[i][0]) for i in wanted], "holder long, hi long")
+    width = ngram_join.filter_width(len(wanted))
+    passing = ngram_join._filter(held.select(ngram_join.held_sig(F.col("hi"), F.col("holder")).alias("sig")), width)
+    out = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(ngram_join._sets(passing, width), "doc_id long, hi long, lo long, shingles binary").collect()
+    assert sorted((r["hi"], r["lo"]) for r in out) == sorted(marks[i] for i in wanted)
+
+
+def test_shuffles_of_written_tables_leave_no_files(spark):
+    tracked = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    before = tracked()
+    rows = common.stage_table(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n")), "counted")
+    assert tracked() <= before and rows.count() == 100
+
+
+@pytest.mark.parametrize("lists, width", [(0, 27), (4_194_303, 27), (4_194_304, 28), (10**9, 29)])
+def test_the_filter_grows_with_the_lists(lists, width):
+    assert ngram_join.filter_width(lists) == width
+
+
+def test_keep_one_drops_or_keeps_by_the_smaller_side(spark):
+    r = random.Random(9)
+    text = " ".join(words(r, 40))
+    few = [(i, " ".join(words(r, 40))) for i in range(20)] + [(30, text), (31, text)]
+    many = [(i, text) for i in range(20)]
+    for rows, want in ((few, [*range(20), 30]), (many, [0]), ([*few, (None, text)], [*range(20), 30, None])):
+        assert sorted((x["doc_id"] for x in ngram_join.keep_one(frame(spark, rows)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty(spark):
     assert ngram_join.ngram_join(frame(spark, [])).count() == 0 and ngram_join.keep_one(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_join(frame(spark, [(1, None)])).collect()] == [(1, 0, 1)]
