@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import table_of
+from ..storage import BATCH_ROWS, bound_batches, table_of
 from .intervals import page_ranges
 from .windows import WIDTH, running_sum
 
@@ -175,8 +175,13 @@ def section_chunks(docs: DataFrame, stem: str, text: str, size: int = SIZE, over
                     for a, b in recursive_pieces(section, size, overlap, separators):
                         rows.append((key, name, h1, h2, index, at + a, at + b, section[a:b]))
                         index += 1
-            yield pd.DataFrame(rows, columns=["source_stem", "section", "header_1", "header_2", "chunk_index", "start", "end", "text"])
+                        if len(rows) == BATCH_ROWS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+            yield pd.DataFrame(rows, columns=names)
 
+    names = ["source_stem", "section", "header_1", "header_2", "chunk_index", "start", "end", "text"]
+    bound_batches(docs.sparkSession)  # batches hold whole texts
     return docs.select(F.col(stem).cast("string").alias("stem"), F.col(text).alias("text")).mapInPandas(run, _CHUNKS)
 
 
@@ -188,6 +193,7 @@ def sections(docs: DataFrame, stem: str, text: str, headers: tuple[int, int] = H
             rows = [(key, breadcrumb_of(h1, h2), h1, h2, at, at + len(body), body) for key, whole in zip(pdf["stem"], pdf["text"]) for h1, h2, at, body in header_sections(whole or "", headers)]
             yield pd.DataFrame(rows, columns=["source_stem", "section", "header_1", "header_2", "start", "end", "text"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(stem).cast("string").alias("stem"), F.col(text).alias("text")).mapInPandas(run, "source_stem string, section string, header_1 string, header_2 string, start int, end int, text string")
 
 
