@@ -12,14 +12,17 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import bound_batches
 from .incremental import to_embed, upsert
 
 BATCH = 64
 DIMENSIONS = 256
+#: Words whose hashes a task keeps from one batch to the next.
+KNOWN = 1 << 17
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -36,13 +39,18 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     """Each word, A-Z lower-cased, adds 1 or -1 to the dimension its hash names; vectors have length 1, or 0 if the text
     has no word or its words cancel out."""
 
+    known: dict[bytes, int] = {}
+
     def embed(texts: list[str]) -> np.ndarray:
         words = [WORD.findall(t.encode().translate(LOWER)) for t in texts]
-        known = {w: word_hash(w) for w in {w for ws in words for w in ws}}
+        if len(known) > KNOWN:
+            known.clear()
+        for w in set().union(*words) - known.keys():
+            known[w] = word_hash(w)
         row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
         h = np.array([known[w] for ws in words for w in ws], np.int64)
-        out = np.zeros((len(texts), dimensions))
-        np.add.at(out, (row, h % dimensions), np.where(h // dimensions % 2, -1.0, 1.0))
+        sign = np.where(h // dimensions % 2, -1.0, 1.0)
+        out = np.bincount(row * dimensions + h % dimensions, sign, len(texts) * dimensions).astype(float).reshape(len(texts), dimensions)
         size = np.sqrt(np.square(out).sum(axis=1, keepdims=True))
         return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
@@ -55,19 +63,21 @@ def with_embeddings(chunks: DataFrame, text: str = "text", make: Callable[[], Em
     if batch < 1:
         raise ValueError("batch must be 1 or more")
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = make()
         for texts in parts:
-            rows: list[np.ndarray] = []
+            rows: list[pa.Array] = []
             for lo in range(0, len(texts), batch):
-                some = [t or "" for t in texts.iloc[lo : lo + batch]]
-                found = np.asarray(embed(some), dtype=float)
+                some = [t or "" for t in texts.slice(lo, batch).to_pylist()]
+                found = np.ascontiguousarray(embed(some), dtype=float)
                 if found.ndim != 2 or len(found) != len(some):
                     raise ValueError(f"the embedder gave {found.shape} for {len(some)} texts")
-                rows += list(found)
-            yield pd.Series(rows, dtype=object)
+                ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+                rows.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.reshape(-1), pa.float64())))
+            yield pa.concat_arrays(rows) if rows else pa.array([], pa.list_(pa.float64()))
 
+    bound_batches(chunks.sparkSession)
     return chunks.withColumn(out, run(F.col(text)))
 
 

@@ -67,3 +67,13 @@ def test_runs(spark):
     assert nothing.count() == 0
     as_set = lambda df: sorted(map(str, df.collect()))
     assert as_set(again) == as_set(store) and as_set(rows.select(manifest.columns)) == as_set(manifest)
+
+
+def test_words_are_hashed_once_a_task(monkeypatch):
+    seen = []
+    real = embedding.word_hash
+    monkeypatch.setattr(embedding, "word_hash", lambda w: seen.append(w) or real(w))
+    embed = embedding.hashing_embedder(16)
+    first, again = embed(["a b A", "", "c"]), embed(["c a", "b"])
+    assert sorted(seen) == [b"a", b"b", b"c"] and first.shape == (3, 16) and not first[1].any()
+    assert np.array_equal(again[1], embedding.hashing_embedder(16)(["b"])[0])
