@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, stage_table
+from .common import drop_stage, stage_counted, stage_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,14 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     both = stage_table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        # both lookups of a label have one form: where it is broadcast, once
+        label = labels.select(F.col("node").alias("of"), F.col("comp").alias("up"))
+        near = both.join(label, F.col("b") == F.col("of")).groupBy("a").agg(F.min("up").alias("c"))
         least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "c").alias("low"))
-        above = labels.select(F.col("node").alias("low"), F.col("comp").alias("up"))
-        new = stage_table(least.join(above, "low").select("node", F.least("low", "up").alias("comp"), (F.least("low", "up") < F.col("comp")).alias("changed")), "labels")
-        moved = new.filter("changed").limit(1).count()
+        new = least.join(label, F.col("low") == F.col("of")).select("node", F.least("low", "up").alias("comp"), (F.least("low", "up") < F.col("comp")).alias("changed"))
+        new, seen = stage_counted(new, "labels", F.count_if("changed").alias("moved"))
         drop_stage(labels)
         labels = new
-        if not moved:
+        if not seen["moved"]:
             drop_stage(both)
             found = labels.select("node", "comp")
             found.staged_path = labels.staged_path

@@ -226,7 +226,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     known = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     rows = docs.filter(known & ~held_out(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"))
     counts = stage_table(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    shares = small_side(counts.select("lang", (F.lit(2.0 * DOCS_PER_LANGUAGE) / F.col("n")).alias("share")), counts.count(), 64)
+    shares = small_side(counts.select("lang", (F.lit(2.0 * DOCS_PER_LANGUAGE) / F.col("n")).alias("share")), counts.staged_rows, 64)
     thin = rows.join(shares, "lang").filter((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < F.col("share"))
     ranked = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
     few = thin.withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= DOCS_PER_LANGUAGE)

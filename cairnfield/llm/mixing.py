@@ -110,7 +110,7 @@ def _drawn(docs: DataFrame, rows: DataFrame, names: tuple[str, str, str, str]) -
     """``docs`` with ``_mix_size, _mix_target`` of its source and ``_mix_copies``. ``rows``: ``doc_id, source, size,
     ordinal`` of all; ``names``: what these are called in ``docs``."""
     goal = stage_table(targets(source_sizes(rows, F.col("size"))), "targets")
-    n = goal.count()
+    n = goal.staged_rows
     chosen = stage_table(seeds(rows, goal, n), "seeds")
     drop_stage(goal)
     side = small_side(chosen.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed")), n, 256)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop_stage, small_side, stage_table
+from .common import bound_batches, drop_stage, small_side, stage_counted, stage_table
 from .components import components, extend
 from .shingles import batch_sets
 
@@ -282,14 +282,14 @@ class _Join:
     def link(self, pairs: DataFrame) -> None:
         """Verifies ``pairs`` (a, b) and joins their components."""
         pairs = stage_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        n = pairs.count()
+        n = pairs.staged_rows
         if not n:
             return
         left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         # the set of a travels with its pair; of b's side only sets in some pair are shuffled
         wanted = stage_table(pairs.select("b").distinct(), "wanted")
-        right = right.join(small_side(wanted, wanted.count(), 64), "b", "left_semi")
+        right = right.join(small_side(wanted, wanted.staged_rows, 64), "b", "left_semi")
         both = left.join(small_side(pairs, n, 96), "a").join(right, "b").select("a", "b", "x", "y")
         found = stage_table(both.mapInArrow(_verify, "a long, b long"), "links")
         drop_stage(pairs, wanted)
@@ -298,7 +298,7 @@ class _Join:
     def _extended(self, found: DataFrame) -> DataFrame | None:
         """The labels joined by the links found; what they replace is dropped."""
         labels = self.labels
-        if found.limit(1).count():
+        if found.staged_rows:
             labels = extend(self.labels, found)
             drop_stage(self.labels)
         drop_stage(found)
@@ -317,9 +317,9 @@ class _Join:
         told = self.long.drop("n").join(degree, "node")
         heads = stage_table(told.groupBy("sig").agg(F.max_by("node", F.struct("d", "node")).alias("b")), "heads")
         # a row for each long list: broadcast where that is small, else a join whose hot lists adaptive execution splits
-        met = stage_table(self.long.join(small_side(heads, heads.count(), 48), "sig").groupBy("node", "b").agg(F.count("*").alias("k")), "met")
+        met = stage_table(self.long.join(small_side(heads, heads.staged_rows, 48), "sig").groupBy("node", "b").agg(F.count("*").alias("k")), "met")
         drop_stage(heads)
-        if met.limit(1).count():
+        if met.staged_rows:
             family = components(met.select(F.col("node").alias("a"), "b"))
             self.families = stage_table(degree.join(family.withColumnRenamed("comp", "family"), "node"), "families")
             drop_stage(family)
@@ -336,9 +336,9 @@ class _Join:
         sized = rows.groupBy("family", "comp").agg(F.count("*").alias("k"))
         most = sized.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("c"), F.count("*").alias("comps")).filter("comps > 1")
         most = stage_table(most, "mains")
-        out = stage_table(rows.join(small_side(most, most.count(), 48), "family").select("node", "d", "n", "family", "comp", (F.col("comp") == F.col("c")).alias("main")), "divided")
+        out = stage_table(rows.join(small_side(most, most.staged_rows, 48), "family").select("node", "d", "n", "family", "comp", (F.col("comp") == F.col("c")).alias("main")), "divided")
         drop_stage(most)
-        return out if out.limit(1).count() else None
+        return out if out.staged_rows else None
 
     def outsiders(self) -> None:
         """Sets outside their family's largest component against TRIES of its sets in most long lists."""
@@ -348,7 +348,7 @@ class _Join:
         ranked = Window.partitionBy("family").orderBy(F.desc("d"), "node")
         central = rows.filter("main").withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= TRIES)
         central = stage_table(central.select("family", F.col("node").alias("b")), "central")
-        self.link(rows.filter("not main").select(F.col("node").alias("a"), "family").join(small_side(central, central.count(), 48), "family").select("a", "b"))
+        self.link(rows.filter("not main").select(F.col("node").alias("a"), "family").join(small_side(central, central.staged_rows, 48), "family").select("a", "b"))
         drop_stage(central, rows)
 
     def rest(self) -> None:
@@ -363,7 +363,7 @@ class _Join:
         components is, lists of the same sets once: whichever has fewer pairs. ``size`` is a class of set sizes; linked
         sets are at most one class apart."""
         kept = ["node", "family", "comp", "main", "n"]
-        held = stage_table(self.long.select("sig", "node").join(small_side(rows.select(*kept), rows.count(), 64), "node"), "held")
+        held = stage_table(self.long.select("sig", "node").join(small_side(rows.select(*kept), rows.staged_rows, 64), "node"), "held")
         outer, inner = F.count_if(~F.col("main")).alias("x"), F.count_if("main").alias("m")
         marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"h{k}") for k in (0, 1)]
         told = held.groupBy("family", "sig").agg(outer, inner, *marks, (F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed")
@@ -372,10 +372,10 @@ class _Join:
         by_lists = once.groupBy("family").agg(F.sum(pairs).alias("listed"))
         whole = rows.groupBy("family").agg(outer, inner).select("family", pairs.alias("whole"))
         cheaper = stage_table(whole.join(by_lists, "family").filter("listed < whole").select("family"), "cheaper")
-        n = cheaper.count()
+        n = cheaper.staged_rows
         lists = stage_table(once.join(small_side(cheaper, n, 24), "family", "left_semi").select("sig"), "scanned")
         families = rows.join(small_side(cheaper, n, 24), "family", "left_anti").select(F.concat(F.lit("f"), F.col("family").cast("string")).alias("unit"), *kept)
-        listed = held.join(small_side(lists, lists.count(), 24), "sig").select(F.concat(F.lit("l"), F.col("sig").cast("string")).alias("unit"), *kept)
+        listed = held.join(small_side(lists, lists.staged_rows, 24), "sig").select(F.concat(F.lit("l"), F.col("sig").cast("string")).alias("unit"), *kept)
         # a little wider than the ratio, so that rounding parts no linked sets by two
         size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(DEN / NUM) * (1 + 1e-9))).cast("int")
         out = stage_table(families.unionByName(listed).select("unit", "node", "comp", "main", size.alias("size")), "units")
@@ -392,7 +392,7 @@ class _Join:
         units = self.units(rows)
         blocks = lambda test: F.ceil(F.count_if(test) / F.lit(BLOCK)).cast("int")
         sized = stage_table(units.groupBy("unit", "size").agg(blocks(~F.col("main")).alias("nx"), blocks(F.col("main")).alias("nm")), "sized")
-        n = sized.count()
+        n = sized.staged_rows
         own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("nm")).otherwise(F.col("nx"))).cast("int")
         dealt = units.join(small_side(sized, n, 64), ["unit", "size"]).select("unit", "size", "node", "comp", "main", own.alias("i"))
         near = dealt.withColumn("other", F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))))
@@ -415,7 +415,7 @@ class _Join:
         left, right = (stage_table(a.unionByName(b), "blocks") for a, b in ((with_m, with_x), (of_m, of_x)))
         # columns named anew on either side: the cogroup must tell them apart
         fresh = lambda d: d.select(*(F.col(c).alias(c) for c in d.columns))
-        left, right = (fresh(fresh(self.sets).join(small_side(d, d.count(), 128), "node").select("key", "node", "comp", "shingles")) for d in (left, right))
+        left, right = (fresh(fresh(self.sets).join(small_side(d, d.staged_rows, 128), "node").select("key", "node", "comp", "shingles")) for d in (left, right))
         found = stage_table(left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(_scan, "a long, b long"), "links")
         self.labels = self._extended(found)
         drop_stage(rows, units, sized)
@@ -447,11 +447,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     nodes = members.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nodes = stage_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    n_nodes = nodes.count()
+    n_nodes = nodes.staged_rows
     signed = texts.mapInArrow(_signed(held, most), "sig long, hi long")
     lists = signed.groupBy("sig").agg(F.min("hi").alias("h1"), F.max("hi").alias("h2")).filter("h1 != h2").select("sig")
     lists = stage_table(lists, "lists")
-    width = filter_width(lists.count())
+    width = filter_width(lists.staged_rows)
     passing = _filter(lists, width)
     ids = nodes.select("hi", "lo", "node")
     passed = texts.mapInArrow(_signed(held, most, passing, width), "sig long, hi long, lo long, n long").distinct()
@@ -470,7 +470,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The sets of nodes that may link, each from the document with its least id: no set is shuffled for it.
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(in_lists.filter("long").select("node")).distinct()
     wanted = stage_table(wanted.join(nodes.select("hi", "lo", "node", F.col("doc_id").alias("holder")), "node"), "wanted")
-    n_wanted = wanted.count()
+    n_wanted = wanted.staged_rows
     held.destroy()
     passing.destroy()
     labels = None
@@ -480,7 +480,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         held_by = F.col("doc_id").eqNullSafe(F.col("holder"))
         sets = named.mapInArrow(_sets(holders, width), "doc_id long, hi long, lo long, shingles binary").join(small_side(wanted, n_wanted, 128), ["hi", "lo"]).filter(held_by).select("node", "shingles")
         sets = stage_table(sets, "sets")
-        if sets.select("node").count() > n_wanted:  # rows repeated whole
+        if sets.staged_rows > n_wanted:  # rows repeated whole
             sets = stage_table(sets.dropDuplicates(["node"]), "sets")
         holders.destroy()
         join = _Join(in_lists, pairs, sets)
@@ -506,19 +506,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without words link with nothing and all stay, as do rows without an id, which can't be named."""
     found = stage_table(ngram_join(docs, id_col, text_col), "found")
     kept = found.filter("n_shingles > 0 and doc_id = component_id")
-    counted = stage_table(kept.groupBy("doc_id").agg(F.count("*").alias("k")), "kept")
+    counted, seen = stage_counted(kept.groupBy("doc_id").agg(F.count("*").alias("k")), "kept", F.count_if(F.col("k") > 1).alias("repeated"))
     single, repeated = counted.filter("k = 1").select(F.col("doc_id").alias("_one")), counted.filter("k > 1").select(F.col("doc_id").alias("_one"))
     bare = stage_table(found.filter("n_shingles = 0").select(F.col("doc_id").alias("_one")).distinct(), "bare")
     ones = single.join(bare, "_one", "left_anti").unionByName(bare)
-    n = counted.count() + bare.count()
+    n = counted.staged_rows + bare.staged_rows
     # mostly fewer are dropped than stay; texts are shuffled only where neither fits the bound
     gone = stage_table(found.filter("doc_id is not null").select(F.col("doc_id").alias("_one")).distinct().join(ones, "_one", "left_anti"), "gone")
-    n_gone = gone.count()
+    n_gone = gone.staged_rows
     if n_gone < n:
         out = docs.join(small_side(gone, n_gone, 24), docs[id_col] == F.col("_one"), "left_anti")
     else:
         out = docs.join(small_side(ones, n, 24), docs[id_col] == F.col("_one"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
-    if repeated.limit(1).count():
+    if seen["repeated"]:
         again = docs.join(small_side(repeated, n, 24), docs[id_col] == F.col("_one"), "left_semi")
         out = out.unionByName(again.dropDuplicates([id_col]))
     return out

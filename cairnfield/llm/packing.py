@@ -145,7 +145,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     left = pieces.filter("left_open")
     group = F.floor(F.shiftright(F.col("sequence_id"), 33) / F.lit(MERGED))
     moves = stage_table(left.select("sequence_id", "offset", "length", group.alias("_g")).groupBy("_g").applyInPandas(_merge(length), "_from long, _at long, _to long, _base long"), "moves")
-    moves = small_side(moves, moves.count(), 48)
+    moves = small_side(moves, moves.staged_rows, 48)
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "left_open")]
     moved = left.join(moves, (left["sequence_id"] == moves["_from"]) & (left["offset"] == moves["_at"])).select(*columns, F.col("_to").alias("sequence_id"), F.col("_base").alias("offset"))
     return pieces.filter("not left_open").select(*columns, "sequence_id", "offset").unionByName(moved)

@@ -137,6 +137,29 @@ def test_shuffles_of_written_tables_leave_no_files(spark):
     assert tracked() <= before and rows.count() == 100
 
 
+def test_written_tables_know_their_rows(spark):
+    """Also where nothing is left to run: the plan is empty, or turns out so."""
+    some = spark.range(1000)
+    for rows, n in ((some, 1000), (some.filter("false"), 0), (some.limit(0), 0), (some.filter("id > 5000").distinct(), 0), (spark.createDataFrame([], "id long"), 0)):
+        table, seen = common.stage_counted(rows, "rows", F.count_if(F.col("id") > 9).alias("more"))
+        assert table.staged_rows == table.count() == n and seen["more"] == max(0, n - 10)
+
+
+def test_no_jobs_for_counts_of_written_tables(spark, monkeypatch):
+    """The driver keeps something of each job: the join runs none for a number that its writes have told."""
+    rows = corpus()[:120]
+    want = {c for _, n, c in brute.components(rows) if n}
+    docs = frame(spark, rows)
+
+    def count(self):
+        raise AssertionError("a job of its own")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "count", count)
+        kept = ngram_join.keep_one(docs)
+    assert want - {None} <= {r["doc_id"] for r in kept.collect()}
+
+
 @pytest.mark.parametrize("lists, width", [(0, 27), (4_194_303, 27), (4_194_304, 28), (10**9, 29)])
 def test_the_filter_grows_with_the_lists(lists, width):
     assert ngram_join.filter_width(lists) == width
