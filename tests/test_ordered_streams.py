@@ -3,7 +3,9 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cairnfield.streaming import ordered
 
@@ -57,6 +59,57 @@ def test_a_key_is_forgotten(spark, tmp_path):
         assert sorted(r.seq for r in got.collect()) == want
 
 
+class Calls:
+    """State of one key that is held here; counts the calls made, each of which is one to the JVM."""
+
+    def __init__(self):
+        self.made, self.timers = 0, set()
+
+    def getValueState(self, name, schema):
+        return Value(self)
+
+    def registerTimer(self, t):
+        self.made += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.made += 1
+        self.timers.discard(t)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class Value:
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def get(self):
+        self.calls.made += 1
+        return self.value
+
+    def update(self, value):
+        self.calls.made += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_rows():
+    fields = StructType([StructField("at_us", LongType()), StructField("seq", LongType()), StructField("status", StringType())])
+    for n in (1, 500):
+        calls = Calls()
+        edges = ordered.OrderedEdges(fields, "critical", None)
+        edges.init(calls)
+        rows = pd.DataFrame([(1000 * (n - i), i, "critical") for i in range(n)], columns=fields.names)
+        calls.watermark = 0
+        assert not list(edges.handleInputRows(("k",), iter([rows]), calls)) and calls.made <= 4 and calls.timers == {1}
+        calls.made, calls.watermark = 0, n
+        told = list(edges.handleExpiredTimer(("k",), calls, None))
+        assert [t["seq"].tolist() for t in told] == [[n - 1]] and calls.made <= 5 and not calls.timers
+
+
 EVENT = "event_id long, ts timestamp, user_id long, event_type string"
 
 
