@@ -20,6 +20,7 @@ Equal sets are one node throughout. Sets are verified exactly from their sorted
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -30,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import bound_batches, drop_stage, small_side, stage_counted, stage_table
 from .components import components, extend
-from .shingles import batch_sets
+from .shingles import batch_sets, mix
 
 NUM, DEN = 3, 4
 #: Buckets of the shingle count.
@@ -48,8 +50,14 @@ MORE = 32
 #: Sets in a list from which it counts as long; sets of a family's largest component tried by those outside; sets of
 #: a block that is scanned whole.
 LONG, TRIES, BLOCK = 32, 6, 256
+#: Sets that are shuffled at a time to be compared, for each set there is.
+TRAVEL = 2
 #: Least and most bits of the filter of shared signatures, those that number a row of it, and its size by what it holds.
 FILTER_BITS, MOST_FILTER_BITS, FILTER_ROWS, FILTER_SPARSE = 27, 29, 10, 32
+#: Signatures that are sent together to be counted, and bits sent of each, those after its row's in the filter.
+SENT, SENT_BITS = 1 << 20, 32
+#: Least bits of the filter of the documents that hold a set for all with the same one.
+HOLDER_BITS = 20
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
@@ -133,9 +141,9 @@ def signatures(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def filter_width(lists: int) -> int:
+def filter_width(lists: int, least: int = FILTER_BITS) -> int:
     """The filter's bits, a power of two, for so many shared signatures: up to ``MOST_FILTER_BITS`` few others pass."""
-    return min(MOST_FILTER_BITS, max(FILTER_BITS, (FILTER_SPARSE * lists).bit_length()))
+    return min(MOST_FILTER_BITS, max(least, (FILTER_SPARSE * lists).bit_length()))
 
 
 def _bits(width: int):
@@ -152,13 +160,18 @@ def _bits(width: int):
 
 def _filter(sigs: DataFrame, width: int):
     """A broadcast filter of ``2 ** width`` bits that every ``sig`` passes: 16 MB at the least width."""
-    rows = sigs.select("sig", F.shiftrightunsigned("sig", 64 - FILTER_ROWS).alias("row")).groupBy("row").applyInArrow(_bits(width), "row long, bits binary").collect()
+    return _gathered(sigs.select("sig", F.shiftrightunsigned("sig", 64 - FILTER_ROWS).alias("row")).groupBy("row").applyInArrow(_bits(width), "row long, bits binary"), width)
+
+
+def _gathered(found: DataFrame, width: int):
+    """The broadcast filter of the rows ``found`` (row, bits)."""
+    rows = found.collect()
     row_bytes = 1 << (width - FILTER_ROWS - 3)
     bits = bytearray(row_bytes << FILTER_ROWS)
     while rows:
         r = rows.pop()
         bits[r["row"] * row_bytes : (r["row"] + 1) * row_bytes] = r["bits"]
-    return sigs.sparkSession.sparkContext.broadcast(bits)
+    return found.sparkSession.sparkContext.broadcast(bits)
 
 
 def passes(bits: np.ndarray, sig: np.ndarray, width: int) -> np.ndarray:
@@ -170,29 +183,93 @@ def filter_bit(sig: np.ndarray, width: int) -> np.ndarray:
     return (sig >> np.uint64(64 - width)).astype(np.int64)
 
 
-def _signed(counts, most: int, shared=None, width: int = FILTER_BITS):
-    """Rows (sig, hi) of all signatures of all documents; with ``shared``, a filter of ``2 ** width`` bits that all shared
-    ones pass, rows (sig, hi, lo, n) of those that pass."""
-    schema = pa.schema([("sig", pa.int64()), ("hi", pa.int64())] + ([("lo", pa.int64()), ("n", pa.int64())] if shared else []))
+def _marks(ids: pa.Array) -> np.ndarray:
+    """What the filter of holders knows a document by."""
+    return mix(ids.fill_null(0).to_numpy().view(np.uint64))
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"sig": pa.array(_marks(batch.column(0)).view(np.int64))})
+
+
+def _holding(batches: Iterator[pa.RecordBatch], holders, width: int) -> Iterator[Iterator[np.ndarray]]:
+    """The sets, a batch (doc_id, text) at a time, of the documents that pass the filter ``holders``: of equal sets one
+    holder's, and few others."""
+    bits = np.frombuffer(holders.value, np.uint8)
+    for batch in batches:
+        yield batch_sets(batch.filter(pa.array(passes(bits, _marks(batch.column(0)), width))).column(1))
+
+
+def by_row(sigs: np.ndarray) -> pa.RecordBatch:
+    """Rows (row, sigs): signatures by their row of the filter, of each the ``SENT_BITS`` bits that follow; one that comes
+    often is there twice."""
+    part = np.sort(sigs >> np.uint64(64 - FILTER_ROWS - SENT_BITS))
+    part = part[np.concatenate([np.ones(min(2, len(part)), bool), part[2:] != part[:-2]])]
+    ends = np.searchsorted(part, np.arange((1 << FILTER_ROWS) + 1).astype(np.uint64) << np.uint64(SENT_BITS))
+    sent = pa.Array.from_buffers(pa.binary(), 1 << FILTER_ROWS, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(part.astype(np.uint32))])
+    out = pa.RecordBatch.from_arrays([pa.array(range(1 << FILTER_ROWS), pa.int64()), sent], ["row", "sigs"])
+    return out.filter(pa.array(np.diff(ends) > 0))
+
+
+def _sent(counts, most: int, holders, width: int):
+    """The signatures of all sets, ``by_row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(counts.value, np.int64)
-        passing = np.frombuffer(shared.value, np.uint8) if shared else None
+        kept, n = [], 0
+        for sets in _holding(batches, holders, width):
+            for s in sets:
+                if len(s):
+                    kept.append(signatures(s, order[bucket(s)], most))
+                    n += len(kept[-1])
+                    if n >= SENT:
+                        yield by_row(np.concatenate(kept))
+                        kept, n = [], 0
+        if n:
+            yield by_row(np.concatenate(kept))
+
+    return run
+
+
+def _shared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a row of the filter, the ``k`` signatures sent more than once: all that several sets have, few others."""
+    sent = np.sort(np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for batch in batches for c in batch.column("sigs")]))
+    again = np.unique(sent[1:][sent[1:] == sent[:-1]])
+    yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int64()), "k": pa.array([len(again)], pa.int64()), "sigs": pa.array([again.tobytes()], pa.binary())})
+
+
+def _shared_bits(width: int):
+    """Rows of the filter of ``2 ** width`` bits, of what ``_shared`` found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for row, sigs in zip(batch.column(0), batch.column(1)):
+                on = np.zeros(1 << (width - FILTER_ROWS), np.uint8)
+                on[np.frombuffer(sigs.as_buffer(), np.uint32) >> np.uint32(SENT_BITS + FILTER_ROWS - width)] = 1
+                yield pa.RecordBatch.from_pydict({"row": pa.array([row.as_py()], pa.int64()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    return run
+
+
+def _signed(counts, most: int, shared, width: int, holders, holder_width: int):
+    """Rows (sig, hi) of the signatures of all sets that pass the filter ``shared`` of ``2 ** width`` bits."""
+    schema = pa.schema([("sig", pa.int64()), ("hi", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.frombuffer(counts.value, np.int64)
+        passing = np.frombuffer(shared.value, np.uint8)
+        for sets in _holding(batches, holders, holder_width):
             sigs, marks = [], []
-            for s in batch_sets(batch.column(0)):
+            for s in sets:
                 if len(s):
                     found = signatures(s, order[bucket(s)], most)
-                    if shared:
-                        found = found[passes(passing, found, width)]
+                    found = found[passes(passing, found, width)]
                     if len(found):
                         sigs.append(found.view(np.int64))
-                        marks.append((*fingerprint(s), len(s)))
-            if not sigs:
-                continue
-            repeat = [len(x) for x in sigs]
-            columns = [np.concatenate(sigs), *(np.repeat(np.array(c, np.int64), repeat) for c in zip(*marks))]
-            yield _batch(columns[: len(schema)], schema)
+                        marks.append(fingerprint(s)[0])
+            if sigs:
+                yield _batch([np.concatenate(sigs), np.repeat(np.array(marks, np.int64), [len(x) for x in sigs])], schema)
 
     return run
 
@@ -268,6 +345,11 @@ def _near(x: str, y: str):
     return F.lit(NUM) * F.greatest(x, y) <= F.lit(DEN) * F.least(x, y)
 
 
+def _share(df: DataFrame, r: int, rounds: int, *keys: str) -> DataFrame:
+    """The rows of ``df`` of round ``r``."""
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == r) if rounds > 1 else df
+
+
 class _Join:
     """The steps over nodes (distinct sets) and their lists.
 
@@ -287,21 +369,33 @@ class _Join:
             return
         left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        # the set of a travels with its pair; of b's side only sets in some pair are shuffled
+        # the set of a travels with its pair; only sets in some pair are shuffled
         wanted = stage_table(pairs.select("b").distinct(), "wanted")
         right = right.join(small_side(wanted, wanted.staged_rows, 64), "b", "left_semi")
-        both = left.join(small_side(pairs, n, 96), "a").join(right, "b").select("a", "b", "x", "y")
-        found = stage_table(both.mapInArrow(_verify, "a long, b long"), "links")
-        drop_stage(pairs, wanted)
+        firsts = None
+        if n * 96 > common.BROADCAST_BYTES:
+            firsts = stage_table(pairs.select("a").distinct(), "firsts")
+            left = left.join(small_side(firsts, firsts.staged_rows, 64), "a", "left_semi")
+        found, rounds = [], self.rounds(n)
+        for r in range(rounds):
+            some = _share(pairs, r, rounds, "a", "b")
+            both = left.join(small_side(some, n // rounds, 96), "a").join(right, "b").select("a", "b", "x", "y")
+            found.append(stage_table(both.mapInArrow(_verify, "a long, b long"), "links"))
+        drop_stage(pairs, wanted, firsts)
         self.labels = self._extended(found)
 
-    def _extended(self, found: DataFrame) -> DataFrame | None:
+    def rounds(self, rows: int) -> int:
+        """Rounds in which so many sets are shuffled, so that disk follows the sets and not their pairs."""
+        return max(1, math.ceil(rows / (TRAVEL * max(1, self.sets.staged_rows))))
+
+    def _extended(self, found: list[DataFrame]) -> DataFrame | None:
         """The labels joined by the links found; what they replace is dropped."""
         labels = self.labels
-        if found.staged_rows:
-            labels = extend(self.labels, found)
+        some = [f for f in found if f.staged_rows]
+        if some:
+            labels = extend(self.labels, functools.reduce(DataFrame.unionByName, some))
             drop_stage(self.labels)
-        drop_stage(found)
+        drop_stage(*found)
         return labels
 
     def label(self, rows: DataFrame, node: str, comp: str) -> DataFrame:
@@ -415,10 +509,13 @@ class _Join:
         left, right = (stage_table(a.unionByName(b), "blocks") for a, b in ((with_m, with_x), (of_m, of_x)))
         # columns named anew on either side: the cogroup must tell them apart
         fresh = lambda d: d.select(*(F.col(c).alias(c) for c in d.columns))
-        left, right = (fresh(fresh(self.sets).join(small_side(d, d.staged_rows, 128), "node").select("key", "node", "comp", "shingles")) for d in (left, right))
-        found = stage_table(left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(_scan, "a long, b long"), "links")
+        found, rounds = [], self.rounds(left.staged_rows + right.staged_rows)
+        for r in range(rounds):
+            some = ((_share(d, r, rounds, "key"), d.staged_rows // rounds) for d in (left, right))
+            x, y = (fresh(fresh(self.sets).join(small_side(d, n, 128), "node").select("key", "node", "comp", "shingles")) for d, n in some)
+            found.append(stage_table(x.groupBy("key").cogroup(y.groupBy("key")).applyInArrow(_scan, "a long, b long"), "links"))
         self.labels = self._extended(found)
-        drop_stage(rows, units, sized)
+        drop_stage(rows, units, sized, left, right)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,7 +527,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     bound_batches(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = named.select("text")
     scanned = stage_table(named.mapInArrow(_documents, "doc_id long, n long, hi long, lo long, chunk int, counts binary"), "documents")
     members = scanned.filter("n is not null").select("doc_id", "n", "hi", "lo")
     # A fixed number of counts, whatever the input, and the documents by set size up to MOST_SMALL.
@@ -448,16 +544,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = members.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nodes = stage_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     n_nodes = nodes.staged_rows
-    signed = texts.mapInArrow(_signed(held, most), "sig long, hi long")
-    lists = signed.groupBy("sig").agg(F.min("hi").alias("h1"), F.max("hi").alias("h2")).filter("h1 != h2").select("sig")
-    lists = stage_table(lists, "lists")
-    width = filter_width(lists.staged_rows)
-    passing = _filter(lists, width)
-    ids = nodes.select("hi", "lo", "node")
-    passed = texts.mapInArrow(_signed(held, most, passing, width), "sig long, hi long, lo long, n long").distinct()
-    postings = stage_table(passed.join(small_side(ids, n_nodes, 96), ["hi", "lo"]).select("sig", "node", "n"), "postings")
+    # Of equal sets one document's signatures are taken: what is sent twice is in several sets. Only bits of them are
+    # shuffled, as the filter needs no more.
+    holder_width = filter_width(n_nodes, HOLDER_BITS)
+    holding = _filter(nodes.select("doc_id").mapInArrow(_marked, "sig long"), holder_width)
+    sent = named.mapInArrow(_sent(held, most, holding, holder_width), "row long, sigs binary")
+    lists, seen = stage_counted(sent.groupBy("row").applyInArrow(_shared, "row long, k long, sigs binary"), "lists", F.sum("k").alias("shared"))
+    width = filter_width(seen["shared"] or 0)
+    passing = _gathered(lists.select("row", "sigs").mapInArrow(_shared_bits(width), "row long, bits binary"), width)
+    drop_stage(lists)
+    # by the set alone, so that one shuffle serves the rows' distinctness and the join; a second set of the same hi would
+    # only add candidates
+    passed = named.mapInArrow(_signed(held, most, passing, width, holding, holder_width), "sig long, hi long").repartition("hi").distinct()
+    postings = stage_table(passed.join(small_side(nodes.select("hi", "node", "n"), n_nodes, 96), "hi").select("sig", "node", "n"), "postings")
     sized = postings.groupBy("sig").agg(F.count("*").alias("k"))
     in_lists = stage_table(postings.join(sized.filter("k > 1"), "sig").select("sig", "node", "n", (F.col("k") > LONG).alias("long")), "in_lists")
+    drop_stage(postings)
     others = in_lists.filter("not long").drop("long")
     far = in_lists.filter("long").select("node").distinct().withColumn("far", F.lit(True))
     again = others.select("sig", F.col("node").alias("b"), F.col("n").alias("m"))
@@ -473,6 +575,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_wanted = wanted.staged_rows
     held.destroy()
     passing.destroy()
+    holding.destroy()
     labels = None
     if n_wanted:
         width = filter_width(n_wanted)
@@ -495,7 +598,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = stage_table(placed.select("hi", "lo", "doc_id", "comp"), "placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     known = stage_table(placed.join(least, "comp").select("hi", "lo", "component_id"), "known")
-    drop_stage(nodes, lists, postings, in_lists, pairs, wanted, placed, labels)
+    drop_stage(nodes, in_lists, pairs, wanted, placed, labels)
     out = members.join(small_side(known, n_nodes, 96), ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

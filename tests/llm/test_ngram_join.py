@@ -174,6 +174,51 @@ def test_keep_one_drops_or_keeps_by_the_smaller_side(spark):
         assert sorted((x["doc_id"] for x in ngram_join.keep_one(frame(spark, rows)).collect()), key=str) == sorted(want, key=str)
 
 
+def test_signatures_are_sent_as_bits_and_once_for_equal_sets(spark):
+    r = random.Random(4)
+    text = " ".join(words(r, 400))
+    docs = frame(spark, [(i, text) for i in range(50)] + [(100 + i, " ".join(words(r, 400))) for i in range(5)])
+    assert {x["component_id"] for x in ngram_join.ngram_join(docs).collect()} == {0, *range(100, 105)}
+    counts = spark.sparkContext.broadcast(np.zeros(1 << ngram_join.BUCKET_BITS, np.int64).tobytes())
+    width = ngram_join.HOLDER_BITS
+    holding = ngram_join._filter(spark.createDataFrame([(i,) for i in (0, *range(100, 105))], "doc_id long").mapInArrow(ngram_join._marked, "sig long"), width)
+    rows = docs.mapInArrow(ngram_join._sent(counts, 0, holding, width), "row long, sigs binary").collect()
+    each = len(ngram_join.signatures(np.arange(396, dtype=np.uint64), np.zeros(396, np.int64), 0))
+    assert sum(len(x["sigs"]) for x in rows) == 4 * 6 * each
+
+
+@given(st.lists(st.integers(0, 40), max_size=60))
+def test_what_is_sent_twice_is_shared(picked):
+    every = (np.arange(41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(5)
+    batch = ngram_join.by_row(every[np.array(picked, np.int64)])
+    got = set()
+    for row, sigs in zip(batch.column(0), batch.column(1)):
+        one = pa.RecordBatch.from_pydict({"sigs": pa.array([sigs.as_py()], pa.binary())})
+        out = next(ngram_join._shared((row,), iter([one]))).to_pylist()[0]
+        got |= {(out["row"] << 32) | int(x) for x in np.frombuffer(out["sigs"], np.uint32)}
+        bits = next(ngram_join._shared_bits(27)(iter([pa.RecordBatch.from_pydict({"row": pa.array([out["row"]]), "sigs": pa.array([out["sigs"]])})])))
+        on = np.unpackbits(np.frombuffer(bits.column(1)[0].as_py(), np.uint8))
+        assert set(np.flatnonzero(on).tolist()) == {int(x) >> 15 for x in np.frombuffer(out["sigs"], np.uint32)}
+    assert got == {int(every[i]) >> 22 for i in set(picked) if picked.count(i) > 1}
+
+
+def test_sets_travel_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TRAVEL", 0.5)
+    monkeypatch.setattr(ngram_join, "LONG", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    most, rounds = [], ngram_join._Join.rounds
+
+    def seen(self, rows):
+        most.append((rows, rounds(self, rows), self.sets.staged_rows))
+        return most[-1][1]
+
+    monkeypatch.setattr(ngram_join._Join, "rounds", seen)
+    rows = corpus()
+    assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect()), key=str) == brute.components(rows)
+    assert max(n for _, n, _ in most) > 1
+    assert all(r <= n * max(1, s) / 2 for r, n, s in most)
+
+
 def test_empty(spark):
     assert ngram_join.ngram_join(frame(spark, [])).count() == 0 and ngram_join.keep_one(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_join(frame(spark, [(1, None)])).collect()] == [(1, 0, 1)]
